@@ -126,6 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = linked.groupBy("root").agg(F.min("first").alias("name"))
     linked = linked.join(names, "root").select(F.col("node"), "name")
     named = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", F.coalesce("name", "first").alias("component_id"))
+    named = cut(named)  # a plain table on either side lets Spark split a hot fingerprint's rows
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
