@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, simhash
+from . import bpe, chat, decontam, licenses, linededup, quality, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -17,10 +17,32 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    schemas = spark.createDataFrame(chat.TOOLS, "tool string, field string, type string, required boolean")
+    return chat.format_chat(turns.select("conv_id", "turn", "role", "text"), *chat.from_turns(turns), schemas)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "lines_removed", F.char_length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "toxicity.*")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).select("doc_id", "bpe.*")
 
@@ -33,5 +55,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op6_bpe, op7_quality, op8_simhash)}
-SQL: dict[str, str] = {}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 16)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_url_filter, op2_chat, op3_decontamination, op4_line_dedup, op5_toxicity, op6_bpe, op7_quality, op8_simhash, op9_sharding, op10_licenses)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
+SQL: dict[str, str] = {
+    "op1_url_filter": r"""
+with cut as (
+  select page_id, case when contains(url, '://') then regexp_extract(url, '^.*?://([^/?#]*)', 1, 's') else '' end as raw,
+         case when contains(url, '://') then regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') else '' end as path from pages),
+u as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from cut),
+rules(host, path, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+keys as (select distinct host, path from u),
+best as (
+  select k.host, k.path, max_by(r.host || r.path, length(r.host || r.path)) as rule, max_by(r.verdict, length(r.host || r.path)) as verdict
+  from keys k join rules r on (k.host = r.host or ends_with(k.host, '.' || r.host)) and starts_with(k.path, r.path) group by all)
+select u.page_id, u.host, u.path, b.rule,
+  coalesce(b.verdict, case when regexp_matches(u.host || u.path, '(?:^|\.)(?:ads-track|doubleclick|adserver)\.|/ads/|/banners?/|(?:^|[./-])(?:casino|porn)[./-]|\.exe$|/wp-login\.php$') then 'block' else 'allow' end) as verdict
+from u left join best b on u.host = b.host and u.path = b.path""",
+}
