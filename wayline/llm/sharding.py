@@ -97,8 +97,12 @@ def _cuts(points: DataFrame, dims: dict[int, int], goal: dict[int, float], slack
                 s["before"] = before if before is not None else s["before"]
             elif s["at"] is None and w > slack:
                 s |= {"lo": 0, "hi": _TOP, "below": below, "at": a}
-            else:
+            elif over <= under:
                 done[n] = make(b)
+            elif before is not None:
+                done[n] = make(before)
+            else:  # nothing of what is left fits below the cut: just under it
+                done[n] = Split(n, dims[n], s["at"] - 1) if s["at"] is not None else make(a - 1)
     return list(done.values())
 
 

@@ -23,8 +23,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 #: At most so many labelled rows are learned from, those first by a hash of their id; and at most so many stems are kept.
 LEARN_ROWS, STEMS = 20_000, 4_000
 THRESHOLD = 0.3
-#: Learned stems: the first 4 to 8 letters of a word, or a whole one; seen in so many toxic documents at least.
-PREFIXES, LEAST = range(4, 9), 4
+#: Learned stems: the first 4 to 8 letters of a word, or a whole one; seen in so many toxic documents at least, or in this share of them.
+PREFIXES, LEAST, LEAST_SHARE = range(4, 9), 4, 0.01
 #: Word lists; fixed values.
 INSULTS = "idiot idiots stupid moron morons trash loser losers scum worthless pathetic disgusting clown clowns imbecile dumb bastard vermin filth"
 THREATS = "kill hurt destroy beat shoot burn stab murder crush töten verletzen zerstören tuer frapper détruire matar golpear destruir"
@@ -127,40 +127,56 @@ def features(text: str | None) -> set[str]:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds up documents by feature before the shuffle."""
+    """Adds up documents by feature and half before the shuffle."""
     for b in batches:
-        found = {0: Counter(), 1: Counter()}
-        for text, toxic in zip(b["text"], b["toxic"]):
-            found[int(toxic)].update(features(text))
-        toxic = found[1]
-        yield pd.DataFrame([(f, n, found[0].get(f, 0)) for f, n in toxic.items()] + [(f, 0, n) for f, n in found[0].items() if f not in toxic], columns=["feature", "toxic", "clean"])
+        found = [Counter() for _ in range(4)]
+        for text, toxic, half in zip(b["text"], b["toxic"], b["half"]):
+            found[2 * int(half) + int(toxic)].update(features(text))
+        names = set().union(*found)
+        yield pd.DataFrame([(f, *(c.get(f, 0) for c in found)) for f in names], columns=["feature", "n0", "p0", "n1", "p1"])
+
+
+def _stems(rows: list, halves: tuple[int, ...], totals: dict[tuple[int, int], int]) -> dict[str, float]:
+    """Weights (log odds, less for rare ones) of the stems that these halves' rows mark as toxic; a longer stem only if it says more than a shorter one."""
+    toxic, clean = (sum(totals.get((h, t), 0) for h in halves) for t in (1, 0))
+    least = max(LEAST * len(halves) / 2, LEAST_SHARE * toxic)
+    stems: dict[str, float] = {}
+    for r in sorted(rows, key=lambda r: (len(r["feature"]), r["feature"])):
+        p, n = (sum(r[f"{k}{h}"] for h in halves) for k in ("p", "n"))
+        if p < least or n > p / 2:
+            continue
+        odds = math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
+        weight = odds * min(1.0, p / (4 * least))
+        word = r["feature"].rstrip("*")
+        shorter = max((stems.get(word[:k] + "*", 0.0) for k in PREFIXES if k < len(word) or word == r["feature"]), default=0.0)
+        if odds > 2 and weight > shorter + 0.3:
+            stems[r["feature"]] = weight
+    return stems
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float, float]:
-    """Stems with weights, and the slope and offset of the score, from labelled rows that are not held out (at most LEARN_ROWS)."""
+    """Stems with weights, and the slope and offset of the score, from labelled rows that are not held out (at most LEARN_ROWS).
+
+    Slope and offset are fitted to rows whose stems come from the other half of the rows, so stems seen by chance don't count for more than they are worth.
+    """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     own = own.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if not n1 or not n0:
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("half"))
+    totals = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    if not all(totals.get((h, t)) for h in (0, 1) for t in (0, 1)):
         return {}, 1.0, -1.5
-    counted = rows.mapInPandas(_counts, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
-    odds = F.log((F.col("p") + 0.5) / (n1 + 1)) - F.log((F.col("n") + 0.5) / (n0 + 1))
-    best = counted.where(f"p >= {LEAST}").withColumn("w", odds).where("w > 2.5 and n <= 0.05 * p").orderBy(F.desc("p"), F.length("feature"), "feature").limit(STEMS)
-    stems: dict[str, float] = {}
-    for r in best.collect():
-        if not any(r["feature"][:k] + "*" in stems for k in PREFIXES if k < len(r["feature"].rstrip("*")) or k == len(r["feature"].rstrip("*")) and not r["feature"].endswith("*")):
-            stems[r["feature"]] = float(r["w"]) * min(1.0, r["p"] / 20)
-    grammar = Grammar(stems)
+    sums = [F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")]
+    counted = rows.mapInPandas(_counts, "feature string, n0 long, p0 long, n1 long, p1 long").groupBy("feature").agg(*sums)
+    counted = counted.where(f"p0 + p1 >= {LEAST} and n0 + n1 <= 2 * (p0 + p1)").orderBy(F.desc(F.expr("p0 + p1 - n0 - n1")), "feature").limit(STEMS).collect()
+    crossed = [Grammar(_stems(counted, (1 - h,), totals)) for h in (0, 1)]
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [grammar.evidence(t)[0] for t in b["text"]], "toxic": b["toxic"]})
+            yield pd.DataFrame({"x": [crossed[h].evidence(t)[0] for t, h in zip(b["text"], b["half"])], "toxic": b["toxic"]})
 
     seen = rows.mapInPandas(weigh, "x double, toxic int").groupBy(F.round("x", 1).alias("x"), "toxic").count().collect()
-    return stems, *_logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float), np.array([r["count"] for r in seen], float))
+    return _stems(counted, (0, 1), totals), *_logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float), np.array([r["count"] for r in seen], float))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
