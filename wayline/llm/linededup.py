@@ -8,7 +8,8 @@ as it stands in the other, at a place that depends on the segment's number and o
 for each possible length, only those substrings. Keys that many lines share on both sides are not
 compared pair by pair: a further segment of what is left of the line is added to the key, again and
 again (what is left holds at most as many edits, so one of threshold-plus-one pieces of it matches again).
-Candidates are verified with a banded bit-parallel edit distance.
+Pairs that meet must first have signatures close enough for the threshold (parities of the counts of characters, in long lines of words); what
+is left is verified with a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MIN_CHARS = 25
 CROWD = 32
 #: Up to so many rows of one or two numbers are broadcast (a few MB); more are shuffled.
 SMALL = 100_000
+#: Lines of up to so many characters have signatures by characters, longer ones by words.
+SHORT = 80
 
 
 def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -54,9 +57,23 @@ def _keys(lines: DataFrame, threshold: int, *more: str) -> DataFrame:
         fits = (start >= 0) & (start + size <= length) & (other >= MIN_CHARS)
         key = F.xxhash64(other, F.lit(i), F.substring(F.col("line"), start + 1, size))
         fields = [F.when(fits, key).alias("key"), F.lit(not less and not shift).alias("own")]
-        fields += [c for c in (F.lit(i).alias("at"), other.alias("lx")) if more]
+        fields += [c for c in (F.lit(i).alias("at"), other.alias("lx")) if "at" in more]
         made.append(F.struct(*fields))
-    return lines.select("h", *[c for c in more if c == "line"], F.inline(F.array(*made))).where("key is not null")
+    return lines.select("h", *[c for c in more if c in ("line", "sig")], F.inline(F.array(*made))).where("key is not null")
+
+
+def signature(line: Column) -> Column:
+    """63 parities of how often characters (words in long lines) occur, by hash; the top bit tells which."""
+    short = F.char_length(line) <= SHORT
+    units = F.when(short, F.split(line, "")).otherwise(F.split(line, " "))
+    bit = lambda u: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(u), F.lit(63)).cast("int"))
+    return F.aggregate(units, F.when(short, F.lit(0)).otherwise(F.lit(-(1 << 63))).cast("long"), lambda a, u: a.bitwiseXOR(bit(u)))
+
+
+def _alike(a: Column, b: Column, threshold: int) -> Column:
+    """Whether signatures allow ``threshold`` edits: one flips at most two parities of characters, or three of words. Signatures of different kinds allow anything."""
+    apart = F.bit_count(a.bitwiseXOR(b))
+    return (a.bitwiseXOR(b) < 0) | (apart <= F.when(a < 0, 3 * threshold).otherwise(2 * threshold))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -103,10 +120,11 @@ def banded_distance(x: Column, y: Column, threshold: int) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["d"])
 
 
-def _meet(rows: DataFrame) -> DataFrame:
-    """Candidate pairs a < b of rows (key, h, own) that share a key, one of them at least with its own segment."""
-    own = rows.where("own").select("key", F.col("h").alias("x"))
-    pairs = own.join(rows.select("key", "h"), "key").where("x != h")
+def _meet(rows: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs a < b of rows (key, h, own, sig) that share a key, one of them at least with its own segment, and have signatures alike."""
+    own = rows.where("own").select("key", F.col("h").alias("x"), F.col("sig").alias("xs"))
+    other = rows.select("key", "h", "sig")
+    pairs = own.join(other, (own["key"] == other["key"]) & (F.col("x") != F.col("h")) & _alike(F.col("xs"), F.col("sig"), threshold))
     return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
 
 
@@ -129,29 +147,29 @@ def _crowded(rows: DataFrame, threshold: int) -> DataFrame:
         longer = lambda shift: F.xxhash64("key", "k", F.substring(F.col("line"), F.col("p.s") + 1 + shift, F.col("p.l")))
         at = F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(*map(F.lit, shifts))))
         moved = pieces.select("*", at.alias("shift")).where("p.s + shift >= 0 and p.s + shift + p.l <= char_length(line)")
-        made = cut(moved.select(longer(F.col("shift")).alias("key"), "h", "own", "line", rest.alias("free"), F.col("p.l").alias("l")).dropDuplicates(["key", "h", "own"]))
+        made = cut(moved.select(longer(F.col("shift")).alias("key"), "h", "own", "sig", "line", rest.alias("free"), F.col("p.l").alias("l")).dropDuplicates(["key", "h", "own"]))
         full = made.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all"), F.max("l").alias("l")).where(f"n > {CROWD} and all > n + {CROWD} and l > 0").select("key")
         full = cut(full)
-        few = _meet(made.join(full, "key", "left_anti").select("key", "h", "own"))
+        few = _meet(made.join(full, "key", "left_anti").select("key", "h", "own", "sig"), threshold)
         out = few if out is None else out.union(few)
         if full.isEmpty():
             return out
-        rows = made.join(full, "key").select("key", "h", "own", "line", "free")
-    return out.union(_meet(rows.select("key", "h", "own")))
+        rows = made.join(full, "key").select("key", "h", "own", "sig", "line", "free")
+    return out.union(_meet(rows.select("key", "h", "own", "sig"), threshold))
 
 
 def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ids ``h`` of distinct lines (h, line, length) within ``threshold`` edits."""
+    """Pairs (a, b) of ids ``h`` of distinct lines (h, line, length, sig) within ``threshold`` edits."""
     keys = _keys(lines, threshold)
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("own")).where("lo != hi and own").select("key")
     shared = cut(shared)
-    rows = cut(_keys(lines, threshold).join(_few(shared), "key"))
+    rows = cut(_keys(lines, threshold, "sig").join(_few(shared), "key"))
     full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {CROWD} and all > {2 * CROWD}").select("key"))
-    pairs = _meet(rows.join(_few(full), "key", "left_anti"))
+    pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
-        many = _keys(lines, threshold, "line", "at", "lx").join(_few(full), "key")
+        many = _keys(lines, threshold, "line", "sig", "at").join(_few(full), "key")
         cuts = F.array(*[F.struct(s.cast("int").alias("s"), n.cast("int").alias("l")) for s, n in segments(F.col("lx"), threshold)])
-        many = many.withColumn("free", F.filter(cuts, lambda p, i: i != F.col("at"))).select("key", "h", "own", "line", "free")
+        many = many.withColumn("free", F.filter(cuts, lambda p, i: i != F.col("at"))).select("key", "h", "own", "sig", "line", "free")
         # a line's own segment also meets, shifted, those of other lines of its length
         both = many.union(many.where("own").withColumn("own", F.lit(False)))
         pairs = pairs.union(_crowded(both, threshold))
@@ -174,7 +192,7 @@ def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h, class, first): each line found more than once or near another, its class and the first document with a line of the class."""
     lines = _places(docs, id_col, text_col).groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    lines = cut(lines.select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("length"), "first", "n"))
+    lines = cut(lines.select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("length"), signature(F.col("line")).alias("sig"), "first", "n"))
     linked = components(line_links(lines, threshold)).withColumnsRenamed({"node": "h", "root": "class"})
     near = lines.select("h", "first", "n").join(_few(linked), "h", "left").where("n > 1 or class is not null")
     near = near.select("h", F.coalesce("class", "h").alias("class"), "first")
