@@ -48,18 +48,19 @@ def probes(threshold: int) -> list[tuple[int, int, int]]:
 
 
 def _keys(lines: DataFrame, threshold: int, *more: str) -> DataFrame:
-    """Rows (key, h, own): each line's own segments and its probes; ``more`` may add at (segment), lx (the other line's length) and line."""
-    made, length = [], F.col("length")
-    for less, i, shift in [(0, i, 0) for i in range(threshold + 1)] + probes(threshold):
-        other = length - less
-        start, size = segments(other, threshold)[i]
-        start = start + shift
-        fits = (start >= 0) & (start + size <= length) & (other >= MIN_CHARS)
-        key = F.xxhash64(other, F.lit(i), F.substring(F.col("line"), start + 1, size))
-        fields = [F.when(fits, key).alias("key"), F.lit(not less and not shift).alias("own")]
-        fields += [c for c in (F.lit(i).alias("at"), other.alias("lx")) if "at" in more]
-        made.append(F.struct(*fields))
-    return lines.select("h", *[c for c in more if c in ("line", "sig")], F.inline(F.array(*made))).where("key is not null")
+    """Rows (key, h, own): each line's own segments and its probes; ``more`` may add at (segment), lx (the other line's length), sig and line."""
+    looks = [(0, i, 0) for i in range(threshold + 1)] + probes(threshold)
+    spec = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("at"), F.lit(shift).alias("shift")) for less, i, shift in looks])
+    # a short list that every line is crossed with: one small expression for the key stays within the compiler's limits
+    rows = lines.select("h", "line", "length", *[c for c in more if c == "sig"], F.inline(spec))
+    rows = rows.withColumn("lx", F.col("length") - F.col("less"))
+    size = F.floor(F.col("lx") / (threshold + 1)).cast("int")
+    extra = F.greatest(F.lit(0), F.col("at") - (threshold + 1) + F.col("lx") % (threshold + 1))
+    start = size * F.col("at") + extra + F.col("shift")
+    size = size + F.when(F.col("at") >= F.lit(threshold + 1) - F.col("lx") % (threshold + 1), 1).otherwise(0)
+    rows = rows.withColumn("_s", start).withColumn("_n", size).where((F.col("_s") >= 0) & (F.col("_s") + F.col("_n") <= F.col("length")) & (F.col("lx") >= MIN_CHARS))
+    key = F.xxhash64("lx", "at", F.substring(F.col("line"), F.col("_s") + 1, F.col("_n")))
+    return rows.select("h", key.alias("key"), F.expr("less = 0 and shift = 0").alias("own"), *more)
 
 
 def signature(line: Column) -> Column:
@@ -84,18 +85,18 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def banded_distance(x: Column, y: Column, threshold: int) -> Column:
-    """Edit distance of two strings, or a number above ``threshold``.
+def banded_distance(xs: Column, ys: Column, threshold: int) -> Column:
+    """Edit distance of two arrays of characters (plain columns, as they are read at every step), or a number above ``threshold``.
 
     Only a diagonal band of 2 * threshold + 2 cells is kept, as differences in the bits of two numbers that move down
-    the band with each character of ``y`` (``x`` must not be the shorter one). The top bit follows the lower edge of the band until it
-    meets the end of ``x``; from there the distance is followed along the last row.
+    the band with each character of ``y`` (``xs`` must not be the shorter one). The top bit follows the lower edge of the band until it
+    meets the end of ``xs``; from there the distance is followed along the last row.
     """
     width = 2 * threshold + 2
     full, top = (1 << width) - 1, 1 << (width - 1)
     long = lambda v: F.lit(v).cast("long")
     inv = lambda v: v.bitwiseXOR(long(full))
-    xs, ys, m = F.split(x, ""), F.split(y, ""), F.char_length(x)
+    m = F.size(xs)
 
     def step(s: Column, j: Column) -> Column:
         eq = long(0)
@@ -107,7 +108,7 @@ def banded_distance(x: Column, y: Column, threshold: int) -> Column:
             hp = s["vn"].bitwiseOR(inv(d0.bitwiseOR(s["vp"])))
             hn = d0.bitwiseAND(s["vp"])
             low = F.shiftright(d0, 1)
-            edge = j - (m - threshold)  # below zero the top bit's row is still inside x
+            edge = j - (m - threshold)  # below zero the top bit's row is still inside xs
             row = F.call_function("shiftright", F.lit(top >> 1).cast("long"), F.greatest(edge, F.lit(0)))
             on = lambda v: F.when(v.bitwiseAND(row) != 0, 1).otherwise(0)
             gain = F.when(edge < 0, F.when(d0.bitwiseAND(long(top)) != 0, 0).otherwise(1)).otherwise(on(hp) - on(hn))
@@ -116,7 +117,7 @@ def banded_distance(x: Column, y: Column, threshold: int) -> Column:
         return _let(eq, lambda e: _let(e.bitwiseAND(s["vp"]).__add__(s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(e).bitwiseOR(s["vn"]).bitwiseAND(long(full)), after))
 
     start = F.struct(long(full ^ ((1 << (width - threshold - 1)) - 1)).alias("vp"), long(0).alias("vn"), F.lit(threshold).alias("d"))
-    steps = F.when(F.char_length(y) > 0, F.sequence(F.lit(0), F.char_length(y) - 1)).otherwise(F.array().cast("array<int>"))
+    steps = F.when(F.size(ys) > 0, F.sequence(F.lit(0), F.size(ys) - 1)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, start, step, lambda s: s["d"])
 
 
@@ -167,7 +168,7 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {CROWD} and all > {2 * CROWD}").select("key"))
     pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
-        many = _keys(lines, threshold, "line", "sig", "at").join(_few(full), "key")
+        many = _keys(lines, threshold, "line", "sig", "at", "lx").join(_few(full), "key")
         cuts = F.array(*[F.struct(s.cast("int").alias("s"), n.cast("int").alias("l")) for s, n in segments(F.col("lx"), threshold)])
         many = many.withColumn("free", F.filter(cuts, lambda p, i: i != F.col("at"))).select("key", "h", "own", "sig", "line", "free")
         # a line's own segment also meets, shifted, those of other lines of its length
@@ -175,12 +176,13 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         pairs = pairs.union(_crowded(both, threshold))
     pairs = cut(pairs.distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    texts = cut(lines.join(_few(wanted), "h", "left_semi").select("h", "line"))
-    left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    held = pairs.join(left, "a").join(right, "b")
-    longer = F.char_length("x") >= F.char_length("y")
-    distance = banded_distance(F.when(longer, F.col("x")).otherwise(F.col("y")), F.when(longer, F.col("y")).otherwise(F.col("x")), threshold)
-    return held.where(distance <= threshold).select("a", "b")
+    chars = F.filter(F.split("line", ""), lambda c: c != "")
+    texts = cut(lines.join(_few(wanted), "h", "left_semi").select("h", chars.alias("chars")))
+    left, right = texts.select(F.col("h").alias("a"), F.col("chars").alias("x")), texts.select(F.col("h").alias("b"), F.col("chars").alias("y"))
+    longer = F.size("x") >= F.size("y")
+    held = pairs.join(left, "a").join(right, "b").select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("y"))
+    held = cut(held)  # arrays stand as columns from here on
+    return held.where(banded_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
