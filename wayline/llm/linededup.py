@@ -168,7 +168,7 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {CROWD} and all > {2 * CROWD}").select("key"))
     pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
-        many = _keys(lines, threshold, "line", "sig", "at", "lx").join(_few(full), "key")
+        many = cut(_keys(lines, threshold, "line", "sig", "at", "lx").join(_few(full), "key"))  # few rows; what follows would be too large a plan to compile along with the keys
         cuts = F.array(*[F.struct(s.cast("int").alias("s"), n.cast("int").alias("l")) for s, n in segments(F.col("lx"), threshold)])
         many = many.withColumn("free", F.filter(cuts, lambda p, i: i != F.col("at"))).select("key", "h", "own", "sig", "line", "free")
         # a line's own segment also meets, shifted, those of other lines of its length
