@@ -50,7 +50,7 @@ def order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A node's key is its turn and step 0, or, if later, the key of a node it waits for with one more step. Only nodes
     behind something that stands after them move, so well-ordered conversations need one round; the rounds are as many as the longest
-    chain of moves. Nodes on or behind a circle have steps up to the number of nodes, then they stay: ``circular``.
+    chain of moves. Nodes on or behind a circle come to as many steps as there are nodes, or more, and stop at twice that: ``circular``.
     """
     limit = nodes.groupBy("conv_id").agg(F.count("*").alias("most"))
     state = cut(nodes.join(limit, "conv_id").select("conv_id", "node", "most", F.struct(F.col("turn").alias("t"), F.lit(0).alias("s")).alias("key")))
@@ -60,7 +60,7 @@ def order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         to = state.select("conv_id", F.col("node").alias("dst"), F.col("key").alias("dst_key"), "most")
         moved = edges.join(from_, ["conv_id", "src"]).join(to, ["conv_id", "dst"])
         later = F.struct(F.col("src_key.t").alias("t"), (F.col("src_key.s") + 1).alias("s"))
-        moved = moved.where(later > F.col("dst_key")).where(F.col("src_key.s") < F.col("most")).groupBy("conv_id", F.col("dst").alias("node")).agg(F.max(later).alias("new"))
+        moved = moved.where(later > F.col("dst_key")).where(F.col("src_key.s") < 2 * F.col("most")).groupBy("conv_id", F.col("dst").alias("node")).agg(F.max(later).alias("new"))
         moved = cut(moved)
         if moved.isEmpty():
             break
