@@ -63,6 +63,27 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(regexp_replace(lower({text}), '(?m)^[ \\t*#/;-]*(?:copyright|\\(c\\)|©)[ \\t].*$', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for a, b in licenses.SPELLINGS:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+def _licenses_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = [(k, "text", t) for k, t in licenses.TEXTS.items()] + [(k, "notice", t) for k, own in licenses.NOTICES.items() for t in own]
+    values = ", ".join(f"({quoted(k)}, {quoted(kind)}, {quoted(t)})" for k, kind, t in rows)
+    whole = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    return f"""
+with known as (select license, kind, sha256({whole(_canonical_sql('body'))}) as digest from (values {values}) k(license, kind, body)),
+canon as (select doc_id, {_canonical_sql('text')} as c from documents),
+units as (select doc_id, 'text' as kind, {whole('c')} as u from canon union all select doc_id, 'notice', trim(unnest(string_split(c, chr(10)))) from canon),
+hits as (select doc_id, min(case when kind = 'text' then license end) as whole, string_agg(distinct license, ',' order by license) filter (kind = 'notice') as notices
+  from (select doc_id, kind, sha256(u) as digest from units where u <> '') join known using (kind, digest) group by doc_id)
+select d.doc_id, h.whole, coalesce(h.notices, '') as notices from documents d left join hits h using (doc_id)"""
+
+
 OPERATORS = (op1_url_filter, op2_chat, op3_decontamination, op4_line_dedup, op5_toxicity, op6_bpe, op7_quality, op8_simhash, op9_sharding, op10_licenses)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {
@@ -79,4 +100,5 @@ best as (
 select u.page_id, u.host, u.path, b.rule,
   coalesce(b.verdict, case when regexp_matches(u.host || u.path, '(?:^|\.)(?:ads-track|doubleclick|adserver)\.|/ads/|/banners?/|(?:^|[./-])(?:casino|porn)[./-]|\.exe$|/wp-login\.php$') then 'block' else 'allow' end) as verdict
 from u left join best b on u.host = b.host and u.path = b.path""",
+    "op10_licenses": _licenses_sql(),
 }
