@@ -49,9 +49,10 @@ def edited(s, k):
     return "".join(s)
 
 
-@pytest.mark.parametrize("crowd", [32, 2])
-def test_line_links_against_all_pairs(spark, crowd, monkeypatch):
+@pytest.mark.parametrize("crowd, huge", [(32, 4000), (2, 4000), (2, 3)])
+def test_line_links_against_all_pairs(spark, crowd, huge, monkeypatch):
     monkeypatch.setattr(linededup, "CROWD", crowd)
+    monkeypatch.setattr(linededup, "HUGE", huge)
     random.seed(5)
     base = ["".join(random.choice("abcdé ") for _ in range(random.randrange(25, 110))) for _ in range(20)]
     lines = set(base) | {edited(b, k) for b in base for k in (1, 2, 3)} | {"the same beginning of a line, then " + "".join(random.choice("ab") for _ in range(8)) for _ in range(30)}

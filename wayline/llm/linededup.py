@@ -5,11 +5,11 @@ equal lines the first occurrence stays (the smallest document id, then the first
 
 Each distinct line is split into threshold-plus-one segments. Two lines within the threshold have some segment of one
 as it stands in the other, at a place that depends on the segment's number and on both lengths, so a line probes,
-for each possible length, only those substrings. Keys that many lines share on both sides are not
-compared pair by pair: a further segment of what is left of the line is added to the key, again and
+for each possible length, only those substrings. In keys that many lines share, pairs must also agree in a second
+signature. Keys beyond HUGE lines on both sides are not compared pair by pair: a further segment of what is left of the line is added to the key, again and
 again (what is left holds at most as many edits, so one of threshold-plus-one pieces of it matches again).
 Pairs that meet must first have signatures close enough for the threshold (parities of the counts of characters, in long lines of words); what
-is left is verified with a banded bit-parallel edit distance.
+is left is screened by Spark's own edit distance and verified with a banded bit-parallel one.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import components, cut
 
 THRESHOLD = 2
 MIN_CHARS = 25
-#: Keys with more than this many lines on both sides get longer keys.
-CROWD = 32
+#: Keys with more than this many lines on both sides compare a second signature; with more than HUGE they get longer.
+CROWD, HUGE = 32, 4000
 #: Up to so many rows of one or two numbers are broadcast (a few MB); more are shuffled.
 SMALL = 100_000
 #: Lines of up to so many characters have signatures by characters, longer ones by words.
@@ -71,6 +71,12 @@ def signature(line: Column) -> Column:
     return F.aggregate(units, F.when(short, F.lit(0)).otherwise(F.lit(-(1 << 63))).cast("long"), lambda a, u: a.bitwiseXOR(bit(u)))
 
 
+def characters(line: Column) -> Column:
+    """63 parities of how often characters occur, for lines of any length."""
+    bit = lambda u: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(u), F.lit(63)).cast("int"))
+    return F.aggregate(F.filter(F.split(line, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, u: a.bitwiseXOR(bit(u)))
+
+
 def _alike(a: Column, b: Column, threshold: int) -> Column:
     """Whether signatures allow ``threshold`` edits: one flips at most two parities of characters, or three of words. Signatures of different kinds allow anything."""
     apart = F.bit_count(a.bitwiseXOR(b))
@@ -122,10 +128,14 @@ def banded_distance(xs: Column, ys: Column, threshold: int) -> Column:
 
 
 def _meet(rows: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs a < b of rows (key, h, own, sig) that share a key, one of them at least with its own segment, and have signatures alike."""
-    own = rows.where("own").select("key", F.col("h").alias("x"), F.col("sig").alias("xs"))
-    other = rows.select("key", "h", "sig")
-    pairs = own.join(other, (own["key"] == other["key"]) & (F.col("x") != F.col("h")) & _alike(F.col("xs"), F.col("sig"), threshold))
+    """Candidate pairs a < b of rows (key, h, own, sig) that share a key, one of them at least with its own segment, and have signatures alike (``chars``: a second one, if there)."""
+    second = ["chars"] if "chars" in rows.columns else []
+    own = rows.where("own").select("key", F.col("h").alias("x"), F.col("sig").alias("xs"), *[F.col(c).alias("xc") for c in second])
+    other = rows.select("key", "h", "sig", *second)
+    near = _alike(F.col("xs"), F.col("sig"), threshold)
+    if second:
+        near = near & (F.bit_count(F.col("xc").bitwiseXOR(F.col("chars"))) <= 2 * threshold)
+    pairs = own.join(other, (own["key"] == other["key"]) & (F.col("x") != F.col("h")) & near)
     return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
 
 
@@ -149,7 +159,7 @@ def _crowded(rows: DataFrame, threshold: int) -> DataFrame:
         at = F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(*map(F.lit, shifts))))
         moved = pieces.select("*", at.alias("shift")).where("p.s + shift >= 0 and p.s + shift + p.l <= char_length(line)")
         made = cut(moved.select(longer(F.col("shift")).alias("key"), "h", "own", "sig", "line", rest.alias("free"), F.col("p.l").alias("l")).dropDuplicates(["key", "h", "own"]))
-        full = made.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all"), F.max("l").alias("l")).where(f"n > {CROWD} and all > n + {CROWD} and l > 0").select("key")
+        full = made.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all"), F.max("l").alias("l")).where(f"n > {HUGE} and all > n + {HUGE} and l > 0").select("key")
         full = cut(full)
         few = _meet(made.join(full, "key", "left_anti").select("key", "h", "own", "sig"), threshold)
         out = few if out is None else out.union(few)
@@ -169,18 +179,24 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
         many = cut(_keys(lines, threshold, "line", "sig", "at", "lx").join(_few(full), "key"))  # few rows; what follows would be too large a plan to compile along with the keys
-        cuts = F.array(*[F.struct(s.cast("int").alias("s"), n.cast("int").alias("l")) for s, n in segments(F.col("lx"), threshold)])
-        many = many.withColumn("free", F.filter(cuts, lambda p, i: i != F.col("at"))).select("key", "h", "own", "sig", "line", "free")
-        # a line's own segment also meets, shifted, those of other lines of its length
-        both = many.union(many.where("own").withColumn("own", F.lit(False)))
-        pairs = pairs.union(_crowded(both, threshold))
+        huge = cut(many.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {HUGE} and all > {2 * HUGE}").select("key"))
+        dense = many.join(_few(huge), "key", "left_anti").select("key", "h", "own", "sig", characters(F.col("line")).alias("chars"))
+        pairs = pairs.union(_meet(cut(dense), threshold))
+        if not huge.isEmpty():
+            many = many.join(_few(huge), "key")
+            cuts = F.array(*[F.struct(s.cast("int").alias("s"), n.cast("int").alias("l")) for s, n in segments(F.col("lx"), threshold)])
+            many = many.withColumn("free", F.filter(cuts, lambda p, i: i != F.col("at"))).select("key", "h", "own", "sig", "line", "free")
+            # a line's own segment also meets, shifted, those of other lines of its length
+            both = many.union(many.where("own").withColumn("own", F.lit(False)))
+            pairs = pairs.union(_crowded(both, threshold))
     pairs = cut(pairs.distinct())
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    chars = F.filter(F.split("line", ""), lambda c: c != "")
-    texts = cut(lines.join(_few(wanted), "h", "left_semi").select("h", chars.alias("chars")))
-    left, right = texts.select(F.col("h").alias("a"), F.col("chars").alias("x")), texts.select(F.col("h").alias("b"), F.col("chars").alias("y"))
-    longer = F.size("x") >= F.size("y")
-    held = pairs.join(left, "a").join(right, "b").select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("y"))
+    texts = cut(lines.join(_few(wanted), "h", "left_semi").select("h", "line"))
+    left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
+    longer = F.char_length("x") >= F.char_length("y")
+    held = pairs.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", threshold) >= 0)
+    chars = lambda c: F.filter(F.split(c, ""), lambda u: u != "")
+    held = held.select("a", "b", chars(F.when(longer, F.col("x")).otherwise(F.col("y"))).alias("x"), chars(F.when(longer, F.col("y")).otherwise(F.col("x"))).alias("y"))
     held = cut(held)  # arrays stand as columns from here on
     return held.where(banded_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
 
