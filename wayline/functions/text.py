@@ -34,7 +34,7 @@ def utc_day(wall_ts: Column) -> Column:
 def remap_annotation(line: Column, mapping: dict[int, int]) -> Column:
     """An annotation line with its class id mapped; null if it is malformed, short or unmapped. Further columns stay."""
     tokens = F.split(F.trim(line), r"\s+")
-    old = F.try_cast(F.get(tokens, F.lit(0)), "double") if hasattr(F, "try_cast") else F.get(tokens, F.lit(0)).try_cast("double")
+    old = F.get(tokens, F.lit(0)).try_cast("double")
     new = F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), old.cast("int"))
     return F.when((F.size(tokens) >= 5) & new.isNotNull(), F.array_join(F.concat(F.array(new.cast("string")), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))), " "))
 
