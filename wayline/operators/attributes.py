@@ -31,10 +31,11 @@ def running_class(points: DataFrame) -> DataFrame:
 def fuse(observations: DataFrame) -> DataFrame:
     """Attributes of (track, key) from observations (seq, value, confidence): the value of the greatest summed confidence, the first seen among equals.
 
-    Confidences are clamped to 1; those of 0 or less and empty values don't count. confidence is the winner's share of the sum.
+    Confidences are clamped to 1; those of 0 or less and empty values don't count. confidence is the winner's share of the sum. Sums are
+    rounded to nine places, so the order of summing decides no tie.
     """
     ok = observations.where("confidence > 0 and value is not null and value != ''")
-    mass = ok.groupBy(*TRACK, "key", "value").agg(F.sum(F.least(F.col("confidence"), F.lit(1.0))).alias("mass"), F.min("seq").alias("first"), F.count("*").alias("n"))
+    mass = ok.groupBy(*TRACK, "key", "value").agg(F.round(F.sum(F.least(F.col("confidence"), F.lit(1.0))), 9).alias("mass"), F.min("seq").alias("first"), F.count("*").alias("n"))
     return mass.groupBy(*TRACK, "key").agg(F.max_by("value", F.struct("mass", -F.col("first"))).alias("value"), (F.max("mass") / F.sum("mass")).alias("confidence"), F.sum("n").alias("n_observations"))
 
 

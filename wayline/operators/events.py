@@ -84,7 +84,7 @@ def union(*parts: DataFrame) -> DataFrame:
 def summaries(finished: DataFrame, points: DataFrame, moving: DataFrame | None = None, distances: DataFrame | None = None, plates: DataFrame | None = None, attributes: DataFrame | None = None, offset: DataFrame | None = None, max_history: int = 600) -> DataFrame:
     """One row per finished track: duration, distance, speeds, plate, colour, attributes, points and wall times.
 
-    ``offset`` (stream_id, run_id, frame_index, wall_ts): the wall clock at the finishing frame; the average speed is null unless duration
+    ``offset`` (stream_id, run_id, frame_index, wall_ts): the wall clock at the finishing frame, if ``finished`` has no wall_ts itself; the average speed is null unless duration
     and distance are positive. All parts are grouped by track, so their joins share one partitioning.
     """
     seen = points.groupBy(*TRACK).agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"), F.count("*").alias("hits"))
@@ -94,7 +94,7 @@ def summaries(finished: DataFrame, points: DataFrame, moving: DataFrame | None =
     out = out.join(moving.groupBy(*TRACK).agg(F.max("speed_kmh").alias("max_speed_kmh")), TRACK, "left") if moving is not None else out.withColumn("max_speed_kmh", none.cast("double"))
     out = out.join(plates.select(*TRACK, "plate", F.col("confidence").alias("plate_confidence")), TRACK, "left") if plates is not None else out.withColumns({"plate": none.cast("string"), "plate_confidence": none.cast("double")})
     out = out.join(attributes, TRACK, "left") if attributes is not None else out.withColumn("attributes", none.cast("map<string,struct<value:string,confidence:double,n_observations:bigint>>"))
-    out = out.join(offset.select("stream_id", "run_id", "frame_index", "wall_ts"), ["stream_id", "run_id", "frame_index"], "left") if offset is not None else out.withColumn("wall_ts", F.col("timestamp"))
+    out = out.drop("wall_ts").join(offset.groupBy("stream_id", "run_id", "frame_index").agg(F.min("wall_ts").alias("wall_ts")), ["stream_id", "run_id", "frame_index"], "left") if offset is not None else out if "wall_ts" in out.columns else out.withColumn("wall_ts", F.col("timestamp"))
     d = F.col("t1") - F.col("t0")
     drift = F.col("wall_ts") - F.col("timestamp")
     return out.select(

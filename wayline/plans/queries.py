@@ -176,7 +176,7 @@ def w09_distance(spark, sf):
 @query(_EMA.replace("with recursive", "with recursive", 1) + """, over_ as (select e.track_id, o.timestamp, e.v, o.frame_index, row_number() over (partition by e.track_id order by o.frame_index) as k from ema e join ordered o on o.track_id = e.track_id and o.n = e.n where e.v > 70),
 fire as (select track_id, k, timestamp as last, true as fired, v, frame_index from over_ where k = 1
   union all select o.track_id, o.k, case when o.timestamp - f.last >= 30 then o.timestamp else f.last end, o.timestamp - f.last >= 30, o.v, o.frame_index from fire f join over_ o on o.track_id = f.track_id and o.k = f.k + 1)
-select track_id, frame_index, round(v, 0) as speed_kmh from fire where fired""")
+select track_id, frame_index, round(round_even(v, 1), 0) as speed_kmh from fire where fired""")
 def w10_speeding(spark, sf):
     limits = spark.createDataFrame([(s, 70.0) for s in D.STREAMS], "stream_id string, limit_kmh double")
     return motion.speeding(_moving(spark, sf), limits).select("track_id", "frame_index", F.round("speed_kmh", 0).alias("speed_kmh"))
@@ -464,7 +464,7 @@ def _summaries(spark, sf):
     done = _finished(spark, sf).join(attributes.class_vote(t).select(*lines.TRACK, "vehicle_class"), lines.TRACK)
     g = _grounded(spark, sf)
     attrs = attributes.as_map(attributes.fuse(_observations(spark, sf)))
-    return events.summaries(done.drop("wall_ts"), t, _moving(spark, sf), motion.distance(g), None, attrs, done)
+    return events.summaries(done, t, _moving(spark, sf), motion.distance(g), None, attrs)
 
 
 @query(f"""with {D.trajectory_sql('drift')}, t as (select track_id, min(timestamp) as t0, max(timestamp) as t1, count(*) as n, max(wall_ts) as w from traj group by all),
