@@ -48,11 +48,11 @@ def probes(threshold: int) -> list[tuple[int, int, int]]:
 
 
 def _keys(lines: DataFrame, threshold: int, *more: str) -> DataFrame:
-    """Rows (key, h, own): each line's own segments and its probes; ``more`` may add at (segment), lx (the other line's length), sig and line."""
+    """Rows (key, h, own): each line's own segments and its probes; ``more`` may add at (segment), lx (the other line's length) and line."""
     looks = [(0, i, 0) for i in range(threshold + 1)] + probes(threshold)
     spec = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("at"), F.lit(shift).alias("shift")) for less, i, shift in looks])
     # a short list that every line is crossed with: one small expression for the key stays within the compiler's limits
-    rows = lines.select("h", "line", "length", *[c for c in more if c == "sig"], F.inline(spec))
+    rows = lines.select("h", "line", "length", F.inline(spec))
     rows = rows.withColumn("lx", F.col("length") - F.col("less"))
     size = F.floor(F.col("lx") / (threshold + 1)).cast("int")
     extra = F.greatest(F.lit(0), F.col("at") - (threshold + 1) + F.col("lx") % (threshold + 1))
@@ -170,15 +170,18 @@ def _crowded(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ids ``h`` of distinct lines (h, line, length, sig) within ``threshold`` edits."""
+    """Pairs (a, b) of ids ``h`` of distinct lines (h, line, length) within ``threshold`` edits."""
     keys = _keys(lines, threshold)
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("own")).where("lo != hi and own").select("key")
     shared = cut(shared)
-    rows = cut(_keys(lines, threshold, "sig").join(_few(shared), "key"))
+    rows = cut(_keys(lines, threshold).join(_few(shared), "key"))
+    involved = cut(rows.select("h").distinct())
+    signed = lines.join(_few(involved), "h", "left_semi").select("h", signature(F.col("line")).alias("sig"))
+    rows = cut(rows.join(signed, "h"))
     full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {CROWD} and all > {2 * CROWD}").select("key"))
     pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
-        many = cut(_keys(lines, threshold, "line", "sig", "at", "lx").join(_few(full), "key"))  # few rows; what follows would be too large a plan to compile along with the keys
+        many = cut(_keys(lines, threshold, "line", "at", "lx").join(_few(full), "key").withColumn("sig", signature(F.col("line"))))  # few rows; what follows would be too large a plan to compile along with the keys
         huge = cut(many.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {HUGE} and all > {2 * HUGE}").select("key"))
         dense = many.join(_few(huge), "key", "left_anti").select("key", "h", "own", "sig", characters(F.col("line")).alias("chars"))
         pairs = pairs.union(_meet(cut(dense), threshold))
@@ -210,7 +213,7 @@ def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h, class, first): each line found more than once or near another, its class and the first document with a line of the class."""
     lines = _places(docs, id_col, text_col).groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    lines = cut(lines.select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("length"), signature(F.col("line")).alias("sig"), "first", "n"))
+    lines = cut(lines.select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("length"), "first", "n"))
     linked = components(line_links(lines, threshold)).withColumnsRenamed({"node": "h", "root": "class"})
     near = lines.select("h", "first", "n").join(_few(linked), "h", "left").where("n > 1 or class is not null")
     near = near.select("h", F.coalesce("class", "h").alias("class"), "first")
