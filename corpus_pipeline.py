@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so does a document that loses every line. n_chars follows the text."""
-    return linededup.drop_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return linededup.drop_repeats(docs, short=True).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,33 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    foot = "All rights reserved."
+    rows = [f"Menu\n{foot}\nhome page, first visit\n\nok", f"Menu\n \nhome page, first visits\n{foot}\n\nno", "Menu\n\n\nMenu", "home page, fixed visit\nMen", None, "", "home page, first visitxy"]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in linededup.dedup_lines(docs(spark, rows), short=True).collect()}
+    assert got == {0: (rows[0], 0), 1: (" \n\nno", 3), 2: ("\n", 2), 3: (rows[3], 0), 4: (None, 0), 5: ("", 0), 6: (rows[6], 0)}
+    assert sorted(r["doc_id"] for r in linededup.drop_repeats(docs(spark, rows), short=True).collect()) == [0, 1, 3, 4, 5, 6]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    from wayline.llm.queries import op4_line_dedup
+
+    assert {r["doc_id"]: r["lines_removed"] for r in op4_line_dedup(spark, str(tmp_path)).collect()} == {i: n for i, (_, n) in got.items()}
+
+
+@pytest.mark.parametrize("crowd, huge", [(32, 4000), (2, 3)])
+def test_short_links_against_all_pairs(spark, crowd, huge, monkeypatch):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    monkeypatch.setattr(linededup, "HUGE", huge)
+    random.seed(8)
+    base = ["".join(random.choice("abcdé ") for _ in range(random.randrange(12, 26))) for _ in range(40)]
+    lines = {edited(b, k)[:25].ljust(12, "z") for b in base for k in (0, 1, 1, 2)} | {"beginning, " + "".join(random.choice("ab") for _ in range(6)) for _ in range(40)}
+    lines = sorted(lines)
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("length"))
+    text = {r["h"]: r["line"] for r in df.collect()}
+    got = {tuple(sorted((text[r["a"]], text[r["b"]]))) for r in linededup.line_links(df, 1, linededup.NEAR_CHARS).collect()}
+    want = {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if levenshtein(a, b) <= 1}
+    assert want and got == want
+
+
 def test_shards_are_even_and_keep_copies_together(spark):
     random.seed(4)
     texts = ["x" * int(random.expovariate(1 / 300)) + str(i) for i in range(3000)] + ["a copy of this"] * 200 + [None, ""]

@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
 Lines of MIN_CHARS characters or more within THRESHOLD edits of each other are linked; of each class of linked or
-equal lines the first occurrence stays (the smallest document id, then the first place in it).
+equal lines the first occurrence stays (the smallest document id, then the first place in it). With ``short`` every
+line that is not blank takes part: equal ones of any length, and from NEAR_CHARS characters on those one edit apart.
 
 Each distinct line is split into threshold-plus-one segments. Two lines within the threshold have some segment of one
 as it stands in the other, at a place that depends on the segment's number and on both lengths, so a line probes,
@@ -21,6 +22,8 @@ from .common import components, cut
 
 THRESHOLD = 2
 MIN_CHARS = 25
+#: The shortest line that is compared by one edit; shorter ones must be equal.
+NEAR_CHARS = 12
 #: Keys with more than this many lines on both sides compare a second signature; with more than HUGE they get longer.
 CROWD, HUGE = 32, 4000
 #: Up to so many rows of one or two numbers are broadcast (a few MB); more are shuffled.
@@ -47,7 +50,7 @@ def probes(threshold: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(lines: DataFrame, threshold: int, *more: str) -> DataFrame:
+def _keys(lines: DataFrame, threshold: int, least: int, *more: str) -> DataFrame:
     """Rows (key, h, own): each line's own segments and its probes; ``more`` may add at (segment), lx (the other line's length) and line."""
     looks = [(0, i, 0) for i in range(threshold + 1)] + probes(threshold)
     spec = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("at"), F.lit(shift).alias("shift")) for less, i, shift in looks])
@@ -58,7 +61,7 @@ def _keys(lines: DataFrame, threshold: int, *more: str) -> DataFrame:
     extra = F.greatest(F.lit(0), F.col("at") - (threshold + 1) + F.col("lx") % (threshold + 1))
     start = size * F.col("at") + extra + F.col("shift")
     size = size + F.when(F.col("at") >= F.lit(threshold + 1) - F.col("lx") % (threshold + 1), 1).otherwise(0)
-    rows = rows.withColumn("_s", start).withColumn("_n", size).where((F.col("_s") >= 0) & (F.col("_s") + F.col("_n") <= F.col("length")) & (F.col("lx") >= MIN_CHARS))
+    rows = rows.withColumn("_s", start).withColumn("_n", size).where((F.col("_s") >= 0) & (F.col("_s") + F.col("_n") <= F.col("length")) & (F.col("lx") >= least))
     key = F.xxhash64("lx", "at", F.substring(F.col("line"), F.col("_s") + 1, F.col("_n")))
     return rows.select("h", key.alias("key"), F.expr("less = 0 and shift = 0").alias("own"), *more)
 
@@ -169,19 +172,19 @@ def _crowded(rows: DataFrame, threshold: int) -> DataFrame:
     return out.union(_meet(rows.select("key", "h", "own", "sig"), threshold))
 
 
-def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ids ``h`` of distinct lines (h, line, length) within ``threshold`` edits."""
-    keys = _keys(lines, threshold)
+def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
+    """Pairs (a, b) of ids ``h`` of distinct lines (h, line, length), ``least`` characters long at least, within ``threshold`` edits."""
+    keys = _keys(lines, threshold, least)
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("own")).where("lo != hi and own").select("key")
     shared = cut(shared)
-    rows = cut(_keys(lines, threshold).join(_few(shared), "key"))
+    rows = cut(_keys(lines, threshold, least).join(_few(shared), "key"))
     involved = cut(rows.select("h").distinct())
     signed = lines.join(_few(involved), "h", "left_semi").select("h", signature(F.col("line")).alias("sig"))
     rows = cut(rows.join(signed, "h"))
     full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {CROWD} and all > {2 * CROWD}").select("key"))
     pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
-        many = cut(_keys(lines, threshold, "line", "at", "lx").join(_few(full), "key").withColumn("sig", signature(F.col("line"))))  # few rows; what follows would be too large a plan to compile along with the keys
+        many = cut(_keys(lines, threshold, least, "line", "at", "lx").join(_few(full), "key").withColumn("sig", signature(F.col("line"))))  # few rows; what follows would be too large a plan to compile along with the keys
         huge = cut(many.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {HUGE} and all > {2 * HUGE}").select("key"))
         dense = many.join(_few(huge), "key", "left_anti").select("key", "h", "own", "sig", characters(F.col("line")).alias("chars"))
         pairs = pairs.union(_meet(cut(dense), threshold))
@@ -204,33 +207,36 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return held.where(banded_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
 
 
-def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _places(docs: DataFrame, id_col: str, text_col: str, short: bool) -> DataFrame:
     """Rows (id, row, pos, line) of the lines that take part."""
     made = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return made.where(F.char_length("line") >= MIN_CHARS)
+    return made.where(F.regexp_like("line", F.lit(r"\S")) if short else F.char_length("line") >= MIN_CHARS)
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(h, class, first): each line found more than once or near another, its class and the first document with a line of the class."""
-    lines = _places(docs, id_col, text_col).groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    lines = _places(docs, id_col, text_col, short).groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     lines = cut(lines.select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("length"), "first", "n"))
-    linked = components(line_links(lines, threshold)).withColumnsRenamed({"node": "h", "root": "class"})
+    links = line_links(lines.where(F.col("length") >= MIN_CHARS), threshold)
+    if short:  # of two lines one edit apart the longer one may reach MIN_CHARS
+        links = links.union(line_links(lines.where(F.col("length").between(NEAR_CHARS, MIN_CHARS)), 1, NEAR_CHARS))
+    linked = components(links).withColumnsRenamed({"node": "h", "root": "class"})
     near = lines.select("h", "first", "n").join(_few(linked), "h", "left").where("n > 1 or class is not null")
     near = near.select("h", F.coalesce("class", "h").alias("class"), "first")
     firsts = near.groupBy("class").agg(F.min("first").alias("first"))
     return cut(near.select("h", "class").join(firsts, "class").select("h", "class", "first"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with ``lines_removed`` (long) and the text left after removing all but the first line of each class.
 
-    Lines are split at \\n; shorter ones than MIN_CHARS always stay. A null text stays null, an empty one empty. Rows that
+    Lines are split at \\n; shorter ones than MIN_CHARS stay unless ``short`` lets them take part; blank ones always stay. A null text stays null, an empty one empty. Rows that
     repeat id and text are one document and are treated alike; equal ids with other texts count as the same
     place in the order. Clashing column names pass through; an empty table gives none.
     """
     names = docs.columns
-    seen = _places(docs, id_col, text_col).select("id", "row", "pos", F.xxhash64("line").alias("h"))
-    seen = seen.join(_few(repeated_lines(docs, threshold, id_col, text_col)), "h").select("id", "row", "pos", "class", "first")
+    seen = _places(docs, id_col, text_col, short).select("id", "row", "pos", F.xxhash64("line").alias("h"))
+    seen = seen.join(_few(repeated_lines(docs, threshold, id_col, text_col, short)), "h").select("id", "row", "pos", "class", "first")
     ours = seen.where(F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "row", "class").agg(F.min("pos").alias("pos"))
     every = seen.select("id", "row", "pos", F.lit(1).alias("mark")).union(ours.select("id", "row", "pos", F.lit(0)))
     marks = every.groupBy("id", "row").agg(F.collect_set(F.when(F.col("mark") == 1, F.col("pos"))).alias("_seen"), F.collect_set(F.when(F.col("mark") == 0, F.col("pos"))).alias("_stay"))
@@ -242,6 +248,6 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     return held.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated lines removed; one that loses all of its lines goes."""
-    return dedup_lines(docs).where("lines_removed = 0 or text != ''").drop("lines_removed")
+def drop_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
+    """The documents with repeated lines removed; one that loses all of its lines, or all but blank ones, goes."""
+    return dedup_lines(docs, short=short).where((F.col("lines_removed") == 0) | F.regexp_like("text", F.lit(r"\S"))).drop("lines_removed")

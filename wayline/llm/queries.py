@@ -32,7 +32,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return done.select("doc_id", "lines_removed", F.char_length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
