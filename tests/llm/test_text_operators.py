@@ -191,6 +191,26 @@ def test_leaks(spark):
     assert decontam.drop_leaky(docs(spark, rows), bench).count() == len(rows) - len({d for d, _ in got})
 
 
+@pytest.mark.parametrize("place", ["start", "end", "even", "any"])
+def test_edited_copies_are_found_by_length_and_place(place):
+    random.seed(9)
+    vocab = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    text = lambda n: [random.choice(vocab) for _ in range(n)]
+    for n in (10, 11, 12, 19, 20, 23, 47, 95, 190, 400):
+        items = [text(n) for _ in range(12)]
+        index, e = decontam.build([(i, " ".join(x)) for i, x in enumerate(items)]), n // 10
+        rows = []
+        for x in items:
+            at = {"start": range(e), "end": range(n - e, n), "even": [(k + 1) * n // (e + 1) for k in range(e)], "any": sorted(random.sample(range(n), e))}[place]
+            words = list(x)
+            for p in reversed(at):
+                words[p : p + 1] = random.choice([["edited"], [], ["edited", words[p]]])
+            rows.append([w.encode() for w in text(random.randrange(30)) + words + text(random.randrange(30))])
+        found = decontam.leaks(index, rows)
+        assert [[r[0] for r in f] for f in found] == [[i] for i in range(12)], n
+        assert all(r[1] <= e for f in found for r in f)
+
+
 def test_distance_in():
     words = lambda s: [c.encode() for c in s]
     for item, region, want in (("abc", "xxabcxx", 0), ("abc", "xxacxx", 1), ("abcd", "zabxdz", 1), ("abc", "", 3), ("abcdef", "badcfe", 3)):

@@ -1,16 +1,13 @@
-"""Benchmark decontamination: CGK embedding, bit sampling over item-sized windows, exact edit verification.
+"""Benchmark decontamination: seeds that some edit-free stretch must hold, exact edit verification.
 
-Words are the symbols. A CGK walk reads a window with a pointer that stands still or moves on, as a random bit of
-the symbol and the step says, and writes the symbol at each step: windows at a small edit distance give strings at a
-small Hamming distance. Each repetition draws its own bits and samples a few of the steps; windows equal in all of
-them meet. Windows of ``w`` words start at every (w/2)-th word of the documents, and at each of the first
-w/2 words of an item of at least 1.5 w words, so some pair of windows lines up whatever the item's place. Candidates are
+Words are the symbols. With e edits an item of n words falls into at most e + 1 stretches without an edit, which hold n - e
+words or more together, so one of them has at least (n - e) / (e + 1) words. All windows of that many words of an item, and all of the
+documents, are hashed and looked up: no place or kind of a tenth's edits is missed. Candidates are
 verified by the edit distance in words between the whole item and the best stretch of the document.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,16 +19,12 @@ from pyspark.sql import functions as F
 
 #: An item is found where at most this share of its words is edited.
 EDIT_SHARE = 0.1
-#: Sampled steps per repetition, and the share of steps on which two windows at that distance are taken to agree.
-SAMPLED, AGREE = 4, 0.8
-RECALL = 0.95
 #: Items are taken in blocks of at most so many characters, so what is broadcast stays bounded.
 BLOCK_CHARS = 2_000_000
-#: Words that go through the walks at once.
+#: Words that are looked up at once.
 CHUNK_WORDS = 400_000
 SCHEMA = "doc_id long, item_id long, edits int, first_word int"
 _SPACE = bytes(32 if (b < 128 and not chr(b).isalnum()) else b for b in range(256))
-_WIDTHS = [8, 16, 32, 64, 128]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,30 +42,24 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def repetitions(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLED))
+def edits_allowed(n: int) -> int:
+    return int(EDIT_SHARE * n)
 
 
-def _steps(width: int, repetition: int) -> list[int]:
-    rng = np.random.default_rng([width, repetition])
-    return sorted(rng.choice(max(2 * width - 2, SAMPLED), SAMPLED, replace=False).tolist())
+def seed_width(n: int) -> int:
+    """Words of the longest stretch without edits that every allowed copy of an item of ``n`` words holds."""
+    edits = edits_allowed(n)
+    return -(-(n - edits) // (edits + 1))
 
 
-def window_keys(syms: np.ndarray, starts: np.ndarray, width: int, repetition: int) -> np.ndarray:
-    """The sampled CGK key of each window [start, start + width); beyond it a blank follows."""
-    steps = _steps(width, repetition)
-    mixed = _mix(np.append(syms, np.zeros(2 * width, np.uint64)), 1000 * repetition)
-    at, ends = starts.astype(np.int64), starts + width
-    keys = np.full(len(starts), width * 64 + repetition, np.uint64)
-    one = np.uint64(1)
-    for step in range(steps[-1] + 1):
-        read = mixed[at]
-        if step in steps:
-            keys = (keys ^ np.where(at < ends, read, np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
-            keys ^= keys >> np.uint64(31)
-        read >>= np.uint64(step % 61)
-        read &= one
-        at += read.view(np.int64)
+def window_keys(syms: np.ndarray, width: int) -> np.ndarray:
+    """The key of each window of ``width`` symbols, one at every start."""
+    n = max(0, len(syms) - width + 1)
+    mixed = _mix(syms, 1000)
+    keys = np.full(n, width, np.uint64)
+    for i in range(width):
+        keys = (keys ^ mixed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
     return keys
 
 
@@ -108,7 +95,7 @@ class Index:
 
     ids: list[int]
     items: list[list[bytes]]
-    widths: list[tuple[int, int, int]]  # width, stride, repetitions
+    widths: list[int]
     keys: np.ndarray
     owners: np.ndarray
     offsets: np.ndarray
@@ -116,26 +103,22 @@ class Index:
     exact: dict[tuple[bytes, ...], list[int]]
 
 
-def build(rows: list[tuple[int, str]], recall: float = RECALL) -> Index:
+def build(rows: list[tuple[int, str]]) -> Index:
     ids, items = [r[0] for r in rows], [words_of(r[1]) for r in rows]
-    found, widths, exact = [], {}, {}
+    found, widths, exact = [], set(), {}
     for k, words in enumerate(items):
-        fitting = [w for w in _WIDTHS if 3 * w <= 2 * len(words)]
-        if not fitting:
-            if words:  # too short for windows of its own: equal words only
+        if not edits_allowed(len(words)):
+            if words:  # too short for an edit: equal words only
                 exact.setdefault(tuple(words), []).append(k)
             continue
-        width = fitting[-1]
-        stride, reps = width // 2, repetitions(recall)
-        widths[width] = (width, stride, reps)
-        starts = np.arange(stride)
-        for rep in range(reps):
-            found += [(key, k, o) for key, o in zip(window_keys(symbols(words), starts, width, rep).tolist(), starts.tolist())]
+        width = seed_width(len(words))
+        widths.add(width)
+        found += [(key, k, o) for o, key in enumerate(window_keys(symbols(words), width).tolist())]
     found.sort()
     keys = np.array([x[0] for x in found], np.uint64)
     mask = np.zeros(1 << 20, bool)
     mask[(keys >> np.uint64(44)).astype(np.int64)] = True
-    return Index(ids, items, sorted(widths.values()), keys, np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64), mask, exact)
+    return Index(ids, items, sorted(widths), keys, np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int64), mask, exact)
 
 
 def leaks(index: Index, docs: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
@@ -144,22 +127,20 @@ def leaks(index: Index, docs: list[list[bytes]]) -> list[list[tuple[int, int, in
     words = [w for d in docs for w in d]
     best: list[dict[int, tuple[int, int]]] = [{} for _ in docs]
     syms = symbols(words)
-    seen: set[tuple[int, int]] = set()
-    for width, stride, reps in index.widths:
-        starts = np.arange(0, len(words), stride)
-        for rep in range(reps):
-            keys = window_keys(syms, starts, width, rep)
-            hits = np.flatnonzero(index.filter[(keys >> np.uint64(44)).astype(np.int64)])
-            found = keys[hits]
-            lo, hi = np.searchsorted(index.keys, found, "left"), np.searchsorted(index.keys, found, "right")
-            for h in np.flatnonzero(hi > lo).tolist():
-                start = int(starts[hits[h]])
-                for j in range(lo[h], hi[h]):
-                    k, place = int(index.owners[j]), start - int(index.offsets[j])
-                    if (k, place) not in seen:
-                        seen.add((k, place))
-                        d = int(np.searchsorted(begins, start, "right")) - 1
-                        _verify(index, docs[d], k, place - int(begins[d]), best[d])
+    seen: set[tuple[int, int, int]] = set()
+    for width in index.widths:
+        keys = window_keys(syms, width)
+        hits = np.flatnonzero(index.filter[(keys >> np.uint64(44)).astype(np.int64)])
+        found = keys[hits]
+        lo, hi = np.searchsorted(index.keys, found, "left"), np.searchsorted(index.keys, found, "right")
+        for h in np.flatnonzero(hi > lo).tolist():
+            start = int(hits[h])
+            d = int(np.searchsorted(begins, start, "right")) - 1
+            for j in range(lo[h], hi[h]):
+                k, place = int(index.owners[j]), start - int(index.offsets[j])
+                if (d, k, place) not in seen:
+                    seen.add((d, k, place))
+                    _verify(index, docs[d], k, place - int(begins[d]), best[d])
     for short, owners in index.exact.items():
         for d, own in enumerate(docs):
             first = next((i for i, w in enumerate(own) if w == short[0] and tuple(own[i : i + len(short)]) == short), None)
@@ -170,7 +151,7 @@ def leaks(index: Index, docs: list[list[bytes]]) -> list[list[tuple[int, int, in
 
 def _verify(index: Index, words: list[bytes], k: int, place: int, best: dict) -> None:
     item = index.items[k]
-    allowed = int(EDIT_SHARE * len(item))
+    allowed = edits_allowed(len(item))
     if k in best and best[k][0] == 0:
         return
     first = max(0, place - allowed)
@@ -208,17 +189,17 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, first_word): one row for each document and item of ``benchmark`` (item_id, text) that it
     holds with at most a tenth of the item's words edited; ``first_word`` is about where.
 
     Items are a stated query set: they go over all documents in blocks of bounded size, each a broadcast.
-    Items of under 12 words have no window and are looked for word by word. Null or empty texts and items hold
+    Items of under ten words allow no edit and are looked for word by word. Null or empty texts and items hold
     nothing; a row that repeats a document repeats its leaks, and either table may be empty.
     """
     spark, out = docs.sparkSession, None
     for rows in _blocks(benchmark, "item_id", "text"):
-        shared = spark.sparkContext.broadcast(build(rows, recall))
+        shared = spark.sparkContext.broadcast(build(rows))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
