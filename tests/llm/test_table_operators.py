@@ -158,6 +158,36 @@ def test_rules_are_filed_under_their_rarest_token():
     assert index == {"en": [0]} and urls.host_rule("allow", "a.b", "/open").tokens == ("a", "b")
 
 
+#: URLs without a host rule, for every alternative of each pattern rule, with near misses.
+PATTERN_URLS = {
+    "ads-track": ["http://ads-track.org/", "http://x.ads-track.org/", "http://xads-track.org/"],
+    "doubleclick": ["http://doubleclick.org/", "http://x.doubleclick.org/a", "http://doubleclicks.org/"],
+    "adserver": ["http://adserver.org/", "http://x.adserver.org/a", "http://adservers.org/"],
+    "/ads/": ["http://h.org/ads/a", "http://h.org/x/ads/", "http://h.org/ads"],
+    "/banner/": ["http://h.org/banner/a", "http://h.org/x/banner/", "http://h.org/banner"],
+    "/banners/": ["http://h.org/banners/a", "http://h.org/x/banners/", "http://h.org/bannerss/"],
+    "casino": [f"http://{a}casino{b}org/" for a in ("", "x.", "x-") for b in (".", "-")] + ["http://h.org/casino/", "http://h.org/a-casino.b", "http://h.org/casinos/"],
+    "porn": [f"http://{a}porn{b}org/" for a in ("", "x.", "x-") for b in (".", "-")] + ["http://h.org/porn/", "http://h.org/a-porn.b", "http://h.org/porns/"],
+    ".exe": ["http://h.org/a.exe", "http://h.org/.exe", "http://h.org/a.exe/b"],
+    "wp-login": ["http://h.org/wp-login.php", "http://h.org/a/wp-login.php", "http://h.org/wp-login.php5"],
+}
+
+
+@pytest.mark.parametrize("inline", [256, 1])
+def test_pattern_rules_agree_with_and_without_the_index(spark, monkeypatch, inline):
+    import re
+
+    monkeypatch.setattr(urls, "INLINE", inline)
+    assert set(PATTERN_URLS) == {r.name for r in urls.PATTERN_RULES}
+    made = [u for own in PATTERN_URLS.values() for u in own]
+    got = {r["url"]: r["judged"] for r in urls.judge_urls(spark.createDataFrame(list(enumerate(made)), "page_id long, url string")).collect()}
+    for name, own in PATTERN_URLS.items():
+        for at, u in enumerate(own):
+            fits = [r.name for r in urls.PATTERN_RULES if re.search(r.pattern, u.split("://", 1)[1])]
+            assert got[u]["matched"] == (fits[0] if fits else None) and got[u]["verdict"] == ("block" if fits else "allow")
+            assert (fits == [name]) == (at < len(own) - 1)
+
+
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"]
     other = "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace("SUBLICENSE", "sub-license").replace("\n\n", "\n \n  ")

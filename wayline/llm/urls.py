@@ -50,7 +50,8 @@ PATTERN_RULES = [
     pattern_rule("block", "doubleclick", r"(?:^|\.)doubleclick\.", ("doubleclick",)),
     pattern_rule("block", "adserver", r"(?:^|\.)adserver\.", ("adserver",)),
     pattern_rule("block", "/ads/", r"/ads/", ("ads",)),
-    pattern_rule("block", "/banner/", r"/banners?/", ("banner",)),
+    pattern_rule("block", "/banner/", r"/banner/", ("banner",)),
+    pattern_rule("block", "/banners/", r"/banners/", ("banners",)),
     pattern_rule("block", "casino", r"(?:^|[./-])casino[./-]", ("casino",)),
     pattern_rule("block", "porn", r"(?:^|[./-])porn[./-]", ("porn",)),
     pattern_rule("block", ".exe", r"\.exe$", ("exe",)),
