@@ -225,6 +225,14 @@ def test_clauses_weigh_what_is_said():
     assert len(g.clauses("You idiot. You moron!")) == 2
 
 
+def test_threats_count_on_either_side_of_their_target():
+    g = toxicity.Grammar({})
+    one = lambda t: sum(g.clauses(t))
+    assert one("I will kill you.") == one("you I will kill.") > 0 and one("kill them") > 0
+    assert 0 < one("I will not kill you.") < one("I will kill you.")
+    assert one("I will kill time. You wait.") == 0 and len(g.clauses("I will kill you. Kill them!")) == 2
+
+
 def run_chat(spark, messages, calls, results, schemas):
     m = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
     c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, tool string, arguments string, waits_for array<string>")

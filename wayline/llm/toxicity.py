@@ -83,34 +83,36 @@ class Grammar:
 
     def clauses(self, text: str) -> list[float]:
         """Weights of the clauses in which an insult or a threat is said."""
-        out, weight = [], 0.0
-        negated = reported = False
-        target = hit = False
+        out, said = [], []
         for m in filter(None, map(self.marks.__getitem__, _TOKENS.findall(text))):
-            kind = m[0]
-            if kind == "break":
-                if hit:
-                    out.append(weight * (WITH_TARGET if target else 1))
-                weight, negated, reported, target, hit = 0.0, False, False, False, False
-            elif kind == "target":
-                target = True
-            elif kind == "negation":
-                negated = True
-            elif kind == "report":
-                reported = True
-            elif kind == "insult" or target:  # a threat needs a target before it
-                weight += m[1] * (NEGATED if negated else 1) * (REPORTED if reported else 1)
-                hit = True
-                negated = False
-        if hit:
-            out.append(weight * (WITH_TARGET if target else 1))
-        return out
+            if m[0] != "break":
+                said.append(m)
+            elif said:
+                out += _weigh(said)
+                said = []
+        return out + _weigh(said)
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         found = self.clauses(text or "")
         return math.log1p(sum(found)), len(found)
 
 
+def _weigh(said: list[tuple[str, float]]) -> list[float]:
+    """The weight of a clause's marks, if an insult, or a threat with a target before or after it, is among them."""
+    target = any(kind == "target" for kind, _ in said)
+    weight, negated, reported, hit = 0.0, False, False, False
+    for kind, own in said:
+        if kind == "negation":
+            negated = True
+        elif kind == "report":
+            reported = True
+        elif kind == "insult" or kind != "target" and target:
+            weight += own * (NEGATED if negated else 1) * (REPORTED if reported else 1)
+            hit = True
+            negated = False
+    return [weight * (WITH_TARGET if target else 1)] if hit else []
+
+
 def held_out(id_: int) -> bool:
     return zlib.crc32(str(id_).encode()) % 4 == 2
 
