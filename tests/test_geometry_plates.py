@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wayline.functions import geometry as G
 from wayline.functions import plates as P
 from wayline.functions import text as T
+from wayline import schemas
 from wayline.functions.registry import register_functions
+from wayline.operators import calibration
 from wayline.operators import plates
 
 
@@ -44,7 +47,12 @@ def test_polygon(spark):
 
 
 def test_homography_round_trip(spark):
-    h = G.fit_homography([(0, 60), (640, 60), (640, 320), (0, 320)], [(0, 0), (64, 0), (64, 26), (0, 26)])
+    pairs = [("a", 0, 60, 0, 0), ("a", 640, 60, 64, 0), ("a", 640, 320, 64, 26), ("a", 0, 320, 0, 26), ("few", 0, 0, 0, 0), *[("flat", i, i, i, i) for i in range(6)]]
+    pairs += [("tilted", x, y, (2 * x + y + 3) / (0.001 * x + 1), (x - y) / (0.001 * x + 1)) for x in (0, 100, 300) for y in (0, 50, 200)]
+    fitted = {r["stream_id"]: r for r in calibration.fit(spark.createDataFrame([(s, *map(float, p)) for s, *p in pairs], schemas.CALIBRATION_POINTS)).collect()}
+    assert set(fitted) == {"a", "tilted"} and abs(np.array(fitted["tilted"]["h"]) - [2, 1, 3, 1, -1, 0, 0.001, 0, 1]).max() < 1e-6
+    assert abs(np.array(fitted["tilted"]["h"]).reshape(3, 3) @ np.array(fitted["tilted"]["inverse"]).reshape(3, 3) - np.eye(3)).max() < 1e-6
+    h = fitted["a"]["h"]
     x, y = G.project(F.array(*map(F.lit, h)), F.lit(320.0), F.lit(190.0))
     got = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert abs(got["x"] - 32) < 1e-6 and abs(got["y"] - 13) < 1e-6
@@ -89,5 +97,15 @@ def test_text(spark):
 
 def test_sql_functions(spark):
     assert "normalize_plate" in register_functions(spark)
+    got = spark.sql("select line_crossing(100, 200, 100, 0, 101, 50, 100, 50) a, line_crossing(100, 200, 100, 0, 100, 50, 99, 50) b, line_crossing(100, 200, 100, 0, 99, 50, 100, 50) c, box_iou(0, 0, 2, 2, 1, 0, 3, 2) d, in_polygon(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4D, 'y', 0D), named_struct('x', 0D, 'y', 4D)), 1, 1) e, plate_at_rest('34 a', 'plain', '') f, vehicle_class(' Pickup Truck') g, scrub_credentials('rtsp://u:p@h/x?api_key=1&b') h, polygon_centroid(array(named_struct('x', 0D, 'y', 2D), named_struct('x', 4D, 'y', 0D))).x i, project(array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 2D), 4, 2).x j").first()
+    assert tuple(got)[:3] == (-1, 0, 1) and abs(got["d"] - 1 / 3) < 1e-12 and tuple(got)[4:] == (True, "34A", "truck", "rtsp://***@h/x?api_key=***&b", 2.0, 2.0)
+
+
+def test_points_on_the_line(spark):
+    """A point on the line belongs to the side it came from: a touch counts once, and leaving the line again doesn't count."""
+    line = {"ax": F.lit(100.0), "ay": F.lit(200.0), "bx": F.lit(100.0), "by": F.lit(0.0)}
+    steps = {(99, 100): 1, (100, 101): 0, (101, 100): -1, (100, 99): 0, (99, 101): 1, (101, 99): -1, (100, 100): 0}
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in steps], "a double, b double").select("a", "b", G.crossing(line, F.col("a"), F.lit(50.0), F.col("b"), F.lit(60.0)).alias("way"))
+    assert {(r["a"], r["b"]): r["way"] for r in rows.collect()} == steps
     r = spark.sql("select normalize_plate('34 şb-1') a, tr_plate_valid('34ABC123') b, box_area(0, 0, 2, 3) c, heading_deg(0, -1) d").first()
     assert tuple(r) == ("34SB1", True, 6.0, 270.0)

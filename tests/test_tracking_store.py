@@ -1,5 +1,8 @@
 """Golden tracks, the end-to-end job, batch and stream parity, the store."""
 
+import hashlib
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -51,7 +54,7 @@ def test_low_scores_keep_but_never_start():
 
 def test_ttl_and_votes():
     _, done, t = follow([[(box(100, 100), 0.9, "car")]] * 4 + [[]] * 20, tracking.Config(lost_ttl=0.3))
-    assert [d[0] for d in done] == [1] and not t.live and t.finish() == []
+    assert [d[0] for d in done] == [1] and t.live == 0 and t.finish() == []
     rows, _, _ = follow([[(box(100, 100), 0.9, c)] for c in ("car", "car", "truck", "car", "truck", "truck", "truck")], tracking.Config(min_hits=1))
     assert rows[5][0][9] == "car" and rows[6][0][9] == "truck"
 
@@ -79,10 +82,20 @@ def test_end_to_end(spark, tmp_path):
     rule = {"rule_id": "r-speeding", "name": "Speeding", "when": {"type": "speed", "min_kmh": 60}, "cooldown_s": 0}
 
     def save(df):
-        df.write.mode("overwrite").parquet(f"{tmp_path}/tracked")
-        return spark.read.parquet(f"{tmp_path}/tracked")
-
-    out = run_batch(dets, frames, Dimensions(line, zone, cal, limits, [rule]), save=save)
+        path = f"{tmp_path}/{'tracked' if 'done' in df.columns else uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    wanted = {"rule_id": "r-wanted", "name": "Wanted", "when": {"type": "plate_watchlist", "watchlist": "w"}, "cooldown_s": 0}
+    reads = spark.createDataFrame([("cam", "r", f, 0, 35.0 + 10 * f, 110.0, 60.0 + 10 * f, 130.0, 0.9, text, 0.9) for f, text in ((3, "34 abc 123"), (6, "34ABC12"), (9, "34A8C123"), (10, "34XYZ999"), (12, "34 ABC 123"), (15, "x"))], "stream_id string, run_id string, frame_index long, det_idx int, x1 double, y1 double, x2 double, y2 double, score double, text string, conf double")
+    lists = spark.createDataFrame([("w", "Stolen", "34-abc-123")], schemas.WATCHLISTS)
+    out = run_batch(dets, frames, Dimensions(line, zone, cal, limits, [rule, wanted], lists), plate_reads=reads, save=save)
+    given = out["events"].where("type in ('plate_read', 'watchlist_hit') or rule_id = 'r-wanted'").orderBy("phase").collect()
+    assert [(e["type"], e["frame_index"], e["vehicle_class"]) for e in given] == [("plate_read", 9, "car"), ("watchlist_hit", 9, "car"), ("rule_triggered", 9, "car")]
+    d = given[0]["data"]
+    assert (d["plate"], d["corrected"], d["country"], d["valid"]) == ("34ABC123", True, "TR", True) and given[2]["trigger_data"]["plate"] == "34ABC123" and given[1]["data"]["watchlist_name"] == "Stolen"
+    assert [(r["plate"], r["valid"]) for r in store.plate_rows(out["events"]).collect()] == [("34ABC123", True)] and out["tracks"].where("plate = '34ABC123'").count() == 1
+    assert store.event_rows(out["events"], "hashed", "s").where("data.plate = '34ABC123' or trigger_data.plate = '34ABC123'").count() == 0
     rows = out["events"].select("type", "timestamp", "data.count", "data.direction_canonical", "rule_id", "id").collect()
     kinds = [r["type"] for r in rows]
     crossed = sorted((r["count"], r["direction_canonical"]) for r in rows if r["type"] == "line_crossed")
@@ -116,6 +129,78 @@ def test_nms_and_decode(spark):
     assert [(r["x1"], r["y1"], r["x2"], r["y2"], r["vehicle_class"]) for r in kept] == [(0.0, 0.0, 60.0, 480.0, "truck")]
 
 
+def plain_tracks(rows, config=tracking.Config()):
+    """The tracker over one stream, its eight-number filter written out with full matrices and its tracks as a list."""
+    live, done, last, step = [], [], None, np.eye(8) + np.eye(8, k=4)
+    diag = lambda h, pos, aspect, vel, turn: np.diag(np.array([pos * h / 20, pos * h / 20, aspect, pos * h / 20, vel * h / 160, vel * h / 160, turn, vel * h / 160]) ** 2)
+    measure = lambda b: np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, max(b[2] - b[0], 1e-3) / max(b[3] - b[1], 1e-3), max(b[3] - b[1], 1e-3)])
+
+    def iou(x, d):
+        h = max(x["m"][3], 1e-3)
+        w = max(x["m"][2], 1e-3) * h
+        a = [x["m"][0] - w / 2, x["m"][1] - h / 2, x["m"][0] + w / 2, x["m"][1] + h / 2]
+        both = max(0, min(a[2], d[2]) - max(a[0], d[0])) * max(0, min(a[3], d[3]) - max(a[1], d[1]))
+        union = (a[2] - a[0]) * (a[3] - a[1]) + (d[2] - d[0]) * (d[3] - d[1]) - both
+        return np.float32(both / union if union > 0 else 0)
+
+    def frame(f, t, dets):
+        for x in live:
+            if x["state"] == "lost":
+                x["m"][6:8] = 0
+            h = max(x["m"][3], 1e-3)
+            x["m"], x["P"] = step @ x["m"], step @ x["P"] @ step.T + diag(h, 1, 1e-2, 1, 1e-5)
+        hit, used = {}, set()
+        high = [i for i, d in enumerate(dets) if d[4] >= config.activation]
+        for states, pool in (({"active", "lost"}, high), ({"active"}, [i for i, d in enumerate(dets) if config.min_score <= d[4] < config.activation]), ({"tentative"}, high)):
+            found = [(-iou(x, dets[i]), k, i) for k, x in enumerate(live) if x["state"] in states and k not in hit for i in pool if i not in used]
+            for s, k, i in sorted(p for p in found if -p[0] >= config.match_iou):
+                if k not in hit and i not in used:
+                    hit[k] = i
+                    used.add(i)
+        for k, x in enumerate(live):
+            if k in hit:
+                d = dets[hit[k]]
+                h = max(x["m"][3], 1e-3)
+                s = x["P"][:4, :4] + np.diag(np.array([h / 20, h / 20, 1e-1, h / 20]) ** 2)
+                gain = x["P"][:, :4] @ np.linalg.inv(s)
+                x["m"], x["P"] = x["m"] + gain @ (measure(d) - x["m"][:4]), x["P"] - gain @ s @ gain.T
+                x["hits"], x["t"], x["streak"] = x["hits"] + 1, t, x["streak"] + (not x["sure"])
+                x["sure"] = x["sure"] or x["streak"] >= config.min_hits
+                x["state"] = "active" if x["sure"] else "tentative"
+            elif x["state"] != "lost":
+                x["state"], x["streak"] = "lost", 0
+        for x in [x for x in live if x["state"] == "lost" and t - x["t"] > config.lost_ttl]:
+            done.append((x["id"], f, x["sure"], x["hits"]))
+            live.remove(x)
+        for i in high:
+            if i not in used:
+                z = measure(dets[i])
+                frame.born += 1
+                live.append({"id": frame.born, "m": np.concatenate([z, np.zeros(4)]), "P": diag(z[3], 2, 1e-2, 10, 1e-5), "state": "tentative", "hits": 1, "streak": 1, "sure": False, "t": t})
+
+    frame.born = 0
+    for f, t, dets in rows:
+        frame(f, t, dets)
+        last = (f, t)
+    for k in (1, 2):
+        frame(last[0], last[1] + (config.lost_ttl + 1) * k, [])
+    return done
+
+
+def test_tracking_query_against_a_plain_tracker(spark):
+    from wayline.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in queries.t01_tracking(spark, sf).collect())
+    frames = {}
+    for r in queries._detections(spark, sf).orderBy("stream_id", "frame_index", "det_idx").collect():
+        frames.setdefault(r["stream_id"], {}).setdefault((r["frame_index"], r["timestamp"]), []).append((r["x1"], r["y1"], r["x2"], r["y2"], r["score"]))
+    want = sorted((s, *d) for s, own in frames.items() for d in plain_tracks([(*k, v) for k, v in own.items()]))
+    assert got == want and len(got) > 500
+    every = queries.t02_track_frames(spark, sf).agg(F.sum("matched").alias("m")).first()["m"]
+    assert every == sum(h for *_, h in got)
+
+
 def admitted(**config):
     s = sampling.Sampler(**{k: v for k, v in config.items() if k != "busy"})
     return sum(s.admit(i * 0.01, config.get("busy", False)) for i in range(1000))
@@ -143,11 +228,24 @@ def test_store(spark, tmp_path):
     assert back.count() == 8
     page = store.event_page(back, 5000, 0, since=1000.0 + 86400)
     assert [r["wall_ts"] for r in page.limit(2).collect()] == [1000.0 + 3 * 86400] * 2 and page.count() == 6
-    assert store.purge(spark, path, "wall_ts", 1000.0 + 3 * 86400, 1.5, f"{tmp_path}/kept") == 4 and store.load(spark, f"{tmp_path}/kept").count() == 4
-    assert store.purge(spark, path, "wall_ts", 0, None, "") == 0
+    assert store.purge_all(spark, {"events": (path, "wall_ts", 1.5), "tracks": (path, "wall_ts", None)}, 1000.0 + 3 * 86400) == {"events": 4, "tracks": 0} and store.load(spark, path).count() == 4
+    early = events.event(rows.where("frame_index < 2").withColumn("wall_ts", F.expr("case when frame_index = 0 then 2 * 86400 + 10D else 2 * 86400 + 90D end")), "plate_read", events.payload(plate=F.lit("34 abc 123")))
+    store.append(store.event_rows(early), path)
+    assert store.purge(spark, path, "wall_ts", 3 * 86400 + 50.0, 1) == 1 and store.load(spark, path).count() == 5
+    assert {f.name for f in tmp_path.joinpath("events").iterdir() if f.is_dir()} == {"wall_date=1970-01-03", "wall_date=1970-01-04"}
     reads = store.plate_rows(ev, "hashed", "s")
     assert store.plate_page(reads, "34ABC123", 10, "hashed", "s").count() == 4 and store.plate_page(reads, "34ABC", 10, "hashed", "s").count() == 0
-    assert spark.range(1).select(store.scrub_json(F.lit('{"a":[{"text":"34 abc 123"}],"b":1}'), "s")).first()[0].count("34 abc") == 0
+    plate = hashlib.sha256(b"s34ABC123").hexdigest()
+    cases = {
+        '{"a":[{"text":"34 abc 123"}],"b":1}': '{"a":[{"text":"%s"}],"b":1}', '{"plate": ["34ABC123", {"k": "34ABC123"}]}': '{"plate":["%s",{"k":"34ABC123"}]}',
+        '{"x":{"plate":"34abc123"},"class":"34abc123"}': '{"x":{"plate":"%s"},"class":"34abc123"}', '{"plate_text":"34\\u0041bc123","n":null}': '{"plate_text":"%s","n":null}', '{"text":34}': '{"text":34}', "no json 34ABC123": None, None: None,
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", store.scrub_json(F.col("t"), "s").alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == {k: v and v.replace("%s", plate) for k, v in cases.items()}
+    nested = spark.createDataFrame([("s", "r", 1, 5.0, "plate_read", "i", {"text": "34 abc 123", "deep": [{"raw_text": ["34 abc 123"]}], "more": {"plate": "34 abc 123", "k": "v"}}, {"plate": "34 abc 123", "class": "34 abc 123"})], "stream_id string, run_id string, track_id long, wall_ts double, type string, id string, data struct<text:string,deep:array<struct<raw_text:array<string>>>,more:map<string,string>>, trigger_data struct<plate:string,class:string>")
+    r = store.event_rows(nested, "hashed", "s").first()
+    assert r["data"]["text"] == r["data"]["deep"][0]["raw_text"][0] == r["data"]["more"]["plate"] == r["trigger_data"]["plate"] == plate and r["data"]["more"]["k"] == "v" and r["trigger_data"]["class"] == "34 abc 123"
+    assert [(x["plate"], x["valid"], x["confidence"]) for x in store.plate_rows(nested, "hashed", "s").collect()] == [(plate, False, None)]
     assert exports.feed(ev, "plate_read, nonsense").select("data.plate").distinct().collect()[0][0] == "***" and exports.feed(ev, "nonsense").count() == 4
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.upper(text), "İŞĞÜÖÇ", "ISGUOC"), "[^A-Z0-9]", "")
 
 
+def normal_form(text: str) -> str:
+    """``normalize`` of one Python string, for code that runs inside of a task."""
+    return re.sub("[^A-Z0-9]", "", text.upper().translate(str.maketrans("İŞĞÜÖÇ", "ISGUOC")))
+
+
 def legal(plate: Column) -> Column:
     """Whether a normal plate has the Turkish shape."""
     shapes = "|".join(f"[{LETTERS}]{{{n}}}[0-9]{{{a},{b}}}" for n, a, b in SHAPES)

@@ -3,8 +3,18 @@
 from pyspark.sql import SparkSession
 
 from .plates import LETTERS, PROVINCE, SHAPES
+from .text import LABELS
 
 _SHAPE = "|".join(f"[{LETTERS}]{{{n}}}[0-9]{{{a},{b}}}" for n, a, b in SHAPES)
+_BOX = "x1 double, y1 double, x2 double, y2 double"
+_NORMAL = "regexp_replace(translate(upper(t), 'İŞĞÜÖÇ', 'ISGUOC'), '[^A-Z0-9]', '')"
+_BOTH = "greatest(0.0D, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0.0D, least(ay2, by2) - greatest(ay1, by1))"
+_DEPTH = "(case when abs(h[6] * x + h[7] * y + h[8]) < 1e-12D then 1e-12D else h[6] * x + h[7] * y + h[8] end)"
+_SIDE = "((bx - ax) * ({1} - ay) - (by - ay) * ({0} - ax))"
+_TURN = "((x - px) * (by - ay) - (y - py) * (bx - ax))"
+_ON = f"abs({_TURN}) >= 1e-12D and ((ax - px) * (by - ay) - (ay - py) * (bx - ax)) / {_TURN} between 0 and 1 and ((ax - px) * (y - py) - (ay - py) * (x - px)) / {_TURN} between 0 and 1"
+_CROSSING = f"case when {_SIDE.format('px', 'py')} < 0 and {_SIDE.format('x', 'y')} >= 0 and {_ON} then 1 when {_SIDE.format('px', 'py')} > 0 and {_SIDE.format('x', 'y')} <= 0 and {_ON} then -1 else 0 end"
+_INSIDE = "aggregate(zip_with(points, concat(slice(points, -1, 1), slice(points, 1, size(points) - 1)), (a, b) -> (a.y > y) <> (b.y > y) and coalesce(x < (b.x - a.x) * (y - a.y) / nullif(b.y - a.y, 0.0D) + a.x, false)), false, (acc, hit) -> acc <> hit)"
 #: name: (arguments, result, body); plain SQL, so Catalyst inlines them.
 FUNCTIONS = {
     "box_area": ("x1 double, y1 double, x2 double, y2 double", "double", "greatest(0.0D, x2 - x1) * greatest(0.0D, y2 - y1)"),
@@ -13,6 +23,20 @@ FUNCTIONS = {
     "tr_plate_valid": ("t string", "boolean", f"t rlike '^{PROVINCE}({_SHAPE})$'"),
     "plate_valid": ("t string", "boolean", "t rlike '^[A-Z0-9]{4,9}$'"),
     "hash_plate": ("t string, salt string", "string", "sha2(concat(salt, regexp_replace(translate(upper(t), 'İŞĞÜÖÇ', 'ISGUOC'), '[^A-Z0-9]', '')), 256)"),
+    "box_width": ("x1 double, x2 double", "double", "greatest(0.0D, x2 - x1)"),
+    "box_height": ("y1 double, y2 double", "double", "greatest(0.0D, y2 - y1)"),
+    "box_center": (_BOX, "struct<x:double,y:double>", "named_struct('x', (x1 + x2) / 2, 'y', (y1 + y2) / 2)"),
+    "box_anchor": (_BOX, "struct<x:double,y:double>", "named_struct('x', (x1 + x2) / 2, 'y', y2)"),
+    "box_clip": (f"{_BOX}, w double, h double", "struct<x1:double,y1:double,x2:double,y2:double>", "named_struct('x1', least(greatest(x1, 0.0D), w), 'y1', least(greatest(y1, 0.0D), h), 'x2', least(greatest(x2, 0.0D), w), 'y2', least(greatest(y2, 0.0D), h))"),
+    "box_iou": ("ax1 double, ay1 double, ax2 double, ay2 double, bx1 double, by1 double, bx2 double, by2 double", "double", f"coalesce({_BOTH} / nullif((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - {_BOTH}, 0.0D), 0.0D)"),
+    "line_crossing": ("ax double, ay double, bx double, by double, px double, py double, x double, y double", "int", _CROSSING),
+    "in_polygon": ("points array<struct<x:double,y:double>>, x double, y double", "boolean", _INSIDE),
+    "polygon_centroid": ("points array<struct<x:double,y:double>>", "struct<x:double,y:double>", "named_struct('x', aggregate(points, 0.0D, (a, p) -> a + p.x) / size(points), 'y', aggregate(points, 0.0D, (a, p) -> a + p.y) / size(points))"),
+    "project": ("h array<double>, x double, y double", "struct<x:double,y:double>", f"named_struct('x', (h[0] * x + h[1] * y + h[2]) / {_DEPTH}, 'y', (h[3] * x + h[4] * y + h[5]) / {_DEPTH})"),
+    "plate_at_rest": ("t string, mode string, salt string", "string", f"case when mode = 'hashed' then sha2(concat(salt, {_NORMAL}), 256) else {_NORMAL} end"),
+    "plate_matches": ("stored string, q string, mode string, salt string", "boolean", f"case when mode = 'hashed' then stored = sha2(concat(salt, {_NORMAL.replace('upper(t)', 'upper(q)')}), 256) else contains(stored, {_NORMAL.replace('upper(t)', 'upper(q)')}) end"),
+    "vehicle_class": ("label string", "string", "element_at(map(" + ", ".join(f"'{k}', '{v}'" for k, v in LABELS.items()) + "), replace(lower(trim(label)), ' ', '_'))"),
+    "scrub_credentials": ("t string", "string", r"regexp_replace(regexp_replace(t, r'([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+@', '$1***@'), r'(api_key=)[^&\s]+', '$1***')"),
     "heading_deg": ("dx double, dy double", "double", "pmod(degrees(atan2(dy, dx)), 360.0D)"),
     "utc_day": ("wall_ts double", "string", "date_format(date_add(date'1970-01-01', int(floor(wall_ts / 86400))), 'yyyyMMdd')"),
 }

@@ -1,50 +1,110 @@
-"""Greedy selections in time: what is kept depends on what was kept before."""
+"""Selections and folds in time: what comes out of a row depends on what came out of earlier ones.
+
+Rows are shuffled and sorted by their key, then pass as Arrow batches; what is carried from batch to batch is the small state of
+one key, so memory is a batch whatever the key's length. Long keys are cut at pauses where state ends by itself.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width of the blocks in which pauses are looked for, in pauses.
+BLOCK_PAUSES = 64
 
-def spaced(rows: DataFrame, keys: list[str], time: str, ties: list[str], gap: float | Column) -> DataFrame:
-    """Rows that come ``gap`` or more after the last kept row of their key, the first one always.
 
-    Rows are cut into runs at pauses of at least a gap: a run starts afresh whatever was kept before, so only a
-    run is folded, never a whole key. Ties in time go by ``ties``; null keys are a key.
+def with_runs(rows: DataFrame, keys: list[str], time: str, pause: float, name: str = "_run") -> DataFrame:
+    """``rows`` with a number that grows where a key pauses for at least ``pause`` at the border of two blocks of time.
+
+    Only a row for each key and block is sorted, so a key that holds most rows is found in many tasks at once.
     """
-    gap = F.lit(gap) if not isinstance(gap, Column) else gap
-    order = Window.partitionBy(*keys).orderBy(time, *ties)
-    marked = rows.withColumn("_gap", gap).withColumn("_n", F.row_number().over(order)).withColumn("_new", (F.col(time) - F.lag(time).over(order) >= F.col("_gap")).cast("int"))
-    marked = marked.withColumn("_run", F.coalesce(F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-
-    def step(acc: Column, p: Column) -> Column:
-        fires = acc["last"].isNull() | (p["t"] - acc["last"] >= p["g"])
-        return F.when(fires, F.struct(F.concat(acc["kept"], F.array(p["n"])).alias("kept"), p["t"].alias("last"))).otherwise(acc)
-
-    start = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(None).cast("double").alias("last"))
-    series = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(time).alias("t"), F.col("_gap").alias("g"))))
-    kept = marked.groupBy(*keys, "_run").agg(series.alias("s")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.aggregate("s", start, step)["kept"]).alias("_kn"))
-    same = F.col("_n") == F.col("_kn")
+    block = F.floor(F.col(time) / (BLOCK_PAUSES * pause)).cast("long")
+    marked = rows.withColumn("_block", block)
+    spans = marked.groupBy(*keys, "_block").agg(F.min(time).alias("_from"), F.max(time).alias("_to"))
+    order = Window.partitionBy(*keys).orderBy("_block")
+    spans = spans.withColumn("_new", F.coalesce((F.col("_from") - F.lag("_to").over(order) >= pause).cast("int"), F.lit(0)))
+    spans = spans.withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb"), name)
+    same = F.col("_block").eqNullSafe(F.col("_kb"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return marked.join(kept, same, "left_semi").drop("_gap", "_n", "_new", "_run")
+    return marked.join(own, same, "left").drop("_block", "_kb", *[f"_k{i}" for i in range(len(keys))])
+
+
+def in_order(rows: DataFrame, keys: list[str], order: list[str], schema, scan: Callable[[Iterator[tuple[pa.RecordBatch, np.ndarray]]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``scan`` over all rows, each key's in order: it gets batches with a mask of the rows that begin a new key, and returns batches of ``schema``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scan(_marked(batches, keys))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _marked(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for k in keys:
+            v = b.column(k)
+            x, y = v.slice(1), v.slice(0, b.num_rows - 1)
+            differ = pc.if_else(pc.and_(pc.is_valid(x), pc.is_valid(y)), pc.fill_null(pc.not_equal(x, y), False), pc.not_equal(pc.is_valid(x), pc.is_valid(y)))
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
+        first = [b.column(k)[0].as_py() for k in keys]
+        new[0] = first != last
+        last = [b.column(k)[b.num_rows - 1].as_py() for k in keys]
+        yield b, new
+
+
+def numbers(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(name).to_pylist()
+
+
+def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+def spaced(rows: DataFrame, keys: list[str], time: str, ties: list[str], gap: float | Column) -> DataFrame:
+    """Rows that come ``gap`` or more after the last kept row of their key, the first one always.
+
+    Ties in time go by ``ties``; null keys are a key; a row with a null time is kept only as a key's first. One shuffle by key, one number kept in memory.
+    """
+    gap = F.lit(float(gap)) if not isinstance(gap, Column) else gap
+    marked = rows.withColumn("_gap", gap.cast("double")).withColumn("_at", F.col(time).cast("double"))
+
+    def scan(batches):
+        last = None
+        for b, new in batches:
+            kept = np.zeros(b.num_rows, bool)
+            for i, (first, t, g) in enumerate(zip(new.tolist(), numbers(b, "_at"), numbers(b, "_gap"))):
+                if first or last is None or (t is not None and g is not None and t - last >= g):
+                    kept[i], last = True, t
+            yield b.filter(pa.array(kept))
+
+    return in_order(marked, keys, ["_at", *ties], marked.schema, scan).drop("_gap", "_at")
 
 
 def limited(rows: DataFrame, keys: list[str], time: str, ties: list[str], most: int, window: float) -> DataFrame:
-    """Rows of which at most ``most`` are kept in any ``window`` before and with them; greedily in order of time, in runs as above."""
-    order = Window.partitionBy(*keys).orderBy(time, *ties)
-    marked = rows.withColumn("_n", F.row_number().over(order)).withColumn("_new", (F.col(time) - F.lag(time).over(order) >= window).cast("int"))
-    marked = marked.withColumn("_run", F.coalesce(F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-
-    def step(acc: Column, p: Column) -> Column:
-        live = F.filter(acc["recent"], lambda t: p["t"] - t < window)
-        ok = F.size(live) < most
-        return F.when(ok, F.struct(F.concat(acc["kept"], F.array(p["n"])).alias("kept"), F.concat(live, F.array(p["t"])).alias("recent"))).otherwise(F.struct(acc["kept"].alias("kept"), live.alias("recent")))
-
-    start = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast("array<double>").alias("recent"))
-    series = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(time).alias("t"))))
-    kept = marked.groupBy(*keys, "_run").agg(series.alias("s")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.aggregate("s", start, step)["kept"]).alias("_kn"))
-    same = F.col("_n") == F.col("_kn")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return marked.join(kept, same, "left_semi").drop("_n", "_new", "_run")
+    """Rows of which at most ``most`` are kept in any ``window`` before and with them; greedily in order of time.
+
+    Keys are cut at pauses of a window, after which nothing is remembered; the times of at most ``most`` rows are kept in memory.
+    """
+    marked = with_runs(rows.withColumn("_at", F.col(time).cast("double")), keys, "_at", window)
+
+    def scan(batches):
+        recent: list[float] = []
+        for b, new in batches:
+            kept = np.zeros(b.num_rows, bool)
+            for i, (first, t) in enumerate(zip(new.tolist(), numbers(b, "_at"))):
+                recent = [] if first else [x for x in recent if t - x < window]
+                if len(recent) < most:
+                    kept[i] = True
+                    recent.append(t)
+            yield b.filter(pa.array(kept))
+
+    return in_order(marked, [*keys, "_run"], ["_at", *ties], marked.schema, scan).drop("_at", "_run")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from ..functions import geometry as G
-from .folds import spaced
+from .folds import in_order, numbers, spaced, with_columns
 from .lines import TRACK
 
 WINDOW_S, MIN_TRACK_S, ALPHA = 1.0, 0.7, 0.4
@@ -46,42 +50,58 @@ def velocity(grounded: DataFrame, window_s: float = WINDOW_S, min_track_s: float
     return out.withColumn("turn", F.when((dt > 1e-6) & (moved >= MOVED_M), F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(360.0)))).drop("_b", "_a", "_oldest", "born", "ref")
 
 
-def _series(*fields: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct("frame_index", *fields)))
-
-
 def smooth(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Adds speed_kmh (exponential mean; the first value raw, rows without one hold the last), max_speed_kmh so far and direction_deg (held while standing).
 
-    The mean depends on all earlier values, so it is a fold over one track's rows, bounded by the track's length.
+    One pass over each track's rows in order; three numbers are carried, whatever the track's length.
     """
-    def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)["v"]
-        now = F.when(p["raw_kmh"].isNull(), last).when(last.isNull(), p["raw_kmh"]).otherwise(alpha * p["raw_kmh"] + (1 - alpha) * last)
-        return F.concat(acc, F.array(F.struct(p["frame_index"].alias("frame_index"), now.alias("v"))))
-
-    empty = F.array(F.struct(F.lit(-1).cast("long").alias("frame_index"), F.lit(None).cast("double").alias("v")))
-    folded = rows.groupBy(*TRACK).agg(_series("raw_kmh").alias("s"))
-    folded = folded.select(*TRACK, F.inline(F.aggregate("s", empty, step))).where("frame_index >= 0").withColumnRenamed("v", "speed_kmh")
-    so_far = Window.partitionBy(*TRACK).orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(folded, [*TRACK, "frame_index"])
-    return out.withColumn("max_speed_kmh", F.max("speed_kmh").over(so_far)).withColumn("direction_deg", F.last("turn", ignorenulls=True).over(so_far))
+    schema = StructType([*rows.schema.fields])
+    for name in ("speed_kmh", "max_speed_kmh", "direction_deg"):
+        schema.add(name, DoubleType())
+
+    def scan(batches):
+        speed = top = way = None
+        for b, new in batches:
+            out = []
+            for first, raw, turn in zip(new.tolist(), numbers(b, "raw_kmh"), numbers(b, "turn")):
+                if first:
+                    speed = top = way = None
+                if raw is not None:
+                    speed = raw if speed is None else alpha * raw + (1 - alpha) * speed
+                    top = speed if top is None else max(top, speed)
+                way = way if turn is None else turn
+                out.append((speed, top, way))
+            columns = zip(*out)
+            yield with_columns(b, **{name: pa.array(v, pa.float64()) for name, v in zip(("speed_kmh", "max_speed_kmh", "direction_deg"), columns)})
+
+    return in_order(rows, TRACK, ["frame_index"], schema, scan)
 
 
 def distance(grounded: DataFrame, step_m: float = ANCHOR_M) -> DataFrame:
-    """distance_m of each track: steps count from the last anchor once they reach ``step_m``, and move it."""
-    def step(acc: Column, p: Column) -> Column:
-        d = F.hypot(p["gx"] - acc["x"], p["gy"] - acc["y"])
-        far = d >= step_m
-        return (
-            F.when(acc["x"].isNull(), F.struct(p["gx"].alias("x"), p["gy"].alias("y"), F.lit(0.0).alias("d")))
-            .when(far, F.struct(p["gx"].alias("x"), p["gy"].alias("y"), (acc["d"] + d).alias("d")))
-            .otherwise(acc)
-        )
-
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("x"), none.alias("y"), F.lit(0.0).alias("d"))
-    return grounded.groupBy(*TRACK).agg(_series("gx", "gy").alias("s")).select(*TRACK, F.aggregate("s", start, step)["d"].alias("distance_m"))
+    """distance_m of each track: steps count from the last anchor once they reach ``step_m``, and move it. A pass in order, as above."""
+    rows = grounded.select(*TRACK, "frame_index", "gx", "gy")
+
+    def scan(batches):
+        key, x, y, total = None, 0.0, 0.0, 0.0
+        for b, new in batches:
+            done, tracks = [], list(zip(*[numbers(b, k) for k in TRACK]))
+            for i, (first, gx, gy) in enumerate(zip(new.tolist(), numbers(b, "gx"), numbers(b, "gy"))):
+                if first:
+                    if key is not None:
+                        done.append((*key, total))
+                    key, x, y, total = tracks[i], gx, gy, 0.0
+                elif (d := math.hypot(gx - x, gy - y)) >= step_m:
+                    x, y, total = gx, gy, total + d
+            yield _batch(done)
+        if key is not None:
+            yield _batch([(*key, total)])
+
+    return in_order(rows, TRACK, ["frame_index"], "stream_id string, run_id string, track_id long, distance_m double", scan)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[*TRACK, "distance_m"])
 
 
 def speeding(moving: DataFrame, limits: DataFrame) -> DataFrame:

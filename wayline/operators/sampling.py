@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, StructType
+
+from .folds import in_order, numbers, with_columns
 
 
 @dataclass
@@ -21,21 +24,25 @@ class Sampler:
     tokens: float = 0.0
     seen_t: float | None = None
 
+    def rate(self, t: float) -> float | None:
+        """Frames a second that are wanted now; null: all of them."""
+        busy = self.seen_t is not None and 0 <= t - self.seen_t <= self.settle_s
+        rates = [r for r in (((self.active_fps if busy else self.idle_fps) if self.enabled else None), self.fps_cap) if r is not None]
+        return min(rates, default=None)
+
     def admit(self, t: float, has_detection: bool) -> bool:
-        """The first frame and one that goes back in time are kept and start afresh."""
-        if self.last_t is None or t < self.last_t:
+        """The first frame and one that goes back in time are kept and start afresh; a rate of zero or less keeps none."""
+        rate = self.rate(t)
+        if rate is None:
+            kept = True
+        elif rate <= 0:
+            return False
+        elif self.last_t is None or t < self.last_t:
             kept, self.tokens, self.seen_t = True, 0.0, None
         else:
-            busy = self.seen_t is not None and t - self.seen_t <= self.settle_s
-            rate = (self.active_fps if busy else self.idle_fps) if self.enabled else None
-            if self.fps_cap is not None:
-                rate = self.fps_cap if rate is None else min(rate, self.fps_cap)
-            if rate is None:
-                kept = True
-            else:
-                self.tokens = min(1.0, self.tokens + (t - self.last_t) * rate)
-                kept = self.tokens >= 1.0 - 1e-9
-                self.tokens -= kept
+            self.tokens = min(1.0, self.tokens + (t - self.last_t) * rate)
+            kept = self.tokens >= 1.0 - 1e-9
+            self.tokens -= kept
         self.last_t = t
         if kept and has_detection:
             self.seen_t = t
@@ -43,11 +50,19 @@ class Sampler:
 
 
 def sample(frames: DataFrame, **config) -> DataFrame:
-    """``frames`` (stream_id, run_id, seq, timestamp, has_detection) with ``admitted``: what is kept decides the rate, so each stream runs in order."""
-    schema = frames.schema.simpleString()[len("struct<") : -1]
+    """``frames`` (stream_id, run_id, seq, timestamp, has_detection) with ``admitted``: what is kept decides the rate, so each stream runs in order.
+
+    A stream passes batch by batch; its sampler, a few numbers, is all that is kept.
+    """
+    schema = StructType([*frames.schema.fields]).add("admitted", BooleanType())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, pdf = Sampler(**config), pdf.sort_values("seq")
-        return pdf.assign(admitted=[s.admit(float(t), bool(d)) for t, d in zip(pdf["timestamp"], pdf["has_detection"])])
+    def scan(batches):
+        s = Sampler(**config)
+        for b, new in batches:
+            out = []
+            for first, t, seen in zip(new.tolist(), numbers(b, "timestamp"), numbers(b, "has_detection")):
+                s = Sampler(**config) if first else s
+                out.append(s.admit(float(t), bool(seen)))
+            yield with_columns(b, admitted=pa.array(out, pa.bool_()))
 
-    return frames.groupBy("stream_id", "run_id").applyInPandas(run, schema + ",admitted:boolean")
+    return in_order(frames, ["stream_id", "run_id"], ["seq"], schema, scan)

@@ -1,14 +1,15 @@
 """Multi-object tracking: detections of one stream and run to tracks.
 
-The tracker's state depends on every earlier frame, so a stream is followed in order: streams run side by side, in
-``applyInPandas`` for tables and in a state processor for streams, both through ``Tracker``. All live tracks of a
-stream are predicted and updated as arrays.
+The tracker's state depends on every earlier frame, so a stream is followed in order and streams run side by side. Tables pass as sorted
+batches through ``mapInPandas``, streams through a state processor, both through ``Tracker``: what stays in memory is the live tracks
+and a batch, whatever a stream's length. All live tracks of a stream are predicted, matched and updated as arrays.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,9 @@ from ..schemas import FINISHED, TRACK_FRAMES
 
 LEAST = 1e-3
 _POS, _VEL = 1 / 20, 1 / 160
-_F = np.eye(8) + np.eye(8, k=4)
 BOX = ["x1", "y1", "x2", "y2"]
+STATES = np.array(["tentative", "active", "lost"], object)
+TENTATIVE, ACTIVE, LOST = range(3)
 
 
 @dataclass(frozen=True)
@@ -39,44 +41,57 @@ def _measure(boxes: np.ndarray) -> np.ndarray:
     return np.stack([(boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2, w / h, h], axis=1)
 
 
-def _noise(h: np.ndarray, pos: float, aspect: float, vel: float | None = None, turn: float = 1e-5) -> np.ndarray:
-    """Diagonal covariances for heights ``h``: position parts scale with the height."""
-    p, a = pos * _POS * h, np.full_like(h, aspect)
-    rows = [p, p, a, p]
-    if vel is not None:
-        v = vel * _VEL * h
-        rows += [v, v, np.full_like(h, turn), v]
-    d = np.stack(rows, axis=1) ** 2
-    out = np.zeros((len(h), d.shape[1], d.shape[1]))
-    out[:, range(d.shape[1]), range(d.shape[1])] = d
-    return out
-
-
-def start_filter(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    z = _measure(boxes)
-    return np.concatenate([z, np.zeros_like(z)], axis=1), _noise(z[:, 3], 2, 1e-2, 10)
+def _variance(h: np.ndarray, scale: float, aspect: float) -> np.ndarray:
+    """Variances of the four measures for heights ``h``: all but the aspect's grow with the height."""
+    out = np.repeat((scale * h)[:, None], 4, axis=1)
+    out[:, 2] = aspect
+    return out**2
 
 
-def predict(mean: np.ndarray, cov: np.ndarray, frozen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One step on; frozen ones (lost tracks) keep their size."""
-    mean = mean.copy()
-    mean[frozen, 6:8] = 0
-    q = _noise(np.maximum(mean[:, 3], LEAST), 1, 1e-2, 1)
-    return mean @ _F.T, _F @ cov @ _F.T + q
-
-
-def update(mean: np.ndarray, cov: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = cov[:, :4, :4] + _noise(np.maximum(mean[:, 3], LEAST), 1, 1e-1)
-    gain = np.linalg.solve(s, cov[:, :4, :]).transpose(0, 2, 1)
-    mean = mean + np.einsum("nij,nj->ni", gain, _measure(boxes) - mean[:, :4])
-    cov = cov - gain @ s @ gain.transpose(0, 2, 1)
-    return mean, (cov + cov.transpose(0, 2, 1)) / 2
+class Filter:
+    """A constant-velocity filter for many boxes at once.
 
+    All noise is independent by measure and each measure moves by its own speed alone, so the eight-number filter falls into four of two
+    numbers: a place with its variance ``p``, a speed with its variance ``v``, and the covariance ``c`` of both.
+    """
 
-def boxes_of(mean: np.ndarray) -> np.ndarray:
-    h = np.maximum(mean[:, 3], LEAST)
-    w = np.maximum(mean[:, 2], LEAST) * h
-    return np.stack([mean[:, 0] - w / 2, mean[:, 1] - h / 2, mean[:, 0] + w / 2, mean[:, 1] + h / 2], axis=1)
+    FIELDS = ("at", "speed", "p", "c", "v")
+
+    def __init__(self, boxes: np.ndarray):
+        self.at = _measure(boxes)
+        self.speed = np.zeros_like(self.at)
+        h = self.at[:, 3]
+        self.p, self.c, self.v = _variance(h, 2 * _POS, 1e-2), np.zeros_like(self.at), _variance(h, 10 * _VEL, 1e-5)
+
+    def predict(self, frozen: np.ndarray) -> None:
+        """One step on; frozen ones (lost tracks) keep their size."""
+        self.speed[frozen, 2:] = 0
+        h = np.maximum(self.at[:, 3], LEAST)
+        self.at = self.at + self.speed
+        self.p = self.p + 2 * self.c + self.v + _variance(h, _POS, 1e-2)
+        self.c = self.c + self.v
+        self.v = self.v + _variance(h, _VEL, 1e-5)
+
+    def update(self, own: np.ndarray, boxes: np.ndarray) -> None:
+        p, c = self.p[own], self.c[own]
+        s = p + _variance(np.maximum(self.at[own, 3], LEAST), _POS, 1e-1)
+        off = _measure(boxes) - self.at[own]
+        self.at[own] += p / s * off
+        self.speed[own] += c / s * off
+        self.p[own], self.c[own], self.v[own] = p - p * p / s, c - p * c / s, self.v[own] - c * c / s
+
+    def keep(self, mask: np.ndarray) -> None:
+        for f in self.FIELDS:
+            setattr(self, f, getattr(self, f)[mask])
+
+    def add(self, other: Filter) -> None:
+        for f in self.FIELDS:
+            setattr(self, f, np.concatenate([getattr(self, f), getattr(other, f)]))
+
+    def boxes(self) -> np.ndarray:
+        h = np.maximum(self.at[:, 3], LEAST)
+        w = np.maximum(self.at[:, 2], LEAST) * h
+        return np.stack([self.at[:, 0] - w / 2, self.at[:, 1] - h / 2, self.at[:, 0] + w / 2, self.at[:, 1] + h / 2], axis=1)
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,113 +110,175 @@ def match(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
     iou = iou_matrix(a, b)
     i, j = np.nonzero(iou >= least)
     used_i, used_j, out = set(), set(), []
-    for k in np.lexsort((j, i, -iou[i, j])):
-        if i[k] not in used_i and j[k] not in used_j:
-            used_i.add(i[k])
-            used_j.add(j[k])
-            out.append((int(i[k]), int(j[k])))
+    for k in np.lexsort((j, i, -iou[i, j])).tolist():
+        x, y = int(i[k]), int(j[k])
+        if x not in used_i and y not in used_j:
+            used_i.add(x)
+            used_j.add(y)
+            out.append((x, y))
     return out
 
 
-@dataclass
-class Track:
-    id: int
-    box: list[float]
-    cls: str
-    score: float
-    state: str
-    last_t: float
-    hits: int = 1
-    streak: int = 1
-    confirmed: bool = False
-    sum_score: float = 0.0
-    votes: Counter = field(default_factory=Counter)
+_TRACK = {"id": int, "box": float, "score": float, "state": int, "seen": float, "hits": int, "streak": int, "confirmed": bool, "total": float}
 
 
 class Tracker:
-    """State of one stream and run. ``step`` must see every processed frame, the empty ones too."""
+    """State of one stream and run: live tracks as arrays, in order of their birth. ``step`` must see every processed frame, the empty ones too."""
 
     def __init__(self, config: Config = Config()):
-        self.config, self.live, self.next_id = config, [], 1
-        self.mean, self.cov = np.zeros((0, 8)), np.zeros((0, 8, 8))
+        self.config, self.next_id = config, 1
+        self.filter = Filter(np.zeros((0, 4)))
+        for name, kind in _TRACK.items():
+            setattr(self, name, np.zeros((0, 4) if name == "box" else 0, kind))
+        self.cls: list[str] = []
+        self.votes: list[Counter] = []
         self.last_t, self.last_frame = 0.0, -1
 
+    @property
+    def live(self) -> int:
+        return len(self.id)
+
     def step(self, frame: int, t: float, boxes: np.ndarray, scores: np.ndarray, classes: list[str]) -> tuple[list[tuple], list[tuple]]:
         """Rows of live tracks after this frame, and of tracks that it finished."""
-        c, live = self.config, self.live
-        self.mean, self.cov = predict(self.mean, self.cov, np.array([x.state == "lost" for x in live], bool)) if live else (self.mean, self.cov)
-        at = boxes_of(self.mean)
-        high = [i for i, s in enumerate(scores) if s >= c.activation]
-        low = [i for i, s in enumerate(scores) if c.min_score <= s < c.activation]
-        pool = lambda *states: [k for k, x in enumerate(live) if x.state in states]
+        finished, matched = self.advance(frame, t, boxes, scores, classes)
+        own = zip(self.id.tolist(), STATES[self.state].tolist(), matched.tolist(), self.box.tolist(), self.cls, self.score.tolist(), self.hits.tolist(), (self.total / np.maximum(self.hits, 1)).tolist())
+        return [(i, frame, t, s, m, *b, c, p, h, q) for i, s, m, b, c, p, h, q in own], finished
+
+    def advance(self, frame: int, t: float, boxes: np.ndarray, scores: np.ndarray, classes: list[str]) -> tuple[list[tuple], np.ndarray]:
+        """Takes in a frame: the tracks that it finished, and which of the live ones it matched or started."""
+        c, finished = self.config, []
+        high = np.flatnonzero(scores >= c.activation)
         pairs: dict[int, int] = {}
-
-        def stage(tracks: list[int], dets: list[int]) -> None:
-            pairs.update({tracks[i]: dets[j] for i, j in match(at[tracks], boxes[dets], c.match_iou)})
-
-        unsure = pool("tentative")
-        stage(pool("active", "lost"), high)
-        stage([k for k in pool("active") if k not in pairs], low)
+        if self.live:
+            self.filter.predict(self.state == LOST)
+            if len(scores):
+                pairs = self._pairs(boxes, scores, high)
+            self._take(pairs, t, boxes, scores, classes)
+            over = (self.state == LOST) & (t - self.seen > c.lost_ttl)
+        matched = np.zeros(self.live, bool)
+        matched[list(pairs)] = True
+        if self.live and over.any():
+            finished = [(int(self.id[k]), frame, t, self.cls[k], bool(self.confirmed[k]), int(self.hits[k])) for k in np.flatnonzero(over)]
+            self._keep(~over)
+            matched = matched[~over]
         taken = set(pairs.values())
-        stage(unsure, [d for d in high if d not in taken])
-        if pairs:
-            own, dets = list(pairs), list(pairs.values())
-            self.mean[own], self.cov[own] = update(self.mean[own], self.cov[own], boxes[dets])
-        for k, x in enumerate(live):
-            if k in pairs:
-                self._hit(x, boxes[pairs[k]], float(scores[pairs[k]]), classes[pairs[k]], t)
-            elif x.state != "lost":
-                x.state, x.streak = "lost", 0
-        over = [x.state == "lost" and t - x.last_t > c.lost_ttl for x in live]
-        finished = [(x.id, frame, t, x.cls, x.confirmed, x.hits) for x, o in zip(live, over) if o]
-        matched = {live[k].id for k in pairs}
-        stay = [k for k, o in enumerate(over) if not o]
-        self.live, self.mean, self.cov = [live[k] for k in stay], self.mean[stay], self.cov[stay]
-        taken = set(pairs.values())
-        fresh = [d for d in high if d not in taken]
-        for d in fresh:
-            new = Track(self.next_id, boxes[d].tolist(), classes[d], float(scores[d]), "tentative", t, sum_score=float(scores[d]), votes=Counter({classes[d]: 1}))
-            new.confirmed = c.min_hits <= 1
-            new.state = "active" if new.confirmed else "tentative"
-            self.live.append(new)
-            matched.add(new.id)
-            self.next_id += 1
+        fresh = [d for d in high.tolist() if d not in taken]
         if fresh:
-            mean, cov = start_filter(boxes[fresh])
-            self.mean, self.cov = np.concatenate([self.mean, mean]), np.concatenate([self.cov, cov])
+            self._start(fresh, t, boxes, scores, classes)
+            matched = np.concatenate([matched, np.ones(len(fresh), bool)])
         self.last_t, self.last_frame = t, frame
-        rows = [(x.id, frame, t, x.state, x.id in matched, *x.box, x.cls, x.score, x.hits, x.sum_score / x.hits) for x in self.live]
-        return rows, finished
-
-    def _hit(self, x: Track, box: np.ndarray, score: float, cls: str, t: float) -> None:
-        x.box, x.score, x.last_t = box.tolist(), score, t  # the raw box is kept, the filter's only matches
-        x.hits += 1
-        x.sum_score += score
-        x.votes[cls] += 1
-        if x.votes[cls] > x.votes[x.cls]:
-            x.cls = cls
-        if not x.confirmed:
-            x.streak += 1
-            x.confirmed = x.streak >= self.config.min_hits
-        x.state = "active" if x.confirmed else "tentative"
+        return finished, matched
+
+    def _pairs(self, boxes: np.ndarray, scores: np.ndarray, high: np.ndarray) -> dict[int, int]:
+        """Settled and lost tracks get strong detections first, settled ones then weak ones, new ones what is left of the strong."""
+        c, at, pairs = self.config, self.filter.boxes(), {}
+        low = np.flatnonzero((scores >= c.min_score) & (scores < c.activation))
+
+        def stage(tracks: np.ndarray, dets: np.ndarray) -> None:
+            pairs.update({int(tracks[i]): int(dets[j]) for i, j in match(at[tracks], boxes[dets], c.match_iou)})
+
+        stage(np.flatnonzero(self.state != TENTATIVE), high)
+        stage(np.array([k for k in np.flatnonzero(self.state == ACTIVE).tolist() if k not in pairs], int), low)
+        taken = set(pairs.values())
+        stage(np.flatnonzero(self.state == TENTATIVE), np.array([d for d in high.tolist() if d not in taken], int))
+        return pairs
+
+    def _take(self, pairs: dict[int, int], t: float, boxes: np.ndarray, scores: np.ndarray, classes: list[str]) -> None:
+        own, dets = np.fromiter(pairs, int, len(pairs)), np.fromiter(pairs.values(), int, len(pairs))
+        missed = self.state != LOST
+        missed[own] = False
+        self.state[missed], self.streak[missed] = LOST, 0
+        if not len(own):
+            return
+        self.filter.update(own, boxes[dets])
+        self.box[own], self.score[own], self.seen[own] = boxes[dets], scores[dets], t  # the raw box is kept, the filter's only matches
+        self.hits[own] += 1
+        self.total[own] += scores[dets]
+        self.streak[own] += ~self.confirmed[own]
+        self.confirmed[own] |= self.streak[own] >= self.config.min_hits
+        self.state[own] = np.where(self.confirmed[own], ACTIVE, TENTATIVE)
+        for k, d in pairs.items():
+            votes = self.votes[k]
+            votes[classes[d]] += 1
+            if votes[classes[d]] > votes[self.cls[k]]:
+                self.cls[k] = classes[d]
+
+    def _keep(self, mask: np.ndarray) -> None:
+        for name in _TRACK:
+            setattr(self, name, getattr(self, name)[mask])
+        self.filter.keep(mask)
+        stay = np.flatnonzero(mask).tolist()
+        self.cls, self.votes = [self.cls[k] for k in stay], [self.votes[k] for k in stay]
+
+    def _start(self, fresh: list[int], t: float, boxes: np.ndarray, scores: np.ndarray, classes: list[str]) -> None:
+        n, sure = len(fresh), self.config.min_hits <= 1
+        new = {
+            "id": np.arange(self.next_id, self.next_id + n), "box": boxes[fresh], "score": scores[fresh], "seen": np.full(n, float(t)), "total": scores[fresh],
+            "state": np.full(n, ACTIVE if sure else TENTATIVE), "hits": np.ones(n, int), "streak": np.ones(n, int), "confirmed": np.full(n, sure),
+        }
+        for name, values in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+        self.filter.add(Filter(boxes[fresh]))
+        self.cls += [classes[d] for d in fresh]
+        self.votes += [Counter({classes[d]: 1}) for d in fresh]
+        self.next_id += n
 
     def finish(self) -> list[tuple]:
         """Ends all tracks: two empty frames, each a TTL and a second on."""
         base, frame, out = self.last_t, self.last_frame, []
         for k in (1, 2):
-            out += self.step(frame, base + (self.config.lost_ttl + 1) * k, np.zeros((0, 4)), np.zeros(0), [])[1]
+            out += self.advance(frame, base + (self.config.lost_ttl + 1) * k, np.zeros((0, 4)), np.zeros(0), [])[0]
         return out
 
 
 ROWS = TRACK_FRAMES + ", done boolean, confirmed boolean"
+COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
+
+
+def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, float, np.ndarray, np.ndarray, list[str]]]:
+    """Frames of rows in order: (frame, time, boxes, scores, classes); a row with null score stands for an empty frame."""
+    frame, t = rows["frame_index"].to_numpy(), rows["timestamp"].to_numpy(float)
+    boxes, scores, classes = rows[BOX].to_numpy(float), rows["score"].to_numpy(float), rows["vehicle_class"].tolist()
+    real = ~np.isnan(scores)
+    cuts = np.flatnonzero((np.diff(frame) != 0) | (np.diff(t) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+        if a < b:
+            own = slice(a, b) if real[a:b].all() else np.flatnonzero(real[a:b]) + a
+            yield int(frame[a]), float(t[a]), boxes[own], scores[own], classes[own] if isinstance(own, slice) else [classes[i] for i in own]
+
+
+class Rows:
+    """Collects output rows as arrays, a frame at a time."""
+
+    def __init__(self):
+        self.parts: list[pd.DataFrame] = []
+        self.live: list[tuple] = []
+
+    def add(self, key: tuple, tracker: Tracker, frame: int, t: float, matched: np.ndarray) -> None:
+        x = tracker
+        self.live.append((key, x.id.copy(), frame, t, x.state.copy(), matched, x.box.copy(), list(x.cls), x.score.copy(), x.hits.copy(), x.total.copy()))
+
+    def flush(self) -> pd.DataFrame | None:
+        if not self.live:
+            return None
+        key, ids, frame, t, state, matched, box, cls, score, hits, total = zip(*self.live)
+        n = [len(i) for i in ids]
+        many = lambda v: np.repeat(np.array(v), n)
+        box, hits, total = np.concatenate(box), np.concatenate(hits), np.concatenate(total)
+        out = pd.DataFrame({
+            "stream_id": np.repeat(np.array([k[0] for k in key], object), n), "run_id": np.repeat(np.array([k[1] for k in key], object), n), "track_id": np.concatenate(ids), "frame_index": many(frame), "timestamp": many(t),
+            "state": STATES[np.concatenate(state)], "matched": np.concatenate(matched), **{c: box[:, i] for i, c in enumerate(BOX)}, "vehicle_class": [c for own in cls for c in own],
+            "score": np.concatenate(score), "hits": hits, "class_confidence": total / hits, "done": False, "confirmed": False,
+        })
+        self.live = []
+        return out
 
 
 def follow(tracker: Tracker, key: tuple, rows: pd.DataFrame) -> list[tuple]:
-    """Feeds frames (a row with null score stands for an empty frame) to a tracker; output rows in the ROWS schema."""
+    """Feeds rows of frames to a tracker; output rows in the ROWS schema."""
     out = []
-    for (frame, t), group in rows.sort_values(["frame_index", "det_idx"]).groupby(["frame_index", "timestamp"], sort=True):
-        own = group[group["score"].notna()]
-        live, done = tracker.step(int(frame), float(t), own[BOX].to_numpy(float), own["score"].to_numpy(float), own["vehicle_class"].tolist())
+    for frame, *dets in frames_of(rows.sort_values(["frame_index", "timestamp", "det_idx"])):
+        live, done = tracker.step(frame, *dets)
         out += [(*key, *r, False, None) for r in live] + finished_rows(key, done)
     return out
 
@@ -210,26 +287,74 @@ def finished_rows(key: tuple, done: list[tuple]) -> list[tuple]:
     return [(*key, i, frame, t, "finished", False, None, None, None, None, cls, None, hits, None, True, confirmed) for i, frame, t, cls, confirmed, hits in done]
 
 
-COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
-
-
-def track(detections: DataFrame, frames: DataFrame | None = None, config: Config = Config()) -> DataFrame:
-    """Rows of live tracks frame by frame, and a row with ``done`` when one finishes (all do, at the latest after the last frame).
-
-    ``frames`` (stream_id, run_id, frame_index, timestamp) brings in frames without detections. One task follows one stream and run.
+#: Rows of live tracks that are collected before they go out.
+FLUSH_ROWS = 20_000
+
+
+def _follow_all(config: Config, every_frame: bool):
+    """Follows sorted rows, batch by batch; the last frame of a batch waits for the next one, as more of it may come."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tracker, key, rest, rows, size = Tracker(config), None, None, Rows(), 0
+
+        def ended() -> pd.DataFrame:
+            return pd.DataFrame(finished_rows(key, tracker.finish()), columns=COLUMNS)
+
+        def feed(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal size
+            done = []
+            for frame, t, *dets in frames_of(part):
+                over, matched = tracker.advance(frame, t, *dets)
+                done += finished_rows(key, over)
+                if every_frame and tracker.live:
+                    rows.add(key, tracker, frame, t, matched)
+                    size += tracker.live
+                    if size >= FLUSH_ROWS:
+                        yield rows.flush()
+                        size = 0
+            if done:
+                yield pd.DataFrame(done, columns=COLUMNS)
+
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            where = b.groupby(["stream_id", "run_id"], sort=False, dropna=False).ngroup().to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(b)]
+            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                own = tuple(b[["stream_id", "run_id"]].iloc[lo]) if lo < hi else key
+                if key is not None and own != key:
+                    yield ended()
+                    tracker = Tracker(config)
+                key = own
+                if hi == len(b):  # the last frame may go on in the next batch
+                    f, t = b["frame_index"].to_numpy()[lo:hi], b["timestamp"].to_numpy()[lo:hi]
+                    open_ = np.flatnonzero((f != f[-1]) | (t != t[-1]))
+                    at = lo + (int(open_[-1]) + 1 if len(open_) else 0)
+                    yield from feed(b.iloc[lo:at])
+                    rest = b.iloc[at:]
+                else:
+                    yield from feed(b.iloc[lo:hi])
+        if rest is not None and len(rest):
+            yield from feed(rest)
+        if (left := rows.flush()) is not None:
+            yield left
+        if key is not None:
+            yield ended()
+
+    return lambda batches: run(b for b in batches if len(b))
+
+
+def track(detections: DataFrame, frames: DataFrame | None = None, config: Config = Config(), every_frame: bool = True) -> DataFrame:
+    """Rows of live tracks frame by frame (left out unless ``every_frame``), and a row with ``done`` when one finishes (all do, at the latest after the last frame).
+
+    ``frames`` (stream_id, run_id, frame_index, timestamp) brings in frames without detections. One task follows a stream and run from its first frame
+    to its last, as every frame's outcome hangs on the one before; it keeps the tracker and a batch, so a stream may be of any length.
     """
     cols = ["stream_id", "run_id", "frame_index", "timestamp", "det_idx", *BOX, "score", "vehicle_class"]
     rows = detections.select(cols)
     if frames is not None:
         clock = frames.select("stream_id", "run_id", "frame_index", "timestamp")
         rows = clock.join(rows.drop("timestamp"), ["stream_id", "run_id", "frame_index"], "left").select(cols)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker = Tracker(config)
-        out = follow(tracker, key, pdf)
-        return pd.DataFrame(out + finished_rows(key, tracker.finish()), columns=COLUMNS)
-
-    return rows.groupBy("stream_id", "run_id").applyInPandas(run, ROWS)
+    keys = ["stream_id", "run_id"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_index", "timestamp", "det_idx").mapInPandas(_follow_all(config, every_frame), ROWS)
 
 
 def live_rows(tracked: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import attributes, events, lines, motion, plates, rules, tracking, zones
@@ -21,13 +21,18 @@ class Dimensions:
     limits: DataFrame
     rule_list: list[dict] = field(default_factory=list)
     watchlists: DataFrame | None = None
+    country: str | None = "TR"
+    plate_min_reads: int = 2
+    plate_gates: dict = field(default_factory=dict)
 
 
 def run_batch(detections: DataFrame, frames: DataFrame, dims: Dimensions, config: tracking.Config = tracking.Config(), plate_reads: DataFrame | None = None, observations: DataFrame | None = None, save=lambda df: df) -> dict[str, DataFrame]:
     """The result bundle (totals, tracks, events, event_counts) and the tables on the way.
 
     Tracking is one task per (stream, run); everything after is keyed by (stream, run, track), so its shuffles spread over tracks. The
-    tracker's rows feed several branches: pass a ``save`` that writes and rereads them (a checkpoint) so that they are made once.
+    tracker's rows, the gated plate reads and the primitive events feed several branches: pass a ``save`` that writes and rereads them (a checkpoint) so that each is made once.
+    ``plate_reads``: plate boxes as read, (stream_id, run_id, frame_index, det_idx, x1, y1, x2, y2, score, text, conf); those with a track_id are taken as assigned.
+    Rule events carry the payload that set them off in ``trigger_data``.
     """
     tracked = save(tracking.track(detections, frames, config))
     live, done = tracking.live_rows(tracked), tracking.finished(tracked)
@@ -40,17 +45,24 @@ def run_batch(detections: DataFrame, frames: DataFrame, dims: Dimensions, config
     parts = [events.from_speeding(over), events.started(live), events.from_crossings(crossed), events.from_visits(visits)]
     best = None
     if plate_reads is not None:
-        reads = plates.with_correction(plate_reads).where("valid")
-        best = plates.consensus(reads)
+        own = plate_reads if "track_id" in plate_reads.columns else plates.assign(plate_reads, live.where("state = 'active'"))
+        state = live.select(*lines.TRACK, "frame_index", "timestamp", "state", "vehicle_class")
+        own = own.drop("state", "timestamp", "vehicle_class").join(state, [*lines.TRACK, "frame_index"])
+        if "width" not in own.columns:
+            own = own.join(frames.select("stream_id", "run_id", "frame_index", "width", "height"), ["stream_id", "run_id", "frame_index"])
+        reads = save(plates.gates(own, country=dims.country, **dims.plate_gates).withColumn("seq", F.struct("frame_index", "det_idx")).withColumn("seq", F.row_number().over(Window.partitionBy(*lines.TRACK).orderBy("seq")).cast("long")))
+        moment = reads.select(*lines.TRACK, "seq", "frame_index", "timestamp", "vehicle_class")
+        given = plates.settled(reads, dims.country, dims.plate_min_reads).join(moment, [*lines.TRACK, "seq"])
+        parts.append(events.from_plates(given))
+        best = plates.last_given(given)
         if dims.watchlists is not None:
-            at = points.groupBy(*lines.TRACK).agg(F.max(F.struct("frame_index", "timestamp", "vehicle_class")).alias("p")).select(*lines.TRACK, "p.*")
-            parts.append(events.from_hits(plates.watchlist_hits(reads.withColumn("plate", F.col("text")), dims.watchlists).join(at, lines.TRACK)))
+            parts.append(events.from_hits(plates.watchlist_hits(given, dims.watchlists).join(moment, [*lines.TRACK, "seq"])))
     attrs = attributes.as_map(attributes.fuse(observations)) if observations is not None else None
     clock = frames.select("stream_id", "run_id", "frame_index", "wall_ts") if "wall_ts" in frames.columns else None
     summaries = events.summaries(done, points, moving, motion.distance(grounded), best, attrs, clock, config.max_history)
-    primitive = events.union(*parts, events.from_summaries(summaries))
+    primitive = save(events.union(*parts, events.from_summaries(summaries)))
     state = live.join(moving.select(*lines.TRACK, "frame_index", "speed_kmh"), [*lines.TRACK, "frame_index"], "left")
     allowed = rules.relevant(dims.rule_list, dims.lines, dims.zones, frames.select("stream_id"))
     fired = rules.fire(rules.with_state(primitive, state, visits), dims.rule_list, allowed) if dims.rule_list else None
-    every = events.union(primitive, fired.drop("trigger_data")) if fired is not None else primitive
+    every = events.union(primitive, fired) if fired is not None else primitive
     return exports.bundle(frames, every, summaries) | {"track_frames": live, "moving": moving, "crossings": crossed, "visits": visits, "line_counts": lines.counts(crossed, dims.lines)}

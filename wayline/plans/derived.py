@@ -14,15 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 CLASS_OF = {"click": "car", "view": "bus", "purchase": "truck", "signup": "van", "error": "motorcycle"}
+#: Event types whose anchors lie on a grid.
+STEPPED = ("view", "purchase")
 STREAMS = [f"cam{i}" for i in range(8)]
 _CASE = "case " + " ".join(f"when event_type = '{k}' then '{v}'" for k, v in CLASS_OF.items()) + " else 'car' end"
 
 
 def trajectories(spark: SparkSession, sf_dir: str, kind: str = "jitter") -> DataFrame:
-    """A row per event: one user is one track; anchors jitter about x = 100 or drift east."""
+    """A row per event: one user is one track; anchors jitter about x = 100, some of them in steps of 20 so that they meet lines, or drift east."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumn("k", (F.row_number().over(order) - 1).cast("long"))
-    x = F.expr("value % 200") if kind == "jitter" else F.expr("20.0D * k + value % 3")
+    x = F.expr(f"case when event_type in {STEPPED} then 20.0D * floor(value % 200 / 20) else value % 200 end") if kind == "jitter" else F.expr("20.0D * k + value % 3")
     y = F.expr("cast(100 + event_id % 50 as double)")
     return e.select(
         F.concat(F.lit("cam"), (F.col("user_id") % 8).cast("string")).alias("stream_id"), F.lit("r0").alias("run_id"), F.col("user_id").alias("track_id"), F.col("k").alias("frame_index"),
@@ -32,7 +34,7 @@ def trajectories(spark: SparkSession, sf_dir: str, kind: str = "jitter") -> Data
 
 
 def trajectory_sql(kind: str = "jitter") -> str:
-    x = "value % 200" if kind == "jitter" else "20.0 * k + value % 3"
+    x = f"case when event_type in {STEPPED} then 20.0::double * floor(value % 200 / 20) else value % 200 end" if kind == "jitter" else "20.0 * k + value % 3"
     return f"""
 base as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as k from events),
 traj0 as (select 'cam' || (user_id % 8) as stream_id, user_id as track_id, k as frame_index, k * 0.1::double as timestamp, epoch_us(ts) / 1000000.0::double as wall_ts, {_CASE} as vehicle_class,
@@ -106,7 +108,7 @@ b as (select l_orderkey as frame_index, row_number() over (partition by l_orderk
 
 def plate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of each customer's plate, one per order, some misread."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal", "c_mktsegment")
     o = table(spark, sf_dir, "orders").join(c, "o_custkey")
     key = F.col("o_custkey")
     letter = lambda d: F.substr(F.lit("ABCDEFGHIJKLMNOPRSTUVYZ"), (F.floor(key / d) % 23 + 1).cast("int"), F.lit(1))
@@ -116,7 +118,7 @@ def plate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice", "o_orderdate")
     return o.select(
         F.concat(F.lit("cam"), (F.col("c_nationkey") % 8).cast("string")).alias("stream_id"), F.lit("r0").alias("run_id"), key.alias("track_id"), F.row_number().over(order).cast("long").alias("seq"),
-        text.alias("text"), F.expr("0.5D + (o_orderkey % 50) / 100.0D").alias("conf"), F.col("o_orderkey"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate) / 1000000.0D").alias("wall_ts"), F.col("o_orderdate").alias("event_time"),
+        text.alias("text"), F.expr("0.5D + (o_orderkey % 50) / 100.0D").alias("conf"), F.col("o_orderkey"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate) / 1000000.0D").alias("wall_ts"), F.col("o_orderdate").alias("event_time"), "c_acctbal", "c_mktsegment",
     )
 
 
@@ -125,10 +127,10 @@ def _letter(d: int) -> str:
 
 
 READS_SQL = f"""
-p0 as (select o.*, c_nationkey, lpad((o_custkey % 81 + 1)::varchar, 2, '0') || {_letter(1)} || {_letter(7)} || lpad((o_custkey % 1000)::varchar, 3, '0') as plate from orders o join customer on c_custkey = o_custkey),
+p0 as (select o.*, c_nationkey, c_acctbal, c_mktsegment, lpad((o_custkey % 81 + 1)::varchar, 2, '0') || {_letter(1)} || {_letter(7)} || lpad((o_custkey % 1000)::varchar, 3, '0') as plate from orders o join customer on c_custkey = o_custkey),
 reads as (select 'cam' || (c_nationkey % 8) as stream_id, o_custkey as track_id, row_number() over (partition by o_custkey order by o_orderkey, o_totalprice, o_orderdate) as seq,
   case o_orderkey % 5 when 0 then replace(plate, '8', 'B') when 1 then substr(plate, 1, 2) || ' ' || lower(substr(plate, 3)) when 2 then substr(plate, 1, 6) else plate end as text,
-  0.5::double + (o_orderkey % 50) / 100.0::double as conf, o_orderkey, epoch_us(o_orderdate) / 1000000.0::double as wall_ts, o_orderdate as event_time from p0)"""
+  0.5::double + (o_orderkey % 50) / 100.0::double as conf, o_orderkey, epoch_us(o_orderdate) / 1000000.0::double as wall_ts, o_orderdate as event_time, c_acctbal, c_mktsegment from p0)"""
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def r6(c):
 _CROSS = f"""with {D.trajectory_sql()}, {D.LINES_SQL},
 sided as (select *, sign(0.0 * (y - 200.0) - (0.0 - 200.0) * (x - lx))::int as s, lag(x) over w as px, lag(y) over w as py from attached window w as (partition by track_id, line_id order by frame_index)),
 held as (select *, last_value(nullif(s, 0) ignore nulls) over (partition by track_id, line_id order by frame_index rows between unbounded preceding and 1 preceding) as hold,
-  case when px is null then 0 when px < lx and x >= lx and 200.0 - (py + (y - py) * (lx - px) / (x - px)) between 0 and 200 then 1 when px >= lx and x < lx and 200.0 - (py + (y - py) * (lx - px) / (x - px)) between 0 and 200 then -1 else 0 end as way from sided),
+  case when px is null then 0 when px < lx and x >= lx and 200.0 - (py + (y - py) * (lx - px) / (x - px)) between 0 and 200 then 1 when px > lx and x <= lx and 200.0 - (py + (y - py) * (lx - px) / (x - px)) between 0 and 200 then -1 else 0 end as way from sided),
 stays as (select *, sum((s <> 0 and hold is not null and s <> hold)::int) over (partition by track_id, line_id order by frame_index) as stay from held),
 spent as (select *, sum((s <> 0)::int) over (partition by track_id, line_id, stay order by frame_index) as spent from stays),
 gone as (select *, lag(spent) over (partition by track_id, line_id order by frame_index) as gone, coalesce(max((way <> 0)::int) over (partition by track_id, line_id order by frame_index rows between unbounded preceding and 1 preceding), 0) as before from spent),
@@ -176,10 +176,10 @@ def w09_distance(spark, sf):
 @query(_EMA.replace("with recursive", "with recursive", 1) + """, over_ as (select e.track_id, o.timestamp, e.v, o.frame_index, row_number() over (partition by e.track_id order by o.frame_index) as k from ema e join ordered o on o.track_id = e.track_id and o.n = e.n where e.v > 70),
 fire as (select track_id, k, timestamp as last, true as fired, v, frame_index from over_ where k = 1
   union all select o.track_id, o.k, case when o.timestamp - f.last >= 30 then o.timestamp else f.last end, o.timestamp - f.last >= 30, o.v, o.frame_index from fire f join over_ o on o.track_id = f.track_id and o.k = f.k + 1)
-select track_id, frame_index, round(round_even(v, 1), 0) as speed_kmh from fire where fired""")
+select track_id, frame_index, round_even(v, 1) as speed_kmh from fire where fired""")
 def w10_speeding(spark, sf):
     limits = spark.createDataFrame([(s, 70.0) for s in D.STREAMS], "stream_id string, limit_kmh double")
-    return motion.speeding(_moving(spark, sf), limits).select("track_id", "frame_index", F.round("speed_kmh", 0).alias("speed_kmh"))
+    return motion.speeding(_moving(spark, sf), limits).select("track_id", "frame_index", "speed_kmh")
 
 
 @query(f"with {D.trajectory_sql()}, n as (select *, row_number() over (partition by track_id order by frame_index desc) as back from traj) select track_id, count(*) as n_points, min(frame_index) as oldest from n where back <= 50 group by all")
@@ -353,10 +353,9 @@ def w15_attribute_cadence(spark, sf):
 
 # --- plates ------------------------------------------------------------------------------------------------------
 
-@query(r"select doc_id, regexp_replace(translate(upper(left(text, 40)), 'İŞĞÜÖÇ', 'ISGUOC'), '[^A-Z0-9]', '', 'g') as plate from documents where text is not null and not contains(left(text, 40), 'ß')")
+@query(r"select doc_id, regexp_replace(translate(upper(replace(text, 'ß', 'ss')), 'İŞĞÜÖÇ', 'ISGUOC'), '[^A-Z0-9]', '', 'g') as plate from documents where text is not null")
 def f01_normalize_plate(spark, sf):
-    d = D.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("t")).where("t is not null and not contains(t, 'ß')")
-    return d.select("doc_id", P.normalize(F.col("t")).alias("plate"))
+    return D.table(spark, sf, "documents").where("text is not null").select("doc_id", P.normalize(F.col("text")).alias("plate"))
 
 
 _NORM = r"regexp_replace(upper(text), '[^A-Z0-9]', '', 'g')"
@@ -388,10 +387,10 @@ def f05_hash_plate(spark, sf):
     return D.plate_reads(spark, sf).select("o_orderkey", P.hashed(F.col("text"), "pepper").alias("hash"))
 
 
-@query(f"with {D.READS_SQL} select o_orderkey, {_NORM} as plate from reads where contains({_NORM}, '1AB')")
+@query(f"with {D.READS_SQL} select o_orderkey, {_NORM} as plate from reads where contains({_NORM}, '1C')")
 def f08_plate_search(spark, sf):
     rows = D.plate_reads(spark, sf).withColumn("plate", P.at_rest(F.col("text"), "plain", ""))
-    return rows.where(P.matches_search(F.col("plate"), F.lit("1 ab"), "plain", "")).select("o_orderkey", "plate")
+    return rows.where(P.matches_search(F.col("plate"), F.lit("1 c"), "plain", "")).select("o_orderkey", "plate")
 
 
 _VOTES = f"""with {_FIXED}, r as (select stream_id, track_id, seq, coalesce(found, t) as text, greatest(conf, 1e-6) as w, length(coalesce(found, t)) as len from fixed where coalesce(found, t) <> ''),
@@ -410,23 +409,40 @@ def a08_plate_consensus(spark, sf):
     return plates.consensus(_corrected_reads(spark, sf)).select("track_id", "plate", F.round("confidence", 5).alias("confidence"), "n_reads")
 
 
-@query()
+_EMITTED = f"""with {_FIXED}, r as (select stream_id, track_id, seq, coalesce(found, t) as text, greatest(conf, 1e-6) as w, length(coalesce(found, t)) as len, (found is not null and found <> t) as mended from fixed where coalesce(found, t) <> ''),
+pre as (select a.stream_id, a.track_id, a.seq as upto, b.seq, b.text, b.w, b.len from r a join r b on a.stream_id = b.stream_id and a.track_id = b.track_id and b.seq <= a.seq),
+l0 as (select stream_id, track_id, upto, len, count(*) as n, round(sum(w), 6) as s from pre group by all), l as (select stream_id, track_id, upto, arg_max(len, {{'n': n, 's': s, 'l': len}}) as len from l0 group by all), g as (select p.* from pre p join l using (stream_id, track_id, upto, len)),
+c as (select stream_id, track_id, upto, slot, substr(text, slot::int, 1) as ch, sum(w) as w, min(seq) as first from g, range(1, len + 1) as z(slot) group by all),
+b as (select stream_id, track_id, upto, slot, arg_max(ch, {{'w': round(w, 6), 'f': -first}}) as ch, max(w) / sum(w) as share from c group by all),
+p as (select stream_id, track_id, upto, string_agg(ch, '' order by slot) as plate, avg(share) as confidence from b group by all),
+agreed as (select p.stream_id, p.track_id, p.upto, p.plate, any_value(p.confidence) as confidence, count(*)::int as n_reads from p join g on g.stream_id = p.stream_id and g.track_id = p.track_id and g.upto = p.upto and g.text = p.plate group by all having count(*) >= 2),
+given as (select *, lag(plate) over (partition by stream_id, track_id order by upto) as prior from agreed qualify prior is null or prior <> plate)"""
+
+
+@query(_EMITTED + " select track_id, upto as seq, plate, round(confidence, 5) as confidence, n_reads from given")
 def w12_plate_emissions(spark, sf):
     return plates.emissions(_corrected_reads(spark, sf)).select("track_id", "seq", "plate", F.round("confidence", 5).alias("confidence"), "n_reads")
 
 
+@query(_EMITTED + f""", n2 as (select g.*, plate as t, (select bool_or(r.mended) from r where r.stream_id = g.stream_id and r.track_id = g.track_id and r.seq <= g.upto) as before from given g),
+again as (select *, coalesce(case when regexp_matches(t, {_LEGAL}) then t end, {_TRIES}) as found from n2)
+select track_id, upto as seq, coalesce(found, t) as plate, found is not null as valid, case when found is not null then 'TR' end as country, (found is not null and found <> t) or before as corrected from again""")
+def w12_settled_plates(spark, sf):
+    return plates.settled(_corrected_reads(spark, sf)).select("track_id", "seq", "plate", "valid", "country", "corrected")
+
+
 @query(f"with {_FIXED} select track_id, seq, bool_or(found is not null and found <> t) over (partition by stream_id, track_id order by seq rows unbounded preceding) as ever_corrected from fixed")
 def w13_corrected_carry(spark, sf):
     return plates.corrected_so_far(_corrected_reads(spark, sf)).select("track_id", "seq", "ever_corrected")
 
 
 def _watchlists(spark, sf):
-    c = D.table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    seen = D.plate_reads(spark, sf).where("o_orderkey % 5 = 4").select(F.col("track_id").alias("o_custkey"), "text").distinct()
-    return c.join(seen, "o_custkey").select(F.concat(F.lit("w"), (F.col("o_custkey") % 3).cast("string")).alias("watchlist_id"), F.lit("Wanted").alias("name"), F.col("text").alias("plate"))
+    """A list for each market segment: every text read of customers in debt."""
+    owing = D.plate_reads(spark, sf).where("c_acctbal < 0")
+    return owing.select(F.col("c_mktsegment").alias("watchlist_id"), F.lit("Wanted").alias("name"), F.col("text").alias("plate")).distinct()
 
 
-_LISTS = f"{_FIXED}, lists as (select distinct 'w' || (track_id % 3) as watchlist_id, {_NORM} as p from reads where o_orderkey % 5 = 4 and track_id % 10 = 0)"
+_LISTS = f"{_FIXED}, lists as (select distinct c_mktsegment as watchlist_id, {_NORM} as p from reads where c_acctbal < 0)"
 
 
 @query(f"with {_LISTS} select f.track_id, watchlist_id, min(seq) as seq, arg_min(coalesce(found, t), seq) as plate from fixed f join lists on coalesce(found, t) = p group by all")
@@ -551,11 +567,11 @@ def s13_action_outbox(spark, sf):
     return rules.outbox(_fired(spark, sf), acts).groupBy("rule_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query(f"""with recursive {D.trajectory_sql()}, o as (select track_id, timestamp as t, row_number() over (partition by track_id order by frame_index) as k, frame_index from traj where event_id % 3 > 0),
+@query(f"""with recursive {D.trajectory_sql()}, o as (select track_id, timestamp as t, row_number() over (partition by track_id order by frame_index) as k, frame_index from traj),
 w as (select track_id, k, t as last, true as fired, frame_index from o where k = 1 union all select o.track_id, o.k, case when o.t - w.last >= 0.45 then o.t else w.last end, o.t - w.last >= 0.45, o.frame_index from w join o on o.track_id = w.track_id and o.k = w.k + 1)
 select track_id, frame_index from w where fired""")
 def w11_cooldown(spark, sf):
-    rows = D.trajectories(spark, sf).where("event_id % 3 > 0")
+    rows = D.trajectories(spark, sf)
     return spaced(rows, lines.TRACK, "timestamp", ["frame_index"], 0.45).select("track_id", "frame_index")
 
 
@@ -720,9 +736,14 @@ def f09_credential_scrub(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", T.scrub_credentials(text).alias("text"))
 
 
-@query(f"with {D.READS_SQL} select o_orderkey, '{{\"a\":{{\"plate\":\"' || sha256('s' || {_NORM}) || '\"}},\"n\":1}}' as payload from reads")
+_HASHED = f"sha256('s' || {_NORM})"
+
+
+@query(f"""with {D.READS_SQL} select o_orderkey, '{{"plate":["' || {_HASHED} || '","' || {_HASHED} || '"],"class":"' || text || '","a":[{{"text":"' || {_HASHED} || '","n":1,"x":{{"raw_text":[["' || {_HASHED} || '"]],"say":"\\"plate\\": ' || text || '"}}}}]}}' as payload from reads""")
 def f06_payload_scrub(spark, sf):
-    raw = F.concat(F.lit('{"a":{"plate":"'), F.col("text"), F.lit('"},"n":1}'))
+    """Lists, nesting, escapes, and equal values under other keys."""
+    t = F.col("text")
+    raw = F.concat(F.lit('{"plate": ["'), t, F.lit('", "'), t, F.lit('"], "class": "'), t, F.lit('", "a": [{"text": "'), t, F.lit('", "n": 1, "x": {"raw_text": [["'), t, F.lit('"]], "say": "\\"plate\\": '), t, F.lit('"}}]}'))
     return D.plate_reads(spark, sf).select("o_orderkey", store.scrub_json(raw, "s").alias("payload"))
 
 
@@ -742,23 +763,29 @@ def w16_frame_sampling(spark, sf):
     return sampling.sample(frames).groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if("admitted").alias("admitted"))
 
 
-def _tracked(spark, sf):
+def _detections(spark, sf):
     b = D.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 16).alias("s"), F.col("l_orderkey").alias("frame_index"), "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_linenumber", "l_extendedprice")
     k = F.row_number().over(lines.Window.partitionBy("frame_index").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linenumber")) - 1
     x, y = F.expr("cast(l_partkey % 20 as double) * 30"), F.expr("cast(l_suppkey % 10 as double) * 30")
-    dets = b.select(F.concat(F.lit("cam"), F.col("s").cast("string")).alias("stream_id"), F.lit("r0").alias("run_id"), "frame_index", (F.col("frame_index") * F.lit(0.02)).alias("timestamp"), k.cast("int").alias("det_idx"), x.alias("x1"), y.alias("y1"), (x + 40.0).alias("x2"), (y + 30.0).alias("y2"), (F.col("l_discount") * 10).alias("score"), F.lit("car").alias("vehicle_class"))
-    return tracking.track(dets)
+    return b.select(F.concat(F.lit("cam"), F.col("s").cast("string")).alias("stream_id"), F.lit("r0").alias("run_id"), "frame_index", (F.col("frame_index") * F.lit(0.02)).alias("timestamp"), k.cast("int").alias("det_idx"), x.alias("x1"), y.alias("y1"), (x + 40.0).alias("x2"), (y + 30.0).alias("y2"), (F.col("l_discount") * 10).alias("score"), F.lit("car").alias("vehicle_class"))
 
 
 @query()
 def t01_tracking(spark, sf):
-    return tracking.finished(_tracked(spark, sf)).groupBy("stream_id", "confirmed").agg(F.count("*").alias("tracks"), F.sum("hits").alias("hits"))
+    return tracking.finished(tracking.track(_detections(spark, sf), every_frame=False)).select("stream_id", "track_id", "frame_index", "confirmed", "hits")
+
+
+@query()
+def t02_track_frames(spark, sf):
+    """Live tracks at every frame, summed up by frame."""
+    rows = tracking.live_rows(tracking.track(_detections(spark, sf)))
+    return rows.groupBy("stream_id", "frame_index").agg(F.count("*").alias("live"), F.count_if("matched").alias("matched"), F.count_if(F.col("state") == "lost").alias("lost"), F.sum("hits").alias("hits"))
 
 
-@query(f"with {D.trajectory_sql()}, h as (select * from traj where event_id % 4 > 0), span as (select track_id, min(frame_index) as a, max(frame_index) as b from h group by all), g as (select t.track_id, t.frame_index from traj t join span s on t.track_id = s.track_id and t.frame_index between a and b) select g.track_id, g.frame_index, h.event_id is not null as matched, round(last_value(h.x ignore nulls) over (partition by g.track_id order by g.frame_index), 6) as x from g left join h using (track_id, frame_index)")
+@query(f"with {D.trajectory_sql()}, h as (select * from traj where vehicle_class <> 'bus'), span as (select track_id, min(frame_index) as a, max(frame_index) as b from h group by all), g as (select t.track_id, t.frame_index from traj t join span s on t.track_id = s.track_id and t.frame_index between a and b) select g.track_id, g.frame_index, h.event_id is not null as matched, round(last_value(h.x ignore nulls) over (partition by g.track_id order by g.frame_index), 6) as x from g left join h using (track_id, frame_index)")
 def j06_carry_forward(spark, sf):
     t = D.trajectories(spark, sf)
     # every track is its own clock here, so that frames and rows agree
     own = t.withColumn("run_id", F.col("track_id").cast("string"))
-    out = tracking.carried(own.where("event_id % 4 > 0").drop("event_id", "value", "wall_ts", "score"), own.select("stream_id", "run_id", "frame_index", "timestamp"))
+    out = tracking.carried(own.where("vehicle_class <> 'bus'").drop("event_id", "value", "wall_ts", "score"), own.select("stream_id", "run_id", "frame_index", "timestamp"))
     return out.select("track_id", "frame_index", "matched", r6((F.col("x1") + F.col("x2")) / 2).alias("x"))

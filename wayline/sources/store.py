@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+import uuid
+from datetime import datetime, timezone
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..functions import plates as P
 
@@ -14,23 +22,67 @@ def wall_date(wall_ts: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(wall_ts / 86400).cast("int"))
 
 
-def _scrubbed(data: Column, mode: str, salt: str, fields: list[str]) -> Column:
-    if mode == "hashed" and "plate" in fields:
-        return data.withField("plate", F.when(data["plate"].isNotNull(), P.hashed(data["plate"], salt)))
-    return data
+#: Payload keys whose strings are plates.
+PLATE_KEYS = ("plate", "plate_text", "text", "raw_text", "matched_plate")
+
+
+def _may_hold(kind: DataType, key: str | None) -> bool:
+    if isinstance(kind, StructType):
+        return any(_may_hold(f.dataType, f.name) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _may_hold(kind.elementType, key)
+    return isinstance(kind, MapType) or isinstance(kind, StringType) and key in PLATE_KEYS
+
+
+def scrub(value: Column, kind: DataType, salt: str, key: str | None = None) -> Column:
+    """``value`` of type ``kind`` with every string under a plate key hashed: in structs, maps and arrays at any depth; elements of an array stand under its key."""
+    if isinstance(kind, StructType):
+        out = value
+        for f in kind.fields:
+            if _may_hold(f.dataType, f.name):
+                out = out.withField(f"`{f.name}`", scrub(value[f.name], f.dataType, salt, f.name))
+        return out
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: scrub(x, kind.elementType, salt, key))
+    if isinstance(kind, MapType):
+        if isinstance(kind.valueType, StringType):
+            return F.transform_values(value, lambda k, v: F.when(k.isin(*PLATE_KEYS), P.hashed(v, salt)).otherwise(v))
+        return F.transform_values(value, lambda k, v: scrub(v, kind.valueType, salt, None))
+    return P.hashed(value, salt) if isinstance(kind, StringType) and key in PLATE_KEYS else value
 
 
 def event_rows(events: DataFrame, mode: str = "plain", salt: str = "") -> DataFrame:
-    """Events as stored; in hashed mode no payload holds a plate. Partition columns at the end."""
-    data = _scrubbed(F.col("data"), mode, salt, events.select("data.*").columns)
-    return events.withColumn("data", data).withColumn("wall_date", wall_date(F.col("wall_ts")))
+    """Events as stored; in hashed mode neither the payload nor a rule's trigger_data holds a plate. Partition columns at the end."""
+    if mode == "hashed":
+        events = events.withColumns({c: scrub(F.col(c), events.schema[c].dataType, salt) for c in ("data", "trigger_data") if c in events.columns})
+    return events.withColumn("wall_date", wall_date(F.col("wall_ts")))
 
 
 def scrub_json(text: Column, salt: str) -> Column:
-    """Free JSON text with the values of plate, plate_text, text, raw_text and matched_plate hashed at any depth: a variant walk isn't needed, as only string values after these keys change."""
-    keys = "plate|plate_text|text|raw_text|matched_plate"
-    found = F.regexp_extract_all(text, F.lit(rf'"(?:{keys})"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    return F.aggregate(F.array_distinct(found), text, lambda acc, v: F.replace(acc, F.concat(F.lit('"'), v, F.lit('"')), F.concat(F.lit('"'), P.hashed(v, salt), F.lit('"'))))
+    """Free JSON text with strings under plate keys hashed at any depth, lists included; a key's reach ends at the next object's own keys.
+
+    The text is parsed, so escapes, blanks and equal values under other keys are no matter; it comes back without blanks. What is no JSON comes back null, as it can't be
+    shown to be clean. Keys of free JSON aren't known to the plan, so this is a pandas UDF over Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _scrub_text(t, salt))
+
+    return run(text)
+
+
+def _scrub_text(text: str | None, salt: str) -> str | None:
+    def walk(value, key):
+        if isinstance(value, dict):
+            return {k: walk(v, k) for k, v in value.items()}
+        if isinstance(value, list):
+            return [walk(v, key) for v in value]
+        return hashlib.sha256((salt + P.normal_form(value)).encode()).hexdigest() if isinstance(value, str) and key in PLATE_KEYS else value
+
+    try:
+        return None if text is None else json.dumps(walk(json.loads(text), None), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
 
 
 def track_rows(events: DataFrame, mode: str = "plain", salt: str = "") -> DataFrame:
@@ -44,11 +96,23 @@ def track_rows(events: DataFrame, mode: str = "plain", salt: str = "") -> DataFr
     return rows.withColumn("wall_date", wall_date(F.col("last_wall_ts")))
 
 
+def _plate_of(data: Column, kind: StructType) -> Column:
+    """A payload's plate: plate or, if that is missing or empty, text; either may be a struct with a text of its own."""
+    found = []
+    for f in kind.fields:
+        if f.name in ("plate", "text"):
+            value = data[f.name]["text"] if isinstance(f.dataType, StructType) else data[f.name]
+            found.append((f.name, F.when(value != "", value)))
+    return F.coalesce(*[c for _, c in sorted(found, key=lambda x: x[0])])
+
+
 def plate_rows(events: DataFrame, mode: str = "plain", salt: str = "") -> DataFrame:
     """One row for each plate_read that has a plate."""
-    d = F.col("data")
-    rows = events.where((F.col("type") == "plate_read") & d["plate"].isNotNull() & (d["plate"] != ""))
-    rows = rows.select("id", "stream_id", "run_id", "track_id", P.at_rest(d["plate"], mode, salt).alias("plate"), F.coalesce(d["confidence"], d["plate_confidence"]).alias("confidence"), F.coalesce(d["valid"], F.lit(False)).alias("valid"), d["country"].alias("country"), "wall_ts")
+    d, kind = F.col("data"), events.schema["data"].dataType
+    has = lambda name, other: d[name] if name in kind.names else other
+    none = F.lit(None).cast("double")
+    rows = events.withColumn("_p", _plate_of(d, kind)).where("type = 'plate_read' and _p is not null")
+    rows = rows.select("id", "stream_id", "run_id", "track_id", P.at_rest(F.col("_p"), mode, salt).alias("plate"), F.coalesce(has("confidence", none), has("plate_confidence", none)).alias("confidence"), F.coalesce(has("valid", F.lit(False)), F.lit(False)).alias("valid"), has("country", F.lit(None).cast("string")).alias("country"), "wall_ts")
     return rows.withColumn("wall_date", wall_date(F.col("wall_ts")))
 
 
@@ -107,18 +171,50 @@ def retain(rows: DataFrame, clock: str, now: float, days: float | None) -> DataF
     return rows.where(~expired(rows, clock, now, days))
 
 
-def purge(spark: SparkSession, path: str, clock: str, now: float, days: float | None, out: str) -> int:
-    """Writes what is kept to ``out`` (days wholly past are never read) and returns how many rows go."""
-    rows = load(spark, path)
+def purge(spark: SparkSession, path: str, clock: str, now: float, days: float | None) -> int:
+    """Removes what is past its days from the table at ``path`` and returns how many rows go.
+
+    Folders of days wholly past are dropped unread; only the day of the border is rewritten, beside its folder, and then put in its place. Rows without a clock stay.
+    """
     if days is None:
         return 0
-    gone = rows.where(expired(rows, clock, now, days)).count()
-    first = wall_date(F.lit(float(now - days * 86400)))
-    kept = rows.where(F.col("wall_date").isNull() | (F.col("wall_date") >= first))
-    retain(kept, clock, now, days).write.mode("overwrite").partitionBy("wall_date", "stream_id").parquet(out)
+    rows, border = load(spark, path), now - days * 86400
+    last = datetime.fromtimestamp(math.floor(border / 86400) * 86400, timezone.utc).date()
+    old = rows.where(F.col("wall_date") <= F.lit(last))
+    gone = old.where(expired(old, clock, now, days)).count()
+    if not gone:
+        return 0
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(root, name)
+    beside = f"_border-{uuid.uuid4().hex}"  # a leading underscore hides it from readers
+    kept = rows.where(F.col("wall_date") == F.lit(last)).where(~expired(rows, clock, now, days)).drop("wall_date")
+    kept.write.partitionBy("stream_id").parquet(f"{path}/{beside}")
+    folders = [(f.getPath(), f.getPath().getName()) for f in fs.listStatus(root)]
+    for folder, name in folders:
+        day = name.removeprefix("wall_date=")
+        if day != name and day != "__HIVE_DEFAULT_PARTITION__" and day < last.isoformat():
+            fs.delete(folder, True)
+    own = at(f"wall_date={last.isoformat()}")
+    if fs.exists(own):
+        fs.rename(own, at(f"{beside}-old"))
+        if any(f.isDirectory() for f in fs.listStatus(at(beside))):
+            fs.rename(at(beside), own)
+        else:
+            fs.delete(at(beside), True)
+        fs.delete(at(f"{beside}-old"), True)
+    else:
+        fs.delete(at(beside), True)
+    spark.catalog.refreshByPath(path)
     return gone
 
 
+def purge_all(spark: SparkSession, tables: dict[str, tuple[str, str, float | None]], now: float) -> dict[str, int]:
+    """``purge`` of each table given as (path, clock column, days): how many rows went."""
+    return {name: purge(spark, path, clock, now, days) for name, (path, clock, days) in tables.items()}
+
+
 def purge_counts(tables: dict[str, tuple[DataFrame, str, float | None]], now: float) -> DataFrame:
     """(table, removed, kept) for tables given with clock column and days."""
     out = None
