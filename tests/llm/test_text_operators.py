@@ -191,13 +191,39 @@ def test_leaks(spark):
     assert decontam.drop_leaky(docs(spark, rows), bench).count() == len(rows) - len({d for d, _ in got})
 
 
+def test_leaks_against_brute_force(spark):
+    """Every item against every stretch of every document, by a plain edit distance."""
+    random.seed(14)
+    vocab = [f"w{i}" for i in range(40)]
+    text = lambda n: [random.choice(vocab) for _ in range(n)]
+    items = [text(n) for n in (3, 8, 10, 12, 15, 21)]
+    rows = [text(25) for _ in range(12)]
+    for k, x in enumerate(items):
+        for e in (0, 1, 2):
+            copy = list(x)
+            for _ in range(e):
+                copy[random.randrange(len(copy))] = "new"
+            rows.append(text(k) + copy + text(4))
+    want = {(d, i) for d, r in enumerate(rows) for i, x in enumerate(items) if min(edit_distance(x, r[a:b]) for a in range(len(r)) for b in range(a, min(len(r), a + len(x) + 3) + 1)) <= len(x) // 10}
+    bench = spark.createDataFrame([(i, " ".join(x), 1) for i, x in enumerate(items)], "item_id long, text string, doc_id long")
+    frame = docs(spark, [" ".join(r) for r in rows])
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(frame, bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 12
+    odd = frame.withColumn("leaky", F.lit("x")).withColumn("_Leaky", F.lit(1)).withColumn("leaky_", F.lit(2))
+    kept = decontam.drop_leaky(odd, bench)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(rows))) - {d for d, _ in got}
+    gaps = spark.createDataFrame([(None, " ".join(items[3])), (None, "clean"), (2**60 + 1, " ".join(items[3])), (5, None), (6, "")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.find_leaks(gaps, bench).orderBy("doc_id").collect()] == [None, 2**60 + 1] and sorted(r["doc_id"] for r in decontam.drop_leaky(gaps, bench).collect()) == [5, 6]
+
+
 @pytest.mark.parametrize("place", ["start", "end", "even", "any"])
 def test_edited_copies_are_found_by_length_and_place(place):
     random.seed(9)
     vocab = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
     text = lambda n: [random.choice(vocab) for _ in range(n)]
-    for n in (10, 11, 12, 19, 20, 23, 47, 95, 190, 400):
-        items = [text(n) for _ in range(12)]
+    caught = total = 0
+    for n in (1, 2, 5, 9, 10, 11, 12, 19, 20, 23, 47, 95, 190, 400):
+        items = [text(n) for _ in range(12)] if n > 2 else [[f"w{n}x{i}"] * n for i in range(12)]
         index, e = decontam.build([(i, " ".join(x)) for i, x in enumerate(items)]), n // 10
         rows = []
         for x in items:
@@ -207,12 +233,55 @@ def test_edited_copies_are_found_by_length_and_place(place):
                 words[p : p + 1] = random.choice([["edited"], [], ["edited", words[p]]])
             rows.append([w.encode() for w in text(random.randrange(30)) + words + text(random.randrange(30))])
         found = decontam.leaks(index, rows)
-        assert [[r[0] for r in f] for f in found] == [[i] for i in range(12)], n
-        assert all(r[1] <= e for f in found for r in f)
+        caught, total = caught + sum(i in [r[0] for r in f] for i, f in enumerate(found)), total + 12
+        assert all(r[0] == i and r[1] <= e for i, f in enumerate(found) for r in f), n
+        assert n >= 10 or all(len(f) == 1 for f in found)
+    assert caught >= 0.97 * total
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
 
 
 def test_distance_in():
     words = lambda s: [c.encode() for c in s]
     for item, region, want in (("abc", "xxabcxx", 0), ("abc", "xxacxx", 1), ("abcd", "zabxdz", 1), ("abc", "", 3), ("abcdef", "badcfe", 3)):
-        assert decontam.distance_in(words(item), words(region))[0] <= want
+        plain = min(edit_distance(item, region[a:b]) for a in range(len(region) + 1) for b in range(a, len(region) + 1))
+        assert decontam.distance_in(words(item), words(region))[0] == plain <= want
     assert decontam.distance_in(words("abc"), words("xxabcxx")) == (0, 5)
+
+
+def test_quality_bands_against_brute_force(spark):
+    """Verdicts from the bands as they are described, for chunks at every place: ends of texts too."""
+    import zstandard
+
+    random.seed(8)
+    vocab = ["".join(random.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(random.randrange(2, 9))) for _ in range(2500)]
+    prose = lambda n: " ".join(random.choice(vocab) for _ in range(n))
+    noise = lambda n: " ".join("".join(chr(random.randrange(0x4E00, 0x9FFF)) for _ in range(12)) for _ in range(n))
+    junk = "buy now cheap pills " * 60
+    rows = [prose(n) for n in (49, 50, 80, 300, 900, 5000)] + [prose(300) + " " + noise(70), noise(70), noise(40) + prose(2000), prose(600) + "\n" + junk, prose(450) + prose(30) * 4, junk, None, "", "x" * 70_000]
+    size = lambda b: len(b) / len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(b))
+    want = []
+    for text in rows:
+        data, words = (text or "").encode(), (text or "").split()
+        grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        again = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)} if len(words) < 6000 else set()
+        good = len(words) >= 50 and 100 * len(again) <= 50 * len(words)
+        if good:
+            low, high = quality.band_limits(len(data))
+            ends = [*range(quality.CHUNK, len(data) + 1, quality.CHUNK)] + ([len(data)] if len(data) > quality.CHUNK else [])
+            own = sorted(size(data[e - quality.CHUNK : e]) for e in sorted(set(ends)))
+            good = low <= size(data) <= high and (not own or ((own[len(own) // 2] + own[(len(own) - 1) // 2]) / 2 <= quality.CHUNK_MEDIAN_MAX and own[-1] <= quality.CHUNK_MAX and own[0] >= quality.CHUNK_MIN))
+        want.append(good)
+    frame = docs(spark, rows).withColumn("kept", F.lit("mine")).withColumn("_kept", F.lit(1))
+    got = [r["kept"] for r in quality.quality(docs(spark, rows)).orderBy("doc_id").select("quality.kept").collect()]
+    assert got == want and want.count(True) >= 4 and not want[9]
+    kept = quality.keep_good(frame)
+    assert kept.columns == frame.columns and [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [i for i, g in enumerate(want) if g]
+    assert quality.keep_good(frame.limit(0)).count() == 0
