@@ -285,3 +285,52 @@ def test_quality_bands_against_brute_force(spark):
     kept = quality.keep_good(frame)
     assert kept.columns == frame.columns and [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [i for i, g in enumerate(want) if g]
     assert quality.keep_good(frame.limit(0)).count() == 0
+
+
+def test_copies_against_brute_force(spark):
+    """Groups of texts with 0.8 of their five-word shingles in common, by comparing all pairs."""
+    random.seed(21)
+    vocab = [f"w{i}" for i in range(3000)]
+    text = lambda n: [random.choice(vocab) for _ in range(n)]
+    passage, rows = text(40), []
+    for k in range(25):
+        own = text(random.randrange(60, 200)) + (passage if k % 2 else [])
+        rows.append(" ".join(own))
+        for edits in (1, 2, 3, 5):
+            copy = list(own)
+            for _ in range(edits):
+                copy[random.randrange(len(copy))] = random.choice(vocab)
+            rows.append(" ".join(copy))
+    hot = text(150)
+    for _ in range(40):  # one large group of near copies
+        copy = list(hot)
+        copy[random.randrange(len(copy))] = random.choice(vocab)
+        rows.append(" ".join(copy))
+    rows += [rows[0], rows[3].upper(), None, "", "", "a b", "a b", "a c", "  "]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r or "").lower().split()) else set() for r in rows]
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = (len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8) if grams[i] and grams[j] else (rows[i] or "") == (rows[j] or "")
+            if alike:
+                near += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i for i in range(len(rows)) if find(i) == i}
+    frame = docs(spark, rows).withColumn("node", F.lit("mine")).withColumn("_First_id", F.lit(1)).withColumn("first", F.lit(2))
+    kept = simhash.keep_one_each(frame)
+    got = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert near > 500 and kept.columns == frame.columns and len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 0.02 * (len(rows) - len(want))
+    assert simhash.keep_one_each(frame.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "x y"), (None, "x y"), (7, "x y"), (7, "x y"), (7, "other words"), (None, "lonely")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one_each(odd).collect()), key=str) == [(7, "other words"), (7, "x y"), (None, "lonely")]
+
+
+def test_copy_segments_cover_the_fingerprint():
+    import numpy as np
+
+    limbs = [np.array([random.getrandbits(63)], np.int64) for _ in range(4)]
+    whole = sum((int(x[0]) & (1 << 64) - 1) << (64 * i) for i, x in enumerate(limbs))
+    assert [int(s[0]) for s in simhash.copy_segments(limbs)] == [whole >> (23 * i) & (1 << 23) - 1 for i in range(simhash.COPY_SEGMENTS)]
