@@ -334,3 +334,16 @@ def test_copy_segments_cover_the_fingerprint():
     limbs = [np.array([random.getrandbits(63)], np.int64) for _ in range(4)]
     whole = sum((int(x[0]) & (1 << 64) - 1) << (64 * i) for i, x in enumerate(limbs))
     assert [int(s[0]) for s in simhash.copy_segments(limbs)] == [whole >> (23 * i) & (1 << 23) - 1 for i in range(simhash.COPY_SEGMENTS)]
+
+
+def test_bpe_batches_against_the_library():
+    """Many texts at once: blanks, contractions, texts that are empty, longer than a batch, or hold special tokens."""
+    from tokenizers import Tokenizer
+
+    random.seed(4)
+    parts = ["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "  ", "\n", "\t", " ", "　", "a", "Z", "é", "7", "٣", "!", "..", "’", "日本", "<|endoftext|>", "é", "😀"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(30))) for _ in range(3000)] + ["", "word " * 90_000, "x" * 2000, " " * 500]
+    codec, library = bpe.load(open(vocabulary(), encoding="utf-8").read()), Tokenizer.from_file(vocabulary())
+    got, want = codec.encode_all(texts), library.encode_batch(texts, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(got, want))
+    assert all(codec.decode(a) == library.decode(b.ids, skip_special_tokens=False) for a, b in zip(got, want))

@@ -3,14 +3,19 @@
 The automaton's states are tokens (the last one read) and its arcs are labelled with tokens. It starts with one
 arc for every pair of bytes. Each merge (u, v), in order, adds a gadget: the label uv goes wherever u went with
 v to follow, it leads to a copy of v's state, and the state of u loses its arc v. A sequence of tokens is the
-encoding of its text exactly if it is a path. Arcs are deterministic, so every prefix of a word
-has one path; encoding a word walks its positions once. Decoding emits the labels of the arcs.
+encoding of its text exactly if it is a path. The copies share what they copy: a state keeps when it was made, of which, and which
+arcs it lost since; with some 50,000 tokens, arcs written out would number billions.
+
+Labels are read byte by byte through a table of transitions (a trie of all labels). Arcs are deterministic, so every prefix of a word has one
+path, and encoding a word walks forward from each of its positions once. Texts are split and encoded many at a time as arrays of code points:
+each distinct word of a batch is encoded once. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +54,20 @@ class TokenAutomaton:
         for at, merge in enumerate(spec["model"]["merges"]):
             u, v = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(at, self.ids[raw[u]], self.ids[raw[v]], self.ids[raw[u] + raw[v]])
-        self.longest = max(map(len, self.ids))
-        self._arcs: dict[tuple[int, int], bool] = {}
+        self.goto, self.label = self._labels()
+        self._arcs: dict[int, bool] = {}
+
+    def _labels(self) -> tuple[dict[int, int], list[int]]:
+        """Transitions (node * 256 + byte to node) through the labels' bytes, and the token that ends in each node, or -1."""
+        goto, label = {}, [-1]
+        for text, token in self.ids.items():
+            node = 0
+            for byte in text:
+                node = goto.setdefault(node << 8 | byte, len(label))
+                if node == len(label):
+                    label.append(-1)
+            label[node] = token
+        return goto, label
 
     def _gadget(self, at: int, u: int, v: int, uv: int) -> None:
         self.born.setdefault(uv, at)
@@ -58,12 +75,12 @@ class TokenAutomaton:
         self.lost.setdefault((u, v), at)
 
     def arc(self, state: int, label: int) -> bool:
-        """Whether the finished automaton has an arc ``label`` in ``state``; looked up once, then kept in a table."""
-        known = self._arcs.get((state, label))
+        """Whether the finished automaton has an arc ``label`` in ``state``; found once through the gadgets, then kept in a table."""
+        known = self._arcs.get(state << 32 | label)
         if known is None:
             if len(self._arcs) > 4 * REMEMBERED:
                 self._arcs.clear()
-            known = self._arcs[state, label] = self._derive(state, label)
+            known = self._arcs[state << 32 | label] = self._derive(state, label)
         return known
 
     def _derive(self, state: int, label: int) -> bool:
@@ -80,18 +97,20 @@ class TokenAutomaton:
 
     def word(self, data: bytes) -> list[int]:
         """The tokens of one pre-split word."""
-        whole = self.ids.get(data)
         n = len(data)
-        if n == 1:
-            return [whole]
         last, came = [-1] * (n + 1), [0] * (n + 1)
-        get, arc = self.ids.get, self.arc
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = get(data[start:end])
-                if token is not None and (not start or arc(last[start], token)):
-                    last[end], came[end] = token, start
+        goto, label, arc = self.goto.get, self.label, self.arc
+        for start in range(n):
+            state, node = last[start], 0
+            for end in range(start, n):
+                node = goto(node << 8 | data[end])
+                if node is None:
                     break
+                token = label[node]
+                if token >= 0 and last[end + 1] < 0 and (not start or arc(state, token)):
+                    last[end + 1], came[end + 1] = token, start
+            if last[n] >= 0:
+                break
         out, end = [], n
         while end:
             out.append(last[end])
@@ -99,6 +118,54 @@ class TokenAutomaton:
         return out[::-1]
 
 
+SPACE, LETTER, NUMBER, OTHER, BORDER = range(5)
+#: Stands between texts of a batch; no code point.
+_BORDER = 0x110000
+#: Code points that are taken at once; a text with more goes word by word.
+BATCH_POINTS = 400_000
+
+
+def point_classes() -> np.ndarray:
+    """The class of every code point, as ``SPLIT`` sees it."""
+    every = [*range(0xD800), *range(0xE000, 0x110000)]
+    text = "".join(map(chr, every))
+    points = np.array(every)
+    out = np.full(0x110001, OTHER, np.uint8)
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
+        for m in regex.finditer(pattern, text):
+            out[points[m.start() : m.end()]] = kind
+    out[_BORDER] = BORDER
+    return out
+
+
+def word_starts(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the words that ``SPLIT`` finds begin, as a mask; texts end in a border each."""
+    start = np.ones(len(points), bool)
+    start[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == BORDER)
+    # the last blank of a run goes with the word behind it if it is a plain one, else it stands alone
+    behind = np.flatnonzero((kinds[1:] != kinds[:-1]) & (kinds[:-1] == SPACE) & (kinds[1:] != BORDER)) + 1
+    start[behind - 1] = True
+    start[behind[points[behind - 1] == 32]] = False
+    # a lone apostrophe that begins a word takes the endings of contractions
+    quote = np.flatnonzero((points[:-1] == 39) & start[:-1] & (kinds[1:] == LETTER))
+    one = points[quote + 1]
+    two = points[np.minimum(quote + 2, len(points) - 1)]
+    short = (one == 115) | (one == 116) | (one == 109) | (one == 100)
+    long = ((two == 101) & ((one == 114) | (one == 118))) | ((one == 108) & (two == 108))
+    for ending, own in ((1, quote[short]), (2, quote[long & ~short])):
+        start[own + 1] = False
+        after = own + 1 + ending
+        after = after[after < len(points)]
+        start[after[kinds[after] == LETTER]] = True
+    return start
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of all ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+
+
 class Codec:
     """Encodes whole texts to little-endian 32-bit ids and decodes them."""
 
@@ -112,10 +179,14 @@ class Codec:
                 if len(self) >= REMEMBERED:
                     self.clear()
                 ids = codec.automaton.word(word.encode("utf-8"))
-                made = self[word] = np.array(ids, "<u4").tobytes()
+                made = self[word] = struct.pack(f"<{len(ids)}I", *ids)
                 return made
 
         self.known = Known()
+        self.kinds, self.powers = point_classes(), np.zeros(0, np.uint64)
+        labels = [automaton.labels.get(i, b"") for i in range(max(automaton.labels) + 1)]
+        sizes = np.array(list(map(len, labels)))
+        self.emitted = (np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(labels), np.uint8))
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.split(text)))
@@ -130,8 +201,65 @@ class Codec:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.automaton.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Equal words are found by a 64-bit hash of their code points and compared with each other before they share an encoding."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        batch, size = [], 0
+        for i, t in enumerate(texts):
+            special = self.automaton.specials is not None and self.automaton.specials.search(t) is not None
+            if special or len(t) > BATCH_POINTS:
+                out[i] = np.frombuffer(self.encode(t), "<u4")
+                continue
+            if batch and size + len(t) > BATCH_POINTS:
+                self._encode_batch(texts, batch, out)
+                batch, size = [], 0
+            batch.append(i)
+            size += len(t) + 1
+        if batch:
+            self._encode_batch(texts, batch, out)
+        return out
+
+    def _encode_batch(self, texts: list[str], batch: list[int], out: list) -> None:
+        sizes = np.array([len(texts[i]) for i in batch])
+        points = np.full(int(sizes.sum()) + len(batch), _BORDER, np.int32)
+        ends = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(points), bool)
+        inside[ends] = False
+        text = "".join([texts[i] for i in batch])
+        points[inside] = np.frombuffer(text.encode("utf-32-le"), "<i4")
+        starts = np.flatnonzero(word_starts(points, self.kinds[points]))
+        lengths = np.diff(starts, append=len(points))
+        place = _spread(np.zeros(len(starts), np.int64), lengths)
+        hashes = np.add.reduceat((points.astype(np.uint64) + np.uint64(77)) * self._powers(int(lengths.max()))[place], starts)
+        _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        same = lengths == lengths[first][number]
+        if not same.all() or (points[_spread(starts[first][number], lengths)] != points).any():
+            for i in batch:  # two words with one hash
+                out[i] = np.frombuffer(self.encode(texts[i]), "<u4")
+            return
+        # strings of the distinct words, a border being none
+        at = starts[first]
+        border, at = points[at] == _BORDER, at - np.searchsorted(ends, at)
+        known = [b"" if b else self.known[text[a : a + n]] for a, n, b in zip(at.tolist(), lengths[first].tolist(), border.tolist())]
+        counts = np.array([len(k) // 4 for k in known])
+        table = np.frombuffer(b"".join(known), "<u4")
+        ids = table[_spread((np.cumsum(counts) - counts)[number], counts[number])]
+        upto = np.cumsum(counts[number])[np.searchsorted(starts, ends)]
+        for i, a, b in zip(batch, [0, *upto[:-1].tolist()], upto.tolist()):
+            out[i] = ids[a:b]
+
+    def _powers(self, n: int) -> np.ndarray:
+        if len(self.powers) < n:
+            self.powers = np.cumprod(np.full(2 * n, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+        return self.powers
+
+    def decode(self, ids: bytes | np.ndarray) -> str:
+        """The labels of the arcs, one after the other."""
+        ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids
+        if not len(ids):
+            return ""
+        begins, sizes, text = self.emitted
+        return text[_spread(begins[ids], sizes[ids])].tobytes().decode("utf-8", "replace")
 
 
 def load(spec_json: str) -> Codec:
@@ -157,9 +285,8 @@ def _digests(shared):
         codec, sha = _codec(shared), hashlib.sha256
         for texts in batches:
             rows = []
-            for text in texts:
-                ids = codec.encode(text or "")
-                rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(codec.decode(ids).encode("utf-8")).hexdigest()))
+            for ids in codec.encode_all([t or "" for t in texts]):
+                rows.append((len(ids), sha(ids.astype("<u4").tobytes()).hexdigest(), sha(codec.decode(ids).encode("utf-8")).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest
@@ -179,7 +306,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
         for texts in batches:
-            yield pd.Series([np.frombuffer(codec.encode(t or ""), "<u4").astype("int32") for t in texts])
+            yield pd.Series([ids.astype("int32") for ids in codec.encode_all([t or "" for t in texts])])
 
     return docs.withColumn("ids", run(F.col(text_col)))
 
@@ -192,7 +319,7 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(shared)
         for ids in batches:
-            yield pd.Series([codec.decode(np.asarray([] if x is None else x, "<u4").tobytes()) for x in ids])
+            yield pd.Series([codec.decode(np.asarray([] if x is None else x, "<u4")) for x in ids])
 
     return rows.withColumn("decoded", run(F.col(ids_col)))
 
@@ -200,7 +327,7 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``bpe``: the token count and the digests of the ids and of the decoded text.
 
-    A null text is an empty one with no tokens. Each row stands for itself: repeated rows give equal results,
-    an empty table gives none, and other columns pass through.
+    A null text is an empty one with no tokens. Each row stands for itself: repeated rows give equal results, a text of any length is encoded whole,
+    an empty table gives none, and other columns pass through; one named ``bpe`` is replaced.
     """
     return docs.withColumn("bpe", _digests(_share(docs.sparkSession, vocabulary))(F.col(text_col)))
