@@ -7,10 +7,10 @@ line that is not blank takes part: equal ones of any length, and from NEAR_CHARS
 Each distinct line is split into threshold-plus-one segments. Two lines within the threshold have some segment of one
 as it stands in the other, at a place that depends on the segment's number and on both lengths, so a line probes,
 for each possible length, only those substrings. In keys that many lines share, pairs must also agree in a second
-signature. Keys beyond HUGE lines on both sides are not compared pair by pair: a further segment of what is left of the line is added to the key, again and
+signature. Keys with more than HUGE * HUGE comparisons are not compared pair by pair: a further segment of what is left of the line is added to the key, again and
 again (what is left holds at most as many edits, so one of threshold-plus-one pieces of it matches again).
 Pairs that meet must first have signatures close enough for the threshold (parities of the counts of characters, in long lines of words); what
-is left is screened by Spark's own edit distance and verified with a banded bit-parallel one.
+is left is verified with a banded bit-parallel edit distance over the part between the lines' common beginning and end.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, fresh
 
 THRESHOLD = 2
 MIN_CHARS = 25
 #: The shortest line that is compared by one edit; shorter ones must be equal.
 NEAR_CHARS = 12
-#: Keys with more than this many lines on both sides compare a second signature; with more than HUGE they get longer.
+#: A key costs its own segments times all of its rows in comparisons: beyond CROWD squared a second signature is compared, beyond HUGE squared the key gets longer. These
+#: bound the work for each key; pairs are the same on either side of them (tested).
 CROWD, HUGE = 32, 4000
 #: Up to so many rows of one or two numbers are broadcast (a few MB); more are shuffled.
 SMALL = 100_000
@@ -162,7 +163,7 @@ def _crowded(rows: DataFrame, threshold: int) -> DataFrame:
         at = F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(*map(F.lit, shifts))))
         moved = pieces.select("*", at.alias("shift")).where("p.s + shift >= 0 and p.s + shift + p.l <= char_length(line)")
         made = cut(moved.select(longer(F.col("shift")).alias("key"), "h", "own", "sig", "line", rest.alias("free"), F.col("p.l").alias("l")).dropDuplicates(["key", "h", "own"]))
-        full = made.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all"), F.max("l").alias("l")).where(f"n > {HUGE} and all > n + {HUGE} and l > 0").select("key")
+        full = made.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all"), F.max("l").alias("l")).where(f"n * (all - n) > {HUGE * HUGE} and l > 0").select("key")
         full = cut(full)
         few = _meet(made.join(full, "key", "left_anti").select("key", "h", "own", "sig"), threshold)
         out = few if out is None else out.union(few)
@@ -181,11 +182,11 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CH
     involved = cut(rows.select("h").distinct())
     signed = lines.join(_few(involved), "h", "left_semi").select("h", signature(F.col("line")).alias("sig"))
     rows = cut(rows.join(signed, "h"))
-    full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {CROWD} and all > {2 * CROWD}").select("key"))
+    full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n * all > {CROWD * CROWD}").select("key"))
     pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
         many = cut(_keys(lines, threshold, least, "line", "at", "lx").join(_few(full), "key").withColumn("sig", signature(F.col("line"))))  # few rows; what follows would be too large a plan to compile along with the keys
-        huge = cut(many.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {HUGE} and all > {2 * HUGE}").select("key"))
+        huge = cut(many.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n * all > {HUGE * HUGE}").select("key"))
         dense = many.join(_few(huge), "key", "left_anti").select("key", "h", "own", "sig", characters(F.col("line")).alias("chars"))
         pairs = pairs.union(_meet(cut(dense), threshold))
         if not huge.isEmpty():
@@ -199,55 +200,80 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CH
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     texts = cut(lines.join(_few(wanted), "h", "left_semi").select("h", "line"))
     left, right = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
-    longer = F.char_length("x") >= F.char_length("y")
-    held = pairs.join(left, "a").join(right, "b").where(F.levenshtein("x", "y", threshold) >= 0)
     chars = lambda c: F.filter(F.split(c, ""), lambda u: u != "")
-    held = held.select("a", "b", chars(F.when(longer, F.col("x")).otherwise(F.col("y"))).alias("x"), chars(F.when(longer, F.col("y")).otherwise(F.col("x"))).alias("y"))
-    held = cut(held)  # arrays stand as columns from here on
+    longer = F.char_length("x") >= F.char_length("y")
+    held = pairs.join(left, "a").join(right, "b").select("a", "b", chars(F.when(longer, F.col("x")).otherwise(F.col("y"))).alias("x"), chars(F.when(longer, F.col("y")).otherwise(F.col("x"))).alias("y"))
+    held = cut(_between(held))  # arrays stand as columns from here on
     return held.where(banded_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
 
 
+def _between(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the arrays x and y cut down to what lies between their common beginning and their common end; edits lie there alone."""
+    differ = F.zip_with("x", "y", lambda p, q: ~p.eqNullSafe(q))
+    same = lambda d, most: F.least(most, F.coalesce(F.nullif(F.array_position(d, True), F.lit(0)) - 1, F.size(d).cast("long"))).cast("int")
+    out = pairs.withColumn("_head", same(differ, F.size("y").cast("long")))
+    differ = F.zip_with(F.reverse("x"), F.reverse("y"), lambda p, q: ~p.eqNullSafe(q))
+    out = out.withColumn("_tail", same(differ, (F.size("y") - F.col("_head")).cast("long")))
+    rest = lambda c: F.slice(c, F.col("_head") + 1, F.size(c) - F.col("_head") - F.col("_tail")).alias(c)
+    return out.select("a", "b", rest("x"), rest("y"))
+
+
 def _places(docs: DataFrame, id_col: str, text_col: str, short: bool) -> DataFrame:
     """Rows (id, row, pos, line) of the lines that take part."""
     made = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     return made.where(F.regexp_like("line", F.lit(r"\S")) if short else F.char_length("line") >= MIN_CHARS)
 
 
+def _names(line: Column) -> list[Column]:
+    """A line's 128-bit name: two hashes with seeds of their own."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
+
+
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """(h, class, first): each line found more than once or near another, its class and the first document with a line of the class."""
+    """(h1, h2, class, first): the name of each line found more than once or near another, its class and the first document with a line of the class."""
     lines = _places(docs, id_col, text_col, short).groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    lines = cut(lines.select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("length"), "first", "n"))
+    # numbered as they are written: each distinct line has a number of its own
+    lines = cut(lines.select(F.monotonically_increasing_id().alias("h"), "line", F.char_length("line").alias("length"), "first", "n"))
     links = line_links(lines.where(F.col("length") >= MIN_CHARS), threshold)
     if short:  # of two lines one edit apart the longer one may reach MIN_CHARS
         links = links.union(line_links(lines.where(F.col("length").between(NEAR_CHARS, MIN_CHARS)), 1, NEAR_CHARS))
     linked = components(links).withColumnsRenamed({"node": "h", "root": "class"})
-    near = lines.select("h", "first", "n").join(_few(linked), "h", "left").where("n > 1 or class is not null")
-    near = near.select("h", F.coalesce("class", "h").alias("class"), "first")
+    near = lines.select("h", *_names(F.col("line")), "first", "n").join(_few(linked), "h", "left").where("n > 1 or class is not null")
+    near = near.select("h1", "h2", F.coalesce("class", "h").alias("class"), "first")
     firsts = near.groupBy("class").agg(F.min("first").alias("first"))
-    return cut(near.select("h", "class").join(firsts, "class").select("h", "class", "first"))
+    return cut(near.select("h1", "h2", "class").join(firsts, "class").select("h1", "h2", "class", "first"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with ``lines_removed`` (long) and the text left after removing all but the first line of each class.
 
-    Lines are split at \\n; shorter ones than MIN_CHARS stay unless ``short`` lets them take part; blank ones always stay. A null text stays null, an empty one empty. Rows that
-    repeat id and text are one document and are treated alike; equal ids with other texts count as the same
-    place in the order. Clashing column names pass through; an empty table gives none.
+    Lines are split at \\n; shorter ones than MIN_CHARS stay unless ``short`` lets them take part; blank ones always stay. A null text stays null, an empty one empty;
+    a text or line of any length takes part whole. Rows that repeat id and text are one document and are treated alike; equal ids with other texts count as the same
+    place in the order. A ``lines_removed`` that came in is replaced; all other columns pass through, whatever their names. An empty table gives none.
     """
-    names = docs.columns
-    seen = _places(docs, id_col, text_col, short).select("id", "row", "pos", F.xxhash64("line").alias("h"))
-    seen = seen.join(_few(repeated_lines(docs, threshold, id_col, text_col, short)), "h").select("id", "row", "pos", "class", "first")
+    names = [c for c in docs.columns if c.lower() != "lines_removed"]
+    id_, row_, gone_ = fresh(docs, "id_of"), fresh(docs, "row_of"), fresh(docs, "gone")
+    seen = _places(docs, id_col, text_col, short).select("id", "row", "pos", *_names(F.col("line")))
+    seen = seen.join(_few(repeated_lines(docs, threshold, id_col, text_col, short)), ["h1", "h2"]).select("id", "row", "pos", "class", "first")
     ours = seen.where(F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "row", "class").agg(F.min("pos").alias("pos"))
     every = seen.select("id", "row", "pos", F.lit(1).alias("mark")).union(ours.select("id", "row", "pos", F.lit(0)))
-    marks = every.groupBy("id", "row").agg(F.collect_set(F.when(F.col("mark") == 1, F.col("pos"))).alias("_seen"), F.collect_set(F.when(F.col("mark") == 0, F.col("pos"))).alias("_stay"))
-    gone = marks.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.array_except("_seen", "_stay").alias("_gone")).where(F.size("_gone") > 0)
-    held = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_row")), "left")
+    marks = every.groupBy("id", "row").agg(F.collect_set(F.when(F.col("mark") == 1, F.col("pos"))).alias("seen"), F.collect_set(F.when(F.col("mark") == 0, F.col("pos"))).alias("stay"))
+    gone = marks.select(F.col("id").alias(id_), F.col("row").alias(row_), F.array_except("seen", "stay").alias(gone_)).where(F.size(gone_) > 0)
+    held = docs.join(gone, docs[id_col].eqNullSafe(F.col(id_)) & (F.xxhash64(docs[text_col]) == F.col(row_)), "left")
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return held.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_))
+    text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    return held.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.coalesce(F.size(gone_), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def drop_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
-    """The documents with repeated lines removed; one that loses all of its lines, or all but blank ones, goes."""
-    return dedup_lines(docs, short=short).where((F.col("lines_removed") == 0) | F.regexp_like("text", F.lit(r"\S"))).drop("lines_removed")
+    """The documents with repeated lines removed, in the columns that came in; one that loses all of its lines, or all but blank ones, goes.
+
+    Null and empty texts lose nothing and stay; rows that repeat id and text fare alike.
+    """
+    kept, mark = docs, None
+    if "lines_removed" in docs.columns:  # set aside under another name
+        mark = fresh(docs, "kept_lines_removed")
+        kept = docs.withColumnRenamed("lines_removed", mark)
+    out = dedup_lines(kept, short=short).where((F.col("lines_removed") == 0) | F.regexp_like("text", F.lit(r"\S"))).drop("lines_removed")
+    return (out.withColumnRenamed(mark, "lines_removed") if mark else out).select(*[f"`{c}`" for c in docs.columns])
