@@ -27,7 +27,7 @@ EDIT_SHARE = 0.1
 #: Items are taken in blocks of at most so many characters, so what is broadcast stays bounded.
 BLOCK_CHARS = 8_000_000
 #: Steps of a walk, places of it that a repetition samples, repetitions.
-STEPS, SAMPLES, REPEATS = 16, 4, 6
+STEPS, SAMPLES, REPEATS = 16, 4, 8
 #: Words that are looked up at once.
 CHUNK_WORDS = 400_000
 SCHEMA = "doc_id string, item_id string, edits int, first_word int"
@@ -65,21 +65,22 @@ def _absorb(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def walk(syms: np.ndarray, repeat: int, places: list[int], ends: np.ndarray | None = None, sieves: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and keys of the walks from every start that emit a word at all sampled ``places``.
+    """Starts and keys of the walks from every start that emit a word at all sampled ``places``, another one each time (samples of one word would say little).
 
     ``ends``: where each start's text ends (a walk that leaves it is dropped). ``sieves``: after each sample, only walks whose key's top bits are marked go on.
     """
     n = len(syms)
     own = np.append(_mix(syms, repeat), np.zeros(STEPS + 1, np.uint64))
     starts, at, keys, k = np.arange(n), np.arange(n), np.full(n, repeat, np.uint64), 0
+    before = np.full(n, -1)
     for t in range(places[-1] + 1):
         word = own[at]
         if t == places[k]:
             keys = _absorb(keys, word)
-            stay = at < (n if ends is None else ends[starts])
+            stay = (at < (n if ends is None else ends[starts])) & (at > before)
             if sieves is not None:
                 stay &= sieves[k][(keys >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)]
-            starts, at, keys, word, k = starts[stay], at[stay], keys[stay], word[stay], k + 1
+            starts, at, keys, word, before, k = starts[stay], at[stay], keys[stay], word[stay], at[stay], k + 1
         at = at + ((word >> np.uint64(t)) & np.uint64(1)).astype(np.int64)
     return starts, keys
 
@@ -134,6 +135,7 @@ class Index:
 
     ids: list
     items: list[list[bytes]]
+    sets: list[frozenset[bytes]]
     tables: list[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]
     short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -158,7 +160,7 @@ def build(rows: list[tuple]) -> Index:
         keys = np.array([window_keys(symbols(items[k]), n)[0] for k in own], np.uint64)
         order = np.argsort(keys, kind="stable")
         short[n] = (_sieve(keys), keys[order], np.array(own, np.int64)[order])
-    return Index(ids, items, tables, short)
+    return Index(ids, items, list(map(frozenset, items)), tables, short)
 
 
 def leaks(index: Index, docs: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
@@ -197,7 +199,10 @@ def _verify(index: Index, words: list[bytes], k: int, place: int, best: dict) ->
     elif k in best and best[k] <= (0, at):
         return
     else:
-        edits, _ = distance_in(item, words[max(0, place - allowed) : place + len(item) + allowed])
+        region = words[max(0, place - allowed) : place + len(item) + allowed]
+        if len(index.sets[k].difference(region)) > allowed:  # an edit takes away one word at most
+            return
+        edits, _ = distance_in(item, region)
     if edits <= allowed and (k not in best or (edits, at) < best[k]):
         best[k] = (edits, at)
 

@@ -24,8 +24,8 @@ THRESHOLD = 2
 MIN_CHARS = 25
 #: The shortest line that is compared by one edit; shorter ones must be equal.
 NEAR_CHARS = 12
-#: A key costs its own segments times all of its rows in comparisons: beyond CROWD squared a second signature is compared, beyond HUGE squared the key gets longer. These
-#: bound the work for each key; pairs are the same on either side of them (tested).
+#: A key costs its own segments times all of its rows in comparisons. Up to CROWD own segments that is a few for each row; beyond, a second signature is compared, and
+#: keys of more than HUGE squared comparisons get longer. These bound the work for each key; pairs are the same on either side of them (tested).
 CROWD, HUGE = 32, 4000
 #: Up to so many rows of one or two numbers are broadcast (a few MB); more are shuffled.
 SMALL = 100_000
@@ -182,7 +182,7 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CH
     involved = cut(rows.select("h").distinct())
     signed = lines.join(_few(involved), "h", "left_semi").select("h", signature(F.col("line")).alias("sig"))
     rows = cut(rows.join(signed, "h"))
-    full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n * all > {CROWD * CROWD}").select("key"))
+    full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {CROWD} and all > {2 * CROWD}").select("key"))
     pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
         many = cut(_keys(lines, threshold, least, "line", "at", "lx").join(_few(full), "key").withColumn("sig", signature(F.col("line"))))  # few rows; what follows would be too large a plan to compile along with the keys
