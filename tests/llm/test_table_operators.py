@@ -87,7 +87,7 @@ def test_short_lines_take_part(spark, tmp_path):
     assert {r["doc_id"]: r["lines_removed"] for r in op4_line_dedup(spark, str(tmp_path)).collect()} == {i: n for i, (_, n) in got.items()}
 
 
-@pytest.mark.parametrize("crowd, huge", [(32, 4000), (2, 3)])
+@pytest.mark.parametrize("crowd, huge", [(32, 4000), (2, 8)])
 def test_short_links_against_all_pairs(spark, crowd, huge, monkeypatch):
     monkeypatch.setattr(linededup, "CROWD", crowd)
     monkeypatch.setattr(linededup, "HUGE", huge)
@@ -151,6 +151,30 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
 
 
+def test_cuts_follow_metadata(spark):
+    """The tree against its rule: each node is cut along the dimension whose middle ninety percent are widest, near its weighted median."""
+    random.seed(6)
+    made = [("word " * random.randrange(1, 400), "é" * random.randrange(10, 900), "a b\n" * random.randrange(1, 300), "".join(random.choice("0123456789abc") for _ in range(random.randrange(5, 2000))))[i % 4] + str(i) for i in range(800)]
+    docs_ = docs(spark, made)
+    digest = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    dims = sharding.text_dimensions(F.col("text"))
+    points = docs_.select((F.octet_length("text") + 1).cast("long").alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("tie"), *[F.shiftleft(d.cast("long"), 32).bitwiseOR(digest).alias(f"c{i}") for i, d in enumerate(dims)])
+    splits, leaves = sharding.kd_tree(points, 16, len(dims))
+    rows = [r.asDict() for r in points.collect()]
+    quantile = lambda own, d, p: sorted(r[f"c{d}"] >> 32 for r in own)[max(0, -(-len(own) * p // 100) - 1)]
+    whole = {d: max(1, quantile(rows, d, 95) - quantile(rows, d, 5)) for d in range(len(dims))}
+    nodes, total = {1: rows}, sum(r["size"] for r in rows)
+    assert len(splits) == 15 and sorted(leaves.values()) == list(range(16)) and len({s.dim for s in splits}) >= 3
+    for s in sorted(splits, key=lambda s: s.node):
+        own = nodes.pop(s.node)
+        widths = [(quantile(own, d, 95) - quantile(own, d, 5)) / whole[d] for d in range(len(dims))]
+        assert widths[s.dim] >= 0.95 * max(widths)
+        at = lambda r, s=s: (r[f"c{s.dim}"], r["tie"] if s.tie is not None and r[f"c{s.dim}"] == s.value else 0) <= (s.value, s.tie or 0)
+        left = [r for r in own if at(r)]
+        nodes[2 * s.node], nodes[2 * s.node + 1] = left, [r for r in own if not at(r)]
+        assert abs(sum(r["size"] for r in left) - sum(r["size"] for r in own) / 2) <= max(r["size"] for r in own) + 0.002 * total / 16
+
+
 def test_a_huge_group_is_cut(spark):
     rows = sharding.shard(docs(spark, ["same text"] * 1000 + ["t%d" % i for i in range(50)]), 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
     sizes = [r["b"] for r in rows]

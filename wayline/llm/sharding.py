@@ -1,8 +1,8 @@
 """K-d tree partitioning into shards of near-equal bytes, in DataFrame operations only.
 
-A node is split along its widest dimension at the weighted median, so that bytes on both sides fit the number of
+A node is split along its widest dimension of metadata at the weighted median, so that bytes on both sides fit the number of
 shards to come. Medians come from histograms of bounded size that narrow down on the place of the cut; only they and
-sums for each node reach the driver. Equal texts have equal coordinates and share a shard,
+sums for each node reach the driver. Within one value of a dimension a digest of the text decides. Equal texts have equal coordinates and share a shard,
 unless one group of copies outweighs the tolerance; then it is cut by a hash of the id.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BINS = 1024
+#: A dimension's width in a node is the distance of these quantiles, as a share of that among all rows: a few extreme rows don't make it wide.
+SPREAD = (0.05, 0.95)
 #: How far the bytes at a cut may be from their share, as a share of one shard's bytes.
 TOLERANCE = 0.002
 #: Rows that are numbered in one sort, about.
@@ -33,9 +35,12 @@ class Split:
 
 
 def text_dimensions(text: Column) -> list[Column]:
-    """Default dimensions, all from the text so that copies agree: bytes, bytes beyond one for each character, and a digest."""
+    """Default dimensions, all from the text so that copies agree: its bytes, and for each million characters its bytes beyond one a character, its blanks, its line ends and its digits."""
     text = F.coalesce(text, F.lit(""))
-    return [F.octet_length(text), F.octet_length(text) - F.char_length(text), F.shiftrightunsigned(F.xxhash64(text), 33)]
+    size = F.greatest(F.char_length(text), F.lit(1))
+    share = lambda n: F.floor(n * F.lit(1e6) / size).cast("long")
+    without = lambda chars: F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    return [F.octet_length(text), share(F.octet_length(text) - F.char_length(text)), share(without(" ")), share(without("\n")), share(without("0123456789"))]
 
 
 def _left(s: Split) -> Column:
@@ -53,11 +58,9 @@ def _descend(splits: list[Split]) -> Column:
     return below(1)
 
 
-def _pick(values: dict[int, Column]) -> Column:
-    out = None
-    for node, value in values.items():
-        out = F.when(F.col("node") == node, value) if out is None else out.when(F.col("node") == node, value)
-    return out
+def _of_node(values: dict[int, int]) -> Column:
+    """A number of the row's node, from a small constant map."""
+    return F.element_at(F.create_map(*[F.lit(x) for n, v in values.items() for x in (n, v)]), F.col("node")).cast("long")
 
 
 def _cuts(points: DataFrame, dims: dict[int, int], goal: dict[int, float], slack: float) -> list[Split]:
@@ -66,12 +69,16 @@ def _cuts(points: DataFrame, dims: dict[int, int], goal: dict[int, float], slack
     state = {n: {"lo": 0, "hi": _TOP, "below": 0.0, "at": None} for n in dims}
     while todo := [n for n in dims if n not in done]:
         # coordinate: the dimension's, or within one value of it (a heavy group) the tie
-        coord = _pick({n: F.col("tie") if state[n]["at"] is not None else F.col(f"c{dims[n]}") for n in todo})
-        inside = _pick({n: (F.col(f"c{dims[n]}") == state[n]["at"]) if state[n]["at"] is not None else F.lit(True) for n in todo})
-        lo = _pick({n: F.lit(state[n]["lo"]).cast("long") for n in todo})
-        hi = _pick({n: F.lit(state[n]["hi"]).cast("long") for n in todo})
-        step = _pick({n: F.lit((state[n]["hi"] - state[n]["lo"]) // BINS + 1).cast("long") for n in todo})
-        rows = points.where(F.col("node").isin(todo)).where(inside).select("node", "size", coord.alias("x"), lo.alias("lo"), hi.alias("hi"), step.alias("step"))
+        tied = {n: s["at"] for n in todo if (s := state[n])["at"] is not None}
+        number = {d: i for i, d in enumerate(sorted({dims[n] for n in todo}))}
+        held = F.element_at(F.array(*[F.col(f"c{d}") for d in number]), _of_node({n: number[dims[n]] + 1 for n in todo}).cast("int"))
+        rows = points.where(F.col("node").isin(todo)).withColumn("x", held)
+        if tied:
+            at = _of_node(tied)
+            rows = rows.where(at.isNull() | (F.col("x") == at)).withColumn("x", F.when(at.isNull(), F.col("x")).otherwise(F.col("tie")))
+        lo, hi = _of_node({n: state[n]["lo"] for n in todo}), _of_node({n: state[n]["hi"] for n in todo})
+        step = _of_node({n: (state[n]["hi"] - state[n]["lo"]) // BINS + 1 for n in todo})
+        rows = rows.select("node", "size", "x", lo.alias("lo"), hi.alias("hi"), step.alias("step"))
         bins = rows.where("x between lo and hi").groupBy("node", F.expr("(x - lo) div step").alias("bin")).agg(F.sum("size").alias("w"), F.min("x").alias("a"), F.max("x").alias("b")).collect()
         for n in todo:
             s, own = state[n], sorted((r["bin"], r["w"], r["a"], r["b"]) for r in bins if r["node"] == n)
@@ -110,16 +117,18 @@ def kd_tree(points: DataFrame, shards: int, dims: int) -> tuple[list[Split], dic
     """Splits, and the shard of each leaf. ``points``: size, c0.., tie (longs from 0 on; the upper half of c is the dimension)."""
     splits: list[Split] = []
     leaves, parts = {1: 0}, {1: shards}
-    spread = points.agg(F.sum("size").alias("w"), *[f(f"c{d}").alias(f"{k}{d}") for d in range(dims) for k, f in (("a", F.min), ("b", F.max))]).first()
-    whole = {d: max(1, (spread[f"b{d}"] or 0) - (spread[f"a{d}"] or 0)) for d in range(dims)}
-    slack = TOLERANCE * (spread["w"] or 0) / shards
+    ranges = [F.percentile_approx(F.shiftright(f"c{d}", 32), list(SPREAD), 2000).alias(f"q{d}") for d in range(dims)]
+    top = points.agg(F.sum("size").alias("w"), *ranges).first()
+    width = lambda r, d: (r[f"q{d}"][1] - r[f"q{d}"][0]) if r[f"q{d}"] else 0
+    whole = {d: max(1, width(top, d)) for d in range(dims)}
+    slack = TOLERANCE * (top["w"] or 0) / shards
     while open_ := [n for n in leaves if parts[n] > 1]:
         at = points.withColumn("node", _descend(splits))
-        stats = at.where(F.col("node").isin(open_)).groupBy("node").agg(F.sum("size").alias("w"), *[f(f"c{d}").alias(f"{k}{d}") for d in range(dims) for k, f in (("a", F.min), ("b", F.max))]).collect()
+        stats = at.where(F.col("node").isin(open_)).groupBy("node").agg(F.sum("size").alias("w"), *ranges).collect()
         goal, chosen = {}, {}
         for r in stats:
             n = r["node"]
-            chosen[n] = max(range(dims), key=lambda d: (r[f"b{d}"] - r[f"a{d}"]) / whole[d])
+            chosen[n] = max(range(dims), key=lambda d: width(r, d) / whole[d])
             goal[n] = r["w"] * (parts[n] // 2) / parts[n]
         made = {s.node: s for s in _cuts(at, chosen, goal, slack)} if chosen else {}
         for n in open_:
@@ -137,7 +146,7 @@ def shard(docs: DataFrame, shards: int = 16, dimensions: list[Column] | None = N
     A row's size is its text's UTF-8 length (null: none) plus one; a null text is sharded like an empty one. Slots count
     from 0 without gaps in each shard, in an order that only the rows decide; equal rows take neighbouring
     slots. ``dimensions`` may be any numeric columns; with columns that differ between copies these may part.
-    An empty table gives no rows. The law is ``bytes``: a grown number of shards has no meaning.
+    Texts of any length count whole; of the other columns none is read. An empty table gives no rows. The law is ``bytes``: a grown number of shards has no meaning.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     dims = dimensions if dimensions is not None else text_dimensions(F.col(text_col))
