@@ -1,7 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Word transducers (tries whose arcs carry weights) mark insults, threats, targets, negations and reported
-speech; they are composed with a clause transducer that reads the marks in order and weighs what is said of whom. A
+speech. Four small transducers read the marks of a clause: one follows negation, one reported speech, one targets, one what was said. Their composition is a
+table of states and arcs, built once and walked mark by mark; its weights say what is said of whom. A
 document's score comes from its matched clauses, not from words by themselves. Insult stems and their weights are
 learned from labelled rows, besides a few given ones; so are the last two numbers, which turn the clauses' weights into a score.
 """
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-#: At most so many labelled rows are learned from, those first by a hash of their id; and at most so many stems are kept.
-LEARN_ROWS, STEMS = 20_000, 4_000
+from .common import cut
+
+#: At most so many labelled rows are learned from, those first by a hash of their id. They also bound the stems, as each must be in LEAST of their texts.
+LEARN_ROWS = 20_000
 THRESHOLD = 0.3
 #: Learned stems: the first 4 to 8 letters of a word, or a whole one; seen in so many toxic documents at least, or in this share of them.
 PREFIXES, LEAST, LEAST_SHARE = range(4, 9), 4, 0.01
@@ -97,20 +100,47 @@ class Grammar:
         return math.log1p(sum(found)), len(found)
 
 
+MARKS = ("insult", "threat", "target", "negation", "report")
+#: The transducers of a clause: what marks take each from state 0 to 1 and back, and the factor that its state 1 puts on insults and threats.
+READERS = {
+    "negation": (("negation",), ("insult", "threat"), NEGATED),
+    "report": (("report",), (), REPORTED),
+    "target": (("target",), (), 1.0),
+    "insulted": (("insult",), (), 1.0),
+}
+
+
+def compose() -> tuple[dict[tuple[int, str], tuple[int, float]], list[tuple[bool, bool]]]:
+    """The product of READERS: arcs (state, mark) to (state, factor), and for each state whether a target was there and an insult said."""
+    names, arcs = list(READERS), {}
+    for state in range(1 << len(names)):
+        for mark in MARKS:
+            to, factor = 0, 1.0
+            for i, (sets, clears, own) in enumerate(READERS.values()):
+                on = state >> i & 1
+                factor *= own if on and mark in ("insult", "threat") else 1.0
+                to |= int(mark in sets or on and mark not in clears) << i
+            arcs[state, mark] = to, factor
+    at = [names.index(n) for n in ("target", "insulted")]
+    return arcs, [tuple(bool(s >> i & 1) for i in at) for s in range(1 << len(names))]
+
+
+ARCS, ENDS = compose()
+
+
 def _weigh(said: list[tuple[str, float]]) -> list[float]:
-    """The weight of a clause's marks, if an insult, or a threat with a target before or after it, is among them."""
-    target = any(kind == "target" for kind, _ in said)
-    weight, negated, reported, hit = 0.0, False, False, False
-    for kind, own in said:
-        if kind == "negation":
-            negated = True
-        elif kind == "report":
-            reported = True
-        elif kind == "insult" or kind != "target" and target:
-            weight += own * (NEGATED if negated else 1) * (REPORTED if reported else 1)
-            hit = True
-            negated = False
-    return [weight * (WITH_TARGET if target else 1)] if hit else []
+    """The weight of a clause's marks, if an insult, or a threat with a target before or after it, is among them: threats wait for the clause's end."""
+    state, insults, threats = 0, 0.0, 0.0
+    for mark, weight in said:
+        state, factor = ARCS[state, mark]
+        if mark == "insult":
+            insults += weight * factor
+        elif mark == "threat":
+            threats += weight * factor
+    target, insulted = ENDS[state]
+    if target:
+        return [(insults + threats) * WITH_TARGET] if insulted or threats else []
+    return [insults] if insulted else []
 
 
 def held_out(id_: int) -> bool:
@@ -123,8 +153,7 @@ def features(text: str | None) -> set[str]:
         w = w.lower()
         if w[0].isalpha():
             out.update(w[:k] + "*" for k in PREFIXES if len(w) >= k)
-            if len(w) <= 24:
-                out.add(w)
+            out.add(w)
     return out
 
 
@@ -165,12 +194,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float,
     own = own.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("half"))
+    rows = cut(rows)  # the bounded sample, read several times below
     totals = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
     if not all(totals.get((h, t)) for h in (0, 1) for t in (0, 1)):
         return {}, 1.0, -1.5
     sums = [F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")]
     counted = rows.mapInPandas(_counts, "feature string, n0 long, p0 long, n1 long, p1 long").groupBy("feature").agg(*sums)
-    counted = counted.where(f"p0 + p1 >= {LEAST} and n0 + n1 <= 2 * (p0 + p1)").orderBy(F.desc(F.expr("p0 + p1 - n0 - n1")), "feature").limit(STEMS).collect()
+    counted = counted.where(f"p0 + p1 >= {LEAST} and n0 + n1 <= 2 * (p0 + p1)").collect()
     crossed = [Grammar(_stems(counted, (1 - h,), totals)) for h in (0, 1)]
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +229,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
 def score(docs: DataFrame, model: tuple[dict[str, float], float, float], text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``toxicity``: score (0 to 1), predicted (1 from THRESHOLD on) and the number of matched clauses.
 
-    A null text scores like an empty one. Every row is scored by itself from its text alone; an empty table gives no rows.
+    A null text scores like an empty one, a text of any length is read whole. Every row is scored by itself from its text alone, so repeated rows agree; an empty table gives no
+    rows. Other columns pass through; one named ``toxicity`` is replaced.
     """
     stems, slope, offset = model
 
