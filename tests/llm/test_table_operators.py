@@ -253,6 +253,25 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0 and licenses.scan(docs(spark, [mit, mit])).count() == 2
 
 
+def test_wrapped_licenses_are_recognised(spark):
+    """Texts wrapped at any width, behind a copyright line, in other case; bodies that differ in a word are not recognised."""
+    import textwrap
+
+    rows, want = [], []
+    for name, body in licenses.TEXTS.items():
+        for width in (*range(50, 84, 3), 400):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in body.split("\n\n"))
+            rows.append(random.choice(("Copyright (c) 2020 A. Person\n\n", "copyright 2019-2021, Some Company Ltd.\n", "© A Person\n", "")) + wrapped)
+            want.append(name)
+        rows.append(body + " extra")
+        want.append(None)
+    got = [r["whole"] for r in licenses.scan(docs(spark, rows)).orderBy("doc_id").collect()]
+    assert got == want and len(licenses.TEXTS) >= 15
+    plain = spark.range(1).select(*[licenses.canonical(F.lit(t)) for t in ("Copyright holders may do this.", "copyright notice, this list", "Copyright: 2001 X", "(c) X")]).first()
+    assert tuple(plain) == ("copyright holders may do this", "copyright notice this list", "", "")
+
+
+
 def test_toxicity(spark):
     random.seed(6)
     vocab = ["w%s" % "".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
@@ -281,6 +300,22 @@ def test_clauses_weigh_what_is_said():
     assert len(g.clauses("You idiot. You moron!")) == 2
 
 
+def test_clauses_against_a_plain_reading():
+    """The composed table against the rule, mark by mark."""
+    random.seed(12)
+    for _ in range(3000):
+        said = [(random.choice(toxicity.MARKS), random.choice((0.5, 1.0, 2.0))) for _ in range(random.randrange(1, 7))]
+        target, total, hit = any(m == "target" for m, _ in said), 0.0, False
+        for i, (mark, weight) in enumerate(said):
+            if mark == "insult" or mark == "threat" and target:
+                spoken = [m for m, _ in said[:i]]
+                last = max([k for k, m in enumerate(spoken) if m in ("insult", "threat")], default=-1)
+                total += weight * (toxicity.NEGATED if "negation" in spoken[last + 1 :] else 1) * (toxicity.REPORTED if "report" in spoken else 1)
+                hit = True
+        got = toxicity._weigh(said)
+        assert len(got) == hit and (not hit or abs(got[0] - total * (toxicity.WITH_TARGET if target else 1)) < 1e-9), said
+
+
 def test_threats_count_on_either_side_of_their_target():
     g = toxicity.Grammar({})
     one = lambda t: sum(g.clauses(t))

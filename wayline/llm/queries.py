@@ -63,18 +63,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(regexp_replace(lower({text}), '(?m)^[ \\t*#/;-]*(?:copyright|\\(c\\)|©)[ \\t].*$', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+def _spelled_sql(canon: str) -> str:
     for a, b in licenses.SPELLINGS:
-        out = f"replace({out}, '{a}', '{b}')"
-    return out
+        canon = f"replace({canon}, '{a}', '{b}')"
+    return canon
+
+
+def _canonical_sql(text: str) -> str:
+    return _spelled_sql(f"regexp_replace(regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')")
 
 
 def _licenses_sql() -> str:
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     rows = [(k, "text", t) for k, t in licenses.TEXTS.items()] + [(k, "notice", t) for k, own in licenses.NOTICES.items() for t in own]
     values = ", ".join(f"({quoted(k)}, {quoted(kind)}, {quoted(t)})" for k, kind, t in rows)
-    whole = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    whole = lambda c: _spelled_sql(f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))")
     return f"""
 with known as (select license, kind, sha256({whole(_canonical_sql('body'))}) as digest from (values {values}) k(license, kind, body)),
 canon as (select doc_id, {_canonical_sql('text')} as c from documents),
