@@ -349,3 +349,22 @@ def test_chat_links_orders_and_validates(spark):
 
 def test_chat_of_empty_tables(spark):
     assert run_chat(spark, [], [], [], []) == []
+
+
+def test_columns_of_all_names_pass(spark):
+    """Tables with columns named like the operators' own."""
+    chats = spark.createDataFrame([(1, 0, "user", "hi", "x", 9, "c", "late")], "conv_id long, turn long, role string, text string, call_id string, key_turn int, kind string, status string")
+    calls = spark.createDataFrame([(1, 1, "a", "note", '{"query":"' + "long " * 5000 + '"}', [], "mine")], "conv_id long, turn long, call_id string, tool string, arguments string, waits_for array<string>, status string")
+    results = spark.createDataFrame([(1, 2, "a", "done", "mine")], "conv_id long, turn long, call_id string, content string, problems string")
+    schemas = spark.createDataFrame(chat.TOOLS, "tool string, field string, type string, required boolean")
+    got = chat.format_chat(chats, calls, results, schemas).orderBy("key_turn", "key_step").collect()
+    assert [(r["kind"], r["status"], r["call_id"], r["key_turn"]) for r in got] == [("message", "ok", None, 0), ("call", "ok", "a", 1), ("result", "ok", "a", 2)] and len(got[1]["json"]) > 25_000
+    pages = spark.createDataFrame([("http://www.example.com/en/x", "mine", "p", "b"), (None, "h", "p", "b"), ("http://e.net/" + "x/" * 40_000, "h", "p", "b")], "url string, host string, path string, best string")
+    for rules in (None, urls.HOST_RULES * 60):
+        out = urls.judge_urls(pages, rules)
+        assert out.columns == [*pages.columns, "judged"] and {r["judged"]["verdict"] for r in out.collect()} == {"allow"} and out.where("host = 'mine'").count() == 1
+    frame = docs(spark, ["you idiot", None, "a " * 200_000]).withColumn("toxicity", F.lit("mine"))
+    scored = toxicity.score(frame, ({}, 1.0, -1.5)).orderBy("doc_id").collect()
+    assert scored[0]["toxicity"]["clauses"] == 1 and scored[1]["toxicity"]["score"] == scored[2]["toxicity"]["score"]
+    odd = docs(spark, ["a b", None]).withColumn("shard", F.lit("mine")).withColumn("id", F.lit("mine"))
+    assert sharding.shard(odd, 2).count() == 2 and licenses.scan(odd.withColumn("whole", F.lit("mine"))).count() == 2

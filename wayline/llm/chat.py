@@ -79,10 +79,13 @@ def format_chat(messages: DataFrame, calls: DataFrame, results: DataFrame, schem
 
     A conversation reads in the order (key_turn, key_step, turn, kind, call_id). Nothing is gathered by conversation, so one of any
     length is like many. Null texts are left out of the JSON; rows with a null conv_id or call_id link to nothing; repeated rows
-    stay, and share their key; a call's ``problems`` are joined by commas ('' if valid). Any table may be empty.
+    stay, and share their key; a call's ``problems`` are joined by commas ('' if valid). Texts and arguments of any length are taken whole. Other columns of the tables are
+    ignored, whatever their names. Any table may be empty.
     """
-    calls, results = link(calls, results)
-    calls = validate(calls, schemas)
+    messages = messages.select("conv_id", "turn", "role", "text")
+    calls = calls.select("conv_id", "turn", "call_id", "tool", "arguments", "waits_for")
+    calls, results = link(calls, results.select("conv_id", "turn", "call_id", "content"))
+    calls = validate(calls, schemas.select("tool", "field", "type", "required"))
     node = lambda kind: F.concat(F.lit(kind + ":"), F.col("call_id"))
     nodes = calls.select("conv_id", node("call").alias("node"), "turn").union(results.select("conv_id", node("result"), "turn")).where("node is not null and conv_id is not null")
     nodes = nodes.groupBy("conv_id", "node").agg(F.min("turn").alias("turn"))
@@ -113,11 +116,14 @@ TOOLS = [("search", "query", "STRING", True), ("search", "limit", "BIGINT", True
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results as plain conversations hold them: an assistant's turn calls a tool with its first words, and the user's next turn is the result; each call waits for the one before."""
-    size = F.char_length(F.coalesce("text", F.lit("")))
+    """Calls and results of plain conversations, which have no tool calls of their own: an assistant's whole turn is read as the query of a call, and the user's next turn as its result.
+
+    Each call waits for the one before. The tool goes by the turn's length, and calls whose length is a multiple of five give ``limit`` as a text, so all of validation is passed through.
+    """
+    text = F.coalesce("text", F.lit(""))
+    size = F.char_length(text)
     names = F.array(F.lit("search"), F.lit("lookup"), F.lit("note"))
-    words = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 3), " ")
-    plain, quoted = F.to_json(F.struct(words.alias("query"), size.alias("limit"))), F.to_json(F.struct(words.alias("query"), size.cast("string").alias("limit")))
+    plain, quoted = F.to_json(F.struct(text.alias("query"), size.alias("limit"))), F.to_json(F.struct(text.alias("query"), size.cast("string").alias("limit")))
     at = lambda back: F.concat(F.lit("call-"), (F.col("turn") - back).cast("string"))
     calls = turns.where("role = 'assistant'").select(
         "conv_id", "turn", at(0).alias("call_id"), F.get(names, size % 3).alias("tool"), F.when(size % 5 == 0, quoted).otherwise(plain).alias("arguments"), F.when(F.col("turn") >= 2, F.array(at(2))).otherwise(F.array().cast("array<string>")).alias("waits_for"),

@@ -22,6 +22,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds plain turns; what stands for calls and results is said in ``chat.from_turns``."""
     turns = table(spark, sf_dir, "conversations")
     schemas = spark.createDataFrame(chat.TOOLS, "tool string, field string, type string, required boolean")
     return chat.format_chat(turns.select("conv_id", "turn", "role", "text"), *chat.from_turns(turns), schemas)

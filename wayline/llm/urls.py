@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Up to so many rules sit in the plan as literals; more are a table that is joined.
 INLINE = 256
 
@@ -91,37 +93,38 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, url_col: str =
     """``pages`` with host, path, rule and verdict in a struct ``judged``.
 
     ``rules``: the host rules and patterns above by default. A null url and one without :// have empty host and path, fit
-    no rule and are allowed. Each row is judged by itself: repeated rows agree, nothing is grouped, an empty
+    no rule and are allowed; urls of any length are read whole. A column ``judged`` is replaced, all others pass through, whatever their names. Each row is judged by itself: repeated rows agree, nothing is grouped, an empty
     table gives none. A rule list beyond INLINE is joined on tokens instead, with equal results.
     """
     rules = HOST_RULES + PATTERN_RULES if rules is None else rules
     index = file_rules(rules, token_counts(pages, rules, url_col) if counts is None else counts)
-    base = pages.withColumn("_host", host_of(F.col(url_col))).withColumn("_path", path_of(F.col(url_col)))
-    held = _inline(base, rules, index) if len(rules) <= INLINE else _joined(base, rules, index, url_col)
-    name = F.when(F.col("_best.rank") > 0, F.col("_best.name"))
-    judged = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), name.alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"), F.col("_best.name").alias("matched"))
-    return held.withColumn("judged", judged).drop("_host", "_path", "_best")
+    host, path, best = fresh(pages, "host"), fresh(pages, "path"), fresh(pages, "best")
+    base = pages.withColumn(host, host_of(F.col(url_col))).withColumn(path, path_of(F.col(url_col)))
+    held = _inline(base, rules, index, host, path, best) if len(rules) <= INLINE else _joined(base, rules, index, host, path, best)
+    name = F.when(F.col(f"{best}.rank") > 0, F.col(f"{best}.name"))
+    judged = F.struct(F.col(host).alias("host"), F.col(path).alias("path"), name.alias("rule"), F.coalesce(f"{best}.verdict", F.lit("allow")).alias("verdict"), F.col(f"{best}.name").alias("matched"))
+    return held.withColumn("judged", judged).drop(host, path, best)
 
 
 def _as_struct(rule: Rule, at: int) -> Column:
     return F.struct(F.lit(rule.rank).alias("rank"), F.lit(-at).alias("first"), F.lit(rule.name).alias("name"), F.lit(rule.verdict).alias("verdict"), F.lit(rule.pattern).alias("pattern"))
 
 
-def _inline(base: DataFrame, rules: list[Rule], index: dict[str, list[int]]) -> DataFrame:
+def _inline(base: DataFrame, rules: list[Rule], index: dict[str, list[int]], host: str, path: str, best: str) -> DataFrame:
     shelf = F.create_map(*[x for t, own in index.items() for x in (F.lit(t), F.array(*[_as_struct(rules[i], i) for i in own]))])
-    tokens = F.array_intersect(F.concat(_tokens(F.col("_host"), F.col("_path")), F.array(F.lit(""))), F.array(*map(F.lit, index)))
+    tokens = F.array_intersect(F.concat(_tokens(F.col(host), F.col(path)), F.array(F.lit(""))), F.array(*map(F.lit, index)))
     fetched = F.flatten(F.transform(tokens, lambda t: F.element_at(shelf, t)))
-    fitting = F.filter(fetched, lambda r: F.regexp_like(F.concat("_host", "_path"), r["pattern"]))
-    return base.withColumn("_best", F.array_max(fitting))
+    fitting = F.filter(fetched, lambda r: F.regexp_like(F.concat(host, path), r["pattern"]))
+    return base.withColumn(best, F.array_max(fitting))
 
 
-def _joined(base: DataFrame, rules: list[Rule], index: dict[str, list[int]], url_col: str) -> DataFrame:
+def _joined(base: DataFrame, rules: list[Rule], index: dict[str, list[int]], host: str, path: str, best: str) -> DataFrame:
     """The same by a join of URL tokens with the rule table; URLs are grouped by host and path, partly before the shuffle."""
     spark = base.sparkSession
     rows = [(t, rules[i].rank, -i, rules[i].name, rules[i].verdict, rules[i].pattern) for t, own in index.items() for i in own]
     shelf = spark.createDataFrame(rows, "token string, rank int, first int, name string, verdict string, pattern string")
-    urls = base.select("_host", "_path").distinct()
-    fetched = urls.withColumn("token", F.explode(F.concat(_tokens(F.col("_host"), F.col("_path")), F.array(F.lit(""))))).join(shelf, "token")
-    fitting = fetched.where(F.regexp_like(F.concat("_host", "_path"), F.col("pattern")))
-    best = fitting.groupBy("_host", "_path").agg(F.max(F.struct("rank", "first", "name", "verdict", "pattern")).alias("_best"))
-    return base.join(best, ["_host", "_path"], "left")
+    urls = base.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
+    fetched = urls.withColumn("token", F.explode(F.concat(_tokens(F.col("h"), F.col("p")), F.array(F.lit(""))))).join(shelf, "token")
+    fitting = fetched.where(F.regexp_like(F.concat("h", "p"), F.col("pattern")))
+    found = fitting.groupBy(F.col("h").alias(host), F.col("p").alias(path)).agg(F.max(F.struct("rank", "first", "name", "verdict", "pattern")).alias(best))
+    return base.join(found, [host, path], "left").select(*[f"`{c}`" for c in base.columns], best)
