@@ -135,8 +135,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Copies have so many words in a shingle and at least this share of their shingles in common.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Segments of 23 bits in a copy's fingerprint; fingerprints of copies differ in at most so many bits. At a similarity of 0.8 they differ in 33 on average, with a
-#: deviation of 6, and that of unrelated texts in 127.
-COPY_SEGMENTS, COPY_BITS = 11, 64
+#: deviation of 6 (so 0.99 of pairs just at the threshold pass, and more above it), those of unrelated texts in 127. MERGE_ROUNDS: see ``copy_links``.
+MERGE_ROUNDS = 2
+COPY_SEGMENTS, COPY_BITS = 11, 48
 #: A text's anchors: its least shingles in so many orders. Each is looked up along with Golay indices of so many segments. At a similarity of 0.8 an anchor is shared
 #: with probability 0.8 and one of its segments decodes to a common codeword with 0.95, so 0.99 and more of all copies meet.
 ANCHORS, ANCHOR_SEGMENTS = 4, 3
@@ -213,7 +214,8 @@ def copy_keys(b0: pd.Series, b1: pd.Series, b2: pd.Series, b3: pd.Series, order:
 
 @F.pandas_udf(BooleanType())
 def _copies(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([similarity(shingles(x), shingles(y)) >= COPY_SIMILARITY for x, y in zip(xs, ys)], dtype=bool)
+    known = {t: shingles(t) for t in {*xs, *ys}}
+    return pd.Series([similarity(known[x], known[y]) >= COPY_SIMILARITY for x, y in zip(xs, ys)], dtype=bool)
 
 
 def _apart(a: str, b: str):
@@ -225,7 +227,7 @@ def copy_links(texts: DataFrame) -> DataFrame:
     their similarity reaches the threshold.
 
     A key is an anchor with a Golay index of one segment. Its least text is compared with all others; then only texts that these links leave in
-    different classes are compared with each other, so a group of copies costs as many comparisons as it has members.
+    different classes are compared with each other, the nearest by fingerprint first, so a group of copies costs about as many verifications as it has members.
     """
     anchored = texts.select("node", *_LIMBS, F.posexplode("anchors").alias("r", "anchor"))
     shared = anchored.groupBy("r", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("r", "anchor")
@@ -243,8 +245,24 @@ def copy_links(texts: DataFrame) -> DataFrame:
     named = cut(named.join(mixed, "key"))
     left, right = named.select("key", F.col("x").alias("x1"), F.col("class").alias("c1")), named.select(F.col("key").alias("_key"), F.col("x").alias("x2"), F.col("class").alias("c2"))
     pairs = left.join(right, (F.col("key") == F.col("_key")) & (F.col("x1.node") < F.col("x2.node")) & (F.col("c1") != F.col("c2")) & (_apart("x1", "x2") <= COPY_BITS))
-    pairs = cut(pairs.select(F.col("x1.node").alias("a"), F.col("x2.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    return held.union(_verified(pairs, texts))
+    pairs = pairs.select(F.col("x1.node").alias("a"), F.col("x2.node").alias("b"), _apart("x1", "x2").alias("d")).distinct()
+    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    for _ in range(MERGE_ROUNDS):  # the nearest text of each other class first: most classes merge, and their other pairs need no verification
+        open_ = _between_classes(pairs, held)
+        nearest = cut(open_.groupBy("a", "cb").agg(F.min(F.struct("d", "b"))["b"].alias("b")).select("a", "b"))
+        if nearest.isEmpty():
+            return held
+        held = cut(held.union(_verified(nearest, texts)))
+        pairs = pairs.join(nearest, ["a", "b"], "left_anti")
+    return held.union(_verified(cut(_between_classes(pairs, held).select("a", "b")), texts))
+
+
+def _between_classes(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, d) that the links ``held`` leave in different classes, with the class of b as ``cb``."""
+    member = cut(components(held))
+    ca, cb = member.select(F.col("node").alias("a"), F.col("root").alias("ca")), member.select(F.col("node").alias("b"), F.col("root").alias("cb"))
+    named = pairs.join(ca, "a", "left").join(cb, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    return named.where("ca != cb")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
