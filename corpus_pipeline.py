@@ -21,7 +21,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
+    """One document of each group of near copies (0.8 of their five-word shingles in common) stays, the one with the smallest id."""
     return simhash.keep_one_each(docs)
 
 
@@ -42,7 +42,7 @@ STAGES = [
     ("benchmark decontamination", decontaminate),
     ("bpe", tokenize),
 ]
-#: SQL cannot express SimHash, the edit joins or byte-pair encoding; tests hold run() against a brute-force version.
+#: SQL cannot express SimHash, the edit joins or byte-pair encoding. Tests hold each stage's operator to brute force, and run() to its stages one by one.
 ORACLE_SQL = None
 
 
