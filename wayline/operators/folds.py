@@ -41,7 +41,14 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], schema, scan: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return scan(_marked(batches, keys))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return by_key(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def by_key(rows: DataFrame, keys: list[str], spread: int = 1) -> DataFrame:
+    """``rows`` shuffled by key into a fixed number of partitions: the work is in Python, so adaptive execution must not join partitions for being few bytes. ``spread`` times as many
+    partitions as usual even out a few heavy keys."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(spread * n, *keys)
 
 
 def _marked(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FINISHED, TRACK_FRAMES
+from .folds import by_key
 
 LEAST = 1e-3
 _POS, _VEL = 1 / 20, 1 / 160
@@ -354,7 +355,7 @@ def track(detections: DataFrame, frames: DataFrame | None = None, config: Config
         clock = frames.select("stream_id", "run_id", "frame_index", "timestamp")
         rows = clock.join(rows.drop("timestamp"), ["stream_id", "run_id", "frame_index"], "left").select(cols)
     keys = ["stream_id", "run_id"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_index", "timestamp", "det_idx").mapInPandas(_follow_all(config, every_frame), ROWS)
+    return by_key(rows, keys, 4).sortWithinPartitions(*keys, "frame_index", "timestamp", "det_idx").mapInPandas(_follow_all(config, every_frame), ROWS)
 
 
 def live_rows(tracked: DataFrame) -> DataFrame:
