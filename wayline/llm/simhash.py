@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Copies have so many words in a shingle and at least this share of their shingles in common.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Segments of 23 bits in a copy's fingerprint; fingerprints of copies differ in at most so many bits. At a similarity of 0.8 they differ in 33 on average, with a
-#: deviation of 6 (so 0.99 of pairs just at the threshold pass, and more above it), those of unrelated texts in 127. MERGE_ROUNDS: see ``copy_links``.
+#: deviation of 6 (so 0.99 of pairs just at the threshold pass, and more above it), those of unrelated texts in 127. MERGE_ROUNDS: see ``copy_classes``.
 MERGE_ROUNDS = 2
 COPY_SEGMENTS, COPY_BITS = 11, 48
 #: A text's anchors: its least shingles in so many orders. Each is looked up along with Golay indices of so many segments. At a similarity of 0.8 an anchor is shared
@@ -222,9 +222,9 @@ def _apart(a: str, b: str):
     return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _LIMBS[1:]), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
 
 
-def copy_links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct texts (node, text, b0.., anchors), all verified by their shingles: texts that meet in a key are joined by a path of links wherever
-    their similarity reaches the threshold.
+def copy_classes(texts: DataFrame) -> DataFrame:
+    """(node, root): the group of every distinct text (node, text, b0.., anchors). Links are all verified by their shingles; texts that meet in a key are in one group
+    wherever their similarity reaches the threshold.
 
     A key is an anchor with a Golay index of one segment. Its least text is compared with all others; then only texts that these links leave in
     different classes are compared with each other, the nearest by fingerprint first, so a group of copies costs about as many verifications as it has members.
@@ -236,40 +236,41 @@ def copy_links(texts: DataFrame) -> DataFrame:
     rows = cut(rows.select("x", F.xxhash64("r", "anchor", "code").alias("key")))
     least = cut(rows.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").select("key", "y"))
     stars = cut(rows.join(least, "key").where("x.node != y.node").where(_apart("x", "y") <= COPY_BITS).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct())
-    held = cut(_verified(stars, texts))
-    member = components(held)
+    member = cut(components(_verified(stars, texts)))
     label = F.coalesce("root", "x.node").alias("class")
     named = rows.join(least.select("key"), "key").join(member, F.col("x.node") == member["node"], "left").select("key", "x", label)
     named = cut(named)
     mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
     named = cut(named.join(mixed, "key"))
-    left, right = named.select("key", F.col("x").alias("x1"), F.col("class").alias("c1")), named.select(F.col("key").alias("_key"), F.col("x").alias("x2"), F.col("class").alias("c2"))
-    pairs = left.join(right, (F.col("key") == F.col("_key")) & (F.col("x1.node") < F.col("x2.node")) & (F.col("c1") != F.col("c2")) & (_apart("x1", "x2") <= COPY_BITS))
-    pairs = pairs.select(F.col("x1.node").alias("a"), F.col("x2.node").alias("b"), _apart("x1", "x2").alias("d")).distinct()
+    left, right = named.select("key", F.col("x").alias("x1"), F.col("class").alias("ca")), named.select(F.col("key").alias("_key"), F.col("x").alias("x2"), F.col("class").alias("cb"))
+    pairs = left.join(right, (F.col("key") == F.col("_key")) & (F.col("x1.node") < F.col("x2.node")) & (F.col("ca") != F.col("cb")) & (_apart("x1", "x2") <= COPY_BITS))
+    pairs = pairs.select(F.col("x1.node").alias("a"), F.col("x2.node").alias("b"), _apart("x1", "x2").alias("d"), "ca", "cb").distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
-    for _ in range(MERGE_ROUNDS):  # the nearest text of each other class first: most classes merge, and their other pairs need no verification
-        open_ = _between_classes(pairs, held)
-        nearest = cut(open_.groupBy("a", "cb").agg(F.min(F.struct("d", "b"))["b"].alias("b")).select("a", "b"))
-        if nearest.isEmpty():
-            return held
-        held = cut(held.union(_verified(nearest, texts)))
-        pairs = pairs.join(nearest, ["a", "b"], "left_anti")
-    return held.union(_verified(cut(_between_classes(pairs, held).select("a", "b")), texts))
-
-
-def _between_classes(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b, d) that the links ``held`` leave in different classes, with the class of b as ``cb``."""
-    member = cut(components(held))
-    ca, cb = member.select(F.col("node").alias("a"), F.col("root").alias("ca")), member.select(F.col("node").alias("b"), F.col("root").alias("cb"))
-    named = pairs.join(ca, "a", "left").join(cb, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    return named.where("ca != cb")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    grouped = texts.select("node").join(member, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    # at first the nearest text of each other class: most classes merge, and their other pairs need no verification
+    for last in [False] * MERGE_ROUNDS + [True]:
+        if pairs.isEmpty():
+            break
+        wanted = pairs if last else cut(pairs.groupBy("a", "cb").agg(F.min(F.struct("d", "b", "ca")).alias("n")).select("a", "n.b", "n.ca", "cb"))
+        merged = cut(components(_verified(wanted, texts, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        grouped = _renamed(grouped, "root", merged)
+        if not last:
+            rest = pairs.join(wanted, ["a", "b"], "left_anti")
+            pairs = cut(_renamed(_renamed(rest, "ca", merged), "cb", merged).where("ca != cb"))
+    return grouped
+
+
+def _renamed(df: DataFrame, name: str, merged: DataFrame) -> DataFrame:
+    """``df`` with the classes in the column ``name`` replaced by what they merged to."""
+    new = merged.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    return df.join(new, F.col(name) == F.col("_old"), "left").withColumn(name, F.coalesce("_new", name)).drop("_old", "_new")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     own = cut(texts.select("node", "text").join(wanted, "node"))
     x, y = own.select(F.col("node").alias("a"), F.col("text").alias("x")), own.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").where(_copies("x", "y")).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(_copies("x", "y")).select("a", "b", *more)
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,9 +282,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     base = docs.select(F.md5(text.cast("binary")).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
     texts = base.groupBy("node").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     texts = cut(texts.select("node", "id", "text", sketch_column("text").alias("s")).select("node", "id", "text", "s.*"))
-    member = components(copy_links(texts))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "node")
-    grouped = texts.select("node", "id").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = cut(copy_classes(texts).join(texts.select("node", "id"), "node"))
     first = grouped.groupBy("root").agg(F.min(order).alias("first"))
     return grouped.select("node", "root").join(first, "root").select("node", "first")
 
