@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licenses, linededup, quality, sharding, simhash, toxicity, urls
-from .common import table
+from . import bpe, chat, decontam, licenses, linededup, packing, quality, resampling, sharding, simhash, toxicity, trie, urls
+from .common import cut, table
 
 
 def vocabulary() -> str:
@@ -64,6 +64,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, convs = trie.rebuilt(cut(trie.ordered(table(spark, sf_dir, "conversations"))))
+    return trie.prefix_trie(rows, convs)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _spelled_sql(canon: str) -> str:
     for a, b in licenses.SPELLINGS:
         canon = f"replace({canon}, '{a}', '{b}')"
@@ -88,7 +101,7 @@ hits as (select doc_id, min(case when kind = 'text' then license end) as whole,
 select d.doc_id, h.whole, coalesce(h.notices, '') as notices from documents d left join hits h using (doc_id)"""
 
 
-OPERATORS = (op1_url_filter, op2_chat, op3_decontamination, op4_line_dedup, op5_toxicity, op6_bpe, op7_quality, op8_simhash, op9_sharding, op10_licenses)
+OPERATORS = (op1_url_filter, op2_chat, op3_decontamination, op4_line_dedup, op5_toxicity, op6_bpe, op7_quality, op8_simhash, op9_sharding, op10_licenses, op11_packing, op12_prefix_trie, op13_resampling)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {
     "op1_url_filter": r"""
