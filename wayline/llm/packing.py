@@ -26,8 +26,8 @@ from .bpe import SPLIT, byte_alphabet
 from .common import cut
 
 LENGTH, END = 2048, 1
-#: Length classes of the linear program at most; a class counts with its longest length.
-CLASSES = 256
+#: Length classes of the linear program at most, and pieces for each class at least on average; a class counts with its longest length.
+CLASSES, CLASS_PIECES = 256, 8
 #: The linear program is done when its value is this close to a lower bound.
 GAP = 1e-3
 #: Classes, drawn anew each time, among which a pattern is priced first; if none is worth entering, all classes are priced.
@@ -107,6 +107,7 @@ class Pattern:
 def classes(histogram: dict[int, int], most: int = CLASSES) -> dict[int, int]:
     """Length to class (named by its longest length): every length its own if they are few, else borders at equal steps of the summed square roots of the counts, which keeps what rounding up wastes least."""
     lengths = sorted(n for n, k in histogram.items() if k)
+    most = min(most, max(16, sum(histogram.values()) // CLASS_PIECES))
     if len(lengths) <= most:
         return {n: n for n in lengths}
     steps = np.cumsum(np.sqrt([histogram[n] for n in lengths]))
@@ -137,15 +138,28 @@ def knapsack(sizes: list[int], worth: np.ndarray, most: list[int], room: int) ->
     return float(best[room]), out
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By elimination with the greatest pivot, in plain array arithmetic (the threads of a linear algebra library can hang in a process that runs a JVM beside them)."""
+    m = len(a)
+    work = np.concatenate([a, np.eye(m)], axis=1)
+    for k in range(m):
+        best = k + int(np.argmax(np.abs(work[k:, k])))
+        work[[k, best]] = work[[best, k]]
+        work[k] /= work[k, k]
+        others = np.delete(np.arange(m), k)
+        work[others] -= work[others, k, None] * work[k]
+    return work[:, m:]
+
+
 def relax(sizes: list[int], demand: np.ndarray, room: int, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
     """The linear program: patterns and how often each is used, for as few sequences as possible. Starts with patterns of one class each; prices are the duals."""
     m, draw = len(sizes), np.random.default_rng(0)
-    bound = float(np.dot(sizes, demand)) / room
+    bound = float(sum(s * d for s, d in zip(sizes, demand))) / room
     basis = [{k: max(1, min(room // s, int(demand[k])))} for k, s in enumerate(sizes)]
     inverse = np.diag([1.0 / b[k] for k, b in enumerate(basis)])
     most = [int(d) for d in demand]
-    for turn in range(50 * m):
-        used = inverse @ demand
+    for turn in range(30 * m):
+        used = (inverse * demand).sum(axis=1)
         prices = inverse.sum(axis=0)
         if used.sum() <= (1 + gap) * bound:
             break
@@ -154,26 +168,26 @@ def relax(sizes: list[int], demand: np.ndarray, room: int, gap: float = GAP) ->
         counts = {some[k]: n for k, n in counts.items()}
         if value <= 1 + gap:
             value, counts = knapsack(sizes, prices, most, room)
-            bound = max(bound, float(prices @ demand) / value)
+            bound = max(bound, float((prices * demand).sum()) / value)
             if value <= 1 + _EPS:
                 break
         column = np.zeros(m)
         column[list(counts)] = list(counts.values())
-        way = inverse @ column
+        way = (inverse[:, list(counts)] * column[list(counts)]).sum(axis=1)
         up = way > 1e-7
         ratio = np.where(up, np.maximum(used, 0) / np.where(up, way, 1), np.inf)
         out = int(np.argmin(ratio))
         basis[out] = counts
-        if turn % 128 == 127:  # against rounding errors
+        if turn % 1024 == 1023:  # against rounding errors
             whole = np.zeros((m, m))
             for j, b in enumerate(basis):
                 whole[list(b), j] = list(b.values())
-            inverse = np.linalg.inv(whole)
+            inverse = _inverse(whole)
         else:
             row = inverse[out] / way[out]
             inverse -= np.outer(way, row)
             inverse[out] = row
-    return list(zip(basis, np.maximum(inverse @ demand, 0).tolist()))
+    return list(zip(basis, np.maximum((inverse * demand).sum(axis=1), 0).tolist()))
 
 
 def patterns(demand: dict[int, int], room: int = LENGTH) -> list[Pattern]:
