@@ -32,15 +32,16 @@ def velocity(grounded: DataFrame, window_s: float = WINDOW_S, min_track_s: float
     """
     t = F.col("timestamp")
     rows = Window.partitionBy(*TRACK).orderBy("frame_index")
-    held = rows.rowsBetween(-(max_history - 1), -1)
     near = lambda f, a, b: F.expr(f"{f}(struct(timestamp, gx, gy)) over (partition by {', '.join(TRACK)} order by timestamp range between {a} and {b})")
     before = near("last", "unbounded preceding", f"{float(window_s)}D preceding")
     after = near("first", f"{float(window_s)}D preceding", "current row")
     out = grounded.withColumn("born", F.min("timestamp").over(Window.partitionBy(*TRACK)))
-    out = out.withColumn("_b", before).withColumn("_a", after).withColumn("_oldest", F.min("timestamp").over(held))
-    ok = lambda p: p.isNotNull() & (p["timestamp"] < t) & (p["timestamp"] >= F.col("_oldest"))
+    out = out.withColumn("_b", before).withColumn("_a", after).withColumn("_oldest", F.lag(F.struct("timestamp", "gx", "gy"), max_history - 1).over(rows))
+    oldest = F.col("_oldest")  # null while the whole track is held
+    gone = lambda p: F.coalesce(p["timestamp"] < oldest["timestamp"], F.lit(False))
+    ok = lambda p: p.isNotNull() & (p["timestamp"] < t) & ~gone(p)
     goal = t - window_s
-    b, a = F.col("_b"), F.col("_a")
+    b, a = F.col("_b"), F.when(gone(F.col("_a")), oldest).otherwise(F.col("_a"))
     ref = F.when(ok(b) & ok(a), F.when(goal - b["timestamp"] <= a["timestamp"] - goal, b).otherwise(a)).when(ok(a), a).when(ok(b), b)
     recent = F.lag("timestamp").over(rows) >= goal
     out = out.withColumn("ref", F.when((t - F.col("born") >= min_track_s) & recent, ref))

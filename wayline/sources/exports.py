@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import utc_day
 from ..operators.folds import limited
 from ..schemas import EVENT_TYPES
+from .store import scrub
 
 
 def bundle(frames: DataFrame, events: DataFrame, tracks: DataFrame) -> dict[str, DataFrame]:
@@ -17,10 +18,11 @@ def bundle(frames: DataFrame, events: DataFrame, tracks: DataFrame) -> dict[str,
 
 
 def feed(events: DataFrame, types: str | None = None, redact: bool = True) -> DataFrame:
-    """Events of the listed types (unknown names are dropped; none left means all), without plates if ``redact``. Works on streams."""
+    """Events of the listed types (unknown names are dropped; none left means all); with ``redact`` every text under a plate key, in any column and at any depth, is blanked. Works on streams."""
     wanted = [t for t in (x.strip() for x in (types or "").split(",")) if t in EVENT_TYPES]
     rows = events.where(F.col("type").isin(wanted)) if wanted else events
-    return rows.withColumn("data", F.col("data").withField("plate", F.when(F.col("data.plate").isNotNull(), "***"))) if redact else rows
+    blank = lambda v: F.when(v.isNotNull(), F.lit("***"))
+    return rows.withColumns({f.name: scrub(F.col(f"`{f.name}`"), f.dataType, "", f.name, blank) for f in rows.schema.fields}) if redact else rows
 
 
 def snapshot_path(stream_id: Column, wall_ts: Column, id_: Column) -> Column:

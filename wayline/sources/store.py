@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType, _parse_datatype_string
 
 from ..functions import plates as P
 
@@ -31,24 +31,26 @@ def _may_hold(kind: DataType, key: str | None) -> bool:
         return any(_may_hold(f.dataType, f.name) for f in kind.fields)
     if isinstance(kind, ArrayType):
         return _may_hold(kind.elementType, key)
-    return isinstance(kind, MapType) or isinstance(kind, StringType) and key in PLATE_KEYS
+    if isinstance(kind, MapType):
+        return _may_hold(kind.valueType, PLATE_KEYS[0])
+    return isinstance(kind, StringType) and key in PLATE_KEYS
 
 
-def scrub(value: Column, kind: DataType, salt: str, key: str | None = None) -> Column:
-    """``value`` of type ``kind`` with every string under a plate key hashed: in structs, maps and arrays at any depth; elements of an array stand under its key."""
+def scrub(value: Column, kind: DataType, salt: str, key: str | None = None, hide=None) -> Column:
+    """``value`` of type ``kind`` with every string under a plate key hashed (or what ``hide`` makes of it): in structs, maps and arrays at any depth; elements of an array stand under its key, values of a map under their entry's."""
     if isinstance(kind, StructType):
         out = value
         for f in kind.fields:
             if _may_hold(f.dataType, f.name):
-                out = out.withField(f"`{f.name}`", scrub(value[f.name], f.dataType, salt, f.name))
+                out = out.withField(f"`{f.name}`", scrub(value[f.name], f.dataType, salt, f.name, hide))
         return out
     if isinstance(kind, ArrayType):
-        return F.transform(value, lambda x: scrub(x, kind.elementType, salt, key))
+        return F.transform(value, lambda x: scrub(x, kind.elementType, salt, key, hide))
     if isinstance(kind, MapType):
-        if isinstance(kind.valueType, StringType):
-            return F.transform_values(value, lambda k, v: F.when(k.isin(*PLATE_KEYS), P.hashed(v, salt)).otherwise(v))
-        return F.transform_values(value, lambda k, v: scrub(v, kind.valueType, salt, None))
-    return P.hashed(value, salt) if isinstance(kind, StringType) and key in PLATE_KEYS else value
+        return F.transform_values(value, lambda k, v: F.when(k.isin(*PLATE_KEYS), scrub(v, kind.valueType, salt, PLATE_KEYS[0], hide)).otherwise(scrub(v, kind.valueType, salt, None, hide)))
+    if not (isinstance(kind, StringType) and key in PLATE_KEYS):
+        return value
+    return hide(value) if hide is not None else P.hashed(value, salt)
 
 
 def event_rows(events: DataFrame, mode: str = "plain", salt: str = "") -> DataFrame:
@@ -116,12 +118,19 @@ def plate_rows(events: DataFrame, mode: str = "plain", salt: str = "") -> DataFr
     return rows.withColumn("wall_date", wall_date(F.col("wall_ts")))
 
 
+#: Types of the partition columns, whatever their values look like: stream 007 is not stream 7.
+PARTITIONS = {"wall_date": "date", "stream_id": "string"}
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.repartition("wall_date", "stream_id").sortWithinPartitions("wall_date", "stream_id").write.mode("append").partitionBy("wall_date", "stream_id").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The table at ``path`` with its partition columns as they were written. The files' own columns come from their footers, those of the partitions are declared."""
+    found = spark.read.parquet(path).schema
+    schema = StructType([StructField(f.name, _parse_datatype_string(PARTITIONS[f.name])) if f.name in PARTITIONS else f for f in found.fields])
+    return spark.read.schema(schema).parquet(path)
 
 
 def _page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
@@ -171,13 +180,30 @@ def retain(rows: DataFrame, clock: str, now: float, days: float | None) -> DataF
     return rows.where(~expired(rows, clock, now, days))
 
 
+def _recover(spark: SparkSession, path: str) -> None:
+    """Puts back a day that a purge had moved away when it was cut off; leftovers of finished ones go."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(root) if fs.exists(root) else []:
+        name = f.getPath().getName()
+        if name.startswith("_border-"):
+            day = jvm.org.apache.hadoop.fs.Path(root, f"wall_date={name[8:18]}")
+            if name.endswith("-old") and not fs.exists(day):
+                fs.rename(f.getPath(), day)
+            else:
+                fs.delete(f.getPath(), True)
+
+
 def purge(spark: SparkSession, path: str, clock: str, now: float, days: float | None) -> int:
     """Removes what is past its days from the table at ``path`` and returns how many rows go.
 
-    Folders of days wholly past are dropped unread; only the day of the border is rewritten, beside its folder, and then put in its place. Rows without a clock stay.
+    Folders of days wholly past are dropped; of their rows only the clocks are read, to count them. Only the day of the border is rewritten, beside its folder, and then put in its place.
+    A purge that was cut off between the two renames is taken up by the next one. Rows without a clock stay.
     """
     if days is None:
         return 0
+    _recover(spark, path)
     rows, border = load(spark, path), now - days * 86400
     last = datetime.fromtimestamp(math.floor(border / 86400) * 86400, timezone.utc).date()
     old = rows.where(F.col("wall_date") <= F.lit(last))
@@ -188,7 +214,7 @@ def purge(spark: SparkSession, path: str, clock: str, now: float, days: float |
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     at = lambda name: jvm.org.apache.hadoop.fs.Path(root, name)
-    beside = f"_border-{uuid.uuid4().hex}"  # a leading underscore hides it from readers
+    beside = f"_border-{last.isoformat()}-{uuid.uuid4().hex}"  # a leading underscore hides it from readers
     kept = rows.where(F.col("wall_date") == F.lit(last)).where(~expired(rows, clock, now, days)).drop("wall_date")
     kept.write.partitionBy("stream_id").parquet(f"{path}/{beside}")
     folders = [(f.getPath(), f.getPath().getName()) for f in fs.listStatus(root)]
