@@ -82,7 +82,7 @@ def test_end_to_end(spark, tmp_path):
     rule = {"rule_id": "r-speeding", "name": "Speeding", "when": {"type": "speed", "min_kmh": 60}, "cooldown_s": 0}
 
     def save(df):
-        path = f"{tmp_path}/{'tracked' if 'done' in df.columns else uuid.uuid4().hex}"
+        path = f"{tmp_path}/{'tracked' if 'done' in df.columns else uuid.uuid4().hex}"  # one segment: the tracker's own numbers
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
@@ -201,6 +201,48 @@ def test_tracking_query_against_a_plain_tracker(spark):
     assert every == sum(h for *_, h in got)
 
 
+def test_segments_give_the_rows_of_one_pass(spark):
+    from wayline.sources.scratch import saved
+
+    rng = np.random.default_rng(3)
+    dets, frames, t = [], [], 0.0
+    for part in range(11):
+        for f in range(60):
+            frames.append(("s0", "r", len(frames), t))
+            if f < 40 and f % 13 != 5:  # twenty empty frames end each part, a few lie within
+                for k in range(3):
+                    x = 50.0 + 60 * k + 3 * f + float(rng.normal())
+                    dets.append((*frames[-1], k, x, 10.0, x + 40, 50.0, float(rng.choice([0.9, 0.3, 0.05])), "car"))
+            t += 0.1 if f < 45 else 0.8
+        t += float(rng.choice([0.0, 9.0]))
+    other = [("s1", "r", i, i * 0.1, 0, 5.0 * i, 10.0, 5.0 * i + 40, 50.0, 0.9, "car") for i in range(30)]
+    d = spark.createDataFrame(dets + other, "stream_id string, run_id string, frame_index long, timestamp double, det_idx int, x1 double, y1 double, x2 double, y2 double, score double, vehicle_class string")
+    f = spark.createDataFrame(frames + [o[:4] for o in other], "stream_id string, run_id string, frame_index long, timestamp double")
+    key = lambda df: sorted(map(str, df.collect()))
+    parts = []
+    got = tracking.track(d, f, save=lambda df: parts.append(saved(df)) or parts[-1])
+    assert key(got) == key(tracking.track(d, f)) and got.columns == tracking.COLUMNS
+    assert parts[0].where("stream_id = 's0'").select("_segment").distinct().count() == 11
+    from wayline.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    whole = lambda rows, clock=None, save=None: real(rows, clock, every_frame=False)
+    real, one = tracking.track, sorted(map(tuple, queries.t03_tracking_in_segments(spark, sf).collect()))
+    tracking.track = lambda rows, clock, every_frame, save: whole(rows, clock)
+    try:
+        assert sorted(map(tuple, queries.t03_tracking_in_segments(spark, sf).collect())) == one and len(one) > 500
+    finally:
+        tracking.track = real
+
+
+def test_carried_meets_few_frames(spark):
+    points = spark.createDataFrame([("s", "r", k, k * 50 + f, 0.1, "active", 1.0 * f, 0.0, 1.0 * f, 1.0, "car") for k in range(60) for f in (0, 3, 40)], "stream_id string, run_id string, track_id long, frame_index long, timestamp double, state string, x1 double, y1 double, x2 double, y2 double, vehicle_class string")
+    frames = spark.createDataFrame([("s", "r", f, f * 0.1) for f in range(3100)], "stream_id string, run_id string, frame_index long, timestamp double")
+    for block in (None, 1, 7, 4000):
+        out = tracking.carried(points, frames, block).collect()
+        assert len(out) == 60 * 41 and {(r["frame_index"] % 50, r["x1"], r["state"], r["matched"]) for r in out} == {(f, 0.0 if f < 3 else 3.0 if f < 40 else 40.0, "active" if f in (0, 3, 40) else "lost", f in (0, 3, 40)) for f in range(41)}
+
+
 def admitted(**config):
     s = sampling.Sampler(**{k: v for k, v in config.items() if k != "busy"})
     return sum(s.admit(i * 0.01, config.get("busy", False)) for i in range(1000))

@@ -32,10 +32,22 @@ def rates(events: DataFrame, every: str, *by: str) -> DataFrame:
     return events.groupBy(F.window("event_time", every), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
+#: Width of the blocks of a rolling rate, in spans.
+BLOCK_SPANS = 16
+
+
 def rolling_fps(frames: DataFrame, span: float = 2.0) -> DataFrame:
-    """``frames`` with fps: frames of the last ``span`` seconds by second."""
-    n = F.expr(f"count(*) over (partition by stream_id order by wall_ts range between {float(span)}D preceding and current row)")
-    return frames.withColumn("fps", F.bround(n / span, 2))
+    """``frames`` with fps: frames of the last ``span`` seconds by second.
+
+    A stream is cut into blocks of time; the rows of a block's last span also stand, unseen, at the beginning of the next one, so one stream's rows spread over many tasks.
+    """
+    width = float(BLOCK_SPANS * span)
+    own = F.floor(F.col("wall_ts") / width).cast("long")
+    reach = F.floor((F.col("wall_ts") + span) / width).cast("long")  # its span may end in the next block
+    blocks = F.when(reach > own, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = frames.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == own)
+    n = F.expr(f"count(*) over (partition by stream_id, _block order by wall_ts range between {float(span)}D preceding and current row)")
+    return rows.withColumn("fps", F.bround(n / span, 2)).where("_own").drop("_block", "_own")
 
 
 def quantiles(samples: DataFrame, value: str, *by: str, exact: bool = True) -> DataFrame:

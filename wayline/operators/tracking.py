@@ -1,14 +1,15 @@
 """Multi-object tracking: detections of one stream and run to tracks.
 
-The tracker's state depends on every earlier frame, so a stream is followed in order and streams run side by side. Tables pass as sorted
-batches through ``mapInPandas``, streams through a state processor, both through ``Tracker``: what stays in memory is the live tracks
+The tracker's state depends on every earlier frame, so a stream is followed in order and streams run side by side. Where a stream pauses for so long that no track
+outlives the pause, the tracker is as good as new: there a stream can be cut, its segments run side by side too, and only the numbers of their tracks hang together.
+Tables pass as sorted batches through ``mapInPandas``, streams through a state processor, both through ``Tracker``: what stays in memory is the live tracks
 and a batch, whatever a stream's length. All live tracks of a stream are predicted, matched and updated as arrays.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -292,36 +293,47 @@ def finished_rows(key: tuple, done: list[tuple]) -> list[tuple]:
 FLUSH_ROWS = 20_000
 
 
-def _follow_all(config: Config, every_frame: bool):
-    """Follows sorted rows, batch by batch; the last frame of a batch waits for the next one, as more of it may come."""
+def _follow_all(config: Config, every_frame: bool, keys: list[str]):
+    """Follows sorted rows, batch by batch; the last frame of a batch waits for the next one, as more of it may come. Keys beyond stream and run go out behind the other columns."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tracker, key, rest, rows, size = Tracker(config), None, None, Rows(), 0
 
         def ended() -> pd.DataFrame:
-            return pd.DataFrame(finished_rows(key, tracker.finish()), columns=COLUMNS)
+            return marked(pd.DataFrame(finished_rows(key[:2], tracker.finish()), columns=COLUMNS))
+
+        def marked(out: pd.DataFrame) -> pd.DataFrame:
+            return out.assign(**dict(zip(keys[2:], key[2:])))
 
         def feed(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
             nonlocal size
             done = []
             for frame, t, *dets in frames_of(part):
                 over, matched = tracker.advance(frame, t, *dets)
-                done += finished_rows(key, over)
+                done += finished_rows(key[:2], over)
                 if every_frame and tracker.live:
-                    rows.add(key, tracker, frame, t, matched)
+                    rows.add(key[:2], tracker, frame, t, matched)
                     size += tracker.live
                     if size >= FLUSH_ROWS:
-                        yield rows.flush()
+                        yield marked(rows.flush())
                         size = 0
             if done:
-                yield pd.DataFrame(done, columns=COLUMNS)
+                yield marked(pd.DataFrame(done, columns=COLUMNS))
+
+        def flushed() -> Iterator[pd.DataFrame]:
+            nonlocal size
+            if (left := rows.flush()) is not None:
+                yield marked(left)
+            size = 0
 
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            where = b.groupby(["stream_id", "run_id"], sort=False, dropna=False).ngroup().to_numpy()
+            where = b.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(b)]
             for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                own = tuple(b[["stream_id", "run_id"]].iloc[lo]) if lo < hi else key
+                own = tuple(b[k].iloc[lo] for k in keys) if lo < hi else key
                 if key is not None and own != key:
+                    if len(keys) > 2:
+                        yield from flushed()
                     yield ended()
                     tracker = Tracker(config)
                 key = own
@@ -335,19 +347,51 @@ def _follow_all(config: Config, every_frame: bool):
                     yield from feed(b.iloc[lo:hi])
         if rest is not None and len(rest):
             yield from feed(rest)
-        if (left := rows.flush()) is not None:
-            yield left
         if key is not None:
+            yield from flushed()
             yield ended()
 
     return lambda batches: run(b for b in batches if len(b))
 
 
-def track(detections: DataFrame, frames: DataFrame | None = None, config: Config = Config(), every_frame: bool = True) -> DataFrame:
+#: Width of the blocks of time at whose borders streams are cut, in times to live.
+BLOCK_TTLS = 4
+
+
+def with_segments(rows: DataFrame, ttl: float) -> DataFrame:
+    """Rows of frames with ``_segment``: a new one begins with the first detection behind a pause that no track outlives, that is, one with an empty frame more than ``ttl`` after the last detection.
+
+    Pauses are looked for between blocks of time, so that a row for each block is sorted by stream, not one for each frame; a pause within a block is no cut.
+    """
+    block = F.floor(F.col("timestamp") / (BLOCK_TTLS * ttl)).cast("long")
+    marked = rows.withColumn("_block", block)
+    spans = marked.groupBy("stream_id", "run_id", "_block").agg(F.max("timestamp").alias("_frame"), F.max(F.when(F.col("score").isNotNull(), F.col("timestamp"))).alias("_seen"))
+    order = Window.partitionBy("stream_id", "run_id").orderBy("_block")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("_seen").isNotNull() & (F.max("_frame").over(past) - F.max("_seen").over(past) > ttl)
+    spans = spans.withColumn("_new", F.coalesce(new, F.lit(False)).cast("long"))
+    spans = spans.select(F.col("stream_id").alias("_s"), F.col("run_id").alias("_r"), F.col("_block").alias("_b"), F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_segment"))
+    same = F.col("stream_id").eqNullSafe(F.col("_s")) & F.col("run_id").eqNullSafe(F.col("_r")) & F.col("_block").eqNullSafe(F.col("_b"))
+    return marked.join(spans, same).drop("_s", "_r", "_b", "_block")
+
+
+def renumbered(tracked: DataFrame) -> DataFrame:
+    """Tracks of segments numbered as in one pass: each segment's go on behind those of the segments before. Every track ends with a row, so a segment's last number is how many it has."""
+    keys = ["stream_id", "run_id"]
+    births = tracked.where("done").groupBy(*keys, "_segment").agg(F.max("track_id").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_segment")) - F.col("_n")
+    known = births.select(F.col("stream_id").alias("_s"), F.col("run_id").alias("_r"), F.col("_segment").alias("_g"), before.alias("_before")).where("_before > 0")
+    same = F.col("stream_id").eqNullSafe(F.col("_s")) & F.col("run_id").eqNullSafe(F.col("_r")) & (F.col("_segment") == F.col("_g"))
+    return tracked.join(known, same, "left").withColumn("track_id", F.col("track_id") + F.coalesce("_before", F.lit(0))).select(COLUMNS)
+
+
+def track(detections: DataFrame, frames: DataFrame | None = None, config: Config = Config(), every_frame: bool = True, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows of live tracks frame by frame (left out unless ``every_frame``), and a row with ``done`` when one finishes (all do, at the latest after the last frame).
 
     ``frames`` (stream_id, run_id, frame_index, timestamp) brings in frames without detections. One task follows a stream and run from its first frame
     to its last, as every frame's outcome hangs on the one before; it keeps the tracker and a batch, so a stream may be of any length.
+    With ``save``, which writes a table and reads it back, streams are cut at pauses and their segments followed side by side, with the same rows and numbers; the
+    tracker's rows are written before they are numbered, so that they are made once. Timestamps must grow with the frames then.
     """
     cols = ["stream_id", "run_id", "frame_index", "timestamp", "det_idx", *BOX, "score", "vehicle_class"]
     rows = detections.select(cols)
@@ -355,7 +399,11 @@ def track(detections: DataFrame, frames: DataFrame | None = None, config: Config
         clock = frames.select("stream_id", "run_id", "frame_index", "timestamp")
         rows = clock.join(rows.drop("timestamp"), ["stream_id", "run_id", "frame_index"], "left").select(cols)
     keys = ["stream_id", "run_id"]
-    return by_key(rows, keys, 4).sortWithinPartitions(*keys, "frame_index", "timestamp", "det_idx").mapInPandas(_follow_all(config, every_frame), ROWS)
+    if save is not None:
+        rows, keys = with_segments(rows, config.lost_ttl), [*keys, "_segment"]
+    ordered = by_key(rows, keys, 4).sortWithinPartitions(*keys, "frame_index", "timestamp", "det_idx")
+    tracked = ordered.mapInPandas(_follow_all(config, every_frame, keys), ROWS if save is None else f"{ROWS}, _segment long")
+    return tracked if save is None else renumbered(save(tracked))
 
 
 def live_rows(tracked: DataFrame) -> DataFrame:
@@ -366,11 +414,22 @@ def finished(tracked: DataFrame) -> DataFrame:
     return tracked.where("done").select(*[c.split()[0] for c in FINISHED.split(", ")])
 
 
-def carried(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """Matched points spread over their stream's frames from the first to the last: between matches a track stands where it was, lost (a backward as-of join by ``last``)."""
-    span = points.groupBy("stream_id", "run_id", "track_id").agg(F.min("frame_index").alias("a"), F.max("frame_index").alias("b"))
-    grid = span.join(frames.select("stream_id", "run_id", "frame_index", "timestamp"), ["stream_id", "run_id"]).where("frame_index between a and b").drop("a", "b")
-    rows = grid.join(points.drop("timestamp").withColumn("_hit", F.lit(True)), ["stream_id", "run_id", "track_id", "frame_index"], "left")
-    past = Window.partitionBy("stream_id", "run_id", "track_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
+def carried(points: DataFrame, frames: DataFrame, block: int | None = None) -> DataFrame:
+    """Matched points spread over their stream's frames from the first to the last: between matches a track stands where it was, lost (a backward as-of join by ``last``).
+
+    Frames and tracks meet by blocks of frames, so a track meets the frames of its own span and at most a block more at either end, not all frames of its stream. ``block`` is a quarter of the
+    mean span unless given, so that these are half of the rows at most.
+    """
+    key = ["stream_id", "run_id"]
+    span = points.groupBy(*key, "track_id").agg(F.min("frame_index").alias("a"), F.max("frame_index").alias("b"))
+    if block is None:
+        mean = span.agg(F.avg(F.col("b") - F.col("a"))).first()[0]
+        block = max(1, int((mean or 0) / 4))
+    at = lambda c: F.floor(F.col(c) / block).cast("long")
+    parts = span.withColumn("_block", F.explode(F.sequence(at("a"), at("b"))))
+    clock = frames.select(*key, "frame_index", "timestamp").withColumn("_block", at("frame_index"))
+    grid = parts.join(clock, [*key, "_block"]).where("frame_index between a and b").drop("a", "b", "_block")
+    rows = grid.join(points.drop("timestamp").withColumn("_hit", F.lit(True)), [*key, "track_id", "frame_index"], "left")
+    past = Window.partitionBy(*key, "track_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("matched", F.coalesce("_hit", F.lit(False))).withColumn("state", F.when(F.col("_hit"), F.coalesce("state", F.lit("active"))).otherwise("lost"))
     return rows.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in (*BOX, "vehicle_class")}).drop("_hit")

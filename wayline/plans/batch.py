@@ -26,15 +26,16 @@ class Dimensions:
     plate_gates: dict = field(default_factory=dict)
 
 
-def run_batch(detections: DataFrame, frames: DataFrame, dims: Dimensions, config: tracking.Config = tracking.Config(), plate_reads: DataFrame | None = None, observations: DataFrame | None = None, save=lambda df: df) -> dict[str, DataFrame]:
+def run_batch(detections: DataFrame, frames: DataFrame, dims: Dimensions, config: tracking.Config = tracking.Config(), plate_reads: DataFrame | None = None, observations: DataFrame | None = None, save=None) -> dict[str, DataFrame]:
     """The result bundle (totals, tracks, events, event_counts) and the tables on the way.
 
-    Tracking is one task per (stream, run); everything after is keyed by (stream, run, track), so its shuffles spread over tracks. The
-    tracker's rows, the gated plate reads and the primitive events feed several branches: pass a ``save`` that writes and rereads them (a checkpoint) so that each is made once.
+    Everything after tracking is keyed by (stream, run, track), so its shuffles spread over tracks. The tracker's rows, the gated plate reads and the primitive events feed
+    several branches: pass a ``save`` that writes and rereads them (``sources.scratch.saved``), so that each is made once; tracking then is one task per segment of a stream between pauses, else one per stream and run.
     ``plate_reads``: plate boxes as read, (stream_id, run_id, frame_index, det_idx, x1, y1, x2, y2, score, text, conf); those with a track_id are taken as assigned.
     Rule events carry the payload that set them off in ``trigger_data``.
     """
-    tracked = save(tracking.track(detections, frames, config))
+    tracked = tracking.track(detections, frames, config, save=save)
+    save = save or (lambda df: df)
     live, done = tracking.live_rows(tracked), tracking.finished(tracked)
     points = live.where("matched")
     grounded = motion.ground(points, dims.calibrations)

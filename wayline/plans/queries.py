@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import annotations, attributes, calibration, config_checks, detections, events, lines, metrics, motion, plates, rules, sampling, tracking, zones
 from ..operators.folds import spaced
 from ..sources import exports, readers, store
+from ..sources.scratch import saved
 from . import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -782,6 +783,19 @@ def t02_track_frames(spark, sf):
     return rows.groupBy("stream_id", "frame_index").agg(F.count("*").alias("live"), F.count_if("matched").alias("matched"), F.count_if(F.col("state") == "lost").alias("lost"), F.sum("hits").alias("hits"))
 
 
+@query()
+def t03_tracking_in_segments(spark, sf):
+    """Tracks of streams that pause between orders of different days: segments side by side, numbered as in one pass."""
+    d = _detections(spark, sf)
+    late = F.floor(F.col("frame_index") / 5000)  # a pause of ten seconds after each 5000 frames
+    paused = d.withColumn("timestamp", F.col("timestamp") + late * 10.0)
+    clock = paused.select("stream_id", "run_id", "frame_index", "timestamp").distinct()
+    gaps = clock.groupBy("stream_id", "run_id", F.floor(F.col("frame_index") / 5000).alias("part")).agg(F.max("frame_index").alias("frame_index"), F.max("timestamp").alias("timestamp"))
+    empty = gaps.select("stream_id", "run_id", (F.col("frame_index") + 1).alias("frame_index"), (F.col("timestamp") + 2.5).alias("timestamp"))  # the camera ran on, nothing was seen
+    tracked = tracking.track(paused, clock.union(empty), every_frame=False, save=saved)
+    return tracking.finished(tracked).select("stream_id", "track_id", "frame_index", "confirmed", "hits")
+
+
 @query(f"with {D.trajectory_sql()}, h as (select * from traj where vehicle_class <> 'bus'), span as (select track_id, min(frame_index) as a, max(frame_index) as b from h group by all), g as (select t.track_id, t.frame_index from traj t join span s on t.track_id = s.track_id and t.frame_index between a and b) select g.track_id, g.frame_index, h.event_id is not null as matched, round(last_value(h.x ignore nulls) over (partition by g.track_id order by g.frame_index), 6) as x from g left join h using (track_id, frame_index)")
 def j06_carry_forward(spark, sf):
     t = D.trajectories(spark, sf)
