@@ -19,7 +19,7 @@ def parse(lines: DataFrame) -> DataFrame:
     return rows.where("class_id is not null and cx is not null and cy is not null and w > 0 and w <= 1 and h > 0 and h <= 1")
 
 
-def crop_box(width: Column, height: Column, margin: float = 0.05) -> dict[str, Column]:
+def crop_box(width: Column, height: Column, margin: float = 0.08) -> dict[str, Column]:
     """Whole pixels of a normalised box with a margin of its size, held inside the image."""
     w, h = F.col("w") * width, F.col("h") * height
     x1, y1 = F.col("cx") * width - w / 2 - w * margin, F.col("cy") * height - h / 2 - h * margin
@@ -28,7 +28,7 @@ def crop_box(width: Column, height: Column, margin: float = 0.05) -> dict[str, C
     return {"x1": hold(x1, width), "y1": hold(y1, height), "x2": hold(x2, width), "y2": hold(y2, height)}
 
 
-def crops(boxes: DataFrame, margin: float = 0.05, min_height: int = 12) -> DataFrame:
+def crops(boxes: DataFrame, margin: float = 0.08, min_height: int = 12) -> DataFrame:
     """Boxes (from ``parse``, with width and height of the image) as pixel crops; empty and too low ones go."""
     rows = boxes.withColumns(crop_box(F.col("width"), F.col("height"), margin))
     return rows.where(F.expr("x2 > x1 and y2 > y1") & (F.expr("y2 - y1") >= min_height))

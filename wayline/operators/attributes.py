@@ -39,6 +39,11 @@ def fuse(observations: DataFrame) -> DataFrame:
     return mass.groupBy(*TRACK, "key").agg(F.max_by("value", F.struct("mass", -F.col("first"))).alias("value"), (F.max("mass") / F.sum("mass")).alias("confidence"), F.sum("n").alias("n_observations"))
 
 
+def expired(known: DataFrame, live: DataFrame) -> DataFrame:
+    """Tracks of ``known`` that aren't among ``live``, whose state can go; each once."""
+    return known.select(*TRACK).distinct().join(live.select(*TRACK), TRACK, "left_anti")
+
+
 def as_map(fused: DataFrame) -> DataFrame:
     return fused.groupBy(*TRACK).agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("value", "confidence", "n_observations")))).alias("attributes"))
 

@@ -13,7 +13,7 @@ from ..functions import geometry as G
 from .folds import in_order, numbers, spaced, with_columns
 from .lines import TRACK
 
-WINDOW_S, MIN_TRACK_S, ALPHA = 1.0, 0.7, 0.4
+WINDOW_S, MIN_TRACK_S, ALPHA = 1.0, 0.7, 0.35
 MOVED_M, ANCHOR_M, REPEAT_S = 0.05, 0.15, 30.0
 
 

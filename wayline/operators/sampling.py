@@ -41,7 +41,7 @@ class Sampler:
             kept, self.tokens, self.seen_t = True, 0.0, None
         else:
             self.tokens = min(1.0, self.tokens + (t - self.last_t) * rate)
-            kept = self.tokens >= 1.0 - 1e-9
+            kept = self.tokens >= 1.0
             self.tokens -= kept
         self.last_t = t
         if kept and has_detection:

@@ -33,7 +33,7 @@ class Config:
     min_score: float = 0.1
     match_iou: float = 0.2
     min_hits: int = 3
-    lost_ttl: float = 2.0
+    lost_ttl: float = 1.0
     max_history: int = 600
 
 

@@ -127,7 +127,7 @@ vel as (select r.*, c.ref, case when r.timestamp - born >= 0.7::double and prev
 ordered as (select *, row_number() over (partition by track_id order by frame_index) as n from vel)"""
 _EMA = _SPEED.replace("with", "with recursive", 1) + """,
 ema as (select track_id, frame_index, n, raw as v from ordered where n = 1
-  union all select o.track_id, o.frame_index, o.n, case when o.raw is null then e.v when e.v is null then o.raw else 0.4::double * o.raw + 0.6::double * e.v end from ema e join ordered o on o.track_id = e.track_id and o.n = e.n + 1)"""
+  union all select o.track_id, o.frame_index, o.n, case when o.raw is null then e.v when e.v is null then o.raw else 0.35::double * o.raw + 0.65::double * e.v end from ema e join ordered o on o.track_id = e.track_id and o.n = e.n + 1)"""
 
 
 def _grounded(spark, sf):
@@ -659,13 +659,23 @@ def f11_snapshot_path(spark, sf):
     return D.event_log(spark, sf).select("id", exports.snapshot_path(F.col("stream_id"), F.col("wall_ts"), F.col("id")).alias("path"))
 
 
-@query("select n_nationkey as k, case when n_nationkey % 3 = 0 then 'running' else 'stopped' end as state, case when n_nationkey % 3 = 0 then (select count(*) from customer where c_nationkey = n_nationkey) else 0 end as frames from nation")
+@query("""with live as (select s_nationkey as k, count(*) as n from supplier where s_acctbal < 0 group by all)
+select n_nationkey as k, case when n is not null then 'running' else 'stopped' end as state, coalesce(n, 0) as frames from nation left join live on n_nationkey = k""")
 def j15_live_status(spark, sf):
+    """Nations with suppliers in debt stand for streams that run."""
     streams = D.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("stream_id"))
-    live = D.table(spark, sf, "customer").where("c_nationkey % 3 = 0").groupBy(F.col("c_nationkey").cast("string").alias("stream_id")).agg(F.count("*").alias("frames")).withColumn("state", F.lit("running"))
+    live = D.table(spark, sf, "supplier").where("s_acctbal < 0").groupBy(F.col("s_nationkey").cast("string").alias("stream_id")).agg(F.count("*").alias("frames")).withColumn("state", F.lit("running"))
     return metrics.live_status(streams, live).select(F.col("stream_id").cast("int").alias("k"), "state", "frames")
 
 
+@query(f"with {D.trajectory_sql()} select track_id, max(frame_index) as last_frame from traj group by all having max(frame_index) < 60")
+def u02_expired_tracks(spark, sf):
+    """Tracks that are seen no more from frame 60 on."""
+    t = D.trajectories(spark, sf)
+    ends = t.groupBy("track_id").agg(F.max("frame_index").alias("last_frame"))
+    return attributes.expired(t, t.where("frame_index >= 60").select(*lines.TRACK).distinct()).join(ends, "track_id").select("track_id", "last_frame")
+
+
 # --- clocks, configuration, annotations, texts -------------------------------------------------------------------
 
 @query("""with p as (select o_custkey % 4 as s, o_orderkey % 3 as part, o_orderkey, row_number() over (partition by o_custkey % 4, o_orderkey % 3 order by o_orderkey, o_totalprice) - 1 as f from orders),
@@ -715,19 +725,27 @@ def a17_remap_stats(spark, sf):
     return annotations.remap_stats(_labels(spark, sf), _MAP)
 
 
-@query("select p_partkey, (p_partkey % 9)::int as class_id, 150 as x1, 80 as y1, 250 as x2, 120 as y2 from part where p_partkey % 5 >= 2")
+@query("""with b as (select p_partkey, (p_partkey % 9)::int as class_id, (p_partkey % 100) / 100.0::double as cx, (p_partkey % 89) / 100.0::double as cy, (1 + p_size % 40) / 100.0::double * 400 as w, (1 + p_partkey % 30) / 100.0::double * 200 as h from part),
+e as (select p_partkey, class_id, least(greatest(trunc(cx * 400 - w / 2 - w * 0.08::double)::int, 0), 400) as x1, least(greatest(trunc(cy * 200 - h / 2 - h * 0.08::double)::int, 0), 200) as y1,
+  least(greatest(trunc(cx * 400 + w / 2 + w * 0.08::double)::int, 0), 400) as x2, least(greatest(trunc(cy * 200 + h / 2 + h * 0.08::double)::int, 0), 200) as y2 from b)
+select * from e where x2 > x1 and y2 > y1 and y2 - y1 >= 12""")
 def p27_plate_crops(spark, sf):
-    boxes = annotations.parse(_labels(spark, sf)).withColumn("width", F.lit(400)).withColumn("height", F.lit(200))
-    return annotations.crops(boxes, 0.0).select("p_partkey", "class_id", "x1", "y1", "x2", "y2")
+    """Boxes of many sizes, some over the picture's edge, some too low."""
+    hundredths = lambda c: F.format_string("%.2f", c / F.lit(100.0))
+    k = F.col("p_partkey")
+    value = F.concat_ws(" ", (k % 9).cast("string"), hundredths(k % 100), hundredths(k % 89), hundredths(1 + F.col("p_size") % 40), hundredths(1 + k % 30))
+    boxes = annotations.parse(D.table(spark, sf, "part").select("p_partkey", value.alias("value"))).withColumn("width", F.lit(400)).withColumn("height", F.lit(200))
+    return annotations.crops(boxes).select("p_partkey", "class_id", "x1", "y1", "x2", "y2")
 
 
-@query("""with l as (select p_partkey as k, '/data/labels/a/labels/' || (p_partkey % 50) || '/' || p_partkey || '.txt' as p from part) select p as label_path, '/data/labels/a/images/' || (k % 50) || '/' || k || case when k % 3 = 0 then '.png' else '.jpg' end as image_path from l where k % 4 > 0""")
+@query("""with l as (select p_partkey as k, '/data/labels/a/labels/' || (p_partkey % 50) || '/' || p_partkey || '.txt' as p, p_size as s from part) select p as label_path, '/data/labels/a/images/' || (k % 50) || '/' || k || case when k % 3 = 0 then '.png' else '.jpg' end as image_path from l where s > 10""")
 def s14_image_label_pairs(spark, sf):
+    """Small parts have a label and no picture."""
     k = F.col("p_partkey")
     p = D.table(spark, sf, "part")
     stem = lambda kind: F.concat(F.lit(f"/data/labels/a/{kind}/"), (k % 50).cast("string"), F.lit("/"), k.cast("string"))
     labels = p.select(F.concat(stem("labels"), F.lit(".txt")).alias("label_path"))
-    images = p.where("p_partkey % 4 > 0").select(F.explode(F.when(k % 3 == 0, F.array(F.lit(".webp"), F.lit(".png"))).otherwise(F.array(F.lit(".png"), F.lit(".jpg")))).alias("e"), stem("images").alias("s")).select(F.concat("s", "e").alias("image_path"))
+    images = p.where("p_size > 10").select(F.explode(F.when(k % 3 == 0, F.array(F.lit(".webp"), F.lit(".png"))).otherwise(F.array(F.lit(".png"), F.lit(".jpg")))).alias("e"), stem("images").alias("s")).select(F.concat("s", "e").alias("image_path"))
     return annotations.pair(labels, images)
 
 

@@ -68,12 +68,12 @@ def scrub_json(text: Column, salt: str) -> Column:
     """
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _scrub_text(t, salt))
+        return texts.map(lambda t: scrub_text(t, salt))
 
     return run(text)
 
 
-def _scrub_text(text: str | None, salt: str) -> str | None:
+def scrub_text(text: str | None, salt: str) -> str | None:
     def walk(value, key):
         if isinstance(value, dict):
             return {k: walk(v, k) for k, v in value.items()}

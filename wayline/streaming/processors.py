@@ -105,6 +105,62 @@ def plate_emissions(reads: DataFrame, min_reads: int = 2, ttl_ms: int = 0) -> Da
     return rows.transformWithStateInPandas(VoteProcessor(min_reads, ttl_ms), EMISSIONS, "append", "processingTime" if ttl_ms else "none")
 
 
+FUSED = "stream_id string, run_id string, track_id long, seq long, key string, value string, confidence double, n_observations long"
+
+
+class FusionProcessor(StatefulProcessor):
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = {"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}
+        self.mass = handle.getMapState("mass", "key string, value string", "mass double, first long, n long", **ttl)
+        self.last = handle.getValueState("last", "seq long", **ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["done", "seq"], kind="stable")
+        known: dict[str, dict[str, tuple[float, int, int]]] = {}
+        for (k, v), m in self.mass.iterator() if self.mass.exists() else ():
+            known.setdefault(k, {})[v] = tuple(m)
+        last, out, changed = self.last.get()[0] if self.last.exists() else -1, [], set()
+        seen = pdf[~pdf["done"]]
+        for seq, k, v, c in seen[["seq", "key", "value", "confidence"]].itertuples(index=False):
+            if seq <= last:
+                continue
+            last = int(seq)
+            if not v or not c > 0:
+                continue
+            own = known.setdefault(k, {})
+            m, first, n = own.get(v, (0.0, last, 0))
+            own[v] = (m + min(float(c), 1.0), first, n + 1)
+            changed.add((k, v))
+            best = max(own, key=lambda x: (round(own[x][0], 9), -own[x][1]))
+            out.append((*key, last, k, best, round(own[best][0], 9) / sum(round(m, 9) for m, _, _ in own.values()), sum(n for *_, n in own.values())))
+        if pdf["done"].any():
+            self.mass.clear()
+            self.last.clear()
+        elif last >= 0:
+            for k, v in changed:
+                self.mass.updateValue((k, v), known[k][v])
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FUSED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def fuse(observations: DataFrame, finished: DataFrame | None = None, ttl_ms: int = 0) -> DataFrame:
+    """The stream form of ``attributes.fuse``: an attribute each time an observation counts, as it stands then; the last row of a (track, key) is what the table form gives.
+
+    What was seen of a track is forgotten when it comes in ``finished`` (a stream too), and what was seen of a value after ``ttl_ms`` without it. Observations at or before the last ``seq`` of a track are late and dropped.
+    """
+    cols = ["stream_id", "run_id", "track_id", "seq", "key", "value", "confidence"]
+    rows = observations.select(cols).withColumn("done", F.lit(False))
+    if finished is not None:
+        rows = rows.unionByName(finished.select("stream_id", "run_id", "track_id").withColumn("done", F.lit(True)), allowMissingColumns=True)
+    return rows.groupBy("stream_id", "run_id", "track_id").transformWithStateInPandas(FusionProcessor(ttl_ms), FUSED, "append", "processingTime" if ttl_ms else "none")
+
+
 def windowed_counts(events: DataFrame, every: str = "1 minute", late: str = "10 minutes", *by: str) -> DataFrame:
     """Event counts by window of event_time; rows later than ``late`` are dropped by the watermark."""
     out = events.withWatermark("event_time", late).groupBy(F.window("event_time", every), *by).agg(F.count("*").alias("n"))
