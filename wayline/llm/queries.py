@@ -118,4 +118,17 @@ select u.page_id, u.host, u.path, b.rule,
   coalesce(b.verdict, case when regexp_matches(u.host || u.path, '(?:^|\.)(?:ads-track|doubleclick|adserver)\.|/ads/|/banners?/|(?:^|[./-])(?:casino|porn)[./-]|\.exe$|/wp-login\.php$') then 'block' else 'allow' end) as verdict
 from u left join best b on u.host = b.host and u.path = b.path""",
     "op10_licenses": _licenses_sql(),
+    "op12_prefix_trie": """
+with own as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as d, coalesce(role, '') || chr(1) || coalesce(text, '') as k, length(coalesce(text, '')) as n from conversations where conv_id is not null),
+heads as (select c, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda acc, b:
+  list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: case when v % 2 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)), 4294967295::bigint) % 6 as h from (select distinct c from own)),
+turns as (select h.c, 0 as part, b.d, b.k, b.n from heads h join own b on b.c = h.c - h.c % 100 and b.d <= h.h union all select h.c, 1, o.d, o.k, o.n from heads h join own o on o.c = h.c and o.d > h.h),
+paths as (select h.c, coalesce(list({'k': t.k, 'n': t.n} order by t.part, t.d) filter (t.c is not null), []) as p from heads h left join turns t on t.c = h.c group by h.c),
+prefixes as (select c, p, unnest(range(len(p) + 1)) as d from paths),
+nodes as (select p[:d] as path, d, min(c) as conv_id, count(*) as n_convs, string_agg(c::varchar, ',' order by c) filter (len(p) = d) as ids from prefixes group by p[:d], d),
+kids as (select path[:d - 1] as path, count(*) as n from nodes where d > 0 group by 1),
+tree as (select n.*, coalesce(k.n, 0) as n_children, case when n.d > 0 then n.path[n.d].n * (n.n_convs - 1) else 0 end as own from nodes n left join kids k on k.path = n.path),
+below as (select a.path, sum(b.own)::bigint as saved_tokens, count(*) filter (b.n_children = 0) as n_leaves from tree a join tree b on b.d >= a.d and b.path[:a.d] = a.path group by a.path)
+select t.conv_id, t.d as depth, u.conv_id as parent_conv_id, t.n_convs, t.n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(t.ids, '')) as ends_sha256
+from tree t join below b on b.path = t.path left join tree u on t.d > 0 and u.d = t.d - 1 and u.path = t.path[:t.d - 1]""",
 }
