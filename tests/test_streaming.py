@@ -84,3 +84,34 @@ def test_motion(spark, job):
     assert all(close(max(g["distance_m"] for k, g in got.items() if k[0] == i), d) for i, d in far.items())
     over = {(r["track_id"], r["frame_index"]) for r in motion.speeding(moving, job["limits"]).collect()}
     assert {k for k, g in got.items() if g["speeding"]} == over and len(over) >= 2
+
+
+def test_the_whole_job(spark, tmp_path):
+    from test_tracking_store import scene
+
+    from wayline.operators import calibration
+    from wayline.plans.batch import Dimensions, run_batch
+    from wayline.plans.stream import run_stream
+    from wayline.sources import store
+
+    dets, frames = scene(spark)
+    line = dimension(spark, [{"stream_id": "cam", "line_id": "count", "name": "Count", "ax": 320.0, "ay": 320.0, "bx": 320.0, "by": 60.0}], schemas.LINES, "lines")
+    zone = dimension(spark, [{"stream_id": "cam", "zone_id": "mid", "name": "Mid", "points": [(200.0, 60.0), (440.0, 60.0), (440.0, 320.0), (200.0, 320.0)], "dwell_alert_s": 0.2}], schemas.ZONES, "zones")
+    cal = calibration.fit(spark.createDataFrame([("cam", *map(float, p)) for p in [(0, 60, 0, 0), (640, 60, 64, 0), (640, 320, 64, 26), (0, 320, 0, 26)]], schemas.CALIBRATION_POINTS))
+    rule = [{"rule_id": "cross", "name": "Cross", "when": {"type": "line_cross", "line": "count", "classes": ["car"]}, "cooldown_s": 0}, {"rule_id": "in", "name": "In", "when": {"type": "zone_enter", "zone": "mid"}, "cooldown_s": 0}]
+    dims = Dimensions(line, zone, cal, spark.createDataFrame([("cam", 60.0)], "stream_id string, limit_kmh double"), rule)
+    batch = run_batch(dets, frames, dims)["events"]
+    cols = ["stream_id", "run_id", "frame_index", "timestamp", "det_idx", "x1", "y1", "x2", "y2", "score", "vehicle_class"]
+    every = dets.select(cols).unionByName(frames.join(dets, "frame_index", "left_anti").select(cols[:4]), allowMissingColumns=True)
+    late = frames.agg(F.max("frame_index").alias("f")).select(F.lit("cam").alias("stream_id"), F.lit("r").alias("run_id"), (F.col("f") + 1).alias("frame_index"), F.lit(20.0).alias("timestamp"))
+    every = every.unionByName(late, allowMissingColumns=True)  # a frame long after the last one ends all tracks
+    for lo, hi in ((0, 40), (40, 500)):
+        every.where(F.col("frame_index").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    src = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    root = f"{tmp_path}/store"
+    run_stream(spark, src, dims, root, frames=frames)
+    got = store.load(spark, f"{root}/events")
+    tell = lambda df: sorted((r["type"], r["track_id"], r["frame_index"], r["rule_id"] or "", r["data"]["direction"] or "", r["data"]["count"] or 0, r["data"]["zone"] or "", round(r["data"]["dwell_s"] or 0, 3), round(r["data"]["speed_kmh"] or 0, 3)) for r in df.where("type != 'track_finished'").collect())
+    assert tell(got) == tell(batch) and {"rule_triggered", "speeding", "line_crossed", "zone_dwell", "zone_exited", "track_started"} <= {t[0] for t in tell(got)}
+    ends = lambda df: sorted((r["track_id"], r["data"]["duration_s"], r["data"]["n_points"]) for r in df.where("type = 'track_finished'").collect())
+    assert ends(got) == ends(batch) and store.load(spark, f"{root}/tracks").count() == len(ends(batch))

@@ -42,7 +42,7 @@ def trigger(c: dict) -> Column:
     if kind == "speed":
         return (E(TYPE) == "speeding") & ok & (F.coalesce(E("data.speed_kmh"), E("track_speed")) >= c["min_kmh"])
     if kind == "plate_watchlist":
-        return (E(TYPE) == "watchlist_hit") & (E("data.watchlist") == c["watchlist"])
+        return (E(TYPE) == "watchlist_hit") & (F.coalesce(E("data.watchlist"), E("data.watchlist_id")) == c["watchlist"])
     if kind == "any_of":
         return reduce(Column.__or__, [_sure(trigger(m)) for m in c["conditions"]], F.lit(False))
     if kind == "all_of":
@@ -109,24 +109,33 @@ def with_state(events: DataFrame, track_frames: DataFrame | None = None, visits:
     return events.join(live, "id", "left")
 
 
-def fire(events: DataFrame, rules: list[dict], allowed: DataFrame | None = None) -> DataFrame:
-    """Rule events of ``events`` (from ``with_state``): one column per rule, exploded where it fires, then the cooldown by (stream, run, rule, track).
+def hits(events: DataFrame, rules: list[dict], allowed: DataFrame | None = None) -> DataFrame:
+    """``events`` (from ``with_state``; may be a stream) with rule_id, rule_name, cooldown_s and rule_ord for each rule that they set off: one column per rule, exploded where it fires.
 
     Rules are dicts (rule_id, name, when, cooldown_s, enabled, streams, ord). Rule events never trigger rules.
     """
     live = [r for r in rules if r.get("enabled", True)]
-    hits = []
+    found = []
     for i, r in enumerate(live):
         here = F.lit(True) if r.get("streams") is None else E("stream_id").isin(r["streams"])
         rule = F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r.get("name", r["rule_id"])).alias("rule_name"), F.lit(float(r.get("cooldown_s", 0))).alias("cooldown_s"), F.lit(r.get("ord", i)).alias("rule_ord"))
-        hits.append(F.when(here & _sure(trigger(r["when"])), rule))
-    if not hits:
-        hits = [F.lit(None).cast("struct<rule_id:string,rule_name:string,cooldown_s:double,rule_ord:int>")]
-    rows = events.where("type != 'rule_triggered'").withColumn("_r", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+        found.append(F.when(here & _sure(trigger(r["when"])), rule))
+    if not found:
+        found = [F.lit(None).cast("struct<rule_id:string,rule_name:string,cooldown_s:double,rule_ord:int>")]
+    rows = events.where("type != 'rule_triggered'").withColumn("_r", F.explode(F.filter(F.array(*found), lambda h: h.isNotNull())))
     rows = rows.drop("rule_id").select("*", "_r.*").drop("_r")
     if allowed is not None:
         rows = rows.join(allowed, ["rule_id", "stream_id"], "left_semi")
-    fired = spaced(rows, ["stream_id", "run_id", "rule_id", "track_id"], "timestamp", ["frame_index", "phase", "geom_ord", "id"], F.col("cooldown_s"))
+    return rows
+
+
+def fire(events: DataFrame, rules: list[dict], allowed: DataFrame | None = None) -> DataFrame:
+    """Rule events: ``hits`` after the cooldown by (stream, run, rule, track)."""
+    rows = hits(events, rules, allowed)
+    return rule_events(spaced(rows, ["stream_id", "run_id", "rule_id", "track_id"], "timestamp", ["frame_index", "phase", "geom_ord", "id"], F.col("cooldown_s")))
+
+
+def rule_events(fired: DataFrame) -> DataFrame:
     return fired.select(
         event_id(F.lit("rule_triggered"), "rule_id", "id").alias("id"), F.lit("rule_triggered").alias("type"), "stream_id", "run_id", "timestamp", "wall_ts", "track_id", "rule_id",
         F.coalesce("track_class", "vehicle_class").alias("vehicle_class"), payload(rule_name=F.col("rule_name"), trigger=F.col("type")).alias("data"), F.lit(None).cast("string").alias("snapshot_path"),

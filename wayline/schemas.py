@@ -22,6 +22,6 @@ EVENT_TYPES = (
 DATA = (
     "class string, duration_s double, distance_m double, avg_speed_kmh double, max_speed_kmh double, plate string, plate_confidence double, color string, n_points long, "
     "first_wall_ts double, last_wall_ts double, line string, line_name string, direction string, direction_canonical string, count long, zone string, zone_name string, "
-    "dwell_s double, speed_kmh double, limit_kmh double, confidence double, corrected boolean, country string, valid boolean, watchlist string, watchlist_name string, rule_name string, trigger string"
+    "dwell_s double, speed_kmh double, limit_kmh double, confidence double, corrected boolean, country string, valid boolean, watchlist string, watchlist_id string, watchlist_name string, rule_name string, trigger string"
 )
 EVENTS = f"id string, type string, {_KEY}, timestamp double, wall_ts double, track_id long, rule_id string, vehicle_class string, data struct<{','.join(':'.join(f.split(' ', 1)) for f in DATA.split(', '))}>, snapshot_path string, frame_index long, phase int, geom_ord int"

@@ -304,3 +304,76 @@ def motion(tracked: DataFrame, calibrations: DataFrame, limits: DataFrame, windo
     live = M.ground(tracked.where("not done and matched"), calibrations).join(limits.select("stream_id", "limit_kmh"), "stream_id", "left")
     rows = _ends(tracked, live.select(*TRACK, "frame_index", "timestamp", "vehicle_class", "gx", "gy", "limit_kmh")).withColumn("part", F.lit(0))
     return _run(rows, MotionProcessor(window_s, min_track_s, max_history, alpha, idle_ms), MOVED)
+
+
+# --- lives ------------------------------------------------------------------------------------------------------
+
+LIVED = "kind string, frame_index long, timestamp double, vehicle_class string, duration_s double, n_points long"
+
+
+class LifeProcessor(TrackState):
+    COLUMNS = [c.split()[0] for c in LIVED.split(", ")]
+
+    def __init__(self, max_history: int, idle_ms: int = 0):
+        super().__init__(idle_ms)
+        self.max_history = max_history
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.life = handle.getValueState("life", "first double, last double, hits long, started boolean")
+
+    def forget(self) -> None:
+        self.life.clear()
+
+    def follow(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        first, last, hits, started = self.life.get() if self.life.exists() else (0.0, 0.0, 0, False)
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.matched:
+                first, last, hits = r.timestamp if not hits else first, r.timestamp, hits + 1
+            if r.state == "active" and not started:
+                started = True
+                out.append(("started", r.frame_index, r.timestamp, r.vehicle_class, None, None))
+        if len(rows):
+            self.life.update((float(first), float(last), int(hits), bool(started)))
+        return out
+
+    def finish(self, key: tuple, row: pd.Series) -> list[tuple]:
+        first, last, hits, _ = self.life.get() if self.life.exists() else (0.0, 0.0, 0, False)
+        return [("finished", row["frame_index"], row["timestamp"], row["vehicle_class"], last - first, min(hits, self.max_history))]
+
+
+def lives(tracked: DataFrame, max_history: int = 600, idle_ms: int = 0) -> DataFrame:
+    """When tracks start (their first active row) and finish, with their duration and number of points."""
+    live = tracked.where("not done").select(*TRACK, "frame_index", "timestamp", "vehicle_class", "state", "matched")
+    return _run(_ends(tracked, live).withColumn("part", F.lit(0)), LifeProcessor(max_history, idle_ms), LIVED)
+
+
+# --- cooldown ---------------------------------------------------------------------------------------------------
+
+
+class CooldownProcessor(StatefulProcessor):
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["timestamp", "frame_index", "phase", "geom_ord", "id"], kind="stable").reset_index(drop=True)
+        last = self.last.get()[0] if self.last.exists() else None
+        kept = []
+        for i, (t, gap) in enumerate(zip(pdf["timestamp"], pdf["cooldown_s"])):
+            if last is None or t - last >= gap:
+                last = float(t)
+                kept.append(i)
+        if last is not None:
+            self.last.update((last,))
+        yield pdf.loc[kept, self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def cooled(hits: DataFrame) -> DataFrame:
+    """Rule hits (from ``rules.hits``, flat columns) that come a cooldown or more after the last one kept of their stream, run, rule and track, across batches."""
+    return hits.groupBy("stream_id", "run_id", "rule_id", "track_id").transformWithStateInPandas(CooldownProcessor(hits.columns), hits.schema, "append", "none")
