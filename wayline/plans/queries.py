@@ -202,11 +202,17 @@ def _points(spark, sf):
     return c.select(F.concat(F.lit("cam"), (F.col("c_custkey") % 8).cast("string")).alias("stream_id"), (gx * 10 + F.col("c_custkey") % 3).alias("image_x"), (gy * 10).alias("image_y"), gx.alias("ground_x"), gy.alias("ground_y"))
 
 
-@query("""select 'cam' || s as stream_id, 0.1::double as h0, 0.1::double as h4, 0.0::double as h2 from (select distinct c_custkey % 8 as s from customer)""")
+_TRUE = (0.1, 0.02, 3.0, 0.01, 0.12, -2.0, 0.0001, 0.0002, 1.0)
+
+
+@query("select 'cam' || s as stream_id, " + ", ".join(f"{v}::double as h{i}" for i, v in enumerate(_TRUE)) + " from (select distinct c_custkey % 8 as s from customer)")
 def a19_homography_fit(spark, sf):
-    exact = _points(spark, sf).withColumn("image_x", F.col("ground_x") * 10)
-    h = lambda i: F.abs(F.round(F.get("h", F.lit(i)), 6))
-    return calibration.fit(exact).select("stream_id", h(0).alias("h0"), h(4).alias("h4"), h(2).alias("h2"))
+    """All nine numbers of a map with perspective, from points all over the picture."""
+    c = D.table(spark, sf, "customer")
+    x, y = F.expr("cast(c_custkey * 7 % 640 as double)"), F.expr("cast(c_custkey * 13 % 360 as double)")
+    gx, gy = G.project(F.array(*map(F.lit, _TRUE)), x, y)
+    points = c.select(F.concat(F.lit("cam"), (F.col("c_custkey") % 8).cast("string")).alias("stream_id"), x.alias("image_x"), y.alias("image_y"), gx.alias("ground_x"), gy.alias("ground_y"))
+    return calibration.fit(points).select("stream_id", *[(F.round(F.get("h", F.lit(i)), 6) + 0.0).alias(f"h{i}") for i in range(9)])
 
 
 # --- boxes and detections ----------------------------------------------------------------------------------------
@@ -484,17 +490,30 @@ def _summaries(spark, sf):
     return events.summaries(done, t, _moving(spark, sf), motion.distance(g), None, attrs)
 
 
-@query(f"""with {D.trajectory_sql('drift')}, t as (select track_id, min(timestamp) as t0, max(timestamp) as t1, count(*) as n, max(wall_ts) as w from traj group by all),
-v as (select track_id, vehicle_class, count(*) as n, max(frame_index) as last from traj group by all), c as (select track_id, arg_max(vehicle_class, {{'n': n, 'l': -last}}) as class from v group by all)
-select track_id, class as vehicle_class, round(t1 - t0, 5) as duration_s, least(n, 600) as n_points, round(w - t1 + t0, 3) as first_wall_ts, round(w, 3) as last_wall_ts from t join c using (track_id)""")
+@query(_EMA + """, t as (select track_id, min(timestamp) as t0, max(timestamp) as t1, count(*) as n, max(wall_ts) as w from traj group by all),
+v as (select track_id, vehicle_class, count(*) as n, max(frame_index) as last from traj group by all), c as (select track_id, arg_max(vehicle_class, {'n': n, 'l': -last}) as class from v group by all),
+steps as (select *, row_number() over (partition by track_id order by frame_index) as n from ground),
+walk as (select track_id, n, gx as ax, gy as ay, 0.0::double as d from steps where n = 1
+  union all select o.track_id, o.n, case when h >= 0.15 then gx else ax end, case when h >= 0.15 then gy else ay end, case when h >= 0.15 then d + h else d end
+  from (select o.*, w.ax, w.ay, w.d, sqrt((o.gx - w.ax) ** 2 + (o.gy - w.ay) ** 2) as h from walk w join steps o on o.track_id = w.track_id and o.n = w.n + 1) o),
+far as (select track_id, max(d) as d from walk group by all), top as (select track_id, max(v) as top from ema group by all),
+seen as (select track_id, ['red', 'blue', 'white'][(event_id % 3 + 1)::int] as value, least((event_id % 13)::double / 10.0::double, 1.0) as conf, frame_index from traj where event_id % 13 > 0),
+mass as (select track_id, value, round(sum(conf), 6) as m, min(frame_index) as f, count(*) as k from seen group by all),
+hue as (select track_id, arg_max(value, {'m': m, 'f': -f}) as color, sum(k)::bigint as k from mass group by all)
+select t.track_id, class as vehicle_class, round(t1 - t0, 5) as duration_s, least(n, 600) as n_points, round(w - t1 + t0, 3) as first_wall_ts, round(w, 3) as last_wall_ts, round(far.d, 4) as distance_m, round(top.top, 4) as max_speed_kmh,
+  case when t1 > t0 and far.d > 0 then round(far.d / (t1 - t0) * 3.6, 4) end as avg_speed_kmh, hue.color, hue.k as n_observations, null::varchar as plate
+from t join c using (track_id) left join far using (track_id) left join top using (track_id) left join hue using (track_id)""")
 def a09_track_summary(spark, sf):
-    return _summaries(spark, sf).select("track_id", "vehicle_class", F.round("duration_s", 5).alias("duration_s"), "n_points", F.round("first_wall_ts", 3).alias("first_wall_ts"), F.round("last_wall_ts", 3).alias("last_wall_ts"))
+    rows = _summaries(spark, sf)
+    rounded = [F.round(c, n).alias(c) for c, n in (("duration_s", 5), ("first_wall_ts", 3), ("last_wall_ts", 3), ("distance_m", 4), ("max_speed_kmh", 4), ("avg_speed_kmh", 4))]
+    return rows.select("track_id", "vehicle_class", "n_points", *rounded, "color", F.element_at("attributes", "color")["n_observations"].alias("n_observations"), "plate")
 
 
-def _primitive(spark, sf):
-    t = D.trajectories(spark, sf)
-    visits = zones.visits(t, D.zones(spark))
-    return events.union(events.started(t), events.from_crossings(_crossed(spark, sf)), events.from_visits(visits)), t, visits
+def _primitive(spark, sf, save=lambda df: df):
+    """Events, track rows and visits; ``save`` keeps the rows and visits that several of them are made of."""
+    t = save(D.trajectories(spark, sf))
+    visits = save(zones.visits(t, D.zones(spark)))
+    return events.union(events.started(t), events.from_crossings(lines.crossings(t, D.lines(spark))), events.from_visits(visits)), t, visits
 
 
 _PRIM = _CROSS + "," + D.ZONES_SQL.strip() + """,
@@ -540,13 +559,14 @@ fired as (select 'east' as rule_id, track_id, t from east_w where fired union al
 
 
 def _fired(spark, sf):
-    rows, t, visits = _primitive(spark, sf)
+    rows, t, visits = _primitive(spark, sf, saved)
     streams = t.select("stream_id").distinct()
     allowed = rules.relevant(RULES, D.lines(spark), D.zones(spark), streams)
     return rules.fire(rules.with_state(rows, t, visits), [r for r in RULES if r["rule_id"] != "any"] + [r for r in RULES if r["rule_id"] == "any"], allowed)
 
 
-@query()
+@query(_RULES_SQL + """select f.rule_id, c.stream_id, f.track_id, round(f.t, 6) as timestamp, c.vehicle_class from fired f join traj c on c.track_id = f.track_id and c.timestamp = f.t
+  where f.rule_id <> 'any' or c.stream_id in ('cam0', 'cam1', 'cam2', 'cam3')""")
 def r01_rules(spark, sf):
     return _fired(spark, sf).select("rule_id", "stream_id", "track_id", r6("timestamp").alias("timestamp"), "vehicle_class")
 
@@ -561,11 +581,47 @@ def r08_all_of(spark, sf):
     return _fired(spark, sf).where("rule_id = 'stay'").select("rule_id", "track_id", r6("timestamp").alias("timestamp"))
 
 
-@query(_RULES_SQL + "select rule_id, a.kind, count(*) as n from fired join (values ('wrong', 'snapshot'), ('wrong', 'webhook'), ('east', 'log')) a(rule, kind) on a.rule = rule_id group by all")
+STATE_RULES = [
+    {"rule_id": "fast_in", "when": {"type": "all_of", "conditions": [{"type": "zone_enter", "zone": "wedge"}, {"type": "speed", "min_kmh": 60}]}},
+    {"rule_id": "lingering", "when": {"type": "all_of", "conditions": [{"type": "line_cross", "line": "mid"}, {"type": "zone_dwell", "zone": "box", "min_seconds": 0.2}]}},
+    {"rule_id": "goods_in", "when": {"type": "zone_enter", "zone": "box", "classes": ["truck", "bus"]}},
+    {"rule_id": "nested", "when": {"type": "any_of", "conditions": [{"type": "all_of", "conditions": [{"type": "zone_enter", "zone": "box"}, {"type": "class_is", "classes": ["car"]}]}, {"type": "zone_dwell", "zone": "wedge", "min_seconds": 0.25}]}},
+    {"rule_id": "fast", "when": {"type": "speed", "min_kmh": 100, "classes": ["van", "motorcycle"]}},
+    {"rule_id": "stolen", "when": {"type": "plate_watchlist", "watchlist": "w"}},
+]
+
+
+@query(_RULES_SQL + """, now as (select e.type, e.track_id, e.t, e.geom, e.dwell, e.id, e.phase, r.vehicle_class as cls, r.value % 120 as speed from ev e join traj r on r.track_id = e.track_id and r.timestamp = e.t),
+staying as (select n.track_id, n.t, n.id from now n join visits v on v.track_id = n.track_id and v.zone_id = 'box' and v.entered <= n.t and (v.exited is null or n.t < v.exited) where n.t - v.entered >= 0.2::double)
+select 'fast_in' as rule_id, track_id, round(t, 6) as timestamp from now where type = 'zone_entered' and geom = 'wedge' and speed >= 60
+union all select 'lingering', n.track_id, round(n.t, 6) from now n join staying h on h.track_id = n.track_id and h.t = n.t and h.id = n.id where n.type = 'line_crossed' and n.geom = 'mid'
+union all select 'goods_in', track_id, round(t, 6) from now where type = 'zone_entered' and geom = 'box' and cls in ('truck', 'bus')
+union all select 'nested', track_id, round(t, 6) from now where (type = 'zone_entered' and geom = 'box' and cls = 'car') or (type = 'zone_dwell' and geom = 'wedge' and round_even(dwell, 3) >= 0.25)
+union all select 'fast', track_id, round(timestamp, 6) from traj where value % 120 > 90 and value % 120 >= 100 and vehicle_class in ('van', 'motorcycle')
+union all select 'stolen', track_id, round(timestamp, 6) from traj where event_id % 50 = 7""")
+def r03_state_rules(spark, sf):
+    """Rules on entries, speeds (of events and of tracks), live visits, nested conditions and watchlists; each row's value is its speed, some plates are on a list."""
+    rows, t, visits = _primitive(spark, sf, saved)
+    moving = t.withColumn("speed_kmh", F.col("value") % 120)
+    over = events.from_speeding(moving.where("speed_kmh > 90").withColumn("limit_kmh", F.lit(90.0)))
+    hit = t.where("event_id % 50 = 7").select(*t.columns, F.lit("w").alias("watchlist_id"), F.lit("Stolen").alias("watchlist_name"), F.lit("34ABC123").alias("plate"))
+    every = events.union(rows, over, events.from_hits(hit))
+    fired = rules.fire(rules.with_state(every, moving, visits), [{**r, "cooldown_s": 0.0} for r in STATE_RULES])
+    return fired.select("rule_id", "track_id", r6("timestamp").alias("timestamp"))
+
+
+@query(_RULES_SQL + """select rule_id, track_id, round(t, 6) as timestamp, a.kind, a.step, a.kind = 'snapshot' as snapshot_requested, a.url, a.x, a.timeout_s, a.level, case when a.kind <> 'snapshot' then 'rule_triggered' end as told
+from fired join (values ('wrong', 'snapshot', 0, null, null, null::double, null), ('wrong', 'webhook', 1, 'https://example.org/hook', 'y', 5.0::double, null), ('east', 'log', 1, null, null, null, 'info')) a(rule, kind, step, url, x, timeout_s, level) on a.rule = rule_id""")
 def s13_action_outbox(spark, sf):
     none = None
     acts = spark.createDataFrame([("wrong", "snapshot", none, none, none, none), ("wrong", "webhook", "https://example.org/hook", {"x": "y"}, 5.0, none), ("east", "log", none, none, none, "info")], "rule_id string, kind string, url string, headers map<string,string>, timeout_s double, level string")
-    return rules.outbox(_fired(spark, sf), acts).groupBy("rule_id", "kind").agg(F.count("*").alias("n"))
+    fired = _fired(spark, sf)
+    at = fired.select("id", "track_id", r6("timestamp").alias("timestamp"))
+    out = rules.outbox(fired, acts).join(at, "id")
+    told = F.get_json_object("payload", "$.type")
+    # the payload tells of the same event
+    same = F.col("payload").isNull() | ((F.get_json_object("payload", "$.id") == F.col("id")) & (F.get_json_object("payload", "$.track_id").cast("long") == F.col("track_id")))
+    return out.where(same).select("rule_id", "track_id", "timestamp", "kind", "step", "snapshot_requested", "url", F.element_at("headers", "x").alias("x"), "timeout_s", "level", told.alias("told"))
 
 
 @query(f"""with recursive {D.trajectory_sql()}, o as (select track_id, timestamp as t, row_number() over (partition by track_id order by frame_index) as k, frame_index from traj),
