@@ -238,8 +238,7 @@ def copy_classes(texts: DataFrame) -> DataFrame:
     stars = cut(rows.join(least, "key").where("x.node != y.node").where(_apart("x", "y") <= COPY_BITS).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct())
     member = cut(components(_verified(stars, texts)))
     label = F.coalesce("root", "x.node").alias("class")
-    named = rows.join(least.select("key"), "key").join(member, F.col("x.node") == member["node"], "left").select("key", "x", label)
-    named = cut(named)
+    named = rows.join(member, F.col("x.node") == member["node"], "left").select("key", "x", label)
     mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
     named = cut(named.join(mixed, "key"))
     left, right = named.select("key", F.col("x").alias("x1"), F.col("class").alias("ca")), named.select(F.col("key").alias("_key"), F.col("x").alias("x2"), F.col("class").alias("cb"))
