@@ -65,9 +65,8 @@ def to_processed(detections: DataFrame, resize_width: int | None) -> DataFrame:
 #: Defaults of configuration rows.
 DEFAULTS = {
     "lines": {"forward_label": "forward", "backward_label": "backward"},
-    "zones": {"dwell_alert_s": 30.0},
-    "rules": {"enabled": True, "cooldown_s": 30.0},
-    "streams": {"min_hits": 3, "lost_ttl": 2.0, "every_n": 3, "limit_kmh": None},
+    "rules": {"enabled": True, "cooldown_s": 10.0},
+    "streams": {"min_hits": 3, "lost_ttl": 1.0, "every_n": 3, "limit_kmh": None},
 }
 
 
