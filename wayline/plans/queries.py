@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import annotations, attributes, calibration, config_checks, detections, events, lines, metrics, motion, plates, rules, sampling, tracking, zones
 from ..operators.folds import spaced
 from ..sources import exports, readers, store
-from ..sources.scratch import saved
+from ..sources.scratch import fresh_path, saved
 from . import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,6 +647,58 @@ def l01_event_page(spark, sf):
     return store.event_page(D.event_log(spark, sf), 50, 10, stream_id="cam3", type_="speeding").select("id", "type", "stream_id", F.round("wall_ts", 3).alias("wall_ts"))
 
 
+def _stored(spark, sf):
+    """The events as a table on disk, with stream ids that look like numbers."""
+    path = fresh_path(spark)
+    log = D.event_log(spark, sf).withColumn("stream_id", F.lpad(F.substr("stream_id", F.lit(4)), 3, "0"))
+    store.append(store.event_rows(log), path)
+    return path
+
+
+_STORED = f"with {D.LOG_SQL}, stored as (select *, lpad(stream_id[4:], 3, '0') as number from log), ends as (select max(wall_ts) as top from log)"
+
+
+@query(_STORED + " select id, number as stream_id, type, round(wall_ts, 3) as wall_ts from stored, ends where number = '007' and type = 'speeding' and wall_ts between top - 864000 and top - 86400.5")
+def s07_store_history(spark, sf):
+    """Events written to the store and read back by stream, type and time."""
+    top = D.event_log(spark, sf).agg(F.max("wall_ts")).first()[0]
+    back = store.load(spark, _stored(spark, sf))
+    rows = store.event_filter(back, stream_id="007", type_="speeding", since=top - 864000, until=top - 86400.5)
+    return rows.select("id", "stream_id", "type", F.round("wall_ts", 3).alias("wall_ts"))
+
+
+@query(_STORED + " select id, number as stream_id from stored, ends where wall_ts >= top - 10.3::double * 86400")
+def m01_purged_store(spark, sf):
+    """What retention leaves of the stored table, the border's day rewritten."""
+    top, path = D.event_log(spark, sf).agg(F.max("wall_ts")).first()[0], _stored(spark, sf)
+    store.purge(spark, path, "wall_ts", top, 10.3)
+    return store.load(spark, path).select("id", "stream_id")
+
+
+@query(f"with {D.READS_SQL} select o_orderkey, stream_id, sha256('s' || {_NORM}) as plate, round(conf, 6) as confidence, conf >= 0.8 as valid, round(wall_ts, 3) as wall_ts from reads where {_NORM} <> ''")
+def s09_plate_sink(spark, sf):
+    """Plate reads as stored, hashed."""
+    r = D.plate_reads(spark, sf).withColumn("frame_index", F.col("seq")).withColumn("timestamp", F.col("seq").cast("double")).withColumn("vehicle_class", F.lit("car"))
+    ev = events.event(r, "plate_read", events.payload(plate=F.col("text"), confidence=F.col("conf"), valid=F.col("conf") >= 0.8, country=F.col("o_orderkey").cast("string")))
+    rows = store.plate_rows(ev, "hashed", "s")
+    return rows.select(F.col("country").cast("long").alias("o_orderkey"), "stream_id", "plate", r6("confidence").alias("confidence"), "valid", F.round("wall_ts", 3).alias("wall_ts"))
+
+
+@query(f"""with {D.trajectory_sql('drift')}, t as (select stream_id, track_id, min(timestamp) as t0, max(timestamp) as t1, count(*) as n, max(wall_ts) as w from traj group by all)
+select stream_id, track_id, round(t1 - t0, 5) as duration_s, least(n, 600) as n_points, round(w - t1 + t0, 3) as first_wall_ts, round(w, 3) as last_wall_ts, cast(floor(w / 86400) as int) as day from t""")
+def s08_track_sink(spark, sf):
+    """Summaries of finished tracks as stored, by the day of their end."""
+    rows = store.track_rows(events.from_summaries(_summaries(spark, sf)))
+    return rows.select("stream_id", "track_id", F.round("duration_s", 5).alias("duration_s"), "n_points", F.round("first_wall_ts", 3).alias("first_wall_ts"), F.round("last_wall_ts", 3).alias("last_wall_ts"), F.date_diff("wall_date", F.lit("1970-01-01").cast("date")).alias("day"))
+
+
+@query(f"with {D.trajectory_sql()}, {D.LINES_SQL} select track_id, frame_index, line_id from attached where event_id % 4 in (1, 2)")
+def p17_countable_states(spark, sf):
+    """Only active and lost rows meet lines."""
+    state = F.element_at(F.array(*map(F.lit, schemas.TRACK_STATES)), (F.col("event_id") % 4 + 1).cast("int"))
+    return lines.attach(D.trajectories(spark, sf).withColumn("state", state), D.lines(spark)).select("track_id", "frame_index", "line_id")
+
+
 @query(f"""with {D.LOG_SQL}, t as (select stream_id, track_id, max(wall_ts) as last_wall_ts, min(vehicle_class) as class from log group by all) select stream_id, track_id, round(last_wall_ts, 3) as last_wall_ts from t order by t.last_wall_ts desc nulls last, track_id limit 40""")
 def l02_track_page(spark, sf):
     t = D.event_log(spark, sf).groupBy("stream_id", "track_id").agg(F.max("wall_ts").alias("last_wall_ts"), F.min("vehicle_class").alias("class"))
