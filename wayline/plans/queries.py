@@ -882,12 +882,17 @@ def f13_event_summary(spark, sf):
 
 # --- state that SQL has no short form for ------------------------------------------------------------------------
 
-@query()
+@query(f"""with recursive {D.LOG_SQL}, o as (select id, stream_id, row_number() over (partition by stream_id order by wall_ts, id) as k, value > 450 as seen from log),
+f as (select *, k * 0.01::double as t from o),
+w as (select stream_id, k, id, t, 0.0::double as tokens, case when seen then t end as seen_t, true as kept from f where k = 1
+  union all select stream_id, k, id, t, case when x >= 1.0 then x - 1.0 else x end, case when x >= 1.0 and seen then t else seen_t end, x >= 1.0 from
+  (select f.*, w.seen_t, least(1.0::double, w.tokens + (f.t - w.t) * case when w.seen_t is not null and f.t - w.seen_t <= 3.0 then 15.0::double else 2.0::double end) as x from w join f on f.stream_id = w.stream_id and f.k = w.k + 1))
+select id, kept as admitted from w""")
 def w16_frame_sampling(spark, sf):
     e = D.event_log(spark, sf)
     order = lines.Window.partitionBy("stream_id").orderBy("wall_ts", "id")
-    frames = e.select("stream_id", F.lit("r0").alias("run_id"), F.row_number().over(order).alias("seq"), (F.row_number().over(order) * F.lit(0.01)).alias("timestamp"), (F.col("value") > 450).alias("has_detection"))
-    return sampling.sample(frames).groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if("admitted").alias("admitted"))
+    frames = e.select("id", "stream_id", F.lit("r0").alias("run_id"), F.row_number().over(order).alias("seq"), (F.row_number().over(order) * F.lit(0.01)).alias("timestamp"), (F.col("value") > 450).alias("has_detection"))
+    return sampling.sample(frames).select("id", "admitted")
 
 
 def _detections(spark, sf):
