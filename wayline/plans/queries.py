@@ -15,6 +15,8 @@ from ..operators import annotations, attributes, calibration, config_checks, det
 from ..operators.folds import spaced
 from ..sources import exports, readers, store
 from ..sources.scratch import fresh_path, saved
+from ..streaming import processors
+from ..streaming import trajectories as stream
 from . import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -934,3 +936,47 @@ def j06_carry_forward(spark, sf):
     own = t.withColumn("run_id", F.col("track_id").cast("string"))
     out = tracking.carried(own.where("vehicle_class <> 'bus'").drop("event_id", "value", "wall_ts", "score"), own.select("stream_id", "run_id", "frame_index", "timestamp"))
     return out.select("track_id", "frame_index", "matched", r6((F.col("x1") + F.col("x2")) / 2).alias("x"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+#: Where the rows of a stream are cut into arrivals, by frame.
+_ARRIVALS = (0, 20, 40, 1 << 40)
+
+
+def _streamed(spark, rows, build):
+    """What ``build`` makes of ``rows`` as a stream that arrives in three parts, with a restart from the checkpoint before each."""
+    processors.use_rocksdb(spark)
+    base = fresh_path(spark)
+    for lo, hi in zip(_ARRIVALS, _ARRIVALS[1:]):
+        rows.where(F.col("frame_index").between(lo, hi - 1)).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        run = build(arriving).writeStream.foreachBatch(processors.sink(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{base}/out").where("late = 0")
+
+
+def _arriving(spark, sf, kind="jitter"):
+    return D.trajectories(spark, sf, kind).withColumn("matched", F.lit(True)).withColumn("done", F.lit(False))
+
+
+@query(SQL["w01_line_crossings"])
+def x02_stream_crossings(spark, sf):
+    """Line crossings and their running counts, from a stream."""
+    out = _streamed(spark, _arriving(spark, sf), lambda s: stream.crossings(s, D.lines(spark)))
+    return out.select("stream_id", "track_id", "frame_index", "line_id", "direction", "direction_canonical", "count")
+
+
+@query(SQL["w03_zone_visits"])
+def x02_stream_visits(spark, sf):
+    """Zone visits, from a stream."""
+    out = stream.visit_rows(_streamed(spark, _arriving(spark, sf), lambda s: stream.visits(s, D.zones(spark))))
+    return out.select("stream_id", "track_id", "zone_id", "visit", "entered_frame", r6("entered").alias("entered"), r6("exited").alias("exited"), r6("dwell_s").alias("dwell_s"))
+
+
+@query(SQL["w06_speed"])
+def x02_stream_speed(spark, sf):
+    """Smoothed speeds, from a stream."""
+    limits = spark.createDataFrame([(s, 70.0) for s in D.STREAMS], "stream_id string, limit_kmh double")
+    out = _streamed(spark, _arriving(spark, sf, "drift"), lambda s: stream.motion(s, D.calibrations(spark), limits))
+    return out.select("track_id", "frame_index", F.round("speed_kmh", 4).alias("speed_kmh"), F.round("max_speed_kmh", 4).alias("max_speed_kmh"))
