@@ -44,3 +44,20 @@ def test_stages(spark, tmp_path):
     assert got == want
     lines = docs.select(F.explode(F.split("text", "\n")).alias("l")).where("length(l) >= 25").groupBy("l").count().where("count > 1")
     assert lines.count() == 0
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    """Every stage passes columns that its own tables have too, nulls and repeated rows, and makes nothing of nothing."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, key long, `class` string, h long, line string, bpe string, id long"
+    texts, items = corpus()
+    rows = [(i, texts[i], None, "s", None, "n", 1, "c", 2, "l", "b", 3) for i in range(3)]
+    rows += [rows[0], (None, texts[3], "en", None, 1, None, None, None, None, None, None, None), (9, None, "en", "s", 0, "n", 1, "c", 2, "l", "b", 3)]
+    full = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, items[0]), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, full, str(tmp_path))
+        ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.select("doc_id").collect())
+        assert {(False, 0), (False, 1), (False, 2), (True, 0)} <= set(ids), name
+        if name != "bpe":
+            assert out.columns == full.columns
+        assert stage(spark, full.limit(0), str(tmp_path)).count() == 0
