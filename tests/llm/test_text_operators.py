@@ -328,6 +328,25 @@ def test_copies_against_brute_force(spark):
     assert sorted(map(tuple, simhash.keep_one_each(odd).collect()), key=str) == [(7, "other words"), (7, "x y"), (None, "lonely")]
 
 
+def test_parities_never_drop_a_copy(spark):
+    """Sizes and parities against the shingles themselves, for texts of 1 to 6,000 words with edits around the threshold."""
+    random.seed(9)
+    pairs = []
+    for n in (1, 4, 5, 9, 30, 100, 100, 100, 400, 6000):
+        own = [f"w{random.randrange(5000)}" for _ in range(n)]
+        for share in (0.0, 0.005, 0.015, 0.02, 0.025, 0.03, 0.1):
+            copy = [f"v{random.randrange(5000)}" if random.random() < share else w for w in own]
+            pairs += [(own, copy), (own, copy + copy[: int(0.2 * n)]), (own, own[: max(1, int(0.8 * n) + 1)])]
+    rows = [(k, " ".join(x), " ".join(y)) for k, (x, y) in enumerate(pairs)]
+    met = spark.createDataFrame(rows, "k long, x string, y string").select("k", simhash.sketch_column("x").alias("sx"), simhash.sketch_column("y").alias("sy"))
+    near = simhash._may_be_copies("sx", "sy")
+    got = {r["k"]: r for r in met.select("k", near.alias("near"), (simhash._apart("sx", "sy") <= simhash.COPY_BITS).alias("close")).collect()}
+    alike = [simhash.similarity(simhash.shingles(x), simhash.shingles(y)) for _, x, y in rows]
+    assert all(got[k]["near"] == got[k]["close"] for k, s in enumerate(alike) if s >= simhash.COPY_SIMILARITY)
+    dropped = [k for k, s in enumerate(alike) if s < 0.7 and got[k]["close"] and not got[k]["near"]]
+    assert dropped and sum(s >= simhash.COPY_SIMILARITY for s in alike) > 50
+
+
 def test_copy_segments_cover_the_fingerprint():
     import numpy as np
 

@@ -9,8 +9,9 @@ segments at distance two or less always share one of these indices. Fingerprints
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations, repeat
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -142,7 +143,9 @@ COPY_SEGMENTS, COPY_BITS = 11, 48
 #: with probability 0.8 and one of its segments decodes to a common codeword with 0.95, so 0.99 and more of all copies meet.
 ANCHORS, ANCHOR_SEGMENTS = 4, 3
 _LIMBS = [f"b{i}" for i in range(4)]
-_SKETCH = StructType([*[StructField(b, LongType()) for b in _LIMBS], StructField("anchors", ArrayType(LongType()))])
+#: Bits of a text's parities: whether an odd number of its distinct shingles falls on each of 256 places. Two texts that differ in k shingles differ in k parities at most.
+_PARITIES = [f"p{i}" for i in range(4)]
+_SKETCH = StructType([*[StructField(b, LongType()) for b in (*_LIMBS, *_PARITIES, "n")], StructField("anchors", ArrayType(LongType()))])
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -170,23 +173,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketch(text: str | None) -> tuple[list[int], list[int]]:
-    """256 bits of SimHash over the distinct shingles in four numbers, and the anchors."""
+    """256 bits of SimHash over the distinct shingles in four numbers, their 256 parities in four, how many they are; and the anchors."""
     own = shingles(text)
     if not len(own):
-        return [0] * 4, []
+        return [0] * 9, []
     limbs = []
     for k in range(4):
         ones = np.zeros(64, np.int64)
         for i in range(0, len(own), _BLOCK):
             ones += np.unpackbits(_mix(own[i : i + _BLOCK], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         limbs.append(int(np.packbits(2 * ones > len(own), bitorder="little").view(np.int64)[0]))
-    return limbs, [int(_mix(own, 100 + r).min().view(np.int64)) for r in range(ANCHORS)]
+    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    parities = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return [*limbs, *parities, len(own)], [int(_mix(own, 100 + r).min().view(np.int64)) for r in range(ANCHORS)]
 
 
 @F.pandas_udf(_SKETCH)
 def sketch_column(texts: pd.Series) -> pd.DataFrame:
     found = [sketch(t) for t in texts]
-    return pd.DataFrame({**{b: pd.Series([f[0][i] for f in found], dtype="int64") for i, b in enumerate(_LIMBS)}, "anchors": [f[1] for f in found]})
+    return pd.DataFrame({**{b: pd.Series([f[0][i] for f in found], dtype="int64") for i, b in enumerate((*_LIMBS, *_PARITIES, "n"))}, "anchors": [f[1] for f in found]})
 
 
 def copy_segments(limbs: list[np.ndarray]) -> list[np.ndarray]:
@@ -218,31 +223,41 @@ def _copies(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([similarity(known[x], known[y]) >= COPY_SIMILARITY for x, y in zip(xs, ys)], dtype=bool)
 
 
-def _apart(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _LIMBS[1:]), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+def _apart(a: str, b: str, names: list[str] = _LIMBS):
+    return reduce(add, (F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in names))
+
+
+def _may_be_copies(a: str, b: str):
+    """Fingerprints near enough, and what parities and sizes leave possible: of n and m shingles, (n + m) / 9 at most may stand in one text alone at a similarity of 0.8,
+    and neither number be under 0.8 of the other. The last two never drop a pair that reaches the threshold; in texts beyond a thousand words parities say little."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = (1 + COPY_SIMILARITY) * _apart(a, b, _PARITIES) <= (1 - COPY_SIMILARITY) * (n + m) + 1e-6
+    return (_apart(a, b) <= COPY_BITS) & (F.least(n, m) >= COPY_SIMILARITY * F.greatest(n, m) - 1e-6) & differ
 
 
 def copy_classes(texts: DataFrame) -> DataFrame:
-    """(node, root): the group of every distinct text (node, text, b0.., anchors). Links are all verified by their shingles; texts that meet in a key are in one group
+    """(node, root): the group of every distinct text (node, text and what ``sketch_column`` gives). Links are all verified by their shingles; texts that meet in a key are in one group
     wherever their similarity reaches the threshold.
 
     A key is an anchor with a Golay index of one segment. Its least text is compared with all others; then only texts that these links leave in
     different classes are compared with each other, the nearest by fingerprint first, so a group of copies costs about as many verifications as it has members.
     """
-    anchored = texts.select("node", *_LIMBS, F.posexplode("anchors").alias("r", "anchor"))
-    shared = anchored.groupBy("r", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("r", "anchor")
+    known = ["node", *_LIMBS, *_PARITIES, "n"]
+    anchored = texts.select(*known, F.posexplode("anchors").alias("r", "anchor"))
+    shared = anchored.groupBy("r", "anchor").agg(F.count("*").alias("of")).where("of > 1").select("r", "anchor")
     rows = anchored.join(shared, ["r", "anchor"])
-    rows = rows.select(F.struct("node", *_LIMBS).alias("x"), "r", "anchor", F.explode(copy_keys(*_LIMBS, "r")).alias("code"))
+    rows = rows.select(F.struct(*known).alias("x"), "r", "anchor", F.explode(copy_keys(*_LIMBS, "r")).alias("code"))
     rows = cut(rows.select("x", F.xxhash64("r", "anchor", "code").alias("key")))
-    least = cut(rows.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").select("key", "y"))
-    stars = cut(rows.join(least, "key").where("x.node != y.node").where(_apart("x", "y") <= COPY_BITS).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct())
+    least = rows.groupBy("key").agg(F.min("x.node").alias("node"), F.count("*").alias("of")).where("of > 1").select("key", "node")
+    least = cut(least.join(texts.select(*known), "node").select("key", F.struct(*known).alias("y")))  # numbers alone are grouped, sketches follow
+    stars = cut(rows.join(least, "key").where("x.node != y.node").where(_may_be_copies("x", "y")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct())
     member = cut(components(_verified(stars, texts)))
     label = F.coalesce("root", "x.node").alias("class")
     named = rows.join(member, F.col("x.node") == member["node"], "left").select("key", "x", label)
     mixed = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
     named = cut(named.join(mixed, "key"))
     left, right = named.select("key", F.col("x").alias("x1"), F.col("class").alias("ca")), named.select(F.col("key").alias("_key"), F.col("x").alias("x2"), F.col("class").alias("cb"))
-    pairs = left.join(right, (F.col("key") == F.col("_key")) & (F.col("x1.node") < F.col("x2.node")) & (F.col("ca") != F.col("cb")) & (_apart("x1", "x2") <= COPY_BITS))
+    pairs = left.join(right, (F.col("key") == F.col("_key")) & (F.col("x1.node") < F.col("x2.node")) & (F.col("ca") != F.col("cb")) & _may_be_copies("x1", "x2"))
     pairs = pairs.select(F.col("x1.node").alias("a"), F.col("x2.node").alias("b"), _apart("x1", "x2").alias("d"), "ca", "cb").distinct()
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
     grouped = texts.select("node").join(member, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
@@ -280,9 +295,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.md5(text.cast("binary")).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
     texts = base.groupBy("node").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    texts = cut(texts.select("node", "id", "text", sketch_column("text").alias("s")).select("node", "id", "text", "s.*"))
+    # numbered as they are written: each distinct text has a number of its own, and pairs and classes go by these
+    texts = cut(texts.select(F.monotonically_increasing_id().alias("at"), "node", "id", "text", sketch_column("text").alias("s")).select("at", "node", "id", "text", "s.*"))
     order = F.struct(F.col("id").isNull().alias("late"), "id", "node")
-    grouped = cut(copy_classes(texts).join(texts.select("node", "id"), "node"))
+    classes = copy_classes(texts.drop("node", "id").withColumnRenamed("at", "node")).select(F.col("node").alias("at"), "root")
+    grouped = cut(classes.join(texts.select("at", "node", "id"), "at"))
     first = grouped.groupBy("root").agg(F.min(order).alias("first"))
     return grouped.select("node", "root").join(first, "root").select("node", "first")
 
