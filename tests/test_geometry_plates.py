@@ -79,6 +79,14 @@ def test_votes():
     assert [g and g[0] for g in got] == [None, "34AB123", None, "34AB124"]
 
 
+def test_votes_of_equal_weight(spark):
+    """Sums that only the order of adding tells apart are equal: the longer length leads, then the character seen first."""
+    short, long = [0.83, 0.64, 0.98, 0.78, 0.81], [0.98, 0.83, 0.78, 0.64, 0.81]
+    reads = [("s", "r", 1, i, text, c) for i, (text, c) in enumerate([("51VZ50", c) for c in short] + [("51VZ505", c) for c in long])]
+    df = spark.createDataFrame(reads, "stream_id string, run_id string, track_id long, seq long, text string, conf double")
+    assert [(r["seq"], r["plate"]) for r in plates.emissions(df).orderBy("seq").collect()] == [(1, "51VZ50"), (9, "51VZ505")]
+
+
 def test_consensus_agrees_with_votes(spark):
     reads = [("s", "r", 1, 1, "34ABC123", 0.9), ("s", "r", 1, 2, "34A8C123", 0.6), ("s", "r", 1, 3, "34ABC123", 0.8), ("s", "r", 2, 1, "34ABC12", 0.9), ("s", "r", 2, 2, "34ABC123", 0.9), ("s", "r", 2, 3, "34ABC123", 0.9)]
     df = spark.createDataFrame(reads, "stream_id string, run_id string, track_id long, seq long, text string, conf double")
