@@ -85,6 +85,7 @@ def test_votes_of_equal_weight(spark):
     reads = [("s", "r", 1, i, text, c) for i, (text, c) in enumerate([("51VZ50", c) for c in short] + [("51VZ505", c) for c in long])]
     df = spark.createDataFrame(reads, "stream_id string, run_id string, track_id long, seq long, text string, conf double")
     assert [(r["seq"], r["plate"]) for r in plates.emissions(df).orderBy("seq").collect()] == [(1, "51VZ50"), (9, "51VZ505")]
+    assert [(r["seq"], r["plate"], r["valid"]) for r in plates.settled(plates.with_correction(df)).orderBy("seq").collect()] == [(1, "51VZ50", False), (9, "51VZ505", True)]
 
 
 def test_consensus_agrees_with_votes(spark):
