@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Width of the blocks in which pauses are looked for, in pauses.
 BLOCK_PAUSES = 64
+#: Partitions in which a track's or a frame's rows are sorted, in times of ``spark.sql.shuffle.partitions``: rows of few bytes on the wire are wide in a sort, and adaptive execution would join them.
+SPREAD = 8
 
 
 def with_runs(rows: DataFrame, keys: list[str], time: str, pause: float, name: str = "_run") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .folds import SPREAD, by_key
 
 TRACK = ["stream_id", "run_id", "track_id"]
 COUNTABLE = ["active", "lost"]
@@ -26,9 +27,9 @@ def crossings(track_frames: DataFrame, lines: DataFrame) -> DataFrame:
     """Accepted crossings with direction label, canonical direction and the running count.
 
     A track's first crossing of a line counts; a later one only if at least two rows were spent on the side being left.
-    Rows on the line itself keep the side. One shuffle by (track, line) and one by (line, direction) for the count.
+    Rows on the line itself keep the side. One shuffle and one sort by (track, line), and one of the kept rows by (line, direction) for the count.
     """
-    rows = attach(track_frames, lines)
+    rows = by_key(attach(track_frames, lines), ["stream_id", "track_id", "line_id"], SPREAD)  # without the run: where it is a constant, windows forget it, and other partitions would not do for them
     line = {k: F.col(k) for k in ("ax", "ay", "bx", "by")}
     per = Window.partitionBy(*TRACK, "line_id").orderBy("frame_index")
     past = per.rowsBetween(Window.unboundedPreceding, -1)
@@ -38,9 +39,9 @@ def crossings(track_frames: DataFrame, lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("px", F.lag("x").over(per)).withColumn("py", F.lag("y").over(per))
     rows = rows.withColumn("way", G.crossing(line, F.col("px"), F.col("py"), F.col("x"), F.col("y")))
     changed = (F.col("sign") != 0) & F.col("held").isNotNull() & (F.col("sign") != F.col("held"))
-    rows = rows.withColumn("stay", F.sum(changed.cast("int")).over(so_far))
-    within = Window.partitionBy(*TRACK, "line_id", "stay").orderBy("frame_index")
-    rows = rows.withColumn("spent", F.sum((F.col("sign") != 0).cast("int")).over(within))
+    # rows on a side since the last change of it
+    rows = rows.withColumn("settled", F.count_if(F.col("sign") != 0).over(so_far))
+    rows = rows.withColumn("spent", F.col("settled") - F.coalesce(F.last(F.when(changed, F.col("settled") - 1), ignorenulls=True).over(so_far), F.lit(0)))
     rows = rows.withColumn("left", F.lag("spent").over(per)).withColumn("before", F.coalesce(F.max((F.col("way") != 0).cast("int")).over(past), F.lit(0)))
     kept = rows.where((F.col("way") != 0) & ((F.col("before") == 0) | (F.col("left") >= SETTLED)))
     forward = F.col("way") > 0
