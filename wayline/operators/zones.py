@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .folds import SPREAD, by_key
 from .lines import TRACK, attach
 
 
@@ -23,14 +24,16 @@ def visits(track_frames: DataFrame, zones: DataFrame, finished: DataFrame | None
     (its dwell is not negative), else it is open. The alert is the first row after the entry with a dwell of
     dwell_alert_s, once a visit.
     """
-    rows = inside(track_frames, zones)
+    rows = by_key(inside(track_frames, zones).drop("points"), ["stream_id", "track_id", "zone_id"], SPREAD)  # without the run, as in ``lines.crossings``
     per = Window.partitionBy(*TRACK, "zone_id").orderBy("frame_index")
-    rows = rows.withColumn("enters", F.col("inside") & ~F.coalesce(F.lag("inside").over(per), F.lit(False)))
-    rows = rows.withColumn("visit", F.sum(F.col("enters").cast("int")).over(per.rowsBetween(Window.unboundedPreceding, 0))).where("visit > 0")
-    own = Window.partitionBy(*TRACK, "zone_id", "visit").orderBy("frame_index")
-    rows = rows.withColumn("entered", F.first("timestamp").over(own))
-    alert = F.when(F.col("inside") & ~F.col("enters") & (F.col("timestamp") - F.col("entered") >= F.col("dwell_alert_s")), F.struct("timestamp", "frame_index"))
-    out = F.when(~F.col("inside"), F.struct("timestamp", "frame_index", "vehicle_class"))
+    so_far = per.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("was", F.coalesce(F.lag("inside").over(per), F.lit(False))).withColumn("enters", F.col("inside") & ~F.col("was"))
+    rows = rows.withColumn("visit", F.sum(F.col("enters").cast("int")).over(so_far)).withColumn("entered", F.last(F.when(F.col("enters"), F.struct("timestamp")), ignorenulls=True).over(so_far)["timestamp"])
+    late = F.col("inside") & ~F.col("enters") & (F.col("timestamp") - F.col("entered") >= F.col("dwell_alert_s"))
+    rows = rows.withColumn("late", F.coalesce(late, F.lit(False))).withColumn("leaves", ~F.col("inside") & F.col("was"))
+    rows = rows.where("visit > 0 and (enters or late or leaves)")  # the others say nothing of a visit
+    alert = F.when(F.col("late"), F.struct("timestamp", "frame_index"))
+    out = F.when(F.col("leaves"), F.struct("timestamp", "frame_index", "vehicle_class"))
     found = rows.groupBy(*TRACK, "zone_id", "name", "ord", "visit").agg(
         F.min("frame_index").alias("entered_frame"), F.min("entered").alias("entered"), F.min_by("vehicle_class", "frame_index").alias("vehicle_class"),
         F.min(alert).alias("alert"), F.min(out).alias("out"),
