@@ -1,10 +1,16 @@
 """Golden trajectories: lines, zones, motion, votes, rules."""
 
+import contextlib
+import io
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from wayline import schemas
 from wayline.operators import attributes, events, lines, motion, rules, zones
+from wayline.operators.folds import SPREAD
+from wayline.plans import derived
 from wayline.sources.readers import dimension
 
 ROW = "stream_id string, run_id string, track_id long, frame_index long, timestamp double, state string, vehicle_class string, x1 double, y1 double, x2 double, y2 double, score double"
@@ -111,3 +117,59 @@ def test_cooldown_and_geometry(spark):
     lost = {"rule_id": "lost", "when": {"type": "zone_enter", "zone": "nowhere"}}
     allowed = rules.relevant([rule, lost], line(spark), zone(spark), rows)
     assert [tuple(r) for r in allowed.collect()] == [("a", "s")]
+
+
+def plan(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return text.getvalue()
+
+
+def track_sorts(df):
+    return len(re.findall(r"\bSort \[stream_id#\d+ ASC NULLS FIRST, run_id#\d+ ASC NULLS FIRST, track_id", plan(df)))
+
+
+def exchanges(df):
+    return [int(n) for n in re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan(df))]
+
+
+def test_crossings_sort_tracks_once(spark):
+    """Rows of tracks are sorted once, in partitions that adaptive execution leaves alone."""
+    df = lines.crossings(path(spark, [(1, "car", "active", step([60, 80, 90, 110, 130]))]), line(spark))
+    assert track_sorts(df) == 1 and exchanges(df) == [4 * SPREAD]
+
+
+def test_changes_of_side(spark):
+    """Rows on a side are counted anew after each change, rows on the line count for none."""
+    xs = [90, 110, 110, 90, 110, 110, 100, 90, 90, 110]
+    got = lines.crossings(path(spark, [(1, "car", "active", step(xs))]), line(spark)).orderBy("frame_index").collect()
+    assert [(r["frame_index"], r["direction_canonical"], r["count"]) for r in got] == [(1, "forward", 1), (3, "backward", 1), (6, "backward", 2), (9, "forward", 2)]
+
+
+def test_visits_sort_tracks_once(spark):
+    """The rows of a track are sorted once; what is grouped by visit after that are entries, alerts and exits."""
+    area = dimension(spark, [{"stream_id": "s", "zone_id": "z", "name": "Z", "points": [(0.0, 0.0), (200.0, 0.0), (200.0, 200.0), (0.0, 200.0)], "dwell_alert_s": 0.2}], schemas.ZONES, "zones")
+    df = zones.visits(path(spark, [(1, "car", "active", step([300, 100, 100, 100, 300, 300, 100]))]), area)
+    assert exchanges(df) == [4 * SPREAD] and "visit" not in "".join(re.findall(r"windowspecdefinition\(([^)]*)\)", plan(df)))
+    got = [(r["visit"], r["entered_frame"], r["exited_frame"], r["alert_frame"]) for r in df.orderBy("visit").collect()]
+    assert got == [(1, 1, 4, 3), (2, 6, None, None)]
+
+
+def test_visits_become_events_in_one_pass(spark):
+    area = dimension(spark, [{"stream_id": "s", "zone_id": "z", "name": "Z", "points": [(0.0, 0.0), (200.0, 0.0), (200.0, 200.0), (0.0, 200.0)], "dwell_alert_s": 0.2}], schemas.ZONES, "zones")
+    rows = path(spark, [(1, "car", "active", step([300, 100, 100, 100, 300, 100]))])
+    done = spark.createDataFrame([("s", "r", 1, 0.9, 9, "car")], "stream_id string, run_id string, track_id long, timestamp double, frame_index long, vehicle_class string")
+    df = events.from_visits(zones.visits(rows, area, done))
+    assert exchanges(df) == [4 * SPREAD] and "Union" not in plan(df)
+    got = [(r["type"], r["frame_index"], r["phase"], r["data"]["dwell_s"]) for r in df.orderBy("frame_index").collect()]
+    assert got == [("zone_entered", 1, 5, None), ("zone_dwell", 3, 5, 0.2), ("zone_exited", 4, 5, 0.3), ("zone_entered", 5, 5, None), ("zone_exited", 9, 6, 0.4)]
+
+
+def test_boxes_and_trajectories_are_sorted_in_even_parts(spark):
+    """A frame's or track's rows are sorted in a fixed number of partitions, however few bytes they are on the wire."""
+    for made in (derived.boxes, derived.trajectories):
+        assert exchanges(made(spark, "/root/testdata/sf0.001")) == [4 * SPREAD]
+    t = derived.trajectories(spark, "/root/testdata/sf0.001")  # with a constant run
+    for df in (lines.crossings(t, derived.lines(spark)).drop("count"), zones.visits(t, derived.zones(spark))):
+        assert exchanges(df) == [4 * SPREAD] * 2 and "track_id#" not in "".join(re.findall(r"Exchange hashpartitioning\(.*ENSURE_REQUIREMENTS", plan(df)))

@@ -25,15 +25,16 @@ def event_id(*parts: str | Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce((p if isinstance(p, Column) else F.col(p)).cast("string"), F.lit("")) for p in parts]), 256), 1, 32)
 
 
-def event(rows: DataFrame, type_: str, data: Column, geometry: Column | None = None, geom_ord: Column | None = None, phase: int | None = None, rule_id: Column | None = None) -> DataFrame:
-    """Events of one type from rows with stream, run, track, frame_index, timestamp, vehicle_class."""
+def event(rows: DataFrame, type_: str | Column, data: Column, geometry: Column | None = None, geom_ord: Column | None = None, phase: int | Column | None = None, rule_id: Column | None = None) -> DataFrame:
+    """Events from rows with stream, run, track, frame_index, timestamp, vehicle_class: all of one type, or of the type and phase that columns give."""
+    kind = type_ if isinstance(type_, Column) else F.lit(type_)
     none = F.lit(None).cast("string")
     at = geometry if geometry is not None else F.lit("")
     return rows.select(
-        event_id(F.lit(type_), "stream_id", "run_id", "track_id", "frame_index", at, rule_id if rule_id is not None else F.lit("")).alias("id"),
-        F.lit(type_).alias("type"), "stream_id", "run_id", F.col("timestamp").cast("double").alias("timestamp"), (F.col("wall_ts") if "wall_ts" in rows.columns else F.lit(None).cast("double")).alias("wall_ts"),
+        event_id(kind, "stream_id", "run_id", "track_id", "frame_index", at, rule_id if rule_id is not None else F.lit("")).alias("id"),
+        kind.alias("type"), "stream_id", "run_id", F.col("timestamp").cast("double").alias("timestamp"), (F.col("wall_ts") if "wall_ts" in rows.columns else F.lit(None).cast("double")).alias("wall_ts"),
         F.col("track_id").cast("long").alias("track_id"), (rule_id if rule_id is not None else none).alias("rule_id"), "vehicle_class", data.alias("data"), none.alias("snapshot_path"),
-        F.col("frame_index").cast("long").alias("frame_index"), F.lit(PHASES[type_] if phase is None else phase).alias("phase"), (geom_ord if geom_ord is not None else F.lit(0)).cast("int").alias("geom_ord"),
+        F.col("frame_index").cast("long").alias("frame_index"), (phase if isinstance(phase, Column) else F.lit(PHASES[type_] if phase is None else phase)).alias("phase"), (geom_ord if geom_ord is not None else F.lit(0)).cast("int").alias("geom_ord"),
     )
 
 
@@ -43,13 +44,20 @@ def from_crossings(crossed: DataFrame) -> DataFrame:
 
 
 def from_visits(found: DataFrame) -> DataFrame:
-    """Entries, dwell alerts and exits; an exit by the track's end comes in the phase of that."""
-    zone = {"zone": F.col("zone_id"), "zone_name": F.col("name")}
-    enter = found.select(*TRACK, "zone_id", "name", "ord", "vehicle_class", F.col("entered_frame").alias("frame_index"), F.col("entered").alias("timestamp"))
-    dwell = found.where("alert_timestamp is not null").select(*TRACK, "zone_id", "name", "ord", "vehicle_class", F.col("alert_frame").alias("frame_index"), F.col("alert_timestamp").alias("timestamp"), F.expr("alert_timestamp - entered").alias("d"))
-    leave = found.where("exited is not null").select(*TRACK, "zone_id", "name", "ord", F.col("exit_class").alias("vehicle_class"), F.col("exited_frame").alias("frame_index"), F.col("exited").alias("timestamp"), F.col("dwell_s").alias("d"), "by_finish")
-    out = lambda rows, type_, **k: event(rows, type_, payload(**zone, **({"dwell_s": F.bround("d", 3)} if "d" in rows.columns else {})), F.col("zone_id"), F.col("ord"), **k)
-    return out(enter, "zone_entered").unionByName(out(dwell, "zone_dwell")).unionByName(out(leave.where("not by_finish"), "zone_exited")).unionByName(out(leave.where("by_finish"), "zone_exited", phase=6))
+    """Entries, dwell alerts and exits; an exit by the track's end comes in the phase of that. One pass over the visits: each becomes its events."""
+    none = F.lit(None).cast("double")
+
+    def moment(when: Column, type_: str, phase: Column, frame: str, time: str, cls: Column, d: Column) -> Column:
+        parts = {"type": F.lit(type_), "phase": phase, "frame_index": F.col(frame).cast("long"), "timestamp": F.col(time).cast("double"), "vehicle_class": cls, "d": d}
+        return F.when(when, F.struct(*[v.alias(k) for k, v in parts.items()]))
+
+    moments = F.array(
+        moment(F.lit(True), "zone_entered", F.lit(PHASES["zone_entered"]), "entered_frame", "entered", F.col("vehicle_class"), none),
+        moment(F.col("alert_timestamp").isNotNull(), "zone_dwell", F.lit(PHASES["zone_dwell"]), "alert_frame", "alert_timestamp", F.col("vehicle_class"), F.expr("alert_timestamp - entered")),
+        moment(F.col("exited").isNotNull(), "zone_exited", F.when(F.col("by_finish"), 6).otherwise(PHASES["zone_exited"]), "exited_frame", "exited", F.col("exit_class"), F.col("dwell_s")),
+    )
+    rows = found.select(*TRACK, "zone_id", "name", "ord", F.explode(F.array_compact(moments)).alias("m")).select(*TRACK, "zone_id", "name", "ord", "m.*")
+    return event(rows, F.col("type"), payload(zone=F.col("zone_id"), zone_name=F.col("name"), dwell_s=F.bround("d", 3)), F.col("zone_id"), F.col("ord"), phase=F.col("phase"))
 
 
 def from_speeding(rows: DataFrame) -> DataFrame:
