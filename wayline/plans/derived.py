@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.folds import SPREAD, by_key
 from ..sources.readers import dimension
 
 
@@ -23,7 +24,7 @@ _CASE = "case " + " ".join(f"when event_type = '{k}' then '{v}'" for k, v in CLA
 def trajectories(spark: SparkSession, sf_dir: str, kind: str = "jitter") -> DataFrame:
     """A row per event: one user is one track; anchors jitter about x = 100, some of them in steps of 20 so that they meet lines, or drift east."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("k", (F.row_number().over(order) - 1).cast("long"))
+    e = by_key(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), ["user_id"], SPREAD).withColumn("k", (F.row_number().over(order) - 1).cast("long"))
     x = F.expr(f"case when event_type in {STEPPED} then 20.0D * floor(value % 200 / 20) else value % 200 end") if kind == "jitter" else F.expr("20.0D * k + value % 3")
     y = F.expr("cast(100 + event_id % 50 as double)")
     return e.select(
@@ -88,7 +89,7 @@ def calibrations(spark: SparkSession) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box per order line; one order is one frame."""
-    li = table(spark, sf_dir, "lineitem")
+    li = by_key(table(spark, sf_dir, "lineitem"), ["l_orderkey"], SPREAD)
     order = Window.partitionBy("l_orderkey").orderBy(*li.columns)
     x, y = F.expr("cast(l_partkey % 50 as double)"), F.expr("cast(l_suppkey % 50 as double)")
     label = F.expr("case l_returnflag when 'A' then 'Car' when 'N' then ' Pickup Truck' else 'dog' end")
