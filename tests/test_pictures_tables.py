@@ -1,5 +1,7 @@
 """Label and picture folders, pixels of crops, table functions, fusion on streams."""
 
+import contextlib
+import io
 import random
 import struct
 import zlib
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import plates as P
 from wayline.functions.registry import register_functions
-from wayline.operators import attributes, plates, tracking
+from wayline.operators import annotations, attributes, plates, tracking
 from wayline.sources import pictures, readers
 from wayline.streaming import processors
 
@@ -119,3 +121,13 @@ def test_windowed_counts(spark, tmp_path):
         q = processors.windowed_counts(src, "1 minute", "10 minutes", "type").writeStream.outputMode("append").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted((r["start"].minute, r["n"]) for r in out) == [(0, 2), (1, 2), (30, 1)]
+
+
+def test_label_lines_are_split_once(spark):
+    lines = spark.createDataFrame([("2 .5 .5 .2 .2 0.9",), ("  0 .5 .5 1 1 ",), ("not a label",), ("1 .5 .5 .2",), ("1 .5 .5 0 .2",), ("1 x .5 .2 .2",), (None,)], "value string")
+    df = annotations.parse(lines)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        annotations.crops(df.withColumns({"width": F.lit(400), "height": F.lit(200)})).explain()
+    assert text.getvalue().count("split(") == 1
+    assert sorted((r["class_id"], r["w"], r["h"]) for r in df.collect()) == [(0, 1.0, 1.0), (2, 0.2, 0.2)]

@@ -13,10 +13,13 @@ EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 
 def parse(lines: DataFrame) -> DataFrame:
     """Rows (.., class_id, cx, cy, w, h) of well-formed label lines: five tokens or more, numeric, 0 < w, h <= 1."""
-    t = F.split(F.trim(F.col("value")), r"\s+")
-    num = lambda i: F.get(t, F.lit(i)).try_cast("double")
-    rows = lines.where(F.size(t) >= 5).select("*", num(0).cast("int").alias("class_id"), *[num(i).alias(k) for i, k in enumerate(("cx", "cy", "w", "h"), 1)])
-    return rows.where("class_id is not null and cx is not null and cy is not null and w > 0 and w <= 1 and h > 0 and h <= 1")
+    def numbers(t: Column) -> Column:
+        num = lambda i: F.get(t, F.lit(i)).try_cast("double")
+        return F.struct(F.size(t).alias("_n"), num(0).cast("int").alias("class_id"), *[num(i).alias(k) for i, k in enumerate(("cx", "cy", "w", "h"), 1)])
+
+    # a line is split once: a generator's rows are not worked out again in each condition
+    rows = lines.select("*", F.inline(F.transform(F.array(F.split(F.trim(F.col("value")), r"\s+")), numbers)))
+    return rows.where("_n >= 5 and class_id is not null and cx is not null and cy is not null and w > 0 and w <= 1 and h > 0 and h <= 1").drop("_n")
 
 
 def crop_box(width: Column, height: Column, margin: float = 0.08) -> dict[str, Column]:
