@@ -306,3 +306,15 @@ def test_stream_votes(spark, tmp_path):
     q = processors.plate_emissions(src).writeStream.foreachBatch(processors.sink(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["seq"], r["plate"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(3, "34ABC123")]
+
+
+def test_overlaps_of_few_and_many_boxes():
+    """Pairs worked out one by one are those of the matrix, in single precision at the gate, with boxes that touch, are empty or no numbers."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        a, b = (np.hstack([o, o + rng.integers(0, 6, o.shape) * 10.0]) for o in (rng.integers(0, 6, (8, 2)) * 10.0, rng.integers(0, 6, (9, 2)) * 10.0))
+        b[0, 2] = np.nan
+        for least in (0.2, 0.25, 1 / 3):
+            iou = tracking.iou_matrix(a, b)
+            want = [(float(-iou[i, j]), i, j) for i, j in zip(*(k.tolist() for k in np.nonzero(iou >= least)))]
+            assert len(a) * len(b) < tracking.MANY_PAIRS and sorted(tracking._overlaps(a.tolist(), b.tolist(), least)) == sorted(want)

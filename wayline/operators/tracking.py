@@ -3,12 +3,12 @@
 The tracker's state depends on every earlier frame, so a stream is followed in order and streams run side by side. Where a stream pauses for so long that no track
 outlives the pause, the tracker is as good as new: there a stream can be cut, its segments run side by side too, and only the numbers of their tracks hang together.
 Tables pass as sorted batches through ``mapInPandas``, streams through a state processor, both through ``Tracker``: what stays in memory is the live tracks
-and a batch, whatever a stream's length. All live tracks of a stream are predicted, matched and updated as arrays.
+and a batch, whatever a stream's length.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,7 +23,7 @@ from .folds import by_key
 LEAST = 1e-3
 _POS, _VEL = 1 / 20, 1 / 160
 BOX = ["x1", "y1", "x2", "y2"]
-STATES = np.array(["tentative", "active", "lost"], object)
+STATES = ("tentative", "active", "lost")
 TENTATIVE, ACTIVE, LOST = range(3)
 
 
@@ -37,63 +37,92 @@ class Config:
     max_history: int = 600
 
 
-def _measure(boxes: np.ndarray) -> np.ndarray:
-    """Centre, aspect and height."""
-    w, h = np.maximum(boxes[:, 2] - boxes[:, 0], LEAST), np.maximum(boxes[:, 3] - boxes[:, 1], LEAST)
-    return np.stack([(boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2, w / h, h], axis=1)
+_SINGLE = struct.Struct("f")
+#: Squares of the aspect's deviations: at birth and of its speed, per step and of its speed's, and of a measurement.
+_ASPECT_BORN, _ASPECT_STEP, _ASPECT_SPEED, _ASPECT_SEEN = 1e-2 * 1e-2, 1e-2 * 1e-2, 1e-5 * 1e-5, 1e-1 * 1e-1
+#: Pairs of tracks and boxes from which on overlaps are worked out as arrays.
+MANY_PAIRS = 256
+
+
+def _single(x: float) -> float:
+    """In single precision, as the gate compares overlaps."""
+    return _SINGLE.unpack(_SINGLE.pack(x))[0]
 
 
-def _variance(h: np.ndarray, scale: float, aspect: float) -> np.ndarray:
-    """Variances of the four measures for heights ``h``: all but the aspect's grow with the height."""
-    out = np.repeat((scale * h)[:, None], 4, axis=1)
-    out[:, 2] = aspect
-    return out**2
+def _measure(box: list[float]) -> tuple[float, float, float, float]:
+    """Centre, aspect and height."""
+    x1, y1, x2, y2 = box
+    w, h = max(x2 - x1, LEAST), max(y2 - y1, LEAST)
+    return (x1 + x2) / 2, (y1 + y2) / 2, w / h, h
 
 
-class Filter:
-    """A constant-velocity filter for many boxes at once.
+class Track:
+    """A live track with its constant-velocity filter.
 
-    All noise is independent by measure and each measure moves by its own speed alone, so the eight-number filter falls into four of two
-    numbers: a place with its variance ``p``, a speed with its variance ``v``, and the covariance ``c`` of both.
+    All noise is independent by measure and each measure moves by its own speed alone, so the eight-number filter falls into four of two numbers: a place with
+    its variance ``p``, a speed with its variance ``v``, and the covariance ``c`` of both. Noise grows with the height for all measures but the aspect, so three of
+    the four share ``p``, ``c`` and ``v``; the aspect has its own (``ap``, ``ac``, ``av``). A frame has few tracks, for which plain numbers are several times faster than arrays.
     """
 
-    FIELDS = ("at", "speed", "p", "c", "v")
-
-    def __init__(self, boxes: np.ndarray):
-        self.at = _measure(boxes)
-        self.speed = np.zeros_like(self.at)
-        h = self.at[:, 3]
-        self.p, self.c, self.v = _variance(h, 2 * _POS, 1e-2), np.zeros_like(self.at), _variance(h, 10 * _VEL, 1e-5)
-
-    def predict(self, frozen: np.ndarray) -> None:
-        """One step on; frozen ones (lost tracks) keep their size."""
-        self.speed[frozen, 2:] = 0
-        h = np.maximum(self.at[:, 3], LEAST)
-        self.at = self.at + self.speed
-        self.p = self.p + 2 * self.c + self.v + _variance(h, _POS, 1e-2)
-        self.c = self.c + self.v
-        self.v = self.v + _variance(h, _VEL, 1e-5)
-
-    def update(self, own: np.ndarray, boxes: np.ndarray) -> None:
-        p, c = self.p[own], self.c[own]
-        s = p + _variance(np.maximum(self.at[own, 3], LEAST), _POS, 1e-1)
-        off = _measure(boxes) - self.at[own]
-        self.at[own] += p / s * off
-        self.speed[own] += c / s * off
-        self.p[own], self.c[own], self.v[own] = p - p * p / s, c - p * c / s, self.v[own] - c * c / s
-
-    def keep(self, mask: np.ndarray) -> None:
-        for f in self.FIELDS:
-            setattr(self, f, getattr(self, f)[mask])
-
-    def add(self, other: Filter) -> None:
-        for f in self.FIELDS:
-            setattr(self, f, np.concatenate([getattr(self, f), getattr(other, f)]))
-
-    def boxes(self) -> np.ndarray:
-        h = np.maximum(self.at[:, 3], LEAST)
-        w = np.maximum(self.at[:, 2], LEAST) * h
-        return np.stack([self.at[:, 0] - w / 2, self.at[:, 1] - h / 2, self.at[:, 0] + w / 2, self.at[:, 1] + h / 2], axis=1)
+    __slots__ = ("id", "box", "score", "state", "seen", "hits", "streak", "confirmed", "total", "cls", "votes", "x", "y", "a", "h", "dx", "dy", "da", "dh", "p", "c", "v", "ap", "ac", "av")
+
+    def __init__(self, id_: int, box: list[float], score: float, t: float, cls: str, sure: bool):
+        self.id, self.box, self.score, self.seen, self.total, self.cls, self.votes = id_, box, score, t, score, cls, {cls: 1}
+        self.state, self.hits, self.streak, self.confirmed = ACTIVE if sure else TENTATIVE, 1, 1, sure
+        self.x, self.y, self.a, self.h = _measure(box)
+        self.dx = self.dy = self.da = self.dh = 0.0
+        place, speed = 2 * _POS * self.h, 10 * _VEL * self.h
+        self.p, self.c, self.v = place * place, 0.0, speed * speed
+        self.ap, self.ac, self.av = _ASPECT_BORN, 0.0, _ASPECT_SPEED
+
+    def predict(self) -> tuple[float, float, float, float]:
+        """One step on, and the box there; a lost track keeps its size."""
+        if self.state == LOST:
+            self.da = self.dh = 0.0
+        h = max(self.h, LEAST)
+        self.x += self.dx
+        self.y += self.dy
+        self.a += self.da
+        self.h += self.dh
+        place, speed = _POS * h, _VEL * h
+        self.p = self.p + 2 * self.c + self.v + place * place
+        self.c += self.v
+        self.v += speed * speed
+        self.ap = self.ap + 2 * self.ac + self.av + _ASPECT_STEP
+        self.ac += self.av
+        self.av += _ASPECT_SPEED
+        h = max(self.h, LEAST)
+        w = max(self.a, LEAST) * h
+        return self.x - w / 2, self.y - h / 2, self.x + w / 2, self.y + h / 2
+
+    def take(self, box: list[float], score: float, t: float, cls: str, min_hits: int) -> None:
+        place = _POS * max(self.h, LEAST)
+        x, y, a, h = _measure(box)
+        p, c, ap, ac = self.p, self.c, self.ap, self.ac
+        s, sa = p + place * place, ap + _ASPECT_SEEN
+        x, y, a, h = x - self.x, y - self.y, a - self.a, h - self.h
+        gain, gain_a = p / s, ap / sa
+        self.x += gain * x
+        self.y += gain * y
+        self.a += gain_a * a
+        self.h += gain * h
+        gain, gain_a = c / s, ac / sa
+        self.dx += gain * x
+        self.dy += gain * y
+        self.da += gain_a * a
+        self.dh += gain * h
+        self.p, self.c, self.v = p - p * p / s, c - p * c / s, self.v - c * c / s
+        self.ap, self.ac, self.av = ap - ap * ap / sa, ac - ap * ac / sa, self.av - ac * ac / sa
+        self.box, self.score, self.seen = box, score, t  # the raw box is kept, the filter's only matches
+        self.hits += 1
+        self.total += score
+        if not self.confirmed:
+            self.streak += 1
+            self.confirmed = self.streak >= min_hits
+        self.state = ACTIVE if self.confirmed else TENTATIVE
+        n = self.votes[cls] = self.votes.get(cls, 0) + 1
+        if n > self.votes[self.cls]:
+            self.cls = cls
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,15 +134,31 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(both, union, out=np.zeros_like(both), where=union > 0).astype(np.float32)
 
 
-def match(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
+def _overlaps(a: list, b: list, least: float) -> list[tuple[float, int, int]]:
+    """(-IoU, i, j) of the pairs with ``least`` or more."""
+    if len(a) * len(b) >= MANY_PAIRS or least <= 0:
+        iou = iou_matrix(np.array(a, float), np.array(b, float))
+        i, j = np.nonzero(iou >= least)
+        return list(zip((-iou[i, j]).tolist(), i.tolist(), j.tolist()))
+    out, gate = [], _single(least)
+    for j, (bx1, by1, bx2, by2) in enumerate(b):
+        size = max(0.0, bx2 - bx1) * max(0.0, by2 - by1)
+        for i, (ax1, ay1, ax2, ay2) in enumerate(a):
+            if not (bx1 < ax2 and ax1 < bx2 and by1 < ay2 and ay1 < by2):
+                continue  # apart, or no number
+            both = ((ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)) * ((ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1))
+            union = max(0.0, ax2 - ax1) * max(0.0, ay2 - ay1) + size - both
+            if both > 0 and union > 0 and (iou := _single(both / union)) >= gate:
+                out.append((-iou, i, j))
+    return out
+
+
+def match(a: list, b: list, least: float) -> list[tuple[int, int]]:
     """Greedy pairs by IoU, then by track and detection order."""
-    if not len(a) or not len(b):
+    if not a or not b:
         return []
-    iou = iou_matrix(a, b)
-    i, j = np.nonzero(iou >= least)
     used_i, used_j, out = set(), set(), []
-    for k in np.lexsort((j, i, -iou[i, j])).tolist():
-        x, y = int(i[k]), int(j[k])
+    for _, x, y in sorted(_overlaps(a, b, least)):
         if x not in used_i and y not in used_j:
             used_i.add(x)
             used_j.add(y)
@@ -121,115 +166,80 @@ def match(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-_TRACK = {"id": int, "box": float, "score": float, "state": int, "seen": float, "hits": int, "streak": int, "confirmed": bool, "total": float}
-
-
 class Tracker:
-    """State of one stream and run: live tracks as arrays, in order of their birth. ``step`` must see every processed frame, the empty ones too."""
+    """State of one stream and run: live tracks in order of their birth. ``step`` must see every processed frame, the empty ones too."""
 
     def __init__(self, config: Config = Config()):
         self.config, self.next_id = config, 1
-        self.filter = Filter(np.zeros((0, 4)))
-        for name, kind in _TRACK.items():
-            setattr(self, name, np.zeros((0, 4) if name == "box" else 0, kind))
-        self.cls: list[str] = []
-        self.votes: list[Counter] = []
+        self.tracks: list[Track] = []
         self.last_t, self.last_frame = 0.0, -1
 
     @property
     def live(self) -> int:
-        return len(self.id)
+        return len(self.tracks)
 
-    def step(self, frame: int, t: float, boxes: np.ndarray, scores: np.ndarray, classes: list[str]) -> tuple[list[tuple], list[tuple]]:
+    def step(self, frame: int, t: float, boxes, scores, classes: list[str]) -> tuple[list[tuple], list[tuple]]:
         """Rows of live tracks after this frame, and of tracks that it finished."""
         finished, matched = self.advance(frame, t, boxes, scores, classes)
-        own = zip(self.id.tolist(), STATES[self.state].tolist(), matched.tolist(), self.box.tolist(), self.cls, self.score.tolist(), self.hits.tolist(), (self.total / np.maximum(self.hits, 1)).tolist())
-        return [(i, frame, t, s, m, *b, c, p, h, q) for i, s, m, b, c, p, h, q in own], finished
+        return [self.row(k, m, frame, t) for k, m in zip(self.tracks, matched)], finished
 
-    def advance(self, frame: int, t: float, boxes: np.ndarray, scores: np.ndarray, classes: list[str]) -> tuple[list[tuple], np.ndarray]:
+    @staticmethod
+    def row(k: Track, matched: bool, frame: int, t: float) -> tuple:
+        return k.id, frame, t, STATES[k.state], matched, *k.box, k.cls, k.score, k.hits, k.total / max(k.hits, 1)
+
+    def advance(self, frame: int, t: float, boxes, scores, classes: list[str]) -> tuple[list[tuple], list[bool]]:
         """Takes in a frame: the tracks that it finished, and which of the live ones it matched or started."""
-        c, finished = self.config, []
-        high = np.flatnonzero(scores >= c.activation)
+        c, finished, tracks = self.config, [], self.tracks
+        boxes, scores = (v.tolist() if isinstance(v, np.ndarray) else v for v in (boxes, scores))
+        high = [d for d, score in enumerate(scores) if score >= c.activation]
         pairs: dict[int, int] = {}
-        if self.live:
-            self.filter.predict(self.state == LOST)
-            if len(scores):
-                pairs = self._pairs(boxes, scores, high)
-            self._take(pairs, t, boxes, scores, classes)
-            over = (self.state == LOST) & (t - self.seen > c.lost_ttl)
-        matched = np.zeros(self.live, bool)
-        matched[list(pairs)] = True
-        if self.live and over.any():
-            finished = [(int(self.id[k]), frame, t, self.cls[k], bool(self.confirmed[k]), int(self.hits[k])) for k in np.flatnonzero(over)]
-            self._keep(~over)
-            matched = matched[~over]
+        matched: list[bool] = []
+        if tracks:
+            at = [k.predict() for k in tracks]
+            if scores:
+                pairs = self._pairs(at, boxes, scores, high)
+            over = False
+            for i, k in enumerate(tracks):
+                if (d := pairs.get(i)) is not None:
+                    k.take(boxes[d], scores[d], t, classes[d], c.min_hits)
+                else:
+                    if k.state != LOST:
+                        k.state, k.streak = LOST, 0
+                    over = over or t - k.seen > c.lost_ttl
+            matched = [i in pairs for i in range(len(tracks))]
+            if over:
+                gone = [k.state == LOST and t - k.seen > c.lost_ttl for k in tracks]
+                finished = [(k.id, frame, t, k.cls, k.confirmed, k.hits) for k, g in zip(tracks, gone) if g]
+                matched = [m for m, g in zip(matched, gone) if not g]
+                self.tracks = tracks = [k for k, g in zip(tracks, gone) if not g]
         taken = set(pairs.values())
-        fresh = [d for d in high.tolist() if d not in taken]
-        if fresh:
-            self._start(fresh, t, boxes, scores, classes)
-            matched = np.concatenate([matched, np.ones(len(fresh), bool)])
+        for d in high:
+            if d not in taken:
+                tracks.append(Track(self.next_id, boxes[d], scores[d], float(t), classes[d], c.min_hits <= 1))
+                matched.append(True)
+                self.next_id += 1
         self.last_t, self.last_frame = t, frame
         return finished, matched
 
-    def _pairs(self, boxes: np.ndarray, scores: np.ndarray, high: np.ndarray) -> dict[int, int]:
+    def _pairs(self, at: list, boxes: list, scores: list[float], high: list[int]) -> dict[int, int]:
         """Settled and lost tracks get strong detections first, settled ones then weak ones, new ones what is left of the strong."""
-        c, at, pairs = self.config, self.filter.boxes(), {}
-        low = np.flatnonzero((scores >= c.min_score) & (scores < c.activation))
+        c, pairs, states = self.config, {}, [k.state for k in self.tracks]
 
-        def stage(tracks: np.ndarray, dets: np.ndarray) -> None:
-            pairs.update({int(tracks[i]): int(dets[j]) for i, j in match(at[tracks], boxes[dets], c.match_iou)})
+        def stage(tracks: list[int], dets: list[int]) -> None:
+            for i, j in match([at[k] for k in tracks], [boxes[d] for d in dets], c.match_iou):
+                pairs[tracks[i]] = dets[j]
 
-        stage(np.flatnonzero(self.state != TENTATIVE), high)
-        stage(np.array([k for k in np.flatnonzero(self.state == ACTIVE).tolist() if k not in pairs], int), low)
+        stage([k for k, s in enumerate(states) if s != TENTATIVE], high)
+        stage([k for k, s in enumerate(states) if s == ACTIVE and k not in pairs], [d for d, score in enumerate(scores) if c.min_score <= score < c.activation])
         taken = set(pairs.values())
-        stage(np.flatnonzero(self.state == TENTATIVE), np.array([d for d in high.tolist() if d not in taken], int))
+        stage([k for k, s in enumerate(states) if s == TENTATIVE], [d for d in high if d not in taken])
         return pairs
 
-    def _take(self, pairs: dict[int, int], t: float, boxes: np.ndarray, scores: np.ndarray, classes: list[str]) -> None:
-        own, dets = np.fromiter(pairs, int, len(pairs)), np.fromiter(pairs.values(), int, len(pairs))
-        missed = self.state != LOST
-        missed[own] = False
-        self.state[missed], self.streak[missed] = LOST, 0
-        if not len(own):
-            return
-        self.filter.update(own, boxes[dets])
-        self.box[own], self.score[own], self.seen[own] = boxes[dets], scores[dets], t  # the raw box is kept, the filter's only matches
-        self.hits[own] += 1
-        self.total[own] += scores[dets]
-        self.streak[own] += ~self.confirmed[own]
-        self.confirmed[own] |= self.streak[own] >= self.config.min_hits
-        self.state[own] = np.where(self.confirmed[own], ACTIVE, TENTATIVE)
-        for k, d in pairs.items():
-            votes = self.votes[k]
-            votes[classes[d]] += 1
-            if votes[classes[d]] > votes[self.cls[k]]:
-                self.cls[k] = classes[d]
-
-    def _keep(self, mask: np.ndarray) -> None:
-        for name in _TRACK:
-            setattr(self, name, getattr(self, name)[mask])
-        self.filter.keep(mask)
-        stay = np.flatnonzero(mask).tolist()
-        self.cls, self.votes = [self.cls[k] for k in stay], [self.votes[k] for k in stay]
-
-    def _start(self, fresh: list[int], t: float, boxes: np.ndarray, scores: np.ndarray, classes: list[str]) -> None:
-        n, sure = len(fresh), self.config.min_hits <= 1
-        new = {
-            "id": np.arange(self.next_id, self.next_id + n), "box": boxes[fresh], "score": scores[fresh], "seen": np.full(n, float(t)), "total": scores[fresh],
-            "state": np.full(n, ACTIVE if sure else TENTATIVE), "hits": np.ones(n, int), "streak": np.ones(n, int), "confirmed": np.full(n, sure),
-        }
-        for name, values in new.items():
-            setattr(self, name, np.concatenate([getattr(self, name), values]))
-        self.filter.add(Filter(boxes[fresh]))
-        self.cls += [classes[d] for d in fresh]
-        self.votes += [Counter({classes[d]: 1}) for d in fresh]
-        self.next_id += n
-
     def finish(self) -> list[tuple]:
         """Ends all tracks: two empty frames, each a TTL and a second on."""
         base, frame, out = self.last_t, self.last_frame, []
         for k in (1, 2):
-            out += self.advance(frame, base + (self.config.lost_ttl + 1) * k, np.zeros((0, 4)), np.zeros(0), [])[0]
+            out += self.advance(frame, base + (self.config.lost_ttl + 1) * k, [], [], [])[0]
         return out
 
 
@@ -237,41 +247,35 @@ ROWS = TRACK_FRAMES + ", done boolean, confirmed boolean"
 COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 
 
-def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, float, np.ndarray, np.ndarray, list[str]]]:
+def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, float, list[list[float]], list[float], list[str]]]:
     """Frames of rows in order: (frame, time, boxes, scores, classes); a row with null score stands for an empty frame."""
     frame, t = rows["frame_index"].to_numpy(), rows["timestamp"].to_numpy(float)
-    boxes, scores, classes = rows[BOX].to_numpy(float), rows["score"].to_numpy(float), rows["vehicle_class"].tolist()
-    real = ~np.isnan(scores)
-    cuts = np.flatnonzero((np.diff(frame) != 0) | (np.diff(t) != 0)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+    cuts = (np.flatnonzero((np.diff(frame) != 0) | (np.diff(t) != 0)) + 1).tolist()
+    empty = np.isnan(rows["score"].to_numpy(float))
+    some = empty.any()
+    frame, t, boxes, scores, classes = frame.tolist(), t.tolist(), rows[BOX].to_numpy(float).tolist(), rows["score"].to_numpy(float).tolist(), rows["vehicle_class"].tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
         if a < b:
-            own = slice(a, b) if real[a:b].all() else np.flatnonzero(real[a:b]) + a
-            yield int(frame[a]), float(t[a]), boxes[own], scores[own], classes[own] if isinstance(own, slice) else [classes[i] for i in own]
+            if some and empty[a:b].any():
+                own = [i for i in range(a, b) if not empty[i]]
+                yield int(frame[a]), t[a], [boxes[i] for i in own], [scores[i] for i in own], [classes[i] for i in own]
+            else:
+                yield int(frame[a]), t[a], boxes[a:b], scores[a:b], classes[a:b]
 
 
 class Rows:
-    """Collects output rows as arrays, a frame at a time."""
+    """Collects output rows, a frame at a time."""
 
     def __init__(self):
-        self.parts: list[pd.DataFrame] = []
         self.live: list[tuple] = []
 
-    def add(self, key: tuple, tracker: Tracker, frame: int, t: float, matched: np.ndarray) -> None:
-        x = tracker
-        self.live.append((key, x.id.copy(), frame, t, x.state.copy(), matched, x.box.copy(), list(x.cls), x.score.copy(), x.hits.copy(), x.total.copy()))
+    def add(self, key: tuple, tracker: Tracker, frame: int, t: float, matched: list[bool]) -> None:
+        self.live += [(*key, *tracker.row(k, m, frame, t), False, False) for k, m in zip(tracker.tracks, matched)]
 
     def flush(self) -> pd.DataFrame | None:
         if not self.live:
             return None
-        key, ids, frame, t, state, matched, box, cls, score, hits, total = zip(*self.live)
-        n = [len(i) for i in ids]
-        many = lambda v: np.repeat(np.array(v), n)
-        box, hits, total = np.concatenate(box), np.concatenate(hits), np.concatenate(total)
-        out = pd.DataFrame({
-            "stream_id": np.repeat(np.array([k[0] for k in key], object), n), "run_id": np.repeat(np.array([k[1] for k in key], object), n), "track_id": np.concatenate(ids), "frame_index": many(frame), "timestamp": many(t),
-            "state": STATES[np.concatenate(state)], "matched": np.concatenate(matched), **{c: box[:, i] for i, c in enumerate(BOX)}, "vehicle_class": [c for own in cls for c in own],
-            "score": np.concatenate(score), "hits": hits, "class_confidence": total / hits, "done": False, "confirmed": False,
-        })
+        out = pd.DataFrame(dict(zip(COLUMNS, map(list, zip(*self.live)))))
         self.live = []
         return out
 
