@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wayline import schemas
-from wayline.operators import calibration, detections, sampling, tracking
+from wayline.operators import calibration, detections, folds, sampling, tracking
 from wayline.plans.batch import Dimensions, run_batch
 from wayline.sources import exports, store
 from wayline.sources.readers import dimension, frame_clock
@@ -318,3 +318,11 @@ def test_overlaps_of_few_and_many_boxes():
             iou = tracking.iou_matrix(a, b)
             want = [(float(-iou[i, j]), i, j) for i, j in zip(*(k.tolist() for k in np.nonzero(iou >= least)))]
             assert len(a) * len(b) < tracking.MANY_PAIRS and sorted(tracking._overlaps(a.tolist(), b.tolist(), least)) == sorted(want)
+
+
+def test_few_streams_lie_in_partitions_of_their_own(spark):
+    """Seventeen streams in twenty partitions: none waits behind another, the one without a name neither."""
+    rows = spark.range(170).selectExpr("case when id % 17 = 16 then null else concat('cam', id % 17) end as stream_id", "'r' as run_id", "id").where("stream_id is not null or id < 50")
+    placed = folds.by_few_keys(rows, ["stream_id", "run_id"], rows, 5).withColumn("at", F.spark_partition_id())
+    got = placed.groupBy("stream_id").agg(F.count_distinct("at").alias("parts"), F.min("at").alias("at"), F.count("*").alias("n")).collect()
+    assert len(got) == 17 and {r["parts"] for r in got} == {1} and len({r["at"] for r in got}) == 17 and sum(r["n"] for r in got) == 162 and placed.columns == [*rows.columns, "at"]

@@ -7,6 +7,7 @@ one key, so memory is a batch whatever the key's length. Long keys are cut at pa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,19 @@ def by_key(rows: DataFrame, keys: list[str], spread: int = 1) -> DataFrame:
     return rows.repartition(spread * n, *keys)
 
 
+def by_few_keys(rows: DataFrame, keys: list[str], sizes: DataFrame, spread: int = 1) -> DataFrame:
+    """As ``by_key`` where keys are few and heavy, so that hashes would put several into one partition: the keys of ``sizes`` (rows with the keys, as many as a key is heavy) are dealt in turn, the heaviest first.
+
+    What is sorted in one place is a row for each key.
+    """
+    n = spread * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = (F.row_number().over(Window.orderBy(F.desc("_n"), *keys)) - 1) % n
+    dealt = sizes.groupBy(*keys).agg(F.count("*").alias("_n")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], turn.cast("int").alias("_part"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    placed = rows.join(F.broadcast(dealt), same, "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
+    return placed.repartitionById(n, F.col("_part")).drop("_part", *[f"_k{i}" for i in range(len(keys))])
+
+
 def _marked(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     last = None
     for b in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FINISHED, TRACK_FRAMES
-from .folds import by_key
+from .folds import by_few_keys, by_key
 
 LEAST = 1e-3
 _POS, _VEL = 1 / 20, 1 / 160
@@ -405,7 +405,8 @@ def track(detections: DataFrame, frames: DataFrame | None = None, config: Config
     keys = ["stream_id", "run_id"]
     if save is not None:
         rows, keys = with_segments(rows, config.lost_ttl), [*keys, "_segment"]
-    ordered = by_key(rows, keys, 4).sortWithinPartitions(*keys, "frame_index", "timestamp", "det_idx")
+    dealt = by_key(rows, keys, 4) if save is not None else by_few_keys(rows, keys, rows if frames is None else clock, 4)
+    ordered = dealt.sortWithinPartitions(*keys, "frame_index", "timestamp", "det_idx")
     tracked = ordered.mapInPandas(_follow_all(config, every_frame, keys), ROWS if save is None else f"{ROWS}, _segment long")
     return tracked if save is None else renumbered(save(tracked))
 
