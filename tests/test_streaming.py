@@ -115,3 +115,29 @@ def test_the_whole_job(spark, tmp_path):
     assert tell(got) == tell(batch) and {"rule_triggered", "speeding", "line_crossed", "zone_dwell", "zone_exited", "track_started"} <= {t[0] for t in tell(got)}
     ends = lambda df: sorted((r["track_id"], r["data"]["duration_s"], r["data"]["n_points"]) for r in df.where("type = 'track_finished'").collect())
     assert ends(got) == ends(batch) and store.load(spark, f"{root}/tracks").count() == len(ends(batch))
+
+
+def test_a_track_costs_two_calls_for_state(spark, job):
+    """One value holds all that a track carries, rows come packed, and the configuration is broadcast, so that few streams don't make few tasks."""
+    import pickle
+
+    live = tracking.live_rows(job["rows"]).withColumn("done", F.lit(False))
+    packed = S._packed(live.select(*S.TRACK, "frame_index", "done").coalesce(1)).collect()
+    assert len(packed) == live.select(*S.TRACK).distinct().count() and sum(len(pickle.loads(p["blob"])) for p in packed) == live.count()
+
+    class Held:
+        calls: list = []
+
+        def __getattr__(self, name):
+            return lambda *a: self.calls.append(name)
+
+    class Handle:
+        getValueState = lambda self, *a: Held()
+
+    processor = S.CrossingProcessor()
+    processor.fields = ["frame_index", "done", "part", "line_id", "ax", "ay", "bx", "by", "x", "y", "side"]
+    processor.init(Handle())
+    rows = [S.Row(blob=pickle.dumps([(f, False, line, line, 0.0, 2.0, 0.0, 0.0, 1.0, 1.0, 1.0) for f in range(5) for line in ("a", "b", None)]))]
+    assert list(processor.handleInputRows(("s", "r", 1), iter(rows), None)) == [] and Held.calls == ["exists", "update"]
+    out = S.crossings(job["rows"], job["lines"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in out

@@ -1,6 +1,6 @@
 """Line crossings, zone visits and motion on streams of track rows (those of ``tracking.track`` or of the tracking stream).
 
-Geometry is worked out by the same columns as in tables, in joins of the stream with the configuration; what a track carries from row to row is state in the
+Geometry is worked out by the same columns as in tables, in joins of the stream with the configuration (broadcast: adaptive execution, which would see its size, is off here, and a shuffle by stream has few keys); what a track carries from row to row is one value of state in the
 RocksDB store, keyed by (stream, run, track): the anchor and side for each line, the open visit of each zone, a ring of grounded points. A track's last row
 (``done``) ends its visits and clears all its state. Rows at or before the last frame that a track has seen are late: they are dropped and counted in ``late``.
 With ``idle_ms`` a track that stays silent for so long is forgotten, and the last frame of a finished one is remembered for so long, so rows that come after its end are late too;
@@ -10,10 +10,13 @@ without it they would begin a new track. The running count of a line is a second
 from __future__ import annotations
 
 import math
+import pickle
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,63 +30,60 @@ TRACK = L.TRACK
 
 
 class TrackState(StatefulProcessor):
-    """What the three have in common: order within a batch, late rows, the end of a track and silence. A subclass opens its state, takes rows in and says what its columns are."""
+    """What the three have in common: order within a batch, late rows, the end of a track and silence. A subclass takes rows in and says what its columns are."""
 
     COLUMNS: list[str] = []
 
     def __init__(self, idle_ms: int = 0):
         self.idle_ms = idle_ms
+        self.fields: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "frame long, timer long")
-        self.open(handle)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["frame_index", "done", "part"], kind="stable")
-        last, timer = self.seen.get() if self.seen.exists() else (-1, -1)
-        late = (pdf["frame_index"] <= last) & ~pdf["done"]
-        fresh = pdf[~late]
-        out = self.follow(key, fresh[~fresh["done"]])
-        ends = fresh[fresh["done"]]
+        # one value, as each call for state is a round trip: (last frame, timer, what the track carries)
+        self.held = handle.getValueState("held", "blob binary")
+        self.row, self.result = namedtuple("Row_", self.fields), Row(*TRACK, *self.COLUMNS, "late")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = [self.row._make(r) for packed in rows for r in pickle.loads(packed.blob)]
+        rows.sort(key=lambda r: (r.frame_index, r.done, r.part is None, 0 if r.part is None else r.part))
+        last, timer, carried = pickle.loads(bytes(self.held.get()[0])) if self.held.exists() else (-1, -1, {})
+        fresh = [r for r in rows if r.done or r.frame_index > last]
+        late = len(rows) - len(fresh)
+        out = self.follow(carried, [r for r in fresh if not r.done])
+        ends = [r for r in fresh if r.done]
         if timer >= 0:
             self.handle.deleteTimer(timer)
-        if len(ends):
-            out += self.finish(key, ends.iloc[-1])
-            self.forget()
-        if len(ends) and not self.idle_ms:
-            self.seen.clear()
-        elif len(fresh) or timer >= 0:
+        if ends:
+            out += self.finish(carried, ends[-1])
+            carried = {}
+        if ends and not self.idle_ms:
+            self.held.clear()
+        elif fresh or timer >= 0:
             timer = -1
             if self.idle_ms:
                 timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
                 self.handle.registerTimer(timer)
-            self.seen.update((max(last, int(fresh["frame_index"].max())) if len(fresh) else last, timer))
-        table = [(*key, *r, 0) for r in out]
-        if late.any():
-            table.append((*key, *[None] * len(self.COLUMNS), int(late.sum())))
-        yield pd.DataFrame(table, columns=[*TRACK, *self.COLUMNS, "late"])
+            self.held.update((pickle.dumps((max(last, fresh[-1].frame_index) if fresh else last, timer, carried)),))
+        table = [self.result(*key, *r, 0) for r in out]
+        if late:
+            table.append(self.result(*key, *[None] * len(self.COLUMNS), late))
+        return iter(table)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.forget()
-        self.seen.clear()
-        yield pd.DataFrame([], columns=[*TRACK, *self.COLUMNS, "late"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.held.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
+    def follow(self, carried: dict, rows: list) -> list[tuple]:
+        """What live rows, in order, make; ``carried`` is what the track brought along, and takes what it carries on."""
         raise NotImplementedError
 
-    def follow(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        raise NotImplementedError
-
-    def finish(self, key: tuple, row: pd.Series) -> list[tuple]:
+    def finish(self, carried: dict, row) -> list[tuple]:
         return []
 
-    def forget(self) -> None:
-        raise NotImplementedError
-
 
 def _ends(tracked: DataFrame, like: DataFrame) -> DataFrame:
     """``like`` with the last rows of tracks, which are attached to nothing."""
@@ -91,9 +91,30 @@ def _ends(tracked: DataFrame, like: DataFrame) -> DataFrame:
     return like.withColumn("done", F.lit(False)).unionByName(ends.withColumn("done", F.lit(True)), allowMissingColumns=True)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """A row (TRACK, blob) for the rows that a track has in an Arrow batch; what is behind the shuffle then reads one value for them all."""
+    keys = len(TRACK)
+
+    def pack(batches):
+        for b in batches:
+            tracks: dict[tuple, list[tuple]] = {}
+            for r in zip(*[c.to_pylist() for c in b.columns]):
+                tracks.setdefault(r[:keys], []).append(r[keys:])
+            made = [[k[i] for k in tracks] for i in range(keys)]
+            blobs = [pickle.dumps(own) for own in tracks.values()]
+            yield pa.RecordBatch.from_arrays([*[pa.array(m, b.schema.field(i).type) for i, m in enumerate(made)], pa.array(blobs, pa.binary())], names=[*TRACK, "blob"])
+
+    return rows.select(*TRACK, *[c for c in rows.columns if c not in TRACK]).mapInArrow(pack, f"{KEY}, blob binary")
+
+
 def _run(rows: DataFrame, processor: TrackState, columns: str) -> DataFrame:
+    """Numbers that are not there are NaN in the processor."""
     mode = "processingTime" if processor.idle_ms else "none"
-    return rows.groupBy(*TRACK).transformWithStateInPandas(processor, f"{KEY}, {columns}, late int", "append", mode)
+    doubles = lambda df, f: df.select(*[f(F.col(c)).alias(c) if t == "double" else c for c, t in df.dtypes])
+    rows = doubles(rows.withColumn("track_id", F.col("track_id").cast("long")), lambda c: F.coalesce(c, F.lit(math.nan)))
+    processor.fields = [c for c in rows.columns if c not in TRACK]
+    out = _packed(rows).groupBy(*TRACK).transformWithState(processor, f"{KEY}, {columns}, late int", "append", mode)
+    return doubles(out, lambda c: F.nanvl(c, F.lit(None).cast("double")))
 
 
 # --- lines ------------------------------------------------------------------------------------------------------
@@ -104,31 +125,21 @@ CROSSED = "frame_index long, timestamp double, vehicle_class string, line_id str
 class CrossingProcessor(TrackState):
     COLUMNS = [c.split()[0] for c in CROSSED.split(", ")]
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.lines = handle.getMapState("lines", "line_id string", "x double, y double, side int, spent long, crossed boolean")
-
-    def forget(self) -> None:
-        self.lines.clear()
-
-    def follow(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
+    def follow(self, carried: dict, rows: list) -> list[tuple]:
         out = []
-        for line, own in rows.groupby("line_id", sort=False):
-            known = self.lines.getValue((line,)) if self.lines.containsKey((line,)) else None
-            for r in own.itertuples(index=False):
-                here = _sign(r.side)
-                if known is None:
-                    known = (r.x, r.y, here, int(here != 0), False)
-                    continue
-                px, py, side, spent, crossed = known
-                way = _way(r, px, py)
-                if way and (not crossed or spent >= L.SETTLED):
-                    crossed = True
-                    out.append((r.frame_index, r.timestamp, r.vehicle_class, line, r.name, r.ord, r.forward_label if way > 0 else r.backward_label, "forward" if way > 0 else "backward"))
-                if here:  # a row on the line keeps the side
-                    side, spent = here, spent + 1 if here == side else 1
-                known = (r.x, r.y, side, spent, crossed)
-            if known is not None:
-                self.lines.updateValue((line,), known)
+        for r in rows:
+            here = _sign(r.side)
+            if r.line_id not in carried:
+                carried[r.line_id] = (r.x, r.y, here, int(here != 0), False)
+                continue
+            px, py, side, spent, crossed = carried[r.line_id]
+            way = _way(r, px, py)
+            if way and (not crossed or spent >= L.SETTLED):
+                crossed = True
+                out.append((r.frame_index, r.timestamp, r.vehicle_class, r.line_id, r.name, r.ord, r.forward_label if way > 0 else r.backward_label, "forward" if way > 0 else "backward"))
+            if here:  # a row on the line keeps the side
+                side, spent = here, spent + 1 if here == side else 1
+            carried[r.line_id] = (r.x, r.y, side, spent, crossed)
         return out
 
 
@@ -169,7 +180,7 @@ def crossings(tracked: DataFrame, lines: DataFrame, idle_ms: int = 0) -> DataFra
 
     Counts follow the frames if batches do; within a batch they go by frame and track.
     """
-    live = L.attach(tracked.where("not done"), lines)
+    live = L.attach(tracked.where("not done"), F.broadcast(lines))
     line = {k: F.col(k) for k in ("ax", "ay", "bx", "by")}
     cols = [*TRACK, "frame_index", "timestamp", "vehicle_class", F.col("line_id"), "name", "ord", "forward_label", "backward_label", *line, "x", "y", L.G.side(line, F.col("x"), F.col("y")).alias("side")]
     rows = _ends(tracked, live.select(cols)).withColumn("part", F.col("line_id"))
@@ -185,44 +196,34 @@ VISITED = "kind string, zone_id string, name string, ord int, visit long, frame_
 class ZoneProcessor(TrackState):
     COLUMNS = [c.split()[0] for c in VISITED.split(", ")]
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.zones = handle.getMapState("zones", "zone_id string", "name string, ord int, visit long, inside boolean, frame long, entered double, alerted boolean")
-
-    def forget(self) -> None:
-        self.zones.clear()
-
-    def follow(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
+    def follow(self, carried: dict, rows: list) -> list[tuple]:
         out = []
-        for zone, own in rows.groupby("zone_id", sort=False):
-            known = self.zones.getValue((zone,)) if self.zones.containsKey((zone,)) else None
-            for r in own.itertuples(index=False):
-                visit, inside, frame, entered, alerted = known[2:] if known else (0, False, 0, 0.0, False)
-                event = None
-                if r.inside and not inside:
-                    visit, frame, entered, alerted = visit + 1, r.frame_index, r.timestamp, False
-                    event, dwell = "entered", None
-                elif r.inside and not alerted and r.timestamp - entered >= r.dwell_alert_s:
-                    event, dwell, alerted = "dwell", r.timestamp - entered, True
-                elif inside and not r.inside:
-                    event, dwell = "exited", max(0.0, r.timestamp - entered)
-                if event:
-                    out.append((event, zone, r.name, r.ord, visit, r.frame_index, r.timestamp, r.vehicle_class, frame, entered, dwell))
-                known = (r.name, int(r.ord), int(visit), bool(r.inside), int(frame), float(entered), bool(alerted))
-            if known is not None:
-                self.zones.updateValue((zone,), known)
+        for r in rows:
+            _, _, visit, inside, frame, entered, alerted = carried.get(r.zone_id, (None, None, 0, False, 0, 0.0, False))
+            event = None
+            if r.inside and not inside:
+                visit, frame, entered, alerted = visit + 1, r.frame_index, r.timestamp, False
+                event, dwell = "entered", None
+            elif r.inside and not alerted and r.timestamp - entered >= r.dwell_alert_s:
+                event, dwell, alerted = "dwell", r.timestamp - entered, True
+            elif inside and not r.inside:
+                event, dwell = "exited", max(0.0, r.timestamp - entered)
+            if event:
+                out.append((event, r.zone_id, r.name, r.ord, visit, r.frame_index, r.timestamp, r.vehicle_class, frame, entered, dwell))
+            carried[r.zone_id] = (r.name, r.ord, visit, bool(r.inside), frame, entered, alerted)
         return out
 
-    def finish(self, key: tuple, row: pd.Series) -> list[tuple]:
+    def finish(self, carried: dict, row) -> list[tuple]:
         out = []
-        for (zone,), (name, ord_, visit, inside, frame, entered, _) in self.zones.iterator():
+        for zone, (name, ord_, visit, inside, frame, entered, _) in carried.items():
             if inside:
-                out.append(("finished", zone, name, ord_, visit, row["frame_index"], row["timestamp"], row["vehicle_class"], frame, entered, max(0.0, row["timestamp"] - entered)))
+                out.append(("finished", zone, name, ord_, visit, row.frame_index, row.timestamp, row.vehicle_class, frame, entered, max(0.0, row.timestamp - entered)))
         return out
 
 
 def visits(tracked: DataFrame, zones: DataFrame, idle_ms: int = 0) -> DataFrame:
     """The stream form of ``zones.visits``, as the events of a visit: ``kind`` is entered, dwell (once a visit), exited, or finished for one that the track's end closes."""
-    live = Z.inside(tracked.where("not done"), zones)
+    live = Z.inside(tracked.where("not done"), F.broadcast(zones))
     cols = [*TRACK, "frame_index", "timestamp", "vehicle_class", "zone_id", "name", "ord", "dwell_alert_s", "inside"]
     rows = _ends(tracked, live.select(cols)).withColumn("part", F.col("zone_id"))
     return _run(rows, ZoneProcessor(idle_ms), VISITED)
@@ -251,21 +252,10 @@ class MotionProcessor(TrackState):
         super().__init__(idle_ms)
         self.window_s, self.min_track_s, self.max_history, self.alpha = window_s, min_track_s, max_history, alpha
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", "t double, x double, y double, n long")
-        self.carried = handle.getValueState("carried", "born double, n long, speed double, top double, way double, ax double, ay double, distance double, fired double")
-
-    def forget(self) -> None:
-        self.ring.clear()
-        self.carried.clear()
-
-    def follow(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        if not len(rows):
-            return []
-        ring = [tuple(p) for p in self.ring.get()] if self.ring.exists() else []
-        state = self.carried.get() if self.carried.exists() else None
+    def follow(self, carried: dict, rows: list) -> list[tuple]:
+        ring, state = carried.get("ring", []), carried.get("state")
         out = []
-        for r in rows.itertuples(index=False):
+        for r in rows:
             if state is None:
                 state = (r.timestamp, 0, None, None, None, r.gx, r.gy, 0.0, None)
             born, n, speed, top, way, ax, ay, distance, fired = state
@@ -282,7 +272,7 @@ class MotionProcessor(TrackState):
                     speed = raw if speed is None else self.alpha * raw + (1 - self.alpha) * speed
                     top = speed if top is None else max(top, speed)
                     way = math.degrees(math.atan2(dy, dx)) % 360.0 if moved >= M.MOVED_M else way
-            limit = None if r.limit_kmh is None or math.isnan(r.limit_kmh) else r.limit_kmh
+            limit = None if math.isnan(r.limit_kmh) else r.limit_kmh
             speeding = limit is not None and speed is not None and speed > limit and (fired is None or r.timestamp - fired >= M.REPEAT_S)
             fired = r.timestamp if speeding else fired
             out.append((r.frame_index, r.timestamp, r.vehicle_class, speed, top, way, distance, limit, speeding))
@@ -291,8 +281,7 @@ class MotionProcessor(TrackState):
             old = [i for i, p in enumerate(ring) if p[0] <= goal]
             ring = ring[old[-1] :] if old else ring
             state = (born, n + 1, speed, top, way, ax, ay, distance, fired)
-        self.ring.put(ring)
-        self.carried.update(state)
+        carried["ring"], carried["state"] = ring, state
         return out
 
 
@@ -301,7 +290,7 @@ def motion(tracked: DataFrame, calibrations: DataFrame, limits: DataFrame, windo
 
     The ring keeps the window and one point behind it, ``max_history`` points at most. Streams without a limit are never speeding.
     """
-    live = M.ground(tracked.where("not done and matched"), calibrations).join(limits.select("stream_id", "limit_kmh"), "stream_id", "left")
+    live = M.ground(tracked.where("not done and matched"), F.broadcast(calibrations)).join(F.broadcast(limits.select("stream_id", "limit_kmh")), "stream_id", "left")
     rows = _ends(tracked, live.select(*TRACK, "frame_index", "timestamp", "vehicle_class", "gx", "gy", "limit_kmh")).withColumn("part", F.lit(0))
     return _run(rows, MotionProcessor(window_s, min_track_s, max_history, alpha, idle_ms), MOVED)
 
@@ -318,28 +307,21 @@ class LifeProcessor(TrackState):
         super().__init__(idle_ms)
         self.max_history = max_history
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.life = handle.getValueState("life", "first double, last double, hits long, started boolean")
-
-    def forget(self) -> None:
-        self.life.clear()
-
-    def follow(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        first, last, hits, started = self.life.get() if self.life.exists() else (0.0, 0.0, 0, False)
+    def follow(self, carried: dict, rows: list) -> list[tuple]:
+        first, last, hits, started = carried.get("life", (0.0, 0.0, 0, False))
         out = []
-        for r in rows.itertuples(index=False):
+        for r in rows:
             if r.matched:
                 first, last, hits = r.timestamp if not hits else first, r.timestamp, hits + 1
             if r.state == "active" and not started:
                 started = True
                 out.append(("started", r.frame_index, r.timestamp, r.vehicle_class, None, None))
-        if len(rows):
-            self.life.update((float(first), float(last), int(hits), bool(started)))
+        carried["life"] = (first, last, hits, started)
         return out
 
-    def finish(self, key: tuple, row: pd.Series) -> list[tuple]:
-        first, last, hits, _ = self.life.get() if self.life.exists() else (0.0, 0.0, 0, False)
-        return [("finished", row["frame_index"], row["timestamp"], row["vehicle_class"], last - first, min(hits, self.max_history))]
+    def finish(self, carried: dict, row) -> list[tuple]:
+        first, last, hits, _ = carried.get("life", (0.0, 0.0, 0, False))
+        return [("finished", row.frame_index, row.timestamp, row.vehicle_class, last - first, min(hits, self.max_history))]
 
 
 def lives(tracked: DataFrame, max_history: int = 600, idle_ms: int = 0) -> DataFrame:
