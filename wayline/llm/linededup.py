@@ -6,10 +6,9 @@ line that is not blank takes part: equal ones of any length, and from NEAR_CHARS
 
 Each distinct line is split into threshold-plus-one segments. Two lines within the threshold have some segment of one
 as it stands in the other, at a place that depends on the segment's number and on both lengths, so a line probes,
-for each possible length, only those substrings. In keys that many lines share, pairs must also agree in a second
-signature. Keys with more than HUGE * HUGE comparisons are not compared pair by pair: a further segment of what is left of the line is added to the key, again and
+for each possible length, only those substrings. Keys with more than HUGE * HUGE comparisons are not compared pair by pair: a further segment of what is left of the line is added to the key, again and
 again (what is left holds at most as many edits, so one of threshold-plus-one pieces of it matches again).
-Pairs that meet must first have signatures close enough for the threshold (parities of the counts of characters, in long lines of words); what
+Pairs that meet must first have signatures close enough for the threshold (parities of the counts of characters, in long lines of words, and those of characters side by side); what
 is left is verified with a banded bit-parallel edit distance over the part between the lines' common beginning and end.
 """
 
@@ -24,7 +23,7 @@ THRESHOLD = 2
 MIN_CHARS = 25
 #: The shortest line that is compared by one edit; shorter ones must be equal.
 NEAR_CHARS = 12
-#: A key costs its own segments times all of its rows in comparisons. Up to CROWD own segments that is a few for each row; beyond, a second signature is compared, and
+#: A key costs its own segments times all of its rows in comparisons. Up to CROWD own segments that is a few for each row; beyond, keys are dealt anew, and
 #: keys of more than HUGE squared comparisons get longer. These bound the work for each key; pairs are the same on either side of them (tested).
 CROWD, HUGE = 32, 4000
 #: Up to so many rows of one or two numbers are broadcast (a few MB); more are shuffled.
@@ -75,10 +74,11 @@ def signature(line: Column) -> Column:
     return F.aggregate(units, F.when(short, F.lit(0)).otherwise(F.lit(-(1 << 63))).cast("long"), lambda a, u: a.bitwiseXOR(bit(u)))
 
 
-def characters(line: Column) -> Column:
-    """63 parities of how often characters occur, for lines of any length."""
-    bit = lambda u: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(u), F.lit(63)).cast("int"))
-    return F.aggregate(F.filter(F.split(line, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, u: a.bitwiseXOR(bit(u)))
+def neighbours(line: Column) -> Column:
+    """63 parities of how often two characters stand side by side, for lines of any length: a replaced word flips more of them than the edits allow, where letters alone are much the same."""
+    bit = lambda u: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(u, F.lit(63)).cast("int"))
+    both = lambda cs: F.zip_with(F.slice(cs, 1, F.size(cs) - 1), F.slice(cs, 2, F.size(cs) - 1), lambda a, b: F.xxhash64(a, b))
+    return F.aggregate(_let(F.filter(F.split(line, ""), lambda c: c != ""), both), F.lit(0).cast("long"), lambda a, u: a.bitwiseXOR(bit(u)))
 
 
 def _alike(a: Column, b: Column, threshold: int) -> Column:
@@ -132,13 +132,10 @@ def banded_distance(xs: Column, ys: Column, threshold: int) -> Column:
 
 
 def _meet(rows: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs a < b of rows (key, h, own, sig) that share a key, one of them at least with its own segment, and have signatures alike (``chars``: a second one, if there)."""
-    second = ["chars"] if "chars" in rows.columns else []
-    own = rows.where("own").select("key", F.col("h").alias("x"), F.col("sig").alias("xs"), *[F.col(c).alias("xc") for c in second])
-    other = rows.select("key", "h", "sig", *second)
-    near = _alike(F.col("xs"), F.col("sig"), threshold)
-    if second:
-        near = near & (F.bit_count(F.col("xc").bitwiseXOR(F.col("chars"))) <= 2 * threshold)
+    """Candidate pairs a < b of rows (key, h, own, sig, beside) that share a key, one of them at least with its own segment, and have both signatures alike."""
+    own = rows.where("own").select("key", F.col("h").alias("x"), F.col("sig").alias("xs"), F.col("beside").alias("xc"))
+    other = rows.select("key", "h", "sig", "beside")
+    near = _alike(F.col("xs"), F.col("sig"), threshold) & (F.bit_count(F.col("xc").bitwiseXOR(F.col("beside"))) <= 4 * threshold)  # an edit takes two of them at most and makes two
     pairs = own.join(other, (own["key"] == other["key"]) & (F.col("x") != F.col("h")) & near)
     return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"))
 
@@ -162,15 +159,15 @@ def _crowded(rows: DataFrame, threshold: int) -> DataFrame:
         longer = lambda shift: F.xxhash64("key", "k", F.substring(F.col("line"), F.col("p.s") + 1 + shift, F.col("p.l")))
         at = F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(*map(F.lit, shifts))))
         moved = pieces.select("*", at.alias("shift")).where("p.s + shift >= 0 and p.s + shift + p.l <= char_length(line)")
-        made = cut(moved.select(longer(F.col("shift")).alias("key"), "h", "own", "sig", "line", rest.alias("free"), F.col("p.l").alias("l")).dropDuplicates(["key", "h", "own"]))
+        made = cut(moved.select(longer(F.col("shift")).alias("key"), "h", "own", "sig", "beside", "line", rest.alias("free"), F.col("p.l").alias("l")).dropDuplicates(["key", "h", "own"]))
         full = made.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all"), F.max("l").alias("l")).where(f"n * (all - n) > {HUGE * HUGE} and l > 0").select("key")
         full = cut(full)
-        few = _meet(made.join(full, "key", "left_anti").select("key", "h", "own", "sig"), threshold)
+        few = _meet(made.join(full, "key", "left_anti").select("key", "h", "own", "sig", "beside"), threshold)
         out = few if out is None else out.union(few)
         if full.isEmpty():
             return out
-        rows = made.join(full, "key").select("key", "h", "own", "sig", "line", "free")
-    return out.union(_meet(rows.select("key", "h", "own", "sig"), threshold))
+        rows = made.join(full, "key").select("key", "h", "own", "sig", "beside", "line", "free")
+    return out.union(_meet(rows.select("key", "h", "own", "sig", "beside"), threshold))
 
 
 def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
@@ -180,19 +177,20 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CH
     shared = cut(shared)
     rows = cut(_keys(lines, threshold, least).join(_few(shared), "key"))
     involved = cut(rows.select("h").distinct())
-    signed = lines.join(_few(involved), "h", "left_semi").select("h", signature(F.col("line")).alias("sig"))
-    rows = cut(rows.join(signed, "h"))
+    signed = lines.join(_few(involved), "h", "left_semi").select("h", signature(F.col("line")).alias("sig"), neighbours(F.col("line")).alias("beside"))
+    signed = cut(signed)
+    rows = cut(rows.join(_few(signed), "h"))
     full = cut(rows.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n > {CROWD} and all > {2 * CROWD}").select("key"))
     pairs = _meet(rows.join(_few(full), "key", "left_anti"), threshold)
     if not full.isEmpty():
-        many = cut(_keys(lines, threshold, least, "line", "at", "lx").join(_few(full), "key").withColumn("sig", signature(F.col("line"))))  # few rows; what follows would be too large a plan to compile along with the keys
+        many = cut(_keys(lines, threshold, least, "line", "at", "lx").join(_few(full), "key").join(signed, "h"))  # few rows; what follows would be too large a plan to compile along with the keys
         huge = cut(many.groupBy("key").agg(F.count_if("own").alias("n"), F.count("*").alias("all")).where(f"n * all > {HUGE * HUGE}").select("key"))
-        dense = many.join(_few(huge), "key", "left_anti").select("key", "h", "own", "sig", characters(F.col("line")).alias("chars"))
+        dense = many.join(_few(huge), "key", "left_anti").select("key", "h", "own", "sig", "beside")
         pairs = pairs.union(_meet(cut(dense), threshold))
         if not huge.isEmpty():
             many = many.join(_few(huge), "key")
             cuts = F.array(*[F.struct(s.cast("int").alias("s"), n.cast("int").alias("l")) for s, n in segments(F.col("lx"), threshold)])
-            many = many.withColumn("free", F.filter(cuts, lambda p, i: i != F.col("at"))).select("key", "h", "own", "sig", "line", "free")
+            many = many.withColumn("free", F.filter(cuts, lambda p, i: i != F.col("at"))).select("key", "h", "own", "sig", "beside", "line", "free")
             # a line's own segment also meets, shifted, those of other lines of its length
             both = many.union(many.where("own").withColumn("own", F.lit(False)))
             pairs = pairs.union(_crowded(both, threshold))
